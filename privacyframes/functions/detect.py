@@ -223,54 +223,52 @@ def _resolve(candidates: X) -> X:
 
 
 def resolved_spans(
-    row: X,
+    text: X,
+    external: X | None = None,
+    late: X | None = None,
     recognizers: Sequence[Recognizer] = DEFAULT,
     strict_aadhaar: bool = False,
     use_scored: bool = False,
 ) -> X:
-    """Spans of ``row.text``, using ``row.external`` and ``row.late`` hits; also carries byte offsets."""
-    text = row["text"]
+    """Kept spans of one text with their byte offsets; ``external`` and ``late`` are hit arrays."""
     scored = SCORED if use_scored else ()
-    patterns = (*scored, *recognizers)
-
-    def one_pass(found: X) -> X:
-        return let(_first_of_each(found), second)
-
-    def second(seen: X) -> X:
+    found = _from_patterns(text, (*scored, *recognizers), strict_aadhaar)
+    if external is not None:
+        found = fn.concat(_from_external(text, external, strict_aadhaar), found)
+    if external is not None or late is not None or scored:
+        # Pattern hits alone share one score, so there a repeated span can never win and needs no removal.
+        found = _first_of_each(found)
+    if late is None:
+        return _resolve(found)
+
+    def with_late(seen: X) -> X:
         # A span already proposed in the first pass stays settled, even if it lost there.
         def is_new(c: X) -> X:
             return ~fn.exists(
                 seen, lambda s: (s.start == c.start) & (s.end == c.end) & (s.entity_type == c.entity_type)
             )
 
-        fresh = _first_of_each(fn.filter(_from_late(text, row.late, strict_aadhaar), is_new))
-        first = _resolve(seen)
-        return when(fn.size(row.late) == 0, first).otherwise(_resolve(fn.concat(first, fresh)))
-
-    found = _from_patterns(text, patterns, strict_aadhaar)
-    if "external" in row.fields:
-        return one_pass(fn.concat(_from_external(text, row.external, strict_aadhaar), found))
-    # Pattern hits alone share one score, so a repeated span can never win: no dedupe needed.
-    return _resolve(_first_of_each(found) if scored else found)
-
-
-class Row(X):
-    """Bound input row; remembers which optional fields it has."""
+        fresh = _first_of_each(fn.filter(_from_late(text, late, strict_aadhaar), is_new))
+        return let(
+            _resolve(seen),
+            lambda first: when(fn.size(fresh) == 0, first).otherwise(_resolve(fn.concat(first, fresh))),
+        )
 
-    def __init__(self, text: str, fields):
-        super().__init__(text)
-        self.fields = frozenset(fields)
+    return let(found, with_late)
 
 
 def bind_text(body, text, external=None, late=None, **more) -> Column:
-    """Bind text (null read as empty) and optional hit arrays, each evaluated once per row."""
+    """Bind text (null read as empty) and optional hit arrays, each evaluated once per row.
+
+    ``body(text, hits, row)`` gets the text, a dict of the given hit arrays, and the bound row.
+    """
     columns = {"text": F.coalesce(_col(text), F.lit(""))}
-    if external is not None or late is not None:
-        for name, value, ddl in (("external", external, EXTERNAL_HITS), ("late", late, LATE_HITS)):
-            none = F.array().cast(ddl)
-            columns[name] = none if value is None else F.coalesce(_col(value).cast(ddl), none)
+    for name, value, ddl in (("external", external, EXTERNAL_HITS), ("late", late, LATE_HITS)):
+        if value is not None:
+            columns[name] = F.coalesce(_col(value).cast(ddl), F.array().cast(ddl))
+    hits = [n for n in ("external", "late") if n in columns]
     columns.update({k: _col(v) for k, v in more.items()})
-    return bind(lambda r: body(Row(r.text, columns)), **columns)
+    return bind(lambda r: body(r["text"], {n: r[n] for n in hits}, r), **columns)
 
 
 def _col(value) -> Column:
@@ -293,12 +291,12 @@ def findings(text, *, external=None, late=None, **options) -> Column:
     ``external`` holds first-stage hits (``EXTERNAL_HITS``), ``late`` second-stage hits (``LATE_HITS``).
     Options: ``recognizers`` (tuple of :class:`Recognizer`), ``strict_aadhaar``, ``use_scored``.
     """
-    return bind_text(lambda r: public(resolved_spans(r, **options)), text, external, late)
+    return bind_text(lambda t, hits, _: public(resolved_spans(t, **hits, **options)), text, external, late)
 
 
 def candidates(text, recognizers: Sequence[Recognizer] = DEFAULT, strict_aadhaar: bool = False) -> Column:
     """Every valid hit before overlap resolution, in insertion order."""
-    return bind_text(lambda r: public(_from_patterns(r["text"], recognizers, strict_aadhaar)), text)
+    return bind_text(lambda t, hits, _: public(_from_patterns(t, recognizers, strict_aadhaar)), text)
 
 
 def counts_of(names: X) -> X:

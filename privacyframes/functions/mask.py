@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .detect import _col, bind_text, public, resolved_spans
+from .detect import FINDINGS, _col, bind_text, public, resolved_spans
 from .sqltext import X, bind, empty, fn, let, lit, struct, when
 from .text import WORD, compact_upper, decimal_digits, head, is_digits, scan, stars, strip, tail, words
 
@@ -240,32 +240,45 @@ def splice(spans: X, raw: X, mode: X | str) -> X:
     return let(tokens, assemble)
 
 
+def _sanitized(text: X, mode: X | str, hits: dict, options: dict) -> X:
+    def build(spans: X) -> X:
+        return let(
+            let(text.cast("binary"), lambda raw: splice(spans, raw, mode)),
+            lambda s: struct(sanitized=s.sanitized, findings=public(spans), tokens=s.tokens),
+        )
+
+    return let(resolved_spans(text, **hits, **options), build)
+
+
+def checked_mode(mode: Column) -> Column:
+    """The mode column itself; a value outside the three modes stops the query."""
+    message = F.concat(F.lit("Invalid mode: "), F.coalesce(mode, F.lit("null")))
+    return F.when(mode.isin(*fixed.MODES), mode).otherwise(F.raise_error(message))
+
+
 def sanitize_struct(text, mode="mask", *, external=None, late=None, **options) -> Column:
     """``struct<sanitized, findings, tokens>`` of one text, each part computed once.
 
     ``mode`` is 'mask', 'redact' or 'tokenize', or a column holding one of them per row. Null text stays null.
     """
-    constant = isinstance(mode, str)
-    if constant:
+    text = _col(text)
+    if isinstance(mode, str):
         check_mode(mode)
+        out = bind_text(lambda t, hits, _: _sanitized(t, mode, hits, options), text, external, late)
+    else:
+        out = bind_text(
+            lambda t, hits, r: _sanitized(t, r["mode"], hits, options), text, external, late, mode=checked_mode(mode)
+        )
+    return F.when(text.isNotNull(), out)
 
-    def body(row: X) -> X:
-        def build(spans: X) -> X:
-            spliced = let(
-                row["text"].cast("binary"), lambda raw: splice(spans, raw, mode if constant else row["mode"])
-            )
-            return let(
-                spliced, lambda s: struct(sanitized=s.sanitized, findings=public(spans), tokens=s.tokens)
-            )
-
-        return let(resolved_spans(row, **options), build)
 
-    text = _col(text)
-    if constant:
-        return F.when(text.isNotNull(), bind_text(body, text, external, late))
-    message = F.concat(F.lit("Invalid mode: "), F.coalesce(mode, F.lit("null")))
-    checked = F.when(mode.isin(*fixed.MODES), mode).otherwise(F.raise_error(message))
-    return F.when(text.isNotNull(), bind_text(body, text, external, late, mode=checked))
+def sanitize_cells(cells, mode: str = "mask", **options) -> Column:
+    """The same for an array of texts, element by element; null cells stay null."""
+    check_mode(mode)
+    return bind(
+        lambda r: fn.transform(r.cells, lambda t: when(t.is_set(), _sanitized(t, mode, {}, options))),
+        cells=_col(cells),
+    )
 
 
 def sanitize(text, mode="mask", **options) -> Column:
@@ -282,6 +295,52 @@ def redact_value(entity) -> Column:
     return F.concat(F.lit("[REDACTED_"), _col(entity), F.lit("]"))
 
 
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def sanitize_json(document, mode: str = "mask", **options) -> Column:
+    """``struct<sanitized, findings>`` of JSON text of any shape: every string value is its own chunk.
+
+    Keys, numbers and layout stay as they are. Needs no schema, so mixed documents share one column.
+    """
+    check_mode(mode)
+
+    def body(r: X) -> X:
+        def per_literal(literals: X, gaps: X) -> X:
+            def one(lit_text: X, i: X) -> X:
+                plain = fn.get(fn.from_json(fn.concat("[", lit_text, "]"), "array<string>"), 0)
+                clean = let(plain, lambda t: _sanitized(t, mode, {}, options))
+                is_key = fn.get(gaps, i + 1).rlike(r"^\s*:")
+                return when(is_key, struct(text=lit_text, findings=empty(FINDINGS))).otherwise(
+                    let(
+                        clean,
+                        lambda c: struct(
+                            text=when(fn.size(c.findings) == 0, lit_text).otherwise(
+                                fn.regexp_replace(fn.to_json(fn.array(c.sanitized)), r"^\[|\]$", "")
+                            ),
+                            findings=c.findings,
+                        ),
+                    )
+                )
+
+            def join(parts: X) -> X:
+                pieces = fn.transform(gaps, lambda g, i: fn.concat(g, fn.coalesce(fn.get(parts, i)["text"], "")))
+                return struct(
+                    sanitized=fn.array_join(pieces, ""),
+                    findings=fn.flatten(fn.transform(parts, lambda p: p.findings)),
+                )
+
+            return let(fn.transform(literals, one), join)
+
+        return let(
+            fn.regexp_extract_all(r.doc, _JSON_STRING, 0),
+            lambda literals: let(fn.split(r.doc, _JSON_STRING, -1), lambda gaps: per_literal(literals, gaps)),
+        )
+
+    document = _col(document)
+    return F.when(document.isNotNull(), bind(body, doc=document))
+
+
 def restore(sanitized, tokens) -> Column:
     """Undo tokenization of one chunk with its token list.
 
