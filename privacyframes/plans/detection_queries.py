@@ -107,7 +107,7 @@ def _outside_cte(name: str, stage: int, late: bool) -> str:
     shift = "1000 +" if late else "-1000 +"
     source = "llm" if late else "presidio"
     return f"""{name} as (select src, doc_id, {shift} hit_no as ord, entity_type, cast({score} as double) as score, '{source}' as source, "start", cast("end" as int) as "end", value
-  from (select *, {entity} as entity_type, {value} as value, {oracle.trimmed(value)} as v
+  from (select * exclude (value), {entity} as entity_type, {value} as value, {oracle.trimmed(value)} as v
         from ({_HITS.replace("{corpus}", DUCK_CORPUS)}) join shaped using (src, doc_id) where stage = {stage} {floor})
   where case entity_type {rules} else {oracle.valid('OTHER', 'v')} end)"""
 
@@ -159,7 +159,8 @@ select doc_id, case cast(doc_id % 5 as int)
 )
 def model_reply(spark, sf):
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"))
-    replies = spark.sql(_REPLY.replace("{STR}", "string"), customer=base)
+    text = _REPLY.replace("{STR}", "string").replace("{", "{{").replace("}", "}}").replace("{{customer}}", "{customer}")
+    replies = spark.sql(text, customer=base)
     return replies.select("doc_id", F.inline(parse_model_reply(F.col("reply"))))
 
 
