@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection_queries, sanitize_queries  # noqa: F401
+from . import detection_queries, governance_queries, risk_queries, sanitize_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 
