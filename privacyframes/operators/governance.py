@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import hashlib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .admission import effective_mode, extension
-from .ordered import run_in_order
+from ..streaming.machines import ChainLink
+from .ordered import BUCKET, previous, range_bucket, run_in_order, running
 from .sanitization import sanitize_documents
 
-CHAIN_SCHEMA = (
-    "id bigint, user_id bigint, action string, details string, timestamp timestamp, prev_hash string, log_hash string"
-)
-CHAIN_COLUMNS = [f.split()[0] for f in CHAIN_SCHEMA.split(", ")]
+CHAIN_COLUMNS = ["id", "user_id", "action", "details", "timestamp", "prev_hash", "log_hash"]
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -28,33 +22,21 @@ def iso_timestamp(ts: Column) -> Column:
     )
 
 
-def audit_digest(user_id: Column, action: Column, details: Column, ts: Column, prev_hash: Column) -> Column:
+def audit_head(user_id: Column, action: Column, details: Column, ts: Column) -> Column:
+    """Record text up to (not including) the previous hash."""
     none = F.lit("None")
-    text = F.concat_ws(
+    return F.concat_ws(
         "|",
         F.coalesce(user_id.cast("string"), none),
         F.coalesce(action, none),
         F.coalesce(details, none),
         iso_timestamp(ts),
-        F.coalesce(prev_hash, F.lit("")),
+        F.lit(""),
     )
-    return F.sha2(text, 256)
-
 
-def id_buckets(logs: DataFrame, order: str = "id", buckets: int | None = None) -> Column:
-    """Range bucket of each record by ``order``: about equal sizes, and a plain expression of the row.
 
-    The bounds come from a quantile sketch (one small row), so they do not change under task retries.
-    """
-    n = buckets or max(int(logs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    if n == 1:
-        return F.lit(0)
-    shares = ", ".join(str(i / n) for i in range(1, n))
-    found = logs.selectExpr(f"percentile_approx({order}, array({shares})) as b").first()["b"]
-    cuts = sorted(set(found or []))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(order)))
+def audit_digest(user_id: Column, action: Column, details: Column, ts: Column, prev_hash: Column) -> Column:
+    return F.sha2(F.concat(audit_head(user_id, action, details, ts), F.coalesce(prev_hash, F.lit(""))), 256)
 
 
 def audit_links(logs: DataFrame, chain: list[str] | None = None, buckets: int | None = None) -> DataFrame:
@@ -64,25 +46,10 @@ def audit_links(logs: DataFrame, chain: list[str] | None = None, buckets: int |
     global one, is checked by many tasks; per range only its size and last hash travel on.
     """
     keys = list(chain or [])
-    keyed = logs.withColumn("bucket", id_buckets(logs, "id", buckets).cast("int"))
-    w = Window.partitionBy(*keys, "bucket").orderBy("id")
-    inside = keyed.withColumn("before", F.lag("log_hash").over(w)).withColumn("at", F.row_number().over(w) - 1)
-    edges = keyed.groupBy(*keys, "bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.max_by("log_hash", "id").alias("tail")
-    )
-    # At most one row per bucket and chain here.
-    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("bucket")
-    carry = edges.select(
-        *keys,
-        "bucket",
-        F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.lag("tail").over(order).alias("carried"),
-    )
-    return inside.join(carry, [*keys, "bucket"]).select(
-        *logs.columns,
-        F.when(F.col("at") == 0, F.col("carried")).otherwise(F.col("before")).alias("before"),
-        (F.col("offset") + F.col("at")).cast("long").alias("seq"),
-    )
+    keyed = logs.withColumn(BUCKET, range_bucket(logs, "id", buckets).cast("int")).withColumn("__one", F.lit(1))
+    linked = previous(keyed, keys, ["id"], "log_hash", "before")
+    counted = running(linked, keys, ["id"], "__one", "sum", "seq", own=False)
+    return counted.withColumn("seq", F.col("seq").cast("long")).select(*logs.columns, "before", "seq")
 
 
 def audit_check(logs: DataFrame, chain: list[str] | None = None) -> DataFrame:
@@ -112,33 +79,12 @@ def verify_chain(logs: DataFrame, chain: list[str] | None = None) -> DataFrame:
     )
 
 
-def _link(user_id, action, details, ts: dt.datetime, prev: str | None) -> str:
-    text = f"{user_id}|{action}|{details}|{ts.isoformat()}|{prev or ''}"
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
-
-
-class ChainState:
-    """Running hash of one chain."""
-
-    def __init__(self, last_hash: str | None = None):
-        self.last_hash = last_hash
-
-    def link(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Hash records in the given order."""
-        prevs, hashes = [], []
-        for row in pdf.itertuples(index=False):
-            details = None if pd.isna(row.details) else row.details
-            prevs.append(self.last_hash)
-            self.last_hash = _link(row.user_id, row.action, details, row.timestamp.to_pydatetime(), self.last_hash)
-            hashes.append(self.last_hash)
-        return pdf.assign(prev_hash=prevs, log_hash=hashes)[CHAIN_COLUMNS]
-
-
 def append_events(events: DataFrame, tails: DataFrame | None = None, chain: str = "user_id") -> DataFrame:
     """Hash-chained audit records for new events, one chain per value of ``chain``.
 
     A hash needs its predecessor's hash, so a chain is sequential by nature: make chains many (per user, per
-    user and day). One chain is streamed through one task and only its running hash is kept in memory.
+    user and day). The record texts are built in parallel; one chain is then streamed through one task that
+    keeps only the running hash.
 
     events: id, user_id, action, details, timestamp and the chain column. tails: chain column, last_hash.
     """
@@ -146,14 +92,21 @@ def append_events(events: DataFrame, tails: DataFrame | None = None, chain: str
         source = events.withColumn("last_hash", F.lit(None).cast("string"))
     else:
         source = events.join(tails.select(chain, "last_hash"), chain, "left")
+    fields = ["id", "user_id", "action", "details", "timestamp"]
     slim = source.select(
-        F.col(chain).alias("chain_key"), "id", "user_id", "action", "details", "timestamp", "last_hash"
+        F.col(chain).alias("chain_key"),
+        *fields,
+        "last_hash",
+        audit_head(*[F.col(c) for c in fields[1:]]).alias("head"),
+    )
+    linked = run_in_order(
+        slim,
+        ["chain_key"],
+        ["id"],
+        lambda first: ChainLink(first.last_hash),
+        "prev_hash string, log_hash string",
+        ["chain_key", *fields],
     )
-
-    def begin(first: pd.Series) -> ChainState:
-        return ChainState(None if pd.isna(first.last_hash) else first.last_hash)
-
-    linked = run_in_order(slim, ["chain_key"], ["id"], begin, ChainState.link, CHAIN_SCHEMA)
     return linked.drop("chain_key") if chain in CHAIN_COLUMNS else linked.withColumnRenamed("chain_key", chain)
 
 

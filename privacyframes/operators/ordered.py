@@ -1,71 +1,133 @@
-"""Order-dependent state machines over keyed events, without holding a key's events in memory."""
+"""Ordered computations over keyed rows that stay parallel when one key holds most of the data.
+
+Rows are split by (key, bucket), where buckets follow the order. Windows run inside a bucket; one small row per
+bucket carries the rest over. All steps share the (key, bucket) partitioning, so rows are shuffled once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKET = "__bucket"
+
+
+def time_bucket(ts: Column, seconds: int = 3600) -> Column:
+    return F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("long")
 
-def run_in_order(df: DataFrame, keys: list[str], order: list[str], begin: Callable, step: Callable, schema: str) -> DataFrame:
-    """Feed each key's rows in order to its own state object; output has the keys plus ``schema``.
 
-    ``begin(first_row)`` makes the state, ``step(state, rows)`` turns a run of rows into output rows. Rows are
-    hash-partitioned and sorted by Spark (spilling as needed) and streamed in Arrow batches, so memory holds
-    one batch and one state no matter how many rows a key has. Each key's rows must be one unbroken machine:
-    split hot keys beforehand where the semantics allow (see :func:`quiet_segments`).
+def range_bucket(df: DataFrame, order: str, buckets: int | None = None) -> Column:
+    """Range bucket of each row by a numeric column: about equal sizes, and a plain expression of the row.
+
+    The bounds come from a quantile sketch (one small row), so they do not change under task retries.
     """
-    columns = [f.strip().split()[0] for f in schema.split(",")]
-    kinds = dict(df.dtypes)
-    extra = [k for k in keys if k not in columns]
-    out_schema = ", ".join([f"{k} {kinds[k]}" for k in extra] + [schema])
+    n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    if n == 1:
+        return F.lit(0)
+    shares = ", ".join(str(i / n) for i in range(1, n))
+    found = df.selectExpr(f"percentile_approx({order}, array({shares})) as b").first()["b"]
+    cuts = sorted(set(found or []))
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(order)))
 
-    def run(batches):
-        current, state = None, None
-        for pdf in batches:
-            done = []
-            for value, part in pdf.groupby(keys, sort=False, dropna=False):
-                value = tuple(None if pd.isna(v) else v for v in value)
-                if state is None or value != current:
-                    current, state = value, begin(part.iloc[0])
-                out = step(state, part)
-                for k in extra:
-                    out[k] = part[k].to_numpy()
-                done.append(out)
-            if done:
-                yield pd.concat(done)[[*extra, *columns]]
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, out_schema)
-
-
-def quiet_segments(
-    df: DataFrame, key: str, ts: str, order: str, gap_seconds: int, bucket_seconds: int = 3600, out: str = "segment"
-) -> DataFrame:
-    """Number each key's stretches that are separated by more than ``gap_seconds`` of silence.
 
-    Gaps are found per (key, time bucket) and stitched over one small row per bucket, so a key holding a
-    third of all events is still handled by many tasks; afterwards (key, segment) is a finer grouping key.
+def _carry(df: DataFrame, keys: list[str], edges: DataFrame, combine) -> DataFrame:
+    """Attach ``__carry`` (a value combined over the earlier buckets of the key) to every row."""
+    # One row per bucket and key here; without keys that is at most the number of buckets.
+    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(BUCKET)
+    carried = edges.select(*keys, BUCKET, combine(order).alias("__carry"))
+    return df.join(carried, [*keys, BUCKET], "left")
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: ``value`` of the row before, null for a key's first row."""
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    # A boxed value tells "no row before" from "row before holds null".
+    local = df.withColumn("__prev", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    edges = df.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("tail"))
+    joined = _carry(local, keys, edges, lambda o: F.lag("tail").over(o))
+    return joined.withColumn(out, F.coalesce("__prev", "__carry")["v"]).drop("__prev", "__carry")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, how: str, out: str, own: bool) -> DataFrame:
+    """Add ``out``: running ``how`` ('sum' or 'max') of ``value``, with or without the row's ``own`` value."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    frame = (Window.unboundedPreceding, 0 if own else -1)
+    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(*frame)
+    local = df.withColumn("__local", agg(value).over(w))
+    edges = df.groupBy(*keys, BUCKET).agg(agg(value).alias("total"))
+    joined = _carry(
+        local, keys, edges, lambda o: agg("total").over(o.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    if how == "max":
+        both = F.greatest("__local", "__carry")
+    else:
+        both = F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))
+    return joined.withColumn(out, both).drop("__local", "__carry")
+
+
+def quiet_segments(df: DataFrame, key: str, order: list[str], t: str, gap: int, out: str = "segment") -> DataFrame:
+    """Number each key's stretches separated by more than ``gap`` units of ``t`` without rows.
+
+    ``df`` needs a bucket column. (key, segment) is then a finer grouping key for machines that forget
+    everything during such a silence.
     """
-    at = F.unix_micros(ts)
-    keyed = df.withColumn("__b", F.floor(at / (bucket_seconds * 1_000_000)).cast("long")).withColumn("__t", at)
-    w = Window.partitionBy(key, "__b").orderBy("__t", order)
-    gap = F.lit(gap_seconds * 1_000_000)
-    starts = ((F.col("__t") - F.lag("__t").over(w)) > gap).cast("int")
-    inside = keyed.withColumn("__s", F.coalesce(starts, F.lit(0)))
-    local = inside.withColumn("__n", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = inside.groupBy(key, "__b").agg(
-        F.min("__t").alias("lo"), F.max("__t").alias("hi"), F.sum("__s").alias("inner")
+    marked = previous(df, [key], order, t, "__before").withColumn(
+        "__new", F.coalesce((F.col(t) - F.col("__before") > gap).cast("int"), F.lit(0))
     )
-    by_bucket = Window.partitionBy(key).orderBy("__b")
-    opened = edges.withColumn("new", F.coalesce(((F.col("lo") - F.lag("hi").over(by_bucket)) > gap).cast("int"), F.lit(0)))
-    before = F.coalesce(F.sum("inner").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carry = opened.select(
-        key, "__b", (before + F.sum("new").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0))).alias("__o")
+    return running(marked, [key], order, "__new", "sum", out, own=True).drop("__before", "__new")
+
+
+def reset_segments(
+    df: DataFrame, key: str, order: list[str], t: str, success: str, lock: int, out: str = "segment"
+) -> DataFrame:
+    """Number each key's stretches so that a login guard starts clean in each of them.
+
+    A success at least ``lock`` after the last failure cannot be blocked, so it clears all state; the row
+    after it starts a new stretch.
+    """
+    failed = df.withColumn("__fail", F.when(~F.col(success), F.col(t)))
+    known = running(failed, [key], order, "__fail", "max", "__last_fail", own=False)
+    clears = F.col(success) & F.coalesce(F.col(t) - F.col("__last_fail") >= lock, F.lit(True))
+    marked = previous(known.withColumn("__clears", clears), [key], order, "__clears", "__new").withColumn(
+        "__new", F.coalesce(F.col("__new").cast("int"), F.lit(0))
     )
-    return (
-        local.join(carry, [key, "__b"])
-        .withColumn(out, (F.col("__o") + F.col("__n")).cast("long"))
-        .select(*df.columns, out)
+    return running(marked, [key], order, "__new", "sum", out, own=True).drop(
+        "__fail", "__last_fail", "__clears", "__new"
     )
+
+
+def run_in_order(
+    df: DataFrame, keys: list[str], order: list[str], begin: Callable, outputs: str, keep: list[str]
+) -> DataFrame:
+    """Feed each key's rows in order to its own state object; gives ``keep`` columns plus ``outputs``.
+
+    ``begin(first_row)`` makes the state; ``state.step(row)`` returns one row's output values. Spark partitions
+    and sorts (spilling as needed) and streams Arrow batches, so memory holds one batch and one state no
+    matter how many rows a key has.
+    """
+    kinds = dict(df.dtypes)
+    names = [f.strip().split()[0] for f in outputs.split(",")]
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], outputs])
+    places = [df.columns.index(k) for k in keys]
+
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            results = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(row[i] for i in places)
+                if key != current:
+                    current, state = key, begin(row)
+                results.append(state.step(row))
+            if results:
+                out = pdf[keep].copy()
+                for name, column in zip(names, zip(*results)):
+                    out[name] = pd.Series(column, index=out.index, dtype=object)
+                yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

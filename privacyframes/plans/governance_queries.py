@@ -437,7 +437,7 @@ def envelope(spark, sf):
     return opened.select("page_id", "status", F.col("content").cast("string").alias("text"), "file_sha256")
 
 
-@query("g10_wire_format", "select page_id, octet_length(html::blob) + 16 as cipher_bytes, 16 as data_nonce_chars, 16 as wrap_nonce_chars, page_id % 3 != 0 as is_envelope from pages")
+@query("g10_wire_format", "select page_id, octet_length(encode(html)) + 16 as cipher_bytes, 16 as data_nonce_chars, 16 as wrap_nonce_chars, page_id % 3 != 0 as is_envelope from pages")
 def wire(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
     base = _scratch(spark)
@@ -513,7 +513,8 @@ def rate_limit(spark, sf):
 
 
 def _stream(spark, sf, name):
-    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet")
+    source = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return source.parquet(sf)
 
 
 @query("t1_rate_limit_stream", _RATE)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators.ordered import quiet_segments, run_in_order
-from .machines import LoginGuard, RateWindow
+from ..operators.ordered import BUCKET, quiet_segments, reset_segments, run_in_order, time_bucket
+from .machines import SECOND, LoginGuard, RateWindow
 
-RATE_SCHEMA = "event_id bigint, ts timestamp, accepted boolean"
-LOGIN_SCHEMA = "event_id bigint, ts timestamp, action string"
+
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def rate_limit(
@@ -20,15 +22,19 @@ def rate_limit(
 ) -> DataFrame:
     """``(client, event_id, ts, accepted)``. A silence longer than the window empties the state, so each
     client is split there and a busy client runs in many tasks."""
-    parts = quiet_segments(requests.select(client, "event_id", "ts"), client, "ts", "event_id", window_seconds)
+    timed = requests.select(client, "event_id", "ts", micros("ts").alias("t")).withColumn(
+        BUCKET, time_bucket(F.col("ts").cast("timestamp"))
+    )
+    order = ["t", "event_id"]
+    parts = quiet_segments(timed, client, order, "t", window_seconds * SECOND).drop(BUCKET)
     return run_in_order(
         parts,
         [client, "segment"],
-        ["ts", "event_id"],
+        order,
         lambda first: RateWindow((), limit, window_seconds),
-        RateWindow.run,
-        RATE_SCHEMA,
-    ).drop("segment")
+        "accepted boolean",
+        [client, "event_id", "ts"],
+    )
 
 
 def login_actions(
@@ -37,12 +43,18 @@ def login_actions(
     max_attempts: int = fixed.MAX_LOGIN_ATTEMPTS,
     lock_minutes: int = fixed.LOGIN_LOCK_MINUTES,
 ) -> DataFrame:
-    """``(user, event_id, ts, action)`` for login attempts with a boolean ``success``."""
+    """``(user, event_id, ts, action)`` for login attempts with a boolean ``success``. Users are split after
+    every success that certainly cleared their state."""
+    timed = attempts.select(user, "event_id", "ts", "success", micros("ts").alias("t")).withColumn(
+        BUCKET, time_bucket(F.col("ts").cast("timestamp"))
+    )
+    order = ["t", "event_id"]
+    parts = reset_segments(timed, user, order, "t", "success", lock_minutes * 60 * SECOND).drop(BUCKET)
     return run_in_order(
-        attempts.select(user, "event_id", "ts", "success"),
-        [user],
-        ["ts", "event_id"],
+        parts,
+        [user, "segment"],
+        order,
         lambda first: LoginGuard(0, None, max_attempts, lock_minutes),
-        LoginGuard.run,
-        LOGIN_SCHEMA,
+        "action string",
+        [user, "event_id", "ts"],
     )

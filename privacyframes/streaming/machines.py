@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 
-import pandas as pd
-
 from ..functions import fixed
 
 SECOND = 1_000_000
@@ -17,16 +16,13 @@ class RateWindow:
     def __init__(self, hits=(), limit: int = fixed.RATE_MAX_HITS, window: int = fixed.RATE_WINDOW_SECONDS):
         self.hits, self.limit, self.window = deque(hits), limit, window * SECOND
 
-    def accept(self, t: int) -> bool:
-        while self.hits and self.hits[0] < t - self.window:
+    def step(self, row) -> tuple:
+        while self.hits and self.hits[0] < row.t - self.window:
             self.hits.popleft()
-        if len(self.hits) >= self.limit:
-            return False
-        self.hits.append(t)
-        return True
-
-    def run(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(accepted=[self.accept(t) for t in micros(pdf["ts"])])[["event_id", "ts", "accepted"]]
+        accepted = len(self.hits) < self.limit
+        if accepted:
+            self.hits.append(row.t)
+        return (accepted,)
 
 
 class LoginGuard:
@@ -36,6 +32,9 @@ class LoginGuard:
                  minutes: int = fixed.LOGIN_LOCK_MINUTES):
         self.fails, self.until, self.attempts, self.lock = fails, until, attempts, minutes * 60 * SECOND
 
+    def step(self, row) -> tuple:
+        return (self.action(row.t, bool(row.success)),)
+
     def action(self, t: int, success: bool) -> str:
         if self.until is not None and self.until > t:
             return "LOGIN_BLOCKED"
@@ -48,10 +47,14 @@ class LoginGuard:
         self.fails, self.until = 0, t + self.lock
         return "LOGIN_LOCKOUT"
 
-    def run(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        acts = [self.action(t, bool(s)) for t, s in zip(micros(pdf["ts"]), pdf["success"])]
-        return pdf.assign(action=acts)[["event_id", "ts", "action"]]
 
+class ChainLink:
+    """Running hash of one chain; a row's ``head`` is its record text up to the previous hash."""
+
+    def __init__(self, last_hash: str | None = None):
+        self.last_hash = last_hash
 
-def micros(ts: pd.Series) -> list[int]:
-    return ts.astype("datetime64[us]").astype("int64").tolist()
+    def step(self, row) -> tuple:
+        before = self.last_hash
+        self.last_hash = hashlib.sha256((row.head + (before or "")).encode("utf-8")).hexdigest()
+        return before, self.last_hash

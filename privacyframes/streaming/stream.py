@@ -13,11 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import fixed
 from ..functions.detect import entity_counts, findings
-from ..operators.governance import CHAIN_SCHEMA, ChainState
+from ..operators.governance import audit_head
 from ..operators.sanitization import sanitize_documents
 from ..session import checkpoint_dir
-from .batch import LOGIN_SCHEMA, RATE_SCHEMA
-from .machines import LoginGuard, RateWindow
+from .batch import micros
+from .machines import ChainLink, LoginGuard, RateWindow
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -47,109 +47,95 @@ def monthly_from_daily(daily: DataFrame) -> DataFrame:
 
 
 class _Machine(StatefulProcessor):
-    """Keyed processor around a state machine; state is one value per key."""
+    """Keyed processor around a state machine; the state of a key is one row."""
 
-    state_schema: T.StructType
-    key_name: str
+    def __init__(self, key: str, order: list[str], keep: list[str], outputs: list[str], state: str, load, save):
+        self.key, self.order, self.keep, self.outputs = key, order, keep, outputs
+        self.schema, self.load, self.save = T.StructType.fromDDL(state), load, save
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.state_schema)
-
-    def load(self):
-        raise NotImplementedError
-
-    def save(self, machine) -> None:
-        raise NotImplementedError
+        self.state = handle.getValueState("state", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Rows of one key in one micro-batch; the source's maxFilesPerTrigger bounds them.
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        machine = self.load()
-        out = self.step(machine, pdf)
-        out.insert(0, self.key_name, [key[0]] * len(out))
-        self.save(machine)
+        machine = self.load(self.state.get() if self.state.exists() else None)
+        results = [machine.step(row) for row in pdf.itertuples(index=False)]
+        out = pdf[self.keep].copy()
+        out.insert(0, self.key, [key[0]] * len(out))
+        for name, column in zip(self.outputs, zip(*results)):
+            out[name] = pd.Series(column, index=out.index, dtype=object)
+        self.state.update(self.save(machine))
         yield out
 
     def close(self) -> None:
         pass
 
 
-class _Rate(_Machine):
-    key_name, order = "client", ["ts", "event_id"]
-    state_schema = T.StructType([T.StructField("hits", T.ArrayType(T.LongType()))])
-
-    def __init__(self, limit: int, window: int):
-        self.limit, self.window = limit, window
-
-    def load(self):
-        hits = self.state.get()[0] if self.state.exists() else ()
-        return RateWindow([int(h) for h in hits], self.limit, self.window)
-
-    def save(self, m):
-        self.state.update(([int(h) for h in m.hits],))
-
-    def step(self, m, pdf):
-        return m.run(pdf)
-
-
-class _Login(_Machine):
-    key_name, order = "user_id", ["ts", "event_id"]
-    state_schema = T.StructType([T.StructField("fails", T.LongType()), T.StructField("until", T.LongType())])
-
-    def __init__(self, attempts: int, minutes: int):
-        self.attempts, self.minutes = attempts, minutes
-
-    def load(self):
-        fails, until = self.state.get() if self.state.exists() else (0, None)
-        return LoginGuard(int(fails), None if until is None or until < 0 else int(until), self.attempts, self.minutes)
-
-    def save(self, m):
-        self.state.update((m.fails, -1 if m.until is None else m.until))
-
-    def step(self, m, pdf):
-        return m.run(pdf)
-
-
-class _Chain(_Machine):
-    key_name, order = "chain_key", ["id"]
-    state_schema = T.StructType([T.StructField("last_hash", T.StringType())])
-
-    def load(self):
-        return ChainState(self.state.get()[0] if self.state.exists() else None)
-
-    def save(self, m):
-        self.state.update((m.last_hash,))
-
-    def step(self, m, pdf):
-        return m.link(pdf)
-
-
-def _keyed(stream: DataFrame, key: str, kind: str, processor: _Machine, schema: str) -> DataFrame:
+def _keyed(stream: DataFrame, key: str, order, keep, outputs: str, state: str, load, save) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = T.StructType.fromDDL(f"{key} {kind}, {schema}")
-    return stream.groupBy(key).transformWithStateInPandas(processor, out, "append", "none")
+    kinds = dict(stream.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in [key, *keep]] + [outputs])
+    names = [f.strip().split()[0] for f in outputs.split(",")]
+    processor = _Machine(key, order, keep, names, state, load, save)
+    return stream.groupBy(key).transformWithStateInPandas(processor, T.StructType.fromDDL(schema), "append", "none")
 
 
 def rate_limit_stream(
     requests: DataFrame, limit: int = fixed.RATE_MAX_HITS, window_seconds: int = fixed.RATE_WINDOW_SECONDS
 ) -> DataFrame:
     """requests: client, event_id, ts. State per client: at most ``limit`` times."""
-    kind = dict(requests.dtypes)["client"]
-    return _keyed(requests.select("client", "event_id", "ts"), "client", kind, _Rate(limit, window_seconds), RATE_SCHEMA)
+    timed = requests.select("client", "event_id", F.col("ts").cast("timestamp").alias("ts"), micros("ts").alias("t"))
+    return _keyed(
+        timed,
+        "client",
+        ["t", "event_id"],
+        ["event_id", "ts"],
+        "accepted boolean",
+        "hits array<bigint>",
+        lambda s: RateWindow([int(h) for h in s[0]] if s else (), limit, window_seconds),
+        lambda m: ([int(h) for h in m.hits],),
+    )
 
 
 def login_stream(
     attempts: DataFrame, max_attempts: int = fixed.MAX_LOGIN_ATTEMPTS, lock_minutes: int = fixed.LOGIN_LOCK_MINUTES
 ) -> DataFrame:
-    """attempts: user_id, event_id, ts, success."""
-    picked = attempts.select("user_id", "event_id", "ts", "success")
-    return _keyed(picked, "user_id", dict(picked.dtypes)["user_id"], _Login(max_attempts, lock_minutes), LOGIN_SCHEMA)
+    """attempts: user_id, event_id, ts, success. State per user: failures so far and the lock's end."""
+    timed = attempts.select(
+        "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "success", micros("ts").alias("t")
+    )
+
+    def load(s):
+        fails, until = (int(s[0]), int(s[1])) if s else (0, -1)
+        return LoginGuard(fails, None if until < 0 else until, max_attempts, lock_minutes)
+
+    return _keyed(
+        timed,
+        "user_id",
+        ["t", "event_id"],
+        ["event_id", "ts"],
+        "action string",
+        "fails bigint, until bigint",
+        load,
+        lambda m: (m.fails, -1 if m.until is None else int(m.until)),
+    )
 
 
 def audit_stream(events: DataFrame, chain: str = "user_id") -> DataFrame:
     """events: id, user_id, action, details, timestamp; one hash chain per value of ``chain``."""
-    picked = events.select(F.col(chain).alias("chain_key"), "id", "user_id", "action", "details", "timestamp")
-    return _keyed(picked, "chain_key", dict(picked.dtypes)["chain_key"], _Chain(), CHAIN_SCHEMA)
+    fields = ["id", "user_id", "action", "details", "timestamp"]
+    head = audit_head(*[F.col(c) for c in fields[1:]]).alias("head")
+    return _keyed(
+        events.select(F.col(chain).alias("chain_key"), *fields, head),
+        "chain_key",
+        ["id"],
+        fields,
+        "prev_hash string, log_hash string",
+        "last_hash string",
+        lambda s: ChainLink(s[0] if s else None),
+        lambda m: (m.last_hash,),
+    )
 
 
 def run_available(stream: DataFrame, spark: SparkSession, output_mode: str = "append") -> DataFrame:
