@@ -341,6 +341,59 @@ def sanitize_json(document, mode: str = "mask", **options) -> Column:
     return F.when(document.isNotNull(), bind(body, doc=document))
 
 
+_CSV_CELL = (
+    r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+|\z)|[^,"\r\n][^,\r\n]*+)?+(?:,|\r\n|\n|\r|\z)'
+)
+
+
+def sanitize_csv(document, mode: str = "mask", **options) -> Column:
+    """``struct<sanitized, findings>`` of CSV text: every cell, the header included, is its own chunk.
+
+    Written back with minimal quoting and ``\n`` line ends; empty lines stay.
+    """
+    check_mode(mode)
+
+    def body(r: X) -> X:
+        def one(token: X, before: X) -> X:
+            end = fn.regexp_extract(token, r"(,|\r\n|\n|\r)\z", 1)
+            raw = fn.left(token, fn.length(token) - fn.length(end))
+            quoted = fn.startswith(raw, '"')
+            # Behind the closing quote further characters may follow; they belong to the cell.
+            inner = fn.regexp_extract(raw, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?+(.*)\z', 1)
+            rest = fn.regexp_extract(raw, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?+(.*)\z', 2)
+            value = when(quoted, fn.concat(fn.replace(inner, '""', '"'), rest)).otherwise(raw)
+            line_end = when(end == ",", ",").otherwise(lit("\n"))
+            starts_row = before.is_null() | ~fn.endswith(before, ",")
+            alone = starts_row & (end != ",")
+
+            def write(c: X) -> X:
+                needs = c.sanitized.rlike(r'[,"\r\n]') | ((c.sanitized == "") & alone & quoted)
+                cell = when(needs, fn.concat('"', fn.replace(c.sanitized, '"', '""'), '"')).otherwise(c.sanitized)
+                return struct(text=fn.concat(cell, line_end), findings=c.findings)
+
+            return let(let(value, lambda t: _sanitized(t, mode, {}, options)), write)
+
+        def rows(tokens: X) -> X:
+            # At the end of the text an empty cell is real only behind a comma.
+            n = fn.size(tokens)
+            last, second = fn.get(tokens, n - 1), fn.get(tokens, n - 2)
+            spare = (last == "") & (second.is_null() | ~fn.endswith(second, ","))
+            kept = when(spare, fn.slice(tokens, 1, n - 1)).otherwise(tokens)
+            parts = let(kept, lambda ts: fn.transform(ts, lambda t, i: one(t, fn.get(ts, i - 1))))
+            return let(
+                parts,
+                lambda ps: struct(
+                    sanitized=fn.array_join(fn.transform(ps, lambda p: p["text"]), ""),
+                    findings=fn.flatten(fn.transform(ps, lambda p: p.findings)),
+                ),
+            )
+
+        return let(fn.regexp_extract_all(r.doc, _CSV_CELL, 0), rows)
+
+    document = _col(document)
+    return F.when(document.isNotNull(), bind(body, doc=document))
+
+
 def restore(sanitized, tokens) -> Column:
     """Undo tokenization of one chunk with its token list.
 

@@ -27,9 +27,10 @@ def sanitize_documents(
 
 def token_map(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
     """``(keys, token, entity_type, original_value)``: the vault that makes tokens reversible."""
-    wide = df.select(*keys, sanitize_struct(text, "tokenize", **options).getField("tokens").alias("tokens"))
-    rows = wide.select(*keys, F.inline_outer(F.array_distinct("tokens"))).filter(F.col("token").isNotNull())
-    return rows
+    wide = df.select(*keys, F.sort_array(sanitize_struct(text, "tokenize", **options)["tokens"]).alias("tokens"))
+    # Sorted by token, so repeats are neighbours; this stays near-linear for long documents.
+    once = F.filter("tokens", lambda t, i: (i == 0) | (F.get("tokens", i - 1)["token"] != t["token"]))
+    return wide.select(*keys, F.inline_outer(once)).filter(F.col("token").isNotNull())
 
 
 def string_columns(df: DataFrame) -> list[str]:

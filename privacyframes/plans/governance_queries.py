@@ -212,8 +212,14 @@ def digest(spark, sf):
     )
 
 
-def _tampered(spark, sf):
-    logs = G.append_events(events_as_actions(spark, sf))
+LOG_SCHEMA = "id bigint, user_id bigint, action string, details string, timestamp timestamp, prev_hash string, log_hash string"
+
+
+def stored_logs(spark, sf):
+    """Audit log as a stored table, one chain per user, with some records changed afterwards."""
+    base = _scratch(spark)
+    G.append_events(events_as_actions(spark, sf)).write.parquet(base)
+    logs = spark.read.schema(LOG_SCHEMA).parquet(base)
     return logs.withColumn("details", F.when(F.col("id") % 997 == 5, "changed").otherwise(F.col("details")))
 
 
@@ -226,17 +232,29 @@ def _tampered(spark, sf):
  from t group by user_id""",
 )
 def verify_chains(spark, sf):
-    return G.verify_chain(_tampered(spark, sf), ["user_id"])
+    return G.verify_chain(stored_logs(spark, sf), ["user_id"])
 
 
 @query(
     "g2_verify_global_chain",
-    """select true as ok, count(*) as verified_count, null::bigint as broken_at_index, null::bigint as broken_log_id from events""",
+    _CHAINED
+    + """, t as (select *, lag(log_hash) over (order by id) as before, row_number() over (order by id) - 1 as seq from chain)
+ select false as ok, null::bigint as verified_count, min(seq) as broken_at_index, min(id) as broken_log_id from t where prev_hash is distinct from before or id % 997 = 5""",
 )
 def verify_global(spark, sf):
-    """One chain over all events, written by a single chain key and verified by many tasks."""
-    logs = G.append_events(events_as_actions(spark, sf).withColumn("ledger", F.lit("all")), chain="ledger")
-    return G.verify_chain(logs.drop("ledger")).drop("last_hash")
+    """Per-user chains read as one global chain: the first record of the second user breaks it."""
+    return G.verify_chain(stored_logs(spark, sf)).drop("last_hash")
+
+
+@query(
+    "g2_links_intact",
+    _CHAINED
+    + """, t as (select *, lag(log_hash) over (partition by user_id order by id) as before from chain)
+ select action, count(*) as n, count(*) filter (prev_hash is not distinct from before and not (id % 997 = 5 and coalesce(details, 'None') != 'changed')) as n_ok from t group by action""",
+)
+def links(spark, sf):
+    checked = G.audit_check(stored_logs(spark, sf), ["user_id"])
+    return checked.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"))
 
 
 @query("g3_append_per_user", _CHAINED + ' select id, user_id, action, details, "timestamp", prev_hash, log_hash from chain')

@@ -242,14 +242,18 @@ def json_sink(spark, sf):
     return readers.read_json_records(spark, base, "doc_id bigint, name string, note string, segment string")
 
 
-# Spreadsheet: one workbook per nation, sheet per segment, a row per customer: key, name, note.
+# Documents of 40 customers each. Spreadsheet: sheet per segment, a row per customer: key, note, blank.
+def _document(key):
+    return F.floor(key / 40)
+
+
 _SHEET_CELLS = f"select 'note' as src, doc_id, text from ({DUCK_CORPUS})"
 
 
 @query(
     "s4_spreadsheet_preview",
     _spliced(_SHEET_CELLS, _MASK)
-    + """, rows as (select c_nationkey as doc_id, c_mktsegment as sheet, c_custkey as r, cast(c_custkey as varchar) || ' | ' || sanitized_text || ' | ' as line
+    + """, rows as (select c_custkey // 40 as doc_id, c_mktsegment as sheet, c_custkey as r, cast(c_custkey as varchar) || ' | ' || sanitized_text || ' | ' as line
    from clean join customer on c_custkey = doc_id),
  lines as (select doc_id, sheet, r, line from rows union all select distinct doc_id, sheet, -1, '[Sheet: ' || sheet || ']' from rows)
  select cast(doc_id as bigint) as doc_id, string_agg(line, chr(10) order by sheet, r) as sanitized_text from lines group by doc_id""",
@@ -265,7 +269,7 @@ def spreadsheet(spark, sf):
         )
     )
     cells = base.select(
-        F.col("c_nationkey").cast("long").alias("doc_id"),
+        _document(F.col("id")).alias("doc_id"),
         F.col("c_mktsegment").alias("sheet_no"),
         F.col("c_mktsegment").alias("sheet"),
         F.col("id").alias("row"),
@@ -277,9 +281,9 @@ def spreadsheet(spark, sf):
 @query(
     "s5_paragraphs",
     _spliced(f"select 'p' as src, doc_id, text from ({DUCK_CORPUS}) union all select 'c', c_custkey, c_name || ' Asha Mehta' from customer", _MASK)
-    + """select cast(c_nationkey as bigint) as doc_id,
+    + """select c_custkey // 40 as doc_id,
    string_agg(a.sanitized_text, chr(10) order by c_custkey) || chr(10) || string_agg(b.sanitized_text || ' | ' || c_mktsegment, chr(10) order by c_custkey) as sanitized_text
- from customer join clean a on a.src = 'p' and a.doc_id = c_custkey join clean b on b.src = 'c' and b.doc_id = c_custkey group by c_nationkey""",
+ from customer join clean a on a.src = 'p' and a.doc_id = c_custkey join clean b on b.src = 'c' and b.doc_id = c_custkey group by c_custkey // 40""",
 )
 def paragraphs(spark, sf):
     customers = table(spark, sf, "customer").withColumnRenamed("c_custkey", "id")
@@ -292,7 +296,7 @@ def paragraphs(spark, sf):
             F.struct(F.lit("cell").alias("chunk_kind"), F.lit(1).alias("col"), F.col("c_mktsegment").alias("text")),
         )
     )
-    pieces = base.select(F.col("c_nationkey").cast("long").alias("doc_id"), F.col("id").alias("chunk_ord"), piece)
+    pieces = base.select(_document(F.col("id")).alias("doc_id"), F.col("id").alias("chunk_ord"), piece)
     return C.sanitize_paragraphs(pieces, "mask")
 
 
@@ -305,8 +309,8 @@ _PAGED = f"""select 'text' as src, doc_id, trim(text) as text from ({DUCK_CORPUS
     _spliced(_PAGED, _REDACT)
     + """, page as (select t.doc_id, t.sanitized_text || case when q.pii_count > 0 then chr(10) || '[QR_2] ' || q.sanitized_text else '' end as line, t.pii_count + q.pii_count as n
    from clean t join clean q on t.doc_id = q.doc_id and t.src = 'text' and q.src = 'qr')
- select cast(c_nationkey as bigint) as doc_id, string_agg(line, chr(10) || chr(10) order by c_custkey) as sanitized_text, cast(sum(n) as bigint) as pii_count
- from page join customer on c_custkey = doc_id group by c_nationkey""",
+ select c_custkey // 40 as doc_id, string_agg(line, chr(10) || chr(10) order by c_custkey) as sanitized_text, cast(sum(n) as bigint) as pii_count
+ from page join customer on c_custkey = doc_id group by c_custkey // 40""",
 )
 def pages(spark, sf):
     page_rows, payloads = _paged(spark, sf)
@@ -314,7 +318,7 @@ def pages(spark, sf):
 
 
 def _paged(spark, sf):
-    nation = table(spark, sf, "customer").select(F.col("c_custkey").alias("page"), F.col("c_nationkey").cast("long").alias("doc_id"))
+    nation = table(spark, sf, "customer").select(F.col("c_custkey").alias("page"), _document(F.col("c_custkey")).alias("doc_id"))
     page_rows = inputs.corpus(spark, sf).withColumnRenamed("doc_id", "page").join(nation, "page")
     code = F.when(F.col("page") % 3 == 0, F.concat(F.lit(" pay u"), F.col("page").cast("string"), F.lit("@ybl\n"))).otherwise("nothing here")
     payloads = nation.select("doc_id", "page", F.inline(F.array(
@@ -327,7 +331,7 @@ def _paged(spark, sf):
 @query(
     "s7_payload_blocks",
     _spliced(_PAGED, _REDACT)
-    + """select cast(c_nationkey as bigint) as doc_id, q.doc_id as page, '[QR_2] ' || q.sanitized_text as block, k."start", k.entity_type, 'qr' as source
+    + """select c_custkey // 40 as doc_id, q.doc_id as page, '[QR_2] ' || q.sanitized_text as block, k."start", k.entity_type, 'qr' as source
  from clean q join customer on c_custkey = q.doc_id join kept k on k.src = 'qr' and k.doc_id = q.doc_id where q.src = 'qr'""",
 )
 def payload_blocks(spark, sf):
@@ -354,12 +358,12 @@ def previews(spark, sf):
 
 @query(
     "s25_plain_rows",
-    "select cast(c_nationkey as bigint) as doc_id, string_agg(c_custkey || ',' || c_name || ',' || c_mktsegment || ',', chr(10) order by c_custkey) as text from customer group by c_nationkey",
+    "select c_custkey // 40 as doc_id, string_agg(c_custkey || ',' || c_name || ',' || c_mktsegment || ',', chr(10) order by c_custkey) as text from customer group by c_custkey // 40",
 )
 def plain_rows(spark, sf):
     rows = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("a"), F.col("c_name").alias("b"), F.col("c_mktsegment").alias("c"), F.lit(None).cast("string").alias("d"),
-        F.col("c_nationkey").cast("long").alias("doc_id"),
+        _document(F.col("c_custkey")).alias("doc_id"),
     )
     line = readers.plain_csv_line(rows.drop("doc_id"))
     return C.join_in_order(rows.withColumn("line", line), ["doc_id"], ["a"], "line", "\n", "text")

@@ -37,10 +37,10 @@ def write_text(df: DataFrame, path: str, text: str = "sanitized_text") -> None:
 
 def write_results(results: DataFrame, path: str, month_of: str | None = None) -> None:
     """Stored sanitized results, partitioned by month when a time column is named (search and dashboards
-    then read only the months they need)."""
+    then read only the months they need). Rebalancing first gives few files per month and splits big months."""
     if month_of:
         results = results.withColumn("upload_month", F.date_format(month_of, "yyyy-MM"))
-        results.write.partitionBy("upload_month").parquet(path)
+        results.hint("rebalance", "upload_month").write.partitionBy("upload_month").parquet(path)
     else:
         results.write.parquet(path)
 
