@@ -353,9 +353,13 @@ def sanitize_csv(document, mode: str = "mask", **options) -> Column:
     """
     check_mode(mode)
 
+    def left_open(token: X) -> X:
+        """Quoted, but the text ends before the closing quote: everything is content."""
+        return token.rlike(r'\A"[^"]*+(?:""[^"]*+)*+\z')
+
     def body(r: X) -> X:
         def one(token: X, before: X) -> X:
-            end = fn.regexp_extract(token, r"(,|\r\n|\n|\r)\z", 1)
+            end = when(left_open(token), "").otherwise(fn.regexp_extract(token, r"(,|\r\n|\n|\r)\z", 1))
             raw = fn.left(token, fn.length(token) - fn.length(end))
             quoted = fn.startswith(raw, '"')
             # Behind the closing quote further characters may follow; they belong to the cell.
@@ -377,7 +381,7 @@ def sanitize_csv(document, mode: str = "mask", **options) -> Column:
             # At the end of the text an empty cell is real only behind a comma.
             n = fn.size(tokens)
             last, second = fn.get(tokens, n - 1), fn.get(tokens, n - 2)
-            spare = (last == "") & (second.is_null() | ~fn.endswith(second, ","))
+            spare = (last == "") & (second.is_null() | ~fn.endswith(second, ",") | left_open(second))
             kept = when(spare, fn.slice(tokens, 1, n - 1)).otherwise(tokens)
             parts = let(kept, lambda ts: fn.transform(ts, lambda t, i: one(t, fn.get(ts, i - 1))))
             return let(
