@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .recognizers import DEFAULT, SCORED, Probe, Recognizer
 from .sqltext import X, bind, empty, fn, let, lit, struct, when
-from .text import scan
+from .text import running, scan
 from .validate import valid_finding, valid_value
 
 FINDINGS = "array<struct<start:int,end:int,entity_type:string,score:double,value:string,source:string>>"
@@ -29,6 +29,7 @@ _CANDIDATE = (
 )
 _CANDIDATES = f"array<{_CANDIDATE}>"
 _LATE_ORD = 1 << 30
+_PACK = X("4294967296L")
 # Letters whose simple case folding is ASCII although they are not (Java and Python regexes agree on them).
 _FOLD_FROM, _FOLD_TO = "ſKİı", "skii"
 
@@ -61,7 +62,15 @@ def _matches(r: Recognizer, order: int, text: X, probe: Probe, strict: bool) ->
             zipped = let(
                 fn.split(text, r.jvm, -1),
                 lambda gaps: fn.transform(
-                    values, lambda v, i: struct(value=v, ok=fn.get(flags, i), gap=fn.get(gaps, i))
+                    values,
+                    lambda v, i: struct(
+                        value=v,
+                        ok=fn.get(flags, i),
+                        gap_c=fn.length(fn.get(gaps, i)),
+                        gap_b=fn.octet_length(fn.get(gaps, i)),
+                        len_c=fn.length(v),
+                        len_b=fn.octet_length(v),
+                    ),
                 ),
             )
             hit = struct(
@@ -81,30 +90,35 @@ def _matches(r: Recognizer, order: int, text: X, probe: Probe, strict: bool) ->
 
 
 def _place(hit: X) -> X:
-    """Turn values and gaps of one pattern into candidates with offsets (running sums)."""
-
-    def step(s: X, p: X) -> X:
-        c0, b0 = s.c + fn.length(p.gap), s.b + fn.octet_length(p.gap)
-        at = struct(c0=c0, c1=c0 + fn.length(p.value), b0=b0, b1=b0 + fn.octet_length(p.value))
-
-        def advance(x: X) -> X:
-            new = struct(
-                start=x.c0,
-                end=x.c1,
-                ord=hit.ord,
-                entity_type=hit.entity_type,
-                score=hit.score,
-                value=p.value,
-                source=hit.source,
-                b0=x.b0,
-                b1=x.b1,
-                rank=hit.rank,
+    """Turn values and gaps of one pattern into candidates with offsets (running sums).
+
+    Character and byte lengths are summed together, packed into one number (characters in the upper half).
+    """
+    ends = running(hit.parts, lambda v, p: v + (p.gap_c + p.len_c) * _PACK + (p.gap_b + p.len_b))
+
+    def build(at: X) -> X:
+        def candidate(p: X, i: X) -> X:
+            c1 = fn.shiftright(fn.get(at, i), 32).cast("int")
+            b1 = (fn.get(at, i) % _PACK).cast("int")
+            return when(
+                p.ok,
+                struct(
+                    start=c1 - p.len_c,
+                    end=c1,
+                    ord=hit.ord,
+                    entity_type=hit.entity_type,
+                    score=hit.score,
+                    value=p.value,
+                    source=hit.source,
+                    b0=b1 - p.len_b,
+                    b1=b1,
+                    rank=hit.rank,
+                ),
             )
-            return struct(c=x.c1, b=x.b1, out=when(p.ok, fn.concat(s.out, fn.array(new))).otherwise(s.out))
 
-        return let(at, advance)
+        return fn.filter(fn.transform(hit.parts, candidate), lambda c: c.is_set())
 
-    return scan(hit.parts, {"c": 0, "b": 0, "out": empty(_CANDIDATES)}, step, lambda s: s.out)
+    return let(ends, build)
 
 
 def _from_patterns(text: X, recognizers: Sequence[Recognizer], strict: bool) -> X:
@@ -208,18 +222,26 @@ def _resolve(candidates: X) -> X:
             | (same_rank & (a.score == b.score) & longer)
         )
 
-    def step(s: X, x: X) -> X:
-        clear = s.last.is_null() | (x.start >= s.last.end)
-        return struct(
-            last=when(clear, x).when(better(x, s.last), x).otherwise(s.last),
-            out=when(clear & s.last.is_set(), fn.concat(s.out, fn.array(s.last))).otherwise(s.out),
-        )
+    def pick(items: X) -> X:
+        """Positions of the kept candidates; ``last`` is the one that may still be replaced."""
 
-    def finish(s: X) -> X:
-        return when(s.last.is_null(), s.out).otherwise(fn.concat(s.out, fn.array(s.last)))
+        def step(s: X, i: X) -> X:
+            x, kept = fn.get(items, i), fn.get(items, s.last)
+            clear = (s.last < 0) | (x.start >= kept.end)
+            return struct(
+                last=when(clear | better(x, kept), i).otherwise(s.last),
+                out=when(clear & (s.last >= 0), fn.concat(s.out, fn.array(s.last))).otherwise(s.out),
+            )
+
+        places = scan(
+            fn.transform(items, lambda x, i: i),
+            {"last": -1, "out": empty("array<int>")},
+            step,
+            lambda s: fn.concat(s.out, fn.filter(fn.array(s.last), lambda i: i >= 0)),
+        )
+        return fn.transform(places, lambda i: fn.get(items, i))
 
-    start = {"last": lit(None).cast(_CANDIDATE), "out": empty(_CANDIDATES)}
-    return let(fn.sort_array(candidates), lambda items: scan(items, start, step, finish))
+    return let(fn.sort_array(candidates), pick)
 
 
 def resolved_spans(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixed
 from .detect import FINDINGS, _col, bind_text, public, resolved_spans
 from .sqltext import X, bind, empty, fn, let, lit, struct, when
-from .text import WORD, compact_upper, decimal_digits, head, is_digits, scan, stars, strip, tail, words
+from .text import WORD, compact_upper, decimal_digits, head, is_digits, running, stars, strip, tail, words
 
 TOKENS = "array<struct<token:string,entity_type:string,original_value:string>>"
 
@@ -147,13 +147,6 @@ def _cut(raw: X, b0: X, b1: X) -> X:
     return fn.substring(raw, b0 + 1, b1 - b0).cast("string")
 
 
-def _accumulate(items: X, combine) -> X:
-    def step(s: X, x: X) -> X:
-        return let(combine(s.v, x), lambda v: struct(v=v, out=fn.concat(s.out, fn.array(v))))
-
-    return scan(items, {"v": 0, "out": empty("array<int>")}, step, lambda s: s.out)
-
-
 def token_list(spans: X, raw: X) -> X:
     """Token of every span, in span order.
 
@@ -172,7 +165,7 @@ def token_list(spans: X, raw: X) -> X:
     def mark(items: X) -> X:
         """Position of the first equal key, for items sorted by (key, pos)."""
         starts = fn.transform(items, lambda x, i: when((i == 0) | (fn.get(items, i - 1).key != x.key), x.pos))
-        return let(_accumulate(starts, lambda v, x: fn.coalesce(x, v)), lambda lead: by_lead(items, lead))
+        return let(running(starts, lambda v, x: fn.coalesce(x, v)), lambda lead: by_lead(items, lead))
 
     def by_lead(items: X, lead: X) -> X:
         pairs = fn.transform(items, lambda x, i: struct(lead=fn.get(lead, i), pos=x.pos, entity_type=x.entity_type))
@@ -182,7 +175,7 @@ def token_list(spans: X, raw: X) -> X:
         ticks = fn.transform(
             pairs, lambda p, i: when((i == 0) | (fn.get(pairs, i - 1).lead != p.lead), 1).otherwise(0)
         )
-        return let(_accumulate(ticks, lambda v, x: v + x), lambda n: in_span_order(pairs, n))
+        return let(running(ticks, lambda v, x: v + x), lambda n: in_span_order(pairs, n))
 
     def in_span_order(pairs: X, n: X) -> X:
         return fn.sort_array(

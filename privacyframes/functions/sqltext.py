@@ -176,11 +176,15 @@ def empty(ddl: str) -> X:
 
 
 def let(value, body) -> X:
-    """Evaluate ``value`` once per row and hand it to ``body``: a lambda variable is never inlined."""
-    return X(f"transform(array({sql(value)}), {sql(body)})[0]")
+    """Evaluate ``value`` once per row and hand it to ``body``: a lambda variable is never inlined.
+
+    A fold over nothing passes its start value straight to the finishing lambda. (``transform`` over a
+    one-element array would bind as well, but it copies every result, arrays and all.)
+    """
+    return X(f"aggregate(array(), {sql(value)}, {sql(lambda acc, item: acc)}, {sql(body)})")
 
 
 def bind(body, **columns: Column) -> Column:
     """Column of ``body(row)``, where ``row`` has one field per given column."""
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return F.call_function("transform", F.array(row), F.expr(sql(body))).getItem(0)
+    return F.call_function("aggregate", F.array(), row, F.expr(sql(lambda acc, item: acc)), F.expr(sql(body)))

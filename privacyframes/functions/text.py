@@ -9,14 +9,14 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sqltext import X, fn, let, struct, when
+from .sqltext import X, fn, struct, when
 
 WORD = r"\p{L}\p{N}_"
 # The extra digit is in \p{N} already; a literal above U+FFFF makes Java step back by whole code points.
 WORD_BEHIND = WORD + "\U0001d7d7"
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
-# Elements folded per inner step of a scan: keeps array appends near n * sqrt(n) on very long documents.
-SCAN_BLOCK = 512
+# Spark copies a fold's state at every step, so scans carry plain numbers only and work in short blocks.
+SCAN_BLOCK = 256
 
 
 def scan(items: X, start: dict, step, finish) -> X:
@@ -34,12 +34,24 @@ def scan(items: X, start: dict, step, finish) -> X:
     )
 
     def outer(state: X, block: X) -> X:
-        inner = fn.aggregate(block, struct(**{k: state[k] for k in carried}, out=start["out"]), step)
-        return let(inner, lambda s: struct(**{k: s[k] for k in carried}, out=fn.concat(state.out, s.out)))
+        first = struct(**{k: state[k] for k in carried}, out=start["out"])
+        return fn.aggregate(
+            block, first, step, lambda s: struct(**{k: s[k] for k in carried}, out=fn.concat(state.out, s.out))
+        )
 
     return fn.aggregate(blocks, struct(**start), outer, finish)
 
 
+def running(items: X, combine) -> X:
+    """Running value over an array of numbers: ``combine(value so far, item)``, starting from 0."""
+
+    def step(s: X, x: X) -> X:
+        v = combine(s.v, x)
+        return struct(v=v, out=fn.concat(s.out, fn.array(v)))
+
+    return scan(items, {"v": X("0L"), "out": X("cast(array() as array<bigint>)")}, step, lambda s: s.out)
+
+
 @functools.cache
 def _digit_values() -> tuple[str, str]:
     """All characters Python counts as digits, and their ASCII values (a Unicode rule, not a table)."""
@@ -49,9 +61,19 @@ def _digit_values() -> tuple[str, str]:
 
 @functools.cache
 def _digit_class() -> str:
-    """Regex class of the same characters."""
-    others = "".join(c for c in _digit_values()[0] if unicodedata.category(c) != "Nd")
-    return r"[\p{Nd}" + others + "]"
+    """Regex class of the same characters: decimal digits, plus ranges of the other digit signs."""
+    points = sorted(ord(c) for c in _digit_values()[0] if unicodedata.category(c) != "Nd")
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return r"[\p{Nd}" + "".join(chr(a) + ("-" + chr(b) if b > a else "") for a, b in ranges) + "]"
+
+
+def is_ascii(v: X) -> X:
+    return fn.octet_length(v) == fn.length(v)
 
 
 def strip(v: X) -> X:
@@ -65,22 +87,22 @@ def words(v: X) -> X:
 
 
 def ascii_digits(v: X) -> X:
-    """Digits of any script, written as 0-9; everything else dropped."""
-    kept = fn.regexp_replace(v, (f"[^{_digit_class()[1:]}"), (""))
-    return when(kept.rlike("^[0-9]*$"), kept).otherwise(fn.translate(kept, *_digit_values()))
+    """Digits of any script, written as 0-9; everything else dropped. Plain ASCII takes the short way."""
+    kept = fn.regexp_replace(v, f"[^{_digit_class()[1:]}", "")
+    return when(is_ascii(v), fn.regexp_replace(v, "[^0-9]", "")).otherwise(fn.translate(kept, *_digit_values()))
 
 
 def decimal_digits(v: X) -> X:
     """Decimal digits kept as written (what dropping ``\\D`` leaves)."""
-    return fn.regexp_replace(v, (r"[^\p{Nd}]"), (""))
+    return fn.regexp_replace(v, r"[^\p{Nd}]", "")
 
 
 def is_digits(v: X) -> X:
-    return v.rlike(f"^{_digit_class()}+$")
+    return when(is_ascii(v), v.rlike("^[0-9]+$")).otherwise(v.rlike(f"^{_digit_class()}+$"))
 
 
 def has_digit(v: X) -> X:
-    return v.rlike(_digit_class())
+    return when(is_ascii(v), v.rlike("[0-9]")).otherwise(v.rlike(_digit_class()))
 
 
 def compact_upper(v: X) -> X:
