@@ -9,7 +9,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sqltext import X, fn, struct, when
+from .sqltext import X, fn, let, struct, when
 
 WORD = r"\p{L}\p{N}_"
 # The extra digit is in \p{N} already; a literal above U+FFFF makes Java step back by whole code points.
@@ -26,12 +26,6 @@ def scan(items: X, start: dict, step, finish) -> X:
     document with hundreds of thousands of hits does not copy its whole output for every hit.
     """
     carried = [k for k in start if k != "out"]
-    blocks = when(fn.size(items) <= SCAN_BLOCK, fn.array(items)).otherwise(
-        fn.transform(
-            fn.sequence(0, fn.greatest(fn.ceil(fn.size(items) / SCAN_BLOCK).cast("int") - 1, 0)),
-            lambda b: fn.slice(items, b * SCAN_BLOCK + 1, SCAN_BLOCK),
-        )
-    )
 
     def outer(state: X, block: X) -> X:
         first = struct(**{k: state[k] for k in carried}, out=start["out"])
@@ -39,7 +33,12 @@ def scan(items: X, start: dict, step, finish) -> X:
             block, first, step, lambda s: struct(**{k: s[k] for k in carried}, out=fn.concat(state.out, s.out))
         )
 
-    return fn.aggregate(blocks, struct(**start), outer, finish)
+    def blocks(it: X) -> X:
+        n = fn.ceil(fn.size(it) / SCAN_BLOCK).cast("int")
+        many = fn.transform(fn.sequence(0, n - 1), lambda b: fn.slice(it, b * SCAN_BLOCK + 1, SCAN_BLOCK))
+        return when(fn.size(it) <= SCAN_BLOCK, fn.array(it)).otherwise(many)
+
+    return let(items, lambda it: fn.aggregate(blocks(it), struct(**start), outer, finish))
 
 
 def running(items: X, combine) -> X:
