@@ -13,7 +13,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use every core when a table arrives in fewer partitions than there are cores.
 
     A few large row groups would keep a cluster idle during regex work. Inputs that already have enough
-    partitions (any large table) are left alone, so no shuffle is added there.
+    partitions (any large table) are left alone, so no shuffle is added there. Meant for scans: asking an
+    aggregated table for its partitions would run it.
     """
     if df.isStreaming:
         return df
