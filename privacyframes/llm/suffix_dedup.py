@@ -53,7 +53,7 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, depth: int = LENGTH, sh
         node = np.cumsum(head) - 1
         first = np.flatnonzero(head)
         # Skip: the least depth at which a suffix of the node leaves the node's first suffix.
-        agree, going = skip.copy(), np.ones(len(at), bool)
+        agree, going = skip.copy(), skip < depth
         lead = o[first][node]
         while going.any():
             i = np.flatnonzero(going)
