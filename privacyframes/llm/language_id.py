@@ -78,6 +78,7 @@ def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, text_column: s
     ``und`` with score 0.0 where the text is null or has no letter, or where nothing was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast((labels, logs))
+    names_kept = docs.columns
     body = docs.withColumn("__letters", F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False)))
 
     def score(batches):
@@ -96,8 +97,8 @@ def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, text_column: s
                 sure += (1 / np.exp(total - total[np.arange(b - a), top][:, None]).sum(axis=1)).tolist()
             known = [bool(names) and x for x in letters]
             lang = [names[k] if x else UNKNOWN for k, x in zip(best, known, strict=True)]
-            kept = [batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array([s if x else 0.0 for s, x in zip(sure, known, strict=True)], pa.float64())], [*docs.columns, "lang_pred", "score"])
+            kept = [batch.column(c) for c in names_kept]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array([s if x else 0.0 for s, x in zip(sure, known, strict=True)], pa.float64())], [*names_kept, "lang_pred", "score"])
 
     schema = docs.schema.add("lang_pred", "string").add("score", "double")
     return body.mapInArrow(score, schema)
