@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, substring_dedup, suffix_dedup  # noqa: F401
+from . import bpe, language_id, quality, secrets, substring_dedup, suffix_dedup, topk  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 

@@ -41,3 +41,23 @@ def substring_dedup(rows):
         kept = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
         out[d] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def base_secrets(text):
+    """Counts per kind and kind:start:end of every base span."""
+    text, found = text or "", []
+    for m in re.finditer(ASSIGN, text, re.I | re.A):
+        if len(m[2]) >= 6 and m[1].isascii():
+            found.append((m.start(), 0, m.end()))
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 20:
+            found.append((m.start(), 1, m.end()))
+    for m in re.finditer("[0-9a-f]+", text):
+        if len(m[0]) >= 24:
+            found.append((m.start(), 2, m.end()))
+    names = ("assign", "access", "hex")
+    spans = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))
+    return *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(spans.encode()).hexdigest()
