@@ -15,8 +15,8 @@ from .blocks import pack, unpack
 from .registry import query, table
 from .sampling import bounded
 
-#: Pages learned from at most, trees, their depth, the step of each, and bins of a feature.
-LEARNED, TREES, DEPTH, RATE, BINS = 250, 40, 4, 0.3, 32
+#: Pages learned from at most, rewritten forms of each, trees, their depth, the step of each, and bins of a feature.
+LEARNED, REWRITTEN, TREES, DEPTH, RATE, BINS = 150, 8, 150, 5, 0.3, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object noframes textarea title select button".split())
@@ -284,7 +284,10 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
     n, f = x.shape
     margin = np.full(n, np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
     start = float(margin[0]) if n else 0.0
-    cells = x.astype(np.int64) + np.arange(f) * BINS
+    flags = x.max(axis=0) <= 1 if n else np.zeros(f, bool)
+    binary, binned = np.flatnonzero(flags), np.flatnonzero(~flags)
+    ones = x[:, binary].astype(np.float32)
+    cells = x[:, binned].astype(np.int64) + np.arange(len(binned)) * BINS
     out = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
@@ -292,12 +295,21 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
         leaf, feature, bound = np.zeros(n, np.int64), [], []
         for level in range(depth):
             width = 1 << level
-            at = (leaf[:, None] * (f * BINS) + cells).ravel()
-            sums = [np.bincount(at, np.repeat(v, f), width * f * BINS).reshape(width, f, BINS).cumsum(axis=2) for v in (g, h)]
+            sums = []
+            at = (leaf[:, None] * (len(binned) * BINS) + cells).ravel()
+            member = (leaf[:, None] == np.arange(width)).astype(np.float32)
+            for v in (g, h):
+                low = np.zeros((width, f, BINS))
+                low[:, binned] = np.bincount(at, np.repeat(v, len(binned)), width * len(binned) * BINS).reshape(width, -1, BINS).cumsum(axis=2)
+                total = np.bincount(leaf, v, width)
+                # A flag splits in one place: at most 0, or 1.
+                low[:, binary] = total[:, None, None]
+                low[:, binary, 0] -= (member * v.astype(np.float32)[:, None]).T @ ones
+                sums.append(low)
             gl, hl = sums
             gt, ht = gl[:, :, -1:], hl[:, :, -1:]
             gain = gl * gl / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt * gt / (ht + 1)
-            gain[(hl < 2) | (ht - hl < 2)] = 0
+            gain[(hl < 1) | (ht - hl < 1)] = 0
             best = gain.reshape(width, -1).argmax(axis=1)
             feature.append(best // BINS)
             bound.append(best % BINS)
@@ -336,7 +348,7 @@ def decode(parent: list[int], margin) -> list[bool]:
 
 # Training: pages label themselves by their semantic elements, and are rewritten so that the trees meet other ways to mark the same parts.
 _WRAPS = [("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("section", 'class="post-body"'), ("div", 'class="entry story"'), ("div", 'class="article text"'), ("div", "")]
-_PARTS = [("nav", ""), ("div", 'class="nav"'), ("ul", 'class="menu"'), ("header", ""), ("div", 'id="header"'), ("footer", ""), ("div", 'class="footer copyright"'), ("aside", ""), ("div", 'class="sidebar"'), ("div", 'class="widget"'), ("div", 'class="notice"'), ("div", 'id="cookie-notice"'), ("div", 'class="cookie consent banner"'), ("div", 'class="ad"'), ("div", 'class="ads"'), ("div", 'class="advert sponsor"'), ("section", 'class="promo"'), ("form", ""), ("form", 'class="newsletter subscribe"'), ("div", 'class="login form"'), ("div", 'class="comments"'), ("section", 'id="comments"'), ("div", 'class="comment reply"'), ("div", 'class="related"'), ("div", 'class="share social"'), ("div", 'class="breadcrumb"'), ("div", 'class="popup modal"'), ("p", 'class="ad"'), ("p", 'class="notice"'), ("aside", 'class="related"')]
+_PARTS = [("nav", ""), ("div", 'class="nav"'), ("ul", 'class="menu"'), ("header", ""), ("div", 'id="header"'), ("footer", ""), ("div", 'class="footer copyright"'), ("aside", ""), ("div", 'class="sidebar"'), ("div", 'class="widget"'), ("div", 'class="notice"'), ("div", 'id="cookie-notice"'), ("div", 'class="cookie consent banner"'), ("div", 'class="ad"'), ("div", 'class="ads"'), ("div", 'class="advert sponsor"'), ("section", 'class="promo"'), ("form", ""), ("form", 'class="newsletter subscribe"'), ("div", 'class="login form"'), ("div", 'class="comments"'), ("section", 'id="comments"'), ("div", 'class="comment reply"'), ("div", 'class="related"'), ("div", 'class="share social"'), ("div", 'class="breadcrumb"'), ("div", 'class="popup modal"'), ("div", 'class="newsletter signup"'), ("div", 'class="banner"'), ("p", 'class="ad"'), ("p", 'class="notice"'), ("aside", 'class="related"')]
 
 
 def _labelled(source: str, random) -> tuple[Page, np.ndarray] | None:
@@ -350,6 +362,8 @@ def _labelled(source: str, random) -> tuple[Page, np.ndarray] | None:
     if not core:
         return None
     pool = [t for _, t in core] + rest
+    first = random.integers(len(core))
+    core = core[first : first + random.integers(1, 20)]
 
     def part() -> str:
         tag, attributes = _PARTS[random.integers(len(_PARTS))]
@@ -400,9 +414,9 @@ def _as_it_is(source: str):
 
 
 def learn(sources: list[str]):
-    """Trees from some pages: each as it is and rewritten three times, in a fixed order of random choices. None without an article."""
+    """Trees from some pages: each twice as it is and rewritten some times, in a fixed order of random choices. None without an article."""
     random = np.random.default_rng(7)
-    made = [m for s in sources for m in (_as_it_is(s), *(_labelled(s, random) for _ in range(3))) if m]
+    made = [m for s in sources for m in (_as_it_is(s), _as_it_is(s), *(_labelled(s, random) for _ in range(REWRITTEN))) if m]
     if not made:
         return None
     x, y = np.concatenate([page_features(p)[1:] for p, _ in made]), np.concatenate([y[1:] for _, y in made])
