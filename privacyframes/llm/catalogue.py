@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language_id, quality, secrets, substring_dedup, suffix_dedup, topk  # noqa: F401
+from . import bpe, decontaminate, html_text, language_id, near_dedup, quality, secrets, substring_dedup, suffix_dedup, topk  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 

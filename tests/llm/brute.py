@@ -61,3 +61,35 @@ def base_secrets(text):
     names = ("assign", "access", "hex")
     spans = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(found))
     return *(sum(k == i for _, k, _ in found) for i in range(3)), hashlib.sha256(spans.encode()).hexdigest()
+
+
+def near_dedup(rows, words=2):
+    sets = []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append((d, {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()}))
+    lists = {}
+    for i, (_, s) in enumerate(sets):
+        for x in s:
+            lists.setdefault(x, []).append(i)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (_, s) in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in lists[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j][1]) - n):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: (len(s), least[find(i)], d == least[find(i)]) for i, (d, s) in enumerate(sets)}
