@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .registry import query, table
 
@@ -161,7 +162,7 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*part.schema.names[:-1], "ids", "decoded"])
 
     rows = docs.select(F.col(id_column), *extra, F.col(text_column).alias("__text"))
-    return rows.mapInArrow(encode, rows.drop("__text").schema.add("ids", "binary").add("decoded", "binary"))
+    return rows.mapInArrow(encode, StructType(rows.schema.fields[:-1] + [StructField("ids", BinaryType()), StructField("decoded", BinaryType())]))
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[list[bytes], str]:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .blocks import pack, unpack
 from .registry import query, table
@@ -465,7 +466,7 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str
                 texts = main_text(shared.value, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "main_text"])
 
-    return rows.mapInArrow(extract, rows.schema.add("main_text", "string"))
+    return rows.mapInArrow(extract, StructType(rows.schema.fields + [StructField("main_text", StringType())]))
 
 
 @query("op2_html_text")

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .registry import query, table
 from .sampling import bounded, held_out, slices
@@ -100,7 +101,7 @@ def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, text_column: s
             kept = [batch.column(c) for c in names_kept]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array([s if x else 0.0 for s, x in zip(sure, known, strict=True)], pa.float64())], [*names_kept, "lang_pred", "score"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(docs.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return body.mapInArrow(score, schema)
 
 
