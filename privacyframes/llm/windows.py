@@ -9,12 +9,15 @@ neighbouring windows share a minimizer and travel as one segment. Five steps, al
 4. a bucket finds the windows of each segment that a smaller document has as well - the solver, which is the operator's method;
 5. the answers return to the group, which marks them in its documents.
 
-A passage that a third of all documents share costs a bucket one entry per group of documents, never one per document. Groups and
-buckets have a set number of bytes, so a task's memory does not grow with the table.
+A passage that a third of all documents share costs a bucket one entry per group of documents, never one per document. Where its
+neighbours differ in every document, segments differ too: a minimizer that very many groups name is heavy, and its windows are filed
+one by one under hashes of their own, so that only equal windows meet. Groups and buckets have a set number of bytes, so a task's
+memory does not grow with the table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .blocks import pack, parts, text_bytes, unpack
 
 _ODD = 0x9E3779B97F4A7C15
+#: Groups that name a minimizer before its segments are cut into single windows, each filed under a hash of its own.
+HEAVY = 1024
 #: Windows looked at together, and windows of one segment at most (a periodic text repeats its minimizer without end).
 SLICE, LONGEST = 1 << 19, 64
 
@@ -141,8 +146,10 @@ def find(
 
     def by_bucket(values):
         """Sorted minimizers, cut at the bounds of the buckets (equal ranges of hashes)."""
+        if not len(values):
+            return []
         bucket = (values >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)
-        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(values) else np.zeros(0, int)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         return [(int(bucket[a]), a, b) for a, b in zip(cut, np.append(cut[1:], len(values)), strict=True)]
 
     def name(key, table):
@@ -166,26 +173,31 @@ def find(
         # Named by two groups, or by one for two documents. Too many are harmless: the solver compares texts.
         mixed = times > 1
         mixed[where[np.concatenate(several)]] = True
-        rows = [(p, key[0].as_py(), pack(np.packbits(bits))) for p, bits in zip(table["part"].to_pylist(), np.split(mixed[where], ends[:-1]), strict=True) if bits.any()]
+        heavy = times > HEAVY
+        parts_of = zip(table["part"].to_pylist(), np.split(mixed[where], ends[:-1]), np.split(heavy[where], ends[:-1]), strict=True)
+        rows = [(p, key[0].as_py(), pack((np.packbits(bits), np.packbits(many)))) for p, bits, many in parts_of if bits.any()]
         return _table(rows, ("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()))
 
     def send(key, table, answers):
         ids, rank, held, first, count, value = found(table)
         values, where = np.unique(value, return_inverse=True)
-        shared = np.zeros(len(values), bool)
+        shared, heavy = np.zeros(len(values), bool), np.zeros(len(values), bool)
         said = dict(zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True))
-        ranges = by_bucket(values)
-        for b, i, j in ranges:
+        for b, i, j in by_bucket(values):
             if b in said:
-                shared[i:j] = np.unpackbits(unpack(said[b]), count=j - i)
-        wanted = np.flatnonzero(shared[where])
-        wanted = wanted[np.argsort(where[wanted], kind="stable")]
-        bounds = np.searchsorted(where[wanted], [i for _, i, _ in ranges] + [len(values)])
+                bits, many = unpack(said[b])
+                shared[i:j], heavy[i:j] = np.unpackbits(bits, count=j - i), np.unpackbits(many, count=j - i)
+        first, count, value, many = (x[shared[where]] for x in (first, count, value, heavy[where]))
+        if many.any():
+            alone = np.concatenate([np.arange(f, f + c) for f, c in zip(first[many].tolist(), count[many].tolist(), strict=True)])
+            own = [int.from_bytes(hashlib.blake2b(held.piece(f, f + window - 1), digest_size=6).digest()) for f in alone.tolist()]
+            first, count = np.concatenate((first[~many], alone)), np.concatenate((count[~many], np.ones(len(alone), np.int64)))
+            value = np.concatenate((value[~many], np.array(own, np.uint64)))
+        order = np.argsort(value, kind="stable")
+        first, count, value = first[order], count[order], value[order]
         rows = []
-        for r, (b, _, _) in enumerate(ranges):
-            mine = wanted[bounds[r] : bounds[r + 1]]
-            if not len(mine):
-                continue
+        for b, i, j in by_bucket(value):
+            mine = slice(i, j)
             seen: dict[bytes, int] = {}
             least, under, place = [], [], []
             row = held.row[first[mine]]
