@@ -12,8 +12,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .registry import query, table
 
-#: Pieces a task remembers; beyond, it starts to remember anew (results do not depend on it).
-REMEMBERED = 200_000
+#: Pieces, prefixes and pairs of tokens a task remembers; beyond, it starts to remember anew (results do not depend on it).
+REMEMBERED = 300_000
+#: Bytes of the longest piece whose prefixes are remembered.
+SHORT = 48
 
 
 class Vocabulary:
@@ -24,11 +26,11 @@ class Vocabulary:
         self.tokens = {r: t for t, r in ranks.items()}
         lengths: dict[bytes, set[int]] = {}
         for t in ranks:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        #: Lengths of the tokens that end in these two bytes (or are this one byte), shortest first.
-        self.lengths = {end: sorted(x) for end, x in lengths.items()}
+            lengths.setdefault(t[-2:], {1}).add(len(t))
+        #: Lengths of the tokens that end in these two bytes, longest first.
+        self.lengths = {end: tuple(sorted(x, reverse=True)) for end, x in lengths.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     @classmethod
     def read(cls, lines: list[bytes]) -> Vocabulary:
@@ -53,9 +55,10 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two tokens, going back through the merges that made them, latest first."""
-        known = self.pairs.get((left, right))
+        pair = left << 32 | right
+        known = self.pairs.get(pair)
         if known is None:
-            known = self.pairs[left, right] = self._fits(left, right)
+            known = self.pairs[pair] = self._fits(left, right)
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -87,23 +90,18 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Exact: what is known of the shorter prefixes stays."""
         v = self.vocabulary
-        ranks, last = v.ranks, self.last
+        ranks, last, lengths, fits = v.ranks, self.last, v.lengths, v.fits
         text = self.text = self.text + more
         for end in range(len(last), len(text) + 1):
-            found = -1
-            for length in (*v.lengths.get(text[end - 1 : end], ()), *(v.lengths.get(text[end - 2 : end], ()) if end > 1 else ())):
+            for length in lengths.get(text[end - 2 : end], (1,)) if end > 1 else (1,):
                 if length > end:
-                    break
-                token = ranks.get(text[end - length : end])
-                if token is None:
                     continue
-                before = last[end - length]
-                if v.alone(token) if end == length else before >= 0 and v.fits(before, token):
-                    found = token
+                token = ranks.get(text[end - length : end])
+                if token is not None and (v.alone(token) if end == length else fits(last[end - length], token)):
+                    last.append(token)
                     break
-            if found < 0:
+            else:
                 raise ValueError("a byte is missing from the vocabulary")
-            last.append(found)
 
     def edit(self, begin: int, end: int, new: bytes) -> None:
         """Replaces bytes; prefixes before the edit are kept, later ones are computed anew."""
@@ -119,10 +117,50 @@ class Prefixes:
         return out[::-1]
 
 
+class Encoder:
+    """Encodes pieces one after the other and keeps the last token, and so the ids, of every prefix it has met in any of them."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, tuple[int, bytes]] = {b"": (-1, b"")}
+        self.vocabulary.pairs.clear()
+
+    def ids(self, piece: bytes) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers. A piece that is a token is that token."""
+        v, known = self.vocabulary, self.known
+        whole = v.ranks.get(piece)
+        if whole is not None:
+            return whole.to_bytes(4, "little")
+        if len(piece) > SHORT:
+            return np.array(Prefixes(v, piece).tokens(), "<u4").tobytes()
+        if len(known) + len(v.pairs) > 2 * REMEMBERED:
+            self.forget()
+            known = self.known
+        ranks, lengths, fits = v.ranks, v.lengths, v.fits
+        begin = len(piece)
+        while piece[:begin] not in known:
+            begin -= 1
+        for end in range(begin + 1, len(piece) + 1):
+            for length in lengths.get(piece[end - 2 : end], (1,)) if end > 1 else (1,):
+                if length > end:
+                    continue
+                token = ranks.get(piece[end - length : end])
+                if token is None:
+                    continue
+                last, before = known[piece[: end - length]]
+                if v.alone(token) if end == length else fits(last, token):
+                    known[piece[:end]] = (token, before + token.to_bytes(4, "little"))
+                    break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+        return known[piece][1]
+
+
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    """A piece that is a token is that token; others take the encoding whose neighbours all fit."""
-    whole = vocabulary.ranks.get(piece)
-    return [whole] if whole is not None else Prefixes(vocabulary, piece).tokens()
+    return np.frombuffer(Encoder(vocabulary).ids(piece), "<u4").tolist()
 
 
 def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", extra: list[str] = ()) -> DataFrame:
@@ -137,12 +175,12 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
         import regex
 
         vocabulary, split = Vocabulary.read(shared.value), regex.compile(pattern)
-        tokens, known = vocabulary.tokens, {}
+        tokens, encoder = vocabulary.tokens, Encoder(vocabulary)
 
         class Known(dict):
             def __missing__(self, piece):
-                ids = np.array(encode_piece(vocabulary, piece.encode()), "<u4").tobytes()
-                if len(piece) < 64:
+                ids = encoder.ids(piece.encode())
+                if len(piece) < SHORT:
                     self[piece] = ids
                 return ids
 
@@ -157,8 +195,6 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
                     decoded.append(b"".join([tokens[i] for i in np.frombuffer(found, "<u4").tolist()]))
                 if len(known) > REMEMBERED:
                     known.clear()
-                if len(vocabulary.pairs) > 5 * REMEMBERED:
-                    vocabulary.pairs.clear()
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*part.schema.names[:-1], "ids", "decoded"])
 
     rows = docs.select(F.col(id_column), *extra, F.col(text_column).alias("__text"))

@@ -85,7 +85,7 @@ class Passages:
         return np.repeat(place, n), self.owner[posting], self.at[posting]
 
     def regions(self, code: np.ndarray):
-        """(passage, diagonal) of every band that shares enough q-grams.
+        """(passage, first diagonal) of every band that shares enough q-grams.
 
         k edits move a match over k + 1 neighbouring diagonals at most, so all its grams lie in one of the bands of 2k + 2 diagonals that
         start every k + 1 and overlap by half. A gram of the passage counts once in a half band.
@@ -95,28 +95,26 @@ class Passages:
             return []
         diagonal = place - at
         half = self.budget[passage] + 1
-        found = set()
+        found = []
         for shift in (0, 1):
             band = np.floor_divide(diagonal, half) - shift
             order = np.lexsort((at, band, passage))
-            p, b, a, d = passage[order], band[order], at[order], diagonal[order]
+            p, b, a = passage[order], band[order], at[order]
             new = np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1]))
             distinct = new | np.append(True, a[1:] != a[:-1])
             begin = np.flatnonzero(new)
             counts = np.add.reduceat(distinct.astype(np.int64), begin)
             # A band is the union of two neighbouring half bands: the lower one comes from this shift, the upper one from the other.
-            found.update((int(x), int(y), int(n), int(z)) for x, y, n, z in zip(p[begin], b[begin], counts, d[begin], strict=True))
+            found.append((p[begin], b[begin], counts))
         total: dict[tuple[int, int], int] = {}
-        near: dict[tuple[int, int], int] = {}
-        for x, y, n, z in found:
+        for x, y, n in zip(*(np.concatenate(c).tolist() for c in zip(*found, strict=True)), strict=True):
             total[x, y] = total.get((x, y), 0) + n
-            near[x, y] = min(near.get((x, y), z), z)
-        return [(x, near[x, y]) for (x, y), n in total.items() if n >= self.least[x]]
+        return [(x, y * (int(self.budget[x]) + 1)) for (x, y), n in total.items() if n >= self.least[x]]
 
     def align(self, code: np.ndarray, passage: int, diagonal: int):
         """Fewest edits of the passage against any stretch of text in the band, and that stretch; None beyond the budget.
 
-        The band holds the diagonals of two half bands; the passage is read whole, its start and end in the text are free.
+        The band holds the diagonals of two half bands and k more on both sides; the passage is read whole, its start and end in the text are free.
         """
         k = int(self.budget[passage])
         want = self.text[passage]

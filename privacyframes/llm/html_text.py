@@ -16,8 +16,8 @@ from .blocks import pack, unpack
 from .registry import query, table
 from .sampling import bounded
 
-#: Pages learned from at most, rewritten forms of each, trees, their depth, the step of each, and bins of a feature.
-LEARNED, REWRITTEN, TREES, DEPTH, RATE, BINS = 150, 8, 150, 5, 0.3, 32
+#: Pages learned from at most, rewritten forms of all of them, trees, their depth, the step of each, and bins of a feature.
+LEARNED, REWRITTEN, TREES, DEPTH, RATE, BINS = 150, 1200, 150, 5, 0.3, 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object noframes textarea title select button".split())
@@ -349,7 +349,7 @@ def decode(parent: list[int], margin) -> list[bool]:
 
 # Training: pages label themselves by their semantic elements, and are rewritten so that the trees meet other ways to mark the same parts.
 _WRAPS = [("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("section", 'class="post-body"'), ("div", 'class="entry story"'), ("div", 'class="article text"'), ("div", "")]
-_PARTS = [("nav", ""), ("div", 'class="nav"'), ("ul", 'class="menu"'), ("header", ""), ("div", 'id="header"'), ("footer", ""), ("div", 'class="footer copyright"'), ("aside", ""), ("div", 'class="sidebar"'), ("div", 'class="widget"'), ("div", 'class="notice"'), ("div", 'id="cookie-notice"'), ("div", 'class="cookie consent banner"'), ("div", 'class="ad"'), ("div", 'class="ads"'), ("div", 'class="advert sponsor"'), ("section", 'class="promo"'), ("form", ""), ("form", 'class="newsletter subscribe"'), ("div", 'class="login form"'), ("div", 'class="comments"'), ("section", 'id="comments"'), ("div", 'class="comment reply"'), ("div", 'class="related"'), ("div", 'class="share social"'), ("div", 'class="breadcrumb"'), ("div", 'class="popup modal"'), ("div", 'class="newsletter signup"'), ("div", 'class="banner"'), ("p", 'class="ad"'), ("p", 'class="notice"'), ("aside", 'class="related"')]
+_PARTS = [("aside", ""), ("form", ""), ("section", 'class="comments"'), ("nav", ""), ("div", 'class="nav"'), ("ul", 'class="menu"'), ("header", ""), ("div", 'id="header"'), ("footer", ""), ("div", 'class="footer copyright"'), ("aside", ""), ("div", 'class="sidebar"'), ("div", 'class="widget"'), ("div", 'class="notice"'), ("div", 'id="cookie-notice"'), ("div", 'class="cookie consent banner"'), ("div", 'class="ad"'), ("div", 'class="ads"'), ("div", 'class="advert sponsor"'), ("section", 'class="promo"'), ("form", ""), ("form", 'class="newsletter subscribe"'), ("div", 'class="login form"'), ("div", 'class="comments"'), ("section", 'id="comments"'), ("div", 'class="comment reply"'), ("div", 'class="related"'), ("div", 'class="share social"'), ("div", 'class="breadcrumb"'), ("div", 'class="popup modal"'), ("div", 'class="newsletter signup"'), ("div", 'class="banner"'), ("p", 'class="ad"'), ("p", 'class="notice"'), ("aside", 'class="related"')]
 
 
 def _labelled(source: str, random) -> tuple[Page, np.ndarray] | None:
@@ -417,7 +417,7 @@ def _as_it_is(source: str):
 def learn(sources: list[str]):
     """Trees from some pages: each twice as it is and rewritten some times, in a fixed order of random choices. None without an article."""
     random = np.random.default_rng(7)
-    made = [m for s in sources for m in (_as_it_is(s), _as_it_is(s), *(_labelled(s, random) for _ in range(REWRITTEN))) if m]
+    made = [m for s in sources for m in (_as_it_is(s), _as_it_is(s), *(_labelled(s, random) for _ in range(-(-REWRITTEN // len(sources))))) if m]
     if not made:
         return None
     x, y = np.concatenate([page_features(p)[1:] for p, _ in made]), np.concatenate([y[1:] for _, y in made])
