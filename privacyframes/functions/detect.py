@@ -60,7 +60,7 @@ def _matches(r: Recognizer, order: int, text: X, probe: Probe, strict: bool) ->
     def cut(values: X) -> X:
         def parts(flags: X) -> X:
             zipped = let(
-                fn.split(text, r.jvm, -1),
+                fn.split(text, r.scan, -1),
                 lambda gaps: fn.transform(
                     values,
                     lambda v, i: struct(
@@ -83,9 +83,16 @@ def _matches(r: Recognizer, order: int, text: X, probe: Probe, strict: bool) ->
             )
             return when(fn.array_contains(flags, True), hit)
 
-        return let(fn.transform(values, lambda v: valid_value(r.entity, v, strict, r.validator)), parts)
+        def valid(v: X) -> X:
+            return valid_value(r.entity, v, strict, r.validator)
 
-    found = let(fn.regexp_extract_all(text, r.jvm, 0), cut)
+        if r.skip is None:
+            return let(fn.transform(values, valid), parts)
+        # Skipped runs have an empty first group; they only take up room between the matches.
+        marks = fn.regexp_extract_all(text, r.scan, 1)
+        return let(marks, lambda m: let(fn.transform(values, lambda v, i: (fn.get(m, i) != "") & valid(v)), parts))
+
+    found = let(fn.regexp_extract_all(text, r.scan, 0), cut)
     return when(r.guard(probe), found) if r.guard else found
 
 

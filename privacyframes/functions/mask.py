@@ -339,6 +339,63 @@ _CSV_CELL = (
 )
 
 
+def _csv_left_open(token: X) -> X:
+    """Quoted, but the text ends before the closing quote: everything is content."""
+    return token.rlike(r'\A"[^"]*+(?:""[^"]*+)*+\z')
+
+
+def _csv_end(token: X) -> X:
+    """What ends a cell: a comma, a line end, or nothing at the end of the text."""
+    return when(_csv_left_open(token), "").otherwise(fn.regexp_extract(token, r"(,|\r\n|\n|\r)\z", 1))
+
+
+def _csv_quoted(token: X) -> X:
+    return fn.startswith(token, '"')
+
+
+def _csv_value(token: X) -> X:
+    """A cell's content. Behind a closing quote further characters may follow; they belong to the cell."""
+    raw = fn.left(token, fn.length(token) - fn.length(_csv_end(token)))
+    inner = fn.regexp_extract(raw, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?+(.*)\z', 1)
+    rest = fn.regexp_extract(raw, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?+(.*)\z', 2)
+    return when(_csv_quoted(token), fn.concat(fn.replace(inner, '""', '"'), rest)).otherwise(raw)
+
+
+def _csv_tokens(document: X, body) -> X:
+    """``body`` of the cells with what ends them. At the end of the text an empty cell is real only behind a comma."""
+
+    def trimmed(tokens: X) -> X:
+        n = fn.size(tokens)
+        last, second = fn.get(tokens, n - 1), fn.get(tokens, n - 2)
+        spare = (last == "") & (second.is_null() | ~fn.endswith(second, ",") | _csv_left_open(second))
+        return let(when(spare, fn.slice(tokens, 1, n - 1)).otherwise(tokens), body)
+
+    return let(fn.regexp_extract_all(document, _CSV_CELL, 0), trimmed)
+
+
+def csv_rows(document) -> Column:
+    """``array<array<string>>``: every row of CSV text with all its cells, however many; an empty line is a row without cells."""
+
+    def rows(tokens: X) -> X:
+        n = fn.size(tokens)
+        places = when(n > 0, fn.sequence(0, n - 1)).otherwise(X("cast(array() as array<int>)"))
+        closes = fn.filter(places, lambda i: (i == n - 1) | (_csv_end(fn.get(tokens, i)) != ","))
+
+        def cut(ends: X) -> X:
+            def row(end: X, j: X) -> X:
+                first = fn.coalesce(fn.get(ends, j - 1) + 1, X("0"))
+                cells = fn.transform(fn.slice(tokens, first + 1, end - first + 1), lambda t: _csv_value(t))
+                blank = (end == first) & ~_csv_quoted(fn.get(tokens, end)) & (fn.get(cells, 0) == "")
+                return when(blank, X("cast(array() as array<string>)")).otherwise(cells)
+
+            return fn.transform(ends, row)
+
+        return let(closes, cut)
+
+    document = _col(document)
+    return F.when(document.isNotNull(), bind(lambda r: _csv_tokens(r.doc, rows), doc=document))
+
+
 def sanitize_csv(document, mode: str = "mask", **options) -> Column:
     """``struct<sanitized, findings>`` of CSV text: every cell, the header included, is its own chunk.
 
@@ -346,49 +403,31 @@ def sanitize_csv(document, mode: str = "mask", **options) -> Column:
     """
     check_mode(mode)
 
-    def left_open(token: X) -> X:
-        """Quoted, but the text ends before the closing quote: everything is content."""
-        return token.rlike(r'\A"[^"]*+(?:""[^"]*+)*+\z')
+    def one(token: X, before: X) -> X:
+        end = _csv_end(token)
+        line_end = when(end == ",", ",").otherwise(lit("\n"))
+        starts_row = before.is_null() | ~fn.endswith(before, ",")
+        alone = starts_row & (end != ",")
 
-    def body(r: X) -> X:
-        def one(token: X, before: X) -> X:
-            end = when(left_open(token), "").otherwise(fn.regexp_extract(token, r"(,|\r\n|\n|\r)\z", 1))
-            raw = fn.left(token, fn.length(token) - fn.length(end))
-            quoted = fn.startswith(raw, '"')
-            # Behind the closing quote further characters may follow; they belong to the cell.
-            inner = fn.regexp_extract(raw, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?+(.*)\z', 1)
-            rest = fn.regexp_extract(raw, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?+(.*)\z', 2)
-            value = when(quoted, fn.concat(fn.replace(inner, '""', '"'), rest)).otherwise(raw)
-            line_end = when(end == ",", ",").otherwise(lit("\n"))
-            starts_row = before.is_null() | ~fn.endswith(before, ",")
-            alone = starts_row & (end != ",")
-
-            def write(c: X) -> X:
-                needs = c.sanitized.rlike(r'[,"\r\n]') | ((c.sanitized == "") & alone & quoted)
-                cell = when(needs, fn.concat('"', fn.replace(c.sanitized, '"', '""'), '"')).otherwise(c.sanitized)
-                return struct(text=fn.concat(cell, line_end), findings=c.findings)
-
-            return let(let(value, lambda t: _sanitized(t, mode, {}, options)), write)
-
-        def rows(tokens: X) -> X:
-            # At the end of the text an empty cell is real only behind a comma.
-            n = fn.size(tokens)
-            last, second = fn.get(tokens, n - 1), fn.get(tokens, n - 2)
-            spare = (last == "") & (second.is_null() | ~fn.endswith(second, ",") | left_open(second))
-            kept = when(spare, fn.slice(tokens, 1, n - 1)).otherwise(tokens)
-            parts = let(kept, lambda ts: fn.transform(ts, lambda t, i: one(t, fn.get(ts, i - 1))))
-            return let(
-                parts,
-                lambda ps: struct(
-                    sanitized=fn.array_join(fn.transform(ps, lambda p: p["text"]), ""),
-                    findings=fn.flatten(fn.transform(ps, lambda p: p.findings)),
-                ),
-            )
-
-        return let(fn.regexp_extract_all(r.doc, _CSV_CELL, 0), rows)
+        def write(c: X) -> X:
+            needs = c.sanitized.rlike(r'[,"\r\n]') | ((c.sanitized == "") & alone & _csv_quoted(token))
+            cell = when(needs, fn.concat('"', fn.replace(c.sanitized, '"', '""'), '"')).otherwise(c.sanitized)
+            return struct(text=fn.concat(cell, line_end), findings=c.findings)
+
+        return let(let(_csv_value(token), lambda t: _sanitized(t, mode, {}, options)), write)
+
+    def rows(tokens: X) -> X:
+        parts = fn.transform(tokens, lambda t, i: one(t, fn.get(tokens, i - 1)))
+        return let(
+            parts,
+            lambda ps: struct(
+                sanitized=fn.array_join(fn.transform(ps, lambda p: p["text"]), ""),
+                findings=fn.flatten(fn.transform(ps, lambda p: p.findings)),
+            ),
+        )
 
     document = _col(document)
-    return F.when(document.isNotNull(), bind(body, doc=document))
+    return F.when(document.isNotNull(), bind(lambda r: _csv_tokens(r.doc, rows), doc=document))
 
 
 def restore(sanitized, tokens) -> Column:

@@ -57,11 +57,25 @@ class Recognizer:
     guard: Callable[[Probe], X] | None = None
     starts_in_word: bool = False
     ends_in_word: bool = False
+    skip: str | None = None
 
     @property
     def jvm(self) -> str:
         return jvm_pattern(self.pattern, self.ignore_case, self.starts_in_word, self.ends_in_word)
 
+    @property
+    def scan(self) -> str:
+        """The pattern as group 1, or else what ``skip`` takes: text in which no match can start once one start has failed.
+
+        Without it, every start in a long run is tried up to the end of the run, which is quadratic.
+        """
+        if self.skip is None:
+            return self.jvm
+        # A blank can't be the first letter of what follows, so giving blanks back never helps.
+        tight = self.pattern.replace(r"\d{1,4}\s+[", r"\d{1,4}+\s++[")
+        match = jvm_pattern(tight, False, self.starts_in_word, self.ends_in_word)
+        return ("(?iu)" if self.ignore_case else "") + f"({match})|{jvm_pattern(self.skip, False, self.starts_in_word)}"
+
 
 def _has(*needles: str) -> Callable[[Probe], X]:
     def guard(p: Probe) -> X:
@@ -104,7 +118,7 @@ _GUARDS = {
     "IN_VID": _both(_digits("[0-9]{4} ?[0-9]{4} ?[0-9]{4} ?[0-9]{4}"), _has("vid")),
     "DATE_OF_BIRTH": _digits("[0-3][0-9] [01][0-9] [12][0-9]{3}"),
     "DATE_OF_BIRTH_TEXT": _both(_digits("[1-9] [12][0-9]{3}|[123]0 [12][0-9]{3}"), _MONTHS),
-    "IN_ADDRESS": _digits(r"\p{Nd}"),
+    "IN_ADDRESS": _both(_digits(r"\p{Nd}"), _has("road", "rd", "st", "lane", "ln", "ave", "nagar", "colony", "sector", "block")),
     "IN_ADDRESS_INDIC": _indic,
     "IN_ADDRESS_LABELLED": _has("address"),
     "PIN_CODE": _digits("[0-9]{6}"),
@@ -125,6 +139,14 @@ _GUARDS = {
     "IN_ADDRESS_PIN_LABEL": _both(_digits(r"\p{Nd}{6}"), lambda p: p.indic | fn.contains(p.folded, lit("pin"))),
 }
 
+# Runs that are passed over as a whole when a match can't start in them. Of a number line everything goes but digits at its end:
+# a start there may reach over a line break.
+_SKIPS = {
+    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+-]{64,}+",
+    "UPI_ID": r"\b[a-zA-Z0-9._-]{64,}+",
+    "IN_ADDRESS": r"\b\d{1,4}+\s++[A-Za-z ,.-]*+(?:[0-9]++(?: *+[A-Za-z,.-][A-Za-z ,.-]*+| ++(?=[0-9])))*+",
+}
+
 # Patterns whose first match character may not be a word character, and the same for the last one.
 _OPEN_START = {"EMAIL_ADDRESS", "PHONE_NUMBER", "DATE_OF_BIRTH", "DATE_OF_BIRTH_TEXT", "IN_ADDRESS_INDIC", "UPI_ID"}
 _OPEN_END = {"CREDIT_CARD", "IN_ADDRESS_INDIC"}
@@ -138,6 +160,7 @@ DEFAULT: tuple[Recognizer, ...] = tuple(
         guard=_GUARDS.get(label),
         starts_in_word=label not in _OPEN_START,
         ends_in_word=label not in _OPEN_END,
+        skip=_SKIPS.get(label),
     )
     for label, pattern, ignore_case in fixed.PATTERNS
 )

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.mask import mask_value, sanitize_json, sanitize_struct
+from ..functions.mask import csv_rows, mask_value, sanitize_csv, sanitize_json, sanitize_struct
 from ..operators import chunks as C
 from ..operators.detection import findings_table
 from ..operators.sanitization import sanitize_columns, sanitize_documents, sanitize_nested, token_map
@@ -231,6 +231,79 @@ def csv_round_trip(spark, sf):
     return back.select(F.col("_c0").cast("long").alias("doc_id"), F.col("_c1").alias("name"), F.col("_c2").alias("note"), F.col("_c3").alias("segment"))
 
 
+# CSV text of one customer: a short row, a longer one, a blank line, a quoted cell with line breaks, a row of one cell.
+_CSV_CLEAN = """select a.doc_id, 'id,note' || chr(10) || a.doc_id || ',' || {a} || ',Face Template,' || {b} || chr(10) || chr(10) || '"two' || chr(10) || 'lines"' || chr(10) || '5' || chr(10) as sanitized,
+ cast(a.pii_count + b.pii_count as int) as pii_count from clean a join clean b on a.doc_id = b.doc_id and a.src = 'v' and b.src = 'n'"""
+for _side in "ab":
+    _text = f"{_side}.sanitized_text"
+    _CSV_CLEAN = _CSV_CLEAN.replace(
+        "{" + _side + "}", f"""case when regexp_matches({_text}, '[,"\\r\\n]') then '"' || replace({_text}, '"', '""') || '"' else {_text} end"""
+    )
+_CSV_CHECK = (
+    _spliced(f"select 'v' as src, doc_id, text from ({DUCK_CORPUS}) union all select 'n', c_custkey, '98765' || lpad(cast(c_custkey as varchar), 5, '0') from customer", _MASK)
+    + _CSV_CLEAN
+)
+
+
+def _csv_documents(spark, sf):
+    phone = F.concat(F.lit("98765"), F.lpad(F.col("doc_id").cast("string"), 5, "0"))
+
+    def quoted(c):
+        return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    doc = F.concat(
+        F.lit("id,note\r\n"), F.col("doc_id").cast("string"), F.lit(","), quoted(F.col("text")), F.lit(",Face Template,"), phone,
+        F.lit('\n\n"two\nlines"\n5'),
+    )
+    return inputs.corpus(spark, sf).select("doc_id", doc.alias("document"))
+
+
+@query("s2_csv_text", _CSV_CHECK)
+def csv_text(spark, sf):
+    """Ragged, blank and quoted rows: a phone number stands in a cell beyond the first row's width."""
+    done = _csv_documents(spark, sf).select("doc_id", sanitize_csv("document").alias("s"))
+    return done.select("doc_id", "s.sanitized", F.size("s.findings").alias("pii_count"))
+
+
+@query(
+    "s2_csv_rows",
+    f"""with rows as (select doc_id, unnest([0, 1, 2, 3, 4]) as row from ({DUCK_CORPUS}))
+ select doc_id, cast(row as int) as row, cast(case row when 0 then 2 when 1 then 4 when 2 then 0 else 1 end as int) as n_cells,
+ case row when 0 then 'note' when 1 then '98765' || lpad(cast(doc_id as varchar), 5, '0') when 3 then 'two' || chr(10) || 'lines' when 4 then '5' end as last_cell from rows""",
+)
+def csv_rows_of_files(spark, sf):
+    """The same texts row by row: no cell, short row or blank line is lost."""
+    rows = _csv_documents(spark, sf).select("doc_id", F.posexplode(csv_rows("document")).alias("row", "cells"))
+    return rows.select("doc_id", "row", F.size("cells").alias("n_cells"), F.get("cells", F.size("cells") - 1).alias("last_cell"))
+
+
+@query(
+    "s2_mixed_files",
+    _spliced(
+        f"select 'v' as src, doc_id, text from ({DUCK_CORPUS}) where doc_id % 4 != 3 union all "
+        "select 'n', c_custkey, '98765' || lpad(cast(c_custkey as varchar), 5, '0') from customer where c_custkey % 4 = 1",
+        _MASK,
+    )
+    + """select a.doc_id, case a.doc_id % 4 when 0 then 'txt' when 1 then 'csv' else 'json' end as parser, case a.doc_id % 4
+ when 0 then a.sanitized_text
+ when 2 then '{"note": ' || to_json(a.sanitized_text) || '}'
+ else c.sanitized end as sanitized_text, cast(a.pii_count + coalesce(b.pii_count, 0) as bigint) as pii_count, cast(null as varchar) as error
+ from clean a left join clean b on a.doc_id = b.doc_id and b.src = 'n' left join (""" + _CSV_CLEAN + """) c on a.doc_id = c.doc_id
+ where a.src = 'v' union all select c_custkey, 'json', null, 0, 'Invalid JSON' from customer where c_custkey % 4 = 3""",
+)
+def mixed_files(spark, sf):
+    """Plain text, ragged CSV, JSON and broken JSON through the router of raw files, each back in its own format."""
+    from ..operators.files import sanitize_files
+
+    docs = _csv_documents(spark, sf).join(inputs.corpus(spark, sf), "doc_id")
+    kind = F.col("doc_id") % 4
+    note = F.concat(F.lit('{"note": '), F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", ""), F.lit("}"))
+    content = F.when(kind == 0, F.col("text")).when(kind == 1, F.col("document")).when(kind == 2, note).otherwise('{"note": ')
+    ending = F.when(kind == 0, ".txt").when(kind == 1, ".csv").otherwise(".json")
+    files = docs.select("doc_id", F.concat(F.lit("file"), ending).alias("filename"), F.lit("mask").alias("sanitization_mode"), content.cast("binary").alias("content"))
+    return sanitize_files(files, ["doc_id"]).select("doc_id", "parser", "sanitized_text", "pii_count", "error")
+
+
 @query(
     "s20_json_sink",
     _spliced(_CELLS, _MASK) + _PIVOT.format(bal="", join="", by="").replace(", cast(sum(pii_count) as bigint) as pii_count", ""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.mask import csv_rows
 from ..functions.text import utf8_text
 
 
@@ -27,18 +28,23 @@ def read_text_documents(spark: SparkSession, path: str, glob: str | None = None)
     return read_files(spark, path, glob).select("path", "filename", utf8_text(F.col("content")).alias("text"))
 
 
-def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
-    """CSV without header treatment: the first line is data like any other. Quoted line breaks are kept."""
-    return spark.read.csv(
-        path,
-        header=False,
-        multiLine=True,
-        inferSchema=False,
-        quote='"',
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+def read_csv_rows(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``path, row, cells`` of CSV files: every row with all its cells, the first line like any other. Empty lines have no cells.
+
+    Quoted line breaks are kept. A file is one task's work, as admission bounds it (25 MB).
+    """
+    files = read_text_documents(spark, path, glob)
+    return files.select("path", F.posexplode(csv_rows("text")).alias("row", "cells"))
+
+
+def read_csv_cells(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """CSV cells as columns ``_c0``, ``_c1``, ...: as many as the longest row has, null beyond the end of a shorter one.
+
+    The width takes a pass over the files of its own, so no cell of a long row is lost.
+    """
+    rows = read_csv_rows(spark, path, glob)
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    return rows.select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)])
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:

@@ -1,4 +1,6 @@
+import dataclasses
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 import model
 from privacyframes.functions import recognizers
 from privacyframes.functions.detect import candidates, findings
+from privacyframes.functions.recognizers import DEFAULT
 from privacyframes.functions.mask import sanitize_struct
 
 FRAGMENTS = """आधार: 1234 5678 9012|આધાર 123456789012|पैन: ABCDE1234F|PAN ABCDE1234F|પાન-abcde1234f|मोबाइल: +91 9876543210
@@ -110,3 +113,24 @@ def test_long_document_uses_block_scan(spark):
     r = spark.createDataFrame([(text,)], "t string").select(sanitize_struct("t", "tokenize").alias("s")).first()
     assert as_tuples(r.s.findings) == model.spans(text)
     assert r.s.sanitized == model.sanitize(text, "tokenize")
+
+
+@pytest.mark.parametrize("kind", ["12 ab ", "12 34 ", "a.b", "12 road x "])
+def test_long_runs_cost_what_prose_costs(spark, kind):
+    """A line of 400,000 characters in which a pattern could start everywhere; it took hours when every start read to the end."""
+    line = (kind * 400_000)[:400_000] + " street"
+    began = time.monotonic()
+    spark.createDataFrame([(line,)], "text string").select(findings("text")).collect()
+    assert time.monotonic() - began < 40
+
+
+def test_skipped_runs_hide_nothing(spark):
+    """The same findings with and without skipping, on texts in which digits, words and line breaks meet at the ends of runs."""
+    random_ = random.Random(5)
+    words = ["12", "345", "ab", "Road", "St", "Nagar", "x,", "-", "é", "\n", "  ", "99999", "7\n", "Roadé", "1", "a@b.co", "me@ybl", "@", "a.b" * 30, "\t"]
+    rows = [(i, " ".join(random_.choice(words) + (random_.choice(words) if random_.random() < 0.1 else "") for _ in range(random_.randint(1, 40)))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    skipping = [r for r in DEFAULT if r.skip]
+    plain = [dataclasses.replace(r, skip=None, guard=None) for r in skipping]
+    got = df.select(findings("text", recognizers=skipping).alias("a"), findings("text", recognizers=plain).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and any(r.a for r in got)
