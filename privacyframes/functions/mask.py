@@ -15,7 +15,7 @@ TOKENS = "array<struct<token:string,entity_type:string,original_value:string>>"
 
 def check_mode(mode: str) -> str:
     if mode not in fixed.MODES:
-        raise ValueError(f"Invalid mode '{mode}'. Supported modes: {', '.join(sorted(fixed.MODES))}")
+        raise ValueError(f"unknown mode {mode!r}: use one of {', '.join(sorted(fixed.MODES))}")
     return mode
 
 
@@ -243,10 +243,15 @@ def _sanitized(text: X, mode: X | str, hits: dict, options: dict) -> X:
     return let(resolved_spans(text, **hits, **options), build)
 
 
+def known_mode(mode: Column) -> Column:
+    """Whether a requested mode is one of the three; null is none."""
+    return F.coalesce(mode.isin(*fixed.MODES), F.lit(False))
+
+
 def checked_mode(mode: Column) -> Column:
     """The mode column itself; a value outside the three modes stops the query."""
     message = F.concat(F.lit("Invalid mode: "), F.coalesce(mode, F.lit("null")))
-    return F.when(mode.isin(*fixed.MODES), mode).otherwise(F.raise_error(message))
+    return F.when(known_mode(mode), mode).otherwise(F.raise_error(message))
 
 
 def sanitize_struct(text, mode="mask", *, external=None, late=None, **options) -> Column:
@@ -430,16 +435,37 @@ def sanitize_csv(document, mode: str = "mask", **options) -> Column:
     return F.when(document.isNotNull(), bind(lambda r: _csv_tokens(r.doc, rows), doc=document))
 
 
-def restore(sanitized, tokens) -> Column:
-    """Undo tokenization of one chunk with its token list.
+def restore(sanitized, findings, tokens) -> Column:
+    """Undo tokenization of one chunk: every token goes back where its finding was, whatever the text around it looks like.
 
-    Tokens are replaced longest first, so a token is never read as the prefix of a longer one.
+    ``findings`` and ``tokens`` run in parallel, as sanitizing returns them. Pieces are cut at four bytes a character, so the cost is
+    linear in the text length.
     """
 
     def body(r: X) -> X:
-        ordered = fn.array_sort(
-            r.tokens, lambda a, b: fn.length(b.token) - fn.length(a.token)
+        sizes = fn.transform(
+            r.tokens,
+            lambda t, i: let(
+                fn.get(r.findings, i),
+                lambda f: struct(gap=(f["start"] - fn.coalesce(fn.get(r.findings, i - 1)["end"], 0)).cast("bigint"), n=fn.length(t.token).cast("bigint")),
+            ),
         )
-        return fn.aggregate(ordered, r.sanitized, lambda s, t: fn.replace(s, t.token, t.original_value))
 
-    return bind(body, sanitized=_col(sanitized), tokens=_col(tokens))
+        def build(parts: X, raw: X) -> X:
+            def cut(first: X, n: X) -> X:
+                return fn.decode(fn.substring(raw, (first * 4 + 1).cast("int"), (n * 4).cast("int")), "UTF-32")
+
+            def pieces(ends: X) -> X:
+                def piece(x: X, i: X) -> X:
+                    return fn.concat(cut(fn.get(ends, i) - x.n - x.gap, x.gap), fn.get(r.tokens, i).original_value)
+
+                done = fn.coalesce(fn.get(ends, fn.size(ends) - 1), X("0L"))
+                rest = cut(done, fn.octet_length(raw) / 4 - done)
+                return fn.concat(fn.array_join(fn.transform(parts, piece), ""), rest)
+
+            return let(running(parts, lambda v, x: v + x.gap + x.n), pieces)
+
+        return let(sizes, lambda parts: let(fn.encode(r.sanitized, "UTF-32"), lambda raw: build(parts, raw)))
+
+    sanitized = _col(sanitized)
+    return F.when(sanitized.isNotNull(), bind(body, sanitized=sanitized, findings=_col(findings), tokens=_col(tokens)))

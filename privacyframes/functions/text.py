@@ -125,9 +125,11 @@ def stars(n: X) -> X:
 def utf8_text(content: Column) -> Column:
     """Binary content as text with undecodable bytes dropped.
 
-    Valid content (nearly all of it) is only checked and cast; a byte order mark is kept.
+    Valid content (nearly all of it) is only checked and cast; a byte order mark is kept. Otherwise real replacement characters are
+    put aside before the bad bytes become such characters and go.
     """
     plain = content.cast("string")
-    return F.when(F.is_valid_utf8(plain), plain).otherwise(
-        F.replace(F.make_valid_utf8(plain), F.lit("\ufffd"), F.lit(""))
-    )
+    aside = F.replace(F.replace(plain, F.lit("\ufdd0"), F.lit("\ufdd0\ufdd1")), F.lit("\ufffd"), F.lit("\ufdd0\ufdd2"))
+    clean = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    back = F.replace(F.replace(clean, F.lit("\ufdd0\ufdd2"), F.lit("\ufffd")), F.lit("\ufdd0\ufdd1"), F.lit("\ufdd0"))
+    return F.when(F.is_valid_utf8(plain), plain).otherwise(back)

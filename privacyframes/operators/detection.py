@@ -6,24 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import SPACE
 from ..functions.detect import EXTERNAL_HITS, LATE_HITS, candidates, entity_counts, findings
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when a table arrives in fewer partitions than there are cores.
-
-    A few large row groups would keep a cluster idle during regex work. Inputs that already have enough
-    partitions (any large table) are left alone, so no shuffle is added there. Meant for scans: asking an
-    aggregated table for its partitions would run it.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def _long(df: DataFrame, keys: list[str], found: Column) -> DataFrame:
     # inline_outer + not-null test: a plain inline makes the optimizer add size(found) > 0 below the
     # projection, which would run detection twice.
@@ -90,23 +76,47 @@ def attach_hits(chunks: DataFrame, hits: DataFrame, keys: list[str]) -> DataFram
     return chunks.join(small, keys, "left")
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def _whole_number(item: Column, field: str) -> Column:
+    """A bound as Python's ``int`` reads it: numbers lose their fraction, strings must be whole numbers; else null."""
+    value = F.try_variant_get(item, f"$.{field}", "variant")
+    text = F.try_variant_get(item, f"$.{field}", "string")
+    kind = F.schema_of_variant(value)
+    digits = F.when(text.rlike(rf"^[{SPACE}]*[+-]?[0-9]+(_[0-9]+)*[{SPACE}]*$"), _strip(F.replace(text, F.lit("_"), F.lit("")))).try_cast("int")
+    return (
+        F.when(kind == "STRING", digits)
+        .when(kind == "BOOLEAN", F.try_variant_get(item, f"$.{field}", "boolean").cast("int"))
+        .otherwise(text.try_cast("double").try_cast("bigint").try_cast("int"))
+    )
+
+
+def _as_text(item: Column, field: str) -> Column:
+    """A value as Python's ``str`` writes it (a JSON null is ``None``); null where the field is missing."""
+    kind = F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
+    return F.when(kind == "VOID", "None").otherwise(F.try_variant_get(item, f"$.{field}", "string"))
+
+
 def parse_model_reply(reply: Column) -> Column:
-    """Second-stage hits from a model's reply: code fence removed, JSON list or nothing.
+    """Second-stage hits from a model's reply: code fence removed, a JSON list and nothing behind it, or no hits.
 
-    Entries without integer bounds or a label are skipped, as are replies that are not a list.
+    An entry that is no object, or has no usable bounds or label, is skipped; the others stay.
     """
-    trimmed = F.trim(reply)
-    fenced = F.regexp_extract(trimmed, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
-    body = F.when(trimmed.rlike(r"(?is)```(?:json)?\s*(.*?)\s*```"), fenced).otherwise(trimmed)
-    schema = "array<struct<start:string,end:string,entity_type:string,value:string>>"
-    items = F.coalesce(F.when(body.startswith("["), F.from_json(body, schema)), F.array().cast(schema))
+    trimmed = _strip(reply)
+    fence = rf"(?is)```(?:json)?[{SPACE}]*(.*?)[{SPACE}]*```"
+    body = F.when(trimmed.rlike(fence), _strip(F.regexp_extract(trimmed, fence, 1))).otherwise(trimmed)
+    # A list ends with its bracket, so text behind it shows at the end or breaks the parse of what is put around it.
+    whole = F.when(body.startswith("[") & body.endswith("]"), F.try_parse_json(F.concat(F.lit('{"items":'), body, F.lit("}"))))
+    items = F.coalesce(F.try_variant_get(whole, "$.items", "array<variant>"), F.array().cast("array<variant>"))
     typed = F.transform(
         items,
         lambda x: F.struct(
-            x.start.try_cast("int").alias("start"),
-            x.end.try_cast("int").alias("end"),
-            F.trim(x.entity_type).alias("entity_type"),
-            F.coalesce(x.value, F.lit("")).alias("value"),
+            _whole_number(x, "start").alias("start"),
+            _whole_number(x, "end").alias("end"),
+            _strip(_as_text(x, "entity_type")).alias("entity_type"),
+            F.coalesce(_as_text(x, "value"), F.lit("")).alias("value"),
         ),
     )
     return F.filter(

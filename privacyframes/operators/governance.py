@@ -9,6 +9,7 @@ from ..functions import fixed
 from .admission import effective_mode, extension
 from ..streaming.machines import ChainLink
 from .ordered import BUCKET, previous, range_bucket, run_in_order, running
+from ..functions.mask import known_mode
 from .sanitization import sanitize_documents
 
 CHAIN_COLUMNS = ["id", "user_id", "action", "details", "timestamp", "prev_hash", "log_hash"]
@@ -160,12 +161,18 @@ RESULT_COLUMNS = ["id", "cache_key", "mode", "sanitized_text", "summary", "pii_c
 def incremental_sanitize(files: DataFrame, stored: DataFrame, **options) -> DataFrame:
     """Results of all files: stored ones where the key is known, freshly sanitized ones otherwise.
 
-    files: id, filename, sanitization_mode, file_sha256, text. stored: RESULT_COLUMNS.
+    files: id, filename, sanitization_mode, file_sha256, text. stored: RESULT_COLUMNS. What is open is decided on ids and keys alone;
+    texts meet only the open ids. A file whose mode is unknown comes back without text, with an empty summary and a null count.
     """
     keyed = with_cache_key(files)
-    reused = stored.join(keyed.select("id", "cache_key"), ["id", "cache_key"], "left_semi").select(*RESULT_COLUMNS)
-    todo = keyed.join(stored.select("id", "cache_key"), ["id", "cache_key"], "left_anti")
-    fresh = sanitize_documents(todo, ["id", "cache_key", "mode"], "text", F.col("mode"), **options)
+    keys = keyed.select("id", "cache_key")
+    reused = stored.join(keys, ["id", "cache_key"], "left_semi").select(*RESULT_COLUMNS)
+    open_ = keys.join(stored.select("id", "cache_key"), ["id", "cache_key"], "left_anti")
+    usable = known_mode(F.col("mode"))
+    todo = keyed.join(open_, ["id", "cache_key"], "left_semi")
+    todo = todo.withColumn("text", F.when(usable, F.col("text"))).withColumn("safe_mode", F.when(usable, F.col("mode")).otherwise("mask"))
+    fresh = sanitize_documents(todo, ["id", "cache_key", "mode", "safe_mode"], "text", F.col("safe_mode"), **options)
+    fresh = fresh.withColumn("pii_count", F.when(usable, F.col("pii_count")))
     return reused.unionByName(fresh.select(*RESULT_COLUMNS))
 
 

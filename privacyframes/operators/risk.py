@@ -236,13 +236,14 @@ def fill_missing_summaries(files: DataFrame, texts: DataFrame, key: str = "file_
     """Detect only where no summary is stored yet and the count is zero; stored summaries pass through.
 
     ``files``: key, summary map, pii_count. ``texts``: key, text. The text scan is limited by the join to the
-    unscanned files, and scanned files never meet their text.
+    unscanned files, and scanned files never meet their text. A file without a text row stays, with an empty summary.
     """
     from .detection import with_summary
 
     open_ = (F.size("summary") == 0) & (F.coalesce("pii_count", F.lit(0)) == 0)
     todo = files.filter(open_).drop("summary", "pii_count")
-    scanned = with_summary(todo.join(texts, key), todo.columns, "text", **options)
+    met = todo.join(texts, key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    scanned = with_summary(met, todo.columns, "text", **options)
     return files.filter(~open_).unionByName(scanned)
 
 

@@ -115,6 +115,8 @@ def sanitize_nested(df: DataFrame, mode: str = "mask", columns: list[str] | None
     check_mode(mode)
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = [n for n in (columns or fields) if _has_string(fields[n])]
+    if not names:
+        return df.withColumn("summary", entity_counts(F.array().cast(FINDINGS))).withColumn("pii_count", F.lit(0).cast("long"))
     staged = df.select(
         *[
             _map_strings(F.col(f"`{n}`"), fields[n], lambda v: sanitize_struct(v, mode, **options)).alias(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.mask import known_mode
 from ..operators import admission as A
 from ..operators import crypto as K
 from ..operators import governance as G
@@ -174,7 +175,7 @@ def effective(spark, sf):
 def mode_check(spark, sf):
     """Rows whose requested mode sanitizing would refuse, without running it."""
     return inputs.files(spark, sf).filter("sanitization_mode is not null").select(
-        "id", F.col("sanitization_mode").isin(*fixed.MODES).alias("known_mode")
+        "id", known_mode(F.col("sanitization_mode")).alias("known_mode")
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.detection import spread
 
 # One sentence per customer, 14 shapes, so that every kind of personal data occurs. The same text works in
 # both SQL dialects; {STR} is the string type.
@@ -68,6 +67,14 @@ DUCK_FILES = (
 )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals out a scan of one split: a file with a single row group would keep all cores but one idle.
+
+    A split is bounded (``spark.sql.files.maxPartitionBytes``), so this never moves a large table.
+    """
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -82,11 +89,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """All free text: documents, page sources, and the derived corpus."""
-    docs = table(spark, sf, "documents").select(F.lit("doc").alias("src"), "doc_id", "text")
-    pages = table(spark, sf, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    made = spark.sql(SPARK_CORPUS.replace("from customer", "from {customer}"), customer=table(spark, sf, "customer"))
-    made = made.select(F.lit("corpus").alias("src"), "doc_id", "text")
-    return spread(docs.unionByName(pages).unionByName(made), "src", "doc_id")
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.lit("doc").alias("src"), "doc_id", "text")
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("src"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    made = corpus(spark, sf).select(F.lit("corpus").alias("src"), "doc_id", "text")
+    return docs.unionByName(pages).unionByName(made)
 
 
 DUCK_TEXTS = (

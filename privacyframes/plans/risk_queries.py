@@ -186,6 +186,20 @@ def lazy_scan(spark, sf):
     return done.select("file_id", "pii_count", F.size("summary").cast("long").alias("n_entities"))
 
 
+@query(
+    "k11_files_without_text",
+    _check(
+        "select f.id as file_id, case when f.id % 4 = 0 then 0 else s.pii_count end as pii_count, case when f.id % 4 = 0 then 0 else (select count(*) from c where c.id = f.id) end as n_entities from f join s on f.id = s.id"
+    ),
+)
+def lazy_scan_without_text(spark, sf):
+    """No summary is stored, and a quarter of the files has no text row: all files come back."""
+    files = inputs.files(spark, sf).withColumnRenamed("id", "file_id")
+    stored = files.select("file_id", "filename", F.create_map().cast("map<string,bigint>").alias("summary"), F.lit(0).cast("long").alias("pii_count"))
+    done = R.fill_missing_summaries(stored, files.filter("file_id % 4 != 0").select("file_id", "text"))
+    return done.select("file_id", "pii_count", F.size("summary").cast("long").alias("n_entities"))
+
+
 @query(
     "k12_score_buckets",
     _check(

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.mask import csv_rows, mask_value, sanitize_csv, sanitize_json, sanitize_struct
+from ..functions.mask import csv_rows, mask_value, restore, sanitize_csv, sanitize_json, sanitize_struct
 from ..operators import chunks as C
 from ..operators.detection import findings_table
 from ..operators.sanitization import sanitize_columns, sanitize_documents, sanitize_nested, token_map
@@ -127,6 +127,17 @@ def tokens(spark, sf):
     return token_map(inputs.texts(spark, sf), KEYS)
 
 
+@query(
+    "m19_round_trip",
+    f"select src, doc_id, 'see TOKEN_EMAIL_ADDRESS_0001 and TOKEN_IN_PAN_00015, ' || text as restored from ({DUCK_TEXTS})",
+)
+def token_round_trip(spark, sf):
+    """Tokenized and restored, where the text held names of tokens before."""
+    marked = inputs.texts(spark, sf).withColumn("text", F.concat(F.lit("see TOKEN_EMAIL_ADDRESS_0001 and TOKEN_IN_PAN_00015, "), "text"))
+    done = sanitize_documents(marked, KEYS, mode="tokenize")
+    return done.select(*KEYS, restore("sanitized_text", "findings", "tokens").alias("restored"))
+
+
 @query("m20_mask_splice", _spliced(DUCK_TEXTS, _MASK) + "select src, doc_id, sanitized_text, pii_count from clean")
 def mask(spark, sf):
     return _clean(sanitize_documents(inputs.texts(spark, sf), KEYS, mode="mask"))

@@ -127,7 +127,7 @@ def test_tokens_round_trip(spark):
     text = "a@b.co then Asha Mehta, c@d.co and a@b.co; 10.1.1.1 " * 40
     df = spark.createDataFrame([(1, text)], "id int, t string")
     s = df.select(sanitize_struct("t", "tokenize").alias("s"))
-    assert s.select(restore(F.col("s.sanitized"), F.col("s.tokens"))).first()[0] == text
+    assert s.select(restore(F.col("s.sanitized"), F.col("s.findings"), F.col("s.tokens"))).first()[0] == text
     vault = {r.token: r.original_value for r in token_map(df, ["id"], "t").collect()}
     assert vault == {
         "TOKEN_IP_ADDRESS_0001": "10.1.1.1",

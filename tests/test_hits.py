@@ -6,6 +6,9 @@ from privacyframes.functions.columns import accepted, luhn_check, verhoeff_check
 from privacyframes.functions.detect import findings
 from privacyframes.functions.recognizers import DEFAULT, Recognizer, named
 from privacyframes.operators import chunks as C
+from privacyframes.functions.text import utf8_text
+from privacyframes.operators.governance import incremental_sanitize
+from privacyframes.operators.sanitization import sanitize_nested
 from privacyframes.operators.detection import attach_hits, document_summaries, parse_model_reply
 
 HIT = "array<struct<start:int,end:int,label:string,score:double>>"
@@ -77,6 +80,11 @@ def test_model_reply(spark):
         ("", []),
         (None, []),
         ("[1, 2", []),
+        ('\n [{"start": 1, "end": 5, "entity_type": "A"}]', [(1, 5, "A", "")]),
+        ('[1, {"start": 1, "end": 5, "entity_type": "A"}, null]', [(1, 5, "A", "")]),
+        ('[{"start": 1.0, "end": 5.9, "entity_type": "A", "value": null}]', [(1, 5, "A", "None")]),
+        ('[{"start": 1, "end": 5, "entity_type": "A"}] trailing', []),
+        ('[{"start": "1.5", "end": 2, "entity_type": "A"}, {"start": true, "end": "7", "entity_type": 3}]', [(1, 7, "3", "")]),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(replies)], "i int, r string")
     for r in df.select("i", parse_model_reply(F.col("r")).alias("h")).collect():
@@ -110,3 +118,22 @@ def test_box_scale(spark):
     df = spark.createDataFrame([(10, 20, 0, 5)], "left int, top int, width int, height int")
     r = C.scale_boxes(df, C.page_scale(F.lit(50.0), F.lit(100)), C.page_scale(F.lit(9.0), F.lit(0))).first()
     assert (r.x0, r.y0, r.x1, r.y1) == (5.0, 180.0, 5.5, 225.0)
+
+
+def test_bad_bytes_go_and_real_replacement_characters_stay(spark):
+    raw = ["41efbfbd42ff", "41efb79042ff", "e282efbfbd41", "ffefb790efb791"]
+    df = spark.createDataFrame([(bytes.fromhex(x),) for x in raw], "b binary")
+    got = [r.t for r in df.select(utf8_text(F.col("b")).alias("t")).collect()]
+    assert got == [bytes.fromhex(x).decode("utf-8", "ignore") for x in raw]
+
+
+def test_a_table_without_strings_has_no_findings(spark):
+    row = sanitize_nested(spark.createDataFrame([(1, [2])], "a int, b array<int>")).first()
+    assert (row.a, row.summary, row.pii_count) == (1, {}, 0)
+
+
+def test_an_unknown_mode_does_not_stop_the_others(spark):
+    files = spark.createDataFrame([(1, "a.txt", "mask", "h", "a@b.co"), (2, "b.txt", "wrong", "h", "a@b.co")], "id long, filename string, sanitization_mode string, file_sha256 string, text string")
+    stored = spark.createDataFrame([], "id long, cache_key string, mode string, sanitized_text string, summary map<string,bigint>, pii_count long")
+    got = {r.id: r for r in incremental_sanitize(files, stored).collect()}
+    assert got[1].pii_count == 1 and (got[2].sanitized_text, got[2].pii_count, got[2].mode) == (None, None, "wrong")
