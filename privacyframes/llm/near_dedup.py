@@ -8,6 +8,7 @@ verified on the full sets. Components are found by spreading the least label alo
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 
@@ -131,6 +132,9 @@ class Work:
         self.count += 1
         path = f"{self.folder}/{self.count}"
         rows.write.parquet(path)
+        # The step's shuffles are garbage now; collecting it lets Spark's cleaner remove their files before the next step adds its own.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(rows.schema).parquet(path)
 
 
@@ -183,13 +187,13 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # Inverted lists. Values are cut to 32 bits here: a collision only makes a list longer.
     def spread(batches):
         for batch in batches:
-            values = [np.frombuffer(x, np.uint64) for x in batch["sketch"].to_pylist()]
+            values = [np.unique(np.frombuffer(x, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) for x in batch["sketch"].to_pylist()]
             lengths = [len(v) for v in values]
-            flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
+            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             at = pa.array(np.repeat(np.arange(len(values)), lengths))
-            yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["n"].take(at), pa.array((flat & np.uint64(0xFFFFFFFF)).astype(np.int64))], ["key", "n", "value"])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["n"].take(at), pa.array(flat)], ["key", "n", "value"])
 
-    values = classes.select("key", "n", "sketch").mapInArrow(spread, "key binary, n long, value long").distinct()
+    values = classes.select("key", "n", "sketch").mapInArrow(spread, "key binary, n long, value long")
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
     met = work.table(values.join(often, "value"))
     # Two sets of up to 51 shingles are compared whole and share 4/5 of the larger; larger ones share SHARED of the retained values.
@@ -200,7 +204,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # Values that occur once come first in the order and need no list.
     alone = kept_values - F.count("*").over(of_class)
     listed = met.select("*", F.row_number().over(by_rarity).alias("place"), alone.alias("alone")).filter(F.col("place") + F.col("alone") <= kept_values - needed + 1)
-    listed = listed.select("value", "key", "n")
+    listed = work.table(listed.select("value", "key", "n"))
     # Lists with the same members are one list.
     same = Window.partitionBy("members", "sum", "low")
     shapes = listed.groupBy("value").agg(F.count("*").alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low"), F.max("key").alias("high"))
@@ -213,7 +217,8 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
     first = work.table(_passing(pairs, sketches))
-    links = work.table(_verified(rows, classes, first, words))
+    sets = work.table(_sets(rows, classes, lists, words))
+    links = work.table(_verified(sets, first))
     labels = components(work, links)
 
     # The rest: lists that still span several components, block against block; only pairs across components are looked at.
@@ -227,7 +232,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", (F.col("block") > F.col("with")).cast("int").alias("side"))
     more = own.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
     more = work.table(more)
-    links = links.union(_verified(rows, classes, more, words))
+    links = links.union(work.table(_verified(sets, more)))
     labels = components(work, links)
 
     # Component of a class, its smallest document, and back to the documents.
@@ -245,10 +250,9 @@ def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a binary, b binary")
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Sets are made only for documents that stand for a class in some pair."""
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = classes.join(asked, "key").select(F.col("least").alias("doc")).distinct()
+def _sets(rows: DataFrame, classes: DataFrame, lists: DataFrame, words: int) -> DataFrame:
+    """Full sets of the classes that stand in some list, from one document of each; the others are not made."""
+    wanted = classes.join(lists.select("key").distinct(), "key", "left_semi").select(F.col("least").alias("doc")).distinct()
 
     def whole(batches):
         for batch in batches:
@@ -257,8 +261,12 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int)
                 sets = shingle_sets(texts[a:b], words)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set"])
 
-    sets = rows.join(wanted, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary")
-    sets = sets.groupBy("key").agg(F.min("set").alias("set"))
+    found = rows.join(wanted, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary")
+    return found.groupBy("key").agg(F.min("set").alias("set"))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
     a, b = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact, "a binary, b binary")
 
