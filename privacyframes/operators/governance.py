@@ -92,7 +92,8 @@ def append_events(events: DataFrame, tails: DataFrame | None = None, chain: str
     if tails is None:
         source = events.withColumn("last_hash", F.lit(None).cast("string"))
     else:
-        source = events.join(tails.select(chain, "last_hash"), chain, "left")
+        known = tails.select(F.col(chain).alias("__chain"), "last_hash")
+        source = events.join(known, F.col(chain).eqNullSafe(F.col("__chain")), "left").drop("__chain")
     fields = ["id", "user_id", "action", "details", "timestamp"]
     slim = source.select(
         F.col(chain).alias("chain_key"),

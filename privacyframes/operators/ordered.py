@@ -1,16 +1,20 @@
 """Ordered computations over keyed rows that stay parallel when one key holds most of the data.
 
 Rows are split by (key, bucket), where buckets follow the order. Windows run inside a bucket; one small row per
-bucket carries the rest over. All steps share the (key, bucket) partitioning, so rows are shuffled once.
+bucket carries the rest over. All steps share the (key, bucket) partitioning; each step aggregates its input once for the bucket rows
+and once more for the rows themselves.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 BUCKET = "__bucket"
 
@@ -40,7 +44,10 @@ def _carry(df: DataFrame, keys: list[str], edges: DataFrame, combine) -> DataFra
     # One row per bucket and key here; without keys that is at most the number of buckets.
     order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(BUCKET)
     carried = edges.select(*keys, BUCKET, combine(order).alias("__carry"))
-    return df.join(carried, [*keys, BUCKET], "left")
+    # Null is a key like others.
+    named = carried.select(*[F.col(k).alias(f"__{k}") for k in [*keys, BUCKET]], "__carry")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, BUCKET]]
+    return df.join(named, same, "left").drop(*[f"__{k}" for k in [*keys, BUCKET]])
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -74,12 +81,19 @@ def quiet_segments(df: DataFrame, key: str, order: list[str], t: str, gap: int,
     """Number each key's stretches separated by more than ``gap`` units of ``t`` without rows.
 
     ``df`` needs a bucket column. (key, segment) is then a finer grouping key for machines that forget
-    everything during such a silence.
+    everything during such a silence. All facts of a bucket are taken in one aggregation: its ends and its own silences.
     """
-    marked = previous(df, [key], order, t, "__before").withColumn(
-        "__new", F.coalesce((F.col(t) - F.col("__before") > gap).cast("int"), F.lit(0))
-    )
-    return running(marked, [key], order, "__new", "sum", out, own=True).drop("__before", "__new")
+    w = Window.partitionBy(key, BUCKET).orderBy(*order)
+    silent = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("long"), F.lit(0))
+    local = df.withColumn("__new", silent).withColumn("__local", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    facts = local.groupBy(key, BUCKET).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.sum("__new").alias("n"))
+    over = Window.partitionBy(key).orderBy(BUCKET)
+    opened = F.coalesce((F.col("first") - F.lag("last").over(over) > gap).cast("long"), F.lit(0))
+    facts = facts.withColumn("opened", opened)
+    before = F.coalesce(F.sum(F.col("n") + F.col("opened")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = facts.select(F.col(key).alias("__key"), F.col(BUCKET).alias("__at"), (before + F.col("opened")).alias("__carry"))
+    joined = local.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col(BUCKET) == F.col("__at")))
+    return joined.withColumn(out, F.col("__carry") + F.col("__local")).drop("__new", "__local", "__key", "__at", "__carry")
 
 
 def reset_segments(
@@ -88,17 +102,13 @@ def reset_segments(
     """Number each key's stretches so that a login guard starts clean in each of them.
 
     A success at least ``lock`` after the last failure cannot be blocked, so it clears all state; the row
-    after it starts a new stretch.
+    after it starts a new stretch: a row's number is the count of clearing rows before it.
     """
     failed = df.withColumn("__fail", F.when(~F.col(success), F.col(t)))
     known = running(failed, [key], order, "__fail", "max", "__last_fail", own=False)
     clears = F.col(success) & F.coalesce(F.col(t) - F.col("__last_fail") >= lock, F.lit(True))
-    marked = previous(known.withColumn("__clears", clears), [key], order, "__clears", "__new").withColumn(
-        "__new", F.coalesce(F.col("__new").cast("int"), F.lit(0))
-    )
-    return running(marked, [key], order, "__new", "sum", out, own=True).drop(
-        "__fail", "__last_fail", "__clears", "__new"
-    )
+    marked = known.withColumn("__clears", F.coalesce(clears.cast("int"), F.lit(0)))
+    return running(marked, [key], order, "__clears", "sum", out, own=False).drop("__fail", "__last_fail", "__clears")
 
 
 def run_in_order(
@@ -106,28 +116,29 @@ def run_in_order(
 ) -> DataFrame:
     """Feed each key's rows in order to its own state object; gives ``keep`` columns plus ``outputs``.
 
-    ``begin(first_row)`` makes the state; ``state.step(row)`` returns one row's output values. Spark partitions
-    and sorts (spilling as needed) and streams Arrow batches, so memory holds one batch and one state no
-    matter how many rows a key has.
+    ``begin(first_row)`` makes the state; ``state.step(row)`` returns one row's output values. A row has the keys and the columns that
+    are not only kept; kept columns pass through untouched, so every type and null stays as it is, and null is a key like others. Spark
+    partitions and sorts (spilling as needed) and streams Arrow batches, so memory holds one batch and one state no matter how many
+    rows a key has.
     """
     kinds = dict(df.dtypes)
-    names = [f.strip().split()[0] for f in outputs.split(",")]
+    added = T.StructType.fromDDL(outputs)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], outputs])
-    places = [df.columns.index(k) for k in keys]
+    seen = [c for c in df.columns if c in keys or c not in keep]
+    places = [seen.index(k) for k in keys]
+    out_names, out_types = [f.name for f in added], [to_arrow_type(f.dataType) for f in added]
 
     def run(batches):
+        Row = namedtuple("Row", seen, rename=True)
         current, state = None, None
-        for pdf in batches:
+        for batch in batches:
             results = []
-            for row in pdf.itertuples(index=False):
+            for row in map(Row._make, zip(*(batch.column(c).to_pylist() for c in seen), strict=True)):
                 key = tuple(row[i] for i in places)
                 if key != current:
                     current, state = key, begin(row)
                 results.append(state.step(row))
-            if results:
-                out = pdf[keep].copy()
-                for name, column in zip(names, zip(*results)):
-                    out[name] = pd.Series(column, index=out.index, dtype=object)
-                yield out
+            new = [pa.array([r[i] for r in results], kind) for i, kind in enumerate(out_types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *new], [*keep, *out_names])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -263,6 +263,20 @@ def append(spark, sf):
     return G.append_events(events_as_actions(spark, sf))
 
 
+_ODD_USER = "case when user_id % 10 = 3 then null else user_id + 9007199254740992 end"
+_ODD_CHAINED = (
+    _CHAINED.replace("event_id as id, user_id,", f"event_id as id, {_ODD_USER} as user_id,")
+    .replace("user_id || '|'", "coalesce(cast(user_id as varchar), 'None') || '|'")
+    .replace("e.user_id = c.user_id", "e.user_id is not distinct from c.user_id")
+)
+
+
+@query("g3_append_null_user", _ODD_CHAINED + ' select id, user_id, action, details, "timestamp", prev_hash, log_hash from chain')
+def append_odd_users(spark, sf):
+    """Ids that floats can't hold, and one chain for records without a user."""
+    return G.append_events(events_as_actions(spark, sf).withColumn("user_id", F.expr(_ODD_USER)))
+
+
 @query("g4_recent_logs", f'select id, action, "timestamp" from ({_ACTIONS}) order by "timestamp" desc, id desc limit 100')
 def recent(spark, sf):
     return G.recent_logs(events_as_actions(spark, sf)).select("id", "action", "timestamp")
@@ -536,6 +550,19 @@ def _stream(spark, sf, name):
     return source.parquet(sf)
 
 
+_ODD_CLIENT = "case when user_id % 10 = 3 then null else user_id end"
+_ODD_RATE = _RATE.replace("from events)", f"from (select event_id, ts, {_ODD_CLIENT} as user_id from events))").replace(
+    "e.user_id = w.user_id", "e.user_id is not distinct from w.user_id"
+)
+
+
+@query("t1_null_client", _ODD_RATE)
+def rate_limit_null_client(spark, sf):
+    """Requests without a client are limited together."""
+    events = table(spark, sf, "events").withColumn("user_id", F.expr(_ODD_CLIENT))
+    return B.rate_limit(_requests(events), limit=LIMIT, window_seconds=WINDOW)
+
+
 @query("t1_rate_limit_stream", _RATE)
 def rate_limit_stream(spark, sf):
     limited = S.rate_limit_stream(_requests(_stream(spark, sf, "events")), LIMIT, WINDOW)

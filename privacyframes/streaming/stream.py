@@ -75,10 +75,14 @@ class _Machine(StatefulProcessor):
 def _keyed(stream: DataFrame, key: str, order, keep, outputs: str, state: str, load, save) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kinds = dict(stream.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in [key, *keep]] + [outputs])
+    # Whole numbers travel as text: pandas would turn a column with a null into floats.
+    whole = {c for c in [key, *keep] if kinds[c] in ("bigint", "int") and c not in order}
+    stream = stream.withColumns({c: F.col(c).cast("string") for c in whole})
+    schema = ", ".join([f"{c} {'string' if c in whole else kinds[c]}" for c in [key, *keep]] + [outputs])
     names = [f.strip().split()[0] for f in outputs.split(",")]
     processor = _Machine(key, order, keep, names, state, load, save)
-    return stream.groupBy(key).transformWithStateInPandas(processor, T.StructType.fromDDL(schema), "append", "none")
+    done = stream.groupBy(key).transformWithStateInPandas(processor, T.StructType.fromDDL(schema), "append", "none")
+    return done.withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
 
 
 def rate_limit_stream(
