@@ -24,6 +24,8 @@ from .substring_dedup import word_hashes, word_places
 #: Values of a sketch; values a pair at the threshold shares at least (51 of 64 are expected at 0.8: 32 is six deviations below);
 #: estimate under which a pair is dropped (deviation 0.05); members of a block.
 SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.55, 64
+#: Ids that may go to every task (16 MB); beyond, they are joined.
+BROADCAST = 1 << 20
 
 
 def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
@@ -195,7 +197,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     values = classes.select("key", "n", "sketch").mapInArrow(spread, "key binary, n long, value long")
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
-    met = work.table(values.join(often, "value"))
+    met = values.join(often, "value")
     # Two sets of up to 51 shingles are compared whole and share 4/5 of the larger; larger ones share SHARED of the retained values.
     kept_values = F.least(F.col("n"), F.lit(SKETCH))
     needed = F.when(F.col("n") * 5 <= SKETCH * 4, F.ceil(F.col("n") * 0.8)).otherwise(SHARED)
@@ -217,8 +219,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
     first = work.table(_passing(pairs, sketches))
-    sets = work.table(_sets(rows, classes, lists, words))
-    links = work.table(_verified(sets, first))
+    links = work.table(_verified(_sets(work, rows, classes, first, words), first))
     labels = components(work, links)
 
     # The rest: lists that still span several components, block against block; only pairs across components are looked at.
@@ -232,7 +233,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", (F.col("block") > F.col("with")).cast("int").alias("side"))
     more = own.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
     more = work.table(more)
-    links = links.union(work.table(_verified(sets, more)))
+    links = links.union(work.table(_verified(_sets(work, rows, classes, more, words), more)))
     labels = components(work, links)
 
     # Component of a class, its smallest document, and back to the documents.
@@ -250,9 +251,14 @@ def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a binary, b binary")
 
 
-def _sets(rows: DataFrame, classes: DataFrame, lists: DataFrame, words: int) -> DataFrame:
-    """Full sets of the classes that stand in some list, from one document of each; the others are not made."""
-    wanted = classes.join(lists.select("key").distinct(), "key", "left_semi").select(F.col("least").alias("doc")).distinct()
+def _sets(work: Work, rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Full sets of the classes in some pair, from one document of each; no other text is hashed again.
+
+    Up to ``BROADCAST`` ids go to every task, so that texts stay where they are; more are joined by a shuffle.
+    """
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+    wanted = work.table(classes.join(asked, "key", "left_semi").select(F.col("least").alias("doc")).distinct())
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
 
     def whole(batches):
         for batch in batches:
@@ -261,12 +267,11 @@ def _sets(rows: DataFrame, classes: DataFrame, lists: DataFrame, words: int) ->
                 sets = shingle_sets(texts[a:b], words)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set"])
 
-    found = rows.join(wanted, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary")
-    return found.groupBy("key").agg(F.min("set").alias("set"))
+    return work.table(rows.join(few, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary"))
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
+    """Pairs whose full sets are similar enough; a pair may come twice where an id does."""
     a, b = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact, "a binary, b binary")
 
