@@ -72,31 +72,37 @@ def verdict(malicious: Column, suspicious: Column, harmless: Column) -> Column:
 
 
 def resolve_reputation(incoming: DataFrame, known_files: DataFrame, provider: DataFrame) -> DataFrame:
-    """Add ``scan_status`` and ``scan_source`` by content hash.
+    """Add ``scan_status``, ``scan_source`` and ``scan_payload`` by content hash.
 
     The newest earlier file record with a status decides (if that status is a known one); otherwise the
-    provider's counts; otherwise unknown. Both lookups are reduced to one row per hash before they join.
+    provider's counts; otherwise unknown, with source none. Both lookups are reduced to one row per hash before they join.
 
-    known_files: id, file_sha256, malware_scan_status. provider: sha256, malicious, suspicious, harmless.
+    known_files: id, file_sha256, malware_scan_status, malware_scan_payload if stored. provider: sha256, malicious, suspicious,
+    harmless; its payload is the counts as JSON.
     """
+    payload = "malware_scan_payload"
+    stored = F.coalesce(payload, F.lit("{}")) if payload in known_files.columns else F.lit("{}")
     latest = (
         known_files.filter(F.col("malware_scan_status").isNotNull())
         .groupBy(F.col("file_sha256").alias("content_sha256"))
-        .agg(F.max_by("malware_scan_status", "id").alias("cached"))
+        .agg(F.max_by("malware_scan_status", "id").alias("cached"), F.max_by(stored, "id").alias("cached_payload"))
         .filter(F.col("cached").isin(*VERDICTS))
     )
     counts = provider.groupBy(F.col("sha256").alias("content_sha256")).agg(
         *[F.max(c).alias(c) for c in ("malicious", "suspicious", "harmless")]
     )
     listed = counts.select(
-        "content_sha256", verdict(F.col("malicious"), F.col("suspicious"), F.col("harmless")).alias("asked")
+        "content_sha256",
+        verdict(F.col("malicious"), F.col("suspicious"), F.col("harmless")).alias("asked"),
+        F.to_json(F.struct("malicious", "suspicious", "harmless")).alias("asked_payload"),
     )
     return (
         incoming.join(latest, "content_sha256", "left")
         .join(listed, "content_sha256", "left")
         .withColumn("scan_status", F.coalesce("cached", "asked", F.lit("unknown")))
-        .withColumn("scan_source", F.when(F.col("cached").isNotNull(), "cache").otherwise("provider"))
-        .drop("cached", "asked")
+        .withColumn("scan_source", F.when(F.col("cached").isNotNull(), "cache").when(F.col("asked").isNotNull(), "provider").otherwise("none"))
+        .withColumn("scan_payload", F.coalesce("cached_payload", "asked_payload", F.lit("{}")))
+        .drop("cached", "asked", "cached_payload", "asked_payload")
     )
 
 

@@ -204,7 +204,12 @@ def visible_files(files: DataFrame, user_id: int, role: str) -> DataFrame:
 
 
 def catalog(files: DataFrame) -> DataFrame:
-    """File list, newest first; the summary stays a map."""
+    """File list, newest first; the summary stays a map. A file without a scan shows status unknown and source none."""
+
+    def scanned(column: str, missing: str) -> Column:
+        value = F.col(column) if column in files.columns else F.lit(None).cast("string")
+        return F.coalesce(F.nullif(value, F.lit("")), F.lit(missing)).alias(column)
+
     return files.select(
         "id",
         "filename",
@@ -213,17 +218,37 @@ def catalog(files: DataFrame) -> DataFrame:
         "pii_count",
         effective_mode(F.col("filename"), F.col("sanitization_mode")).alias("sanitization_mode"),
         "summary",
+        scanned("malware_scan_status", "unknown"),
+        scanned("malware_scan_source", "none"),
         "retention_expires_at",
         "legal_hold",
     ).orderBy(F.desc("upload_time"), F.desc("id"))
 
 
-def search(sanitized: DataFrame, term: str, preview: int = 350) -> DataFrame:
-    """Case-insensitive substring search over stored sanitized text and file names, newest first."""
-    if len(term) < 2:
+def search(
+    sanitized: DataFrame,
+    terms: str | list[str],
+    user_id: int | None = None,
+    months: tuple[str, str] | None = None,
+    preview: int = 350,
+) -> DataFrame:
+    """Rows that hold any of the terms in their stored sanitized text or file name, whatever the case, newest first.
+
+    One scan and one sort for all terms. With ``user_id`` only that user's files are searched (administrators search all);
+    ``months`` ('2024-01', '2024-03', both included) reads only those partitions of a store written by month.
+    """
+    wanted = [terms] if isinstance(terms, str) else list(terms)
+    if not wanted or any(len(t) < 2 for t in wanted):
         raise ValueError("the search term needs at least two characters")
-    needle = F.lower(F.lit(term))
-    hit = F.contains(F.lower("sanitized_text"), needle) | F.contains(F.lower("filename"), needle)
+    text, name = F.lower("sanitized_text"), F.lower("filename")
+    hit = F.lit(False)
+    for t in wanted:
+        needle = F.lower(F.lit(t))
+        hit = hit | F.contains(text, needle) | F.contains(name, needle)
+    if user_id is not None:
+        sanitized = sanitized.filter(F.col("uploaded_by") == user_id)
+    if months is not None:
+        sanitized = sanitized.filter(F.col("upload_month").between(*months))
     return (
         sanitized.filter(hit)
         .select("id", "filename", "upload_time", F.substring("sanitized_text", 1, preview).alias("preview"))

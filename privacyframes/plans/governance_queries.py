@@ -366,7 +366,7 @@ def visible(spark, sf):
     "g14_catalog",
     oracle.findings_sql(
         CORPUS_TEXTS,
-        f"select f.id, filename, uploaded_by, upload_time, coalesce(n, 0) as pii_count, {_MODE} as sanitization_mode, coalesce(k.names, '') as entities, retention_expires_at, legal_hold from ({DUCK_FILES_SQL}) f "
+        f"select f.id, filename, uploaded_by, upload_time, coalesce(n, 0) as pii_count, {_MODE} as sanitization_mode, coalesce(k.names, '') as entities, case when f.id % 3 = 0 then 'unknown' else 'clean' end as malware_scan_status, case when f.id % 3 = 0 then 'none' else 'cache' end as malware_scan_source, retention_expires_at, legal_hold from ({DUCK_FILES_SQL}) f "
         "left join (select doc_id, sum(m)::bigint as n, string_agg(entity_type || '=' || m, ',' order by entity_type) as names from (select doc_id, entity_type, count(*) as m from kept group by all) group by 1) k on f.id = k.doc_id",
     ),
 )
@@ -377,27 +377,38 @@ def catalog(spark, sf):
     files = inputs.files(spark, sf)
     keep = [c for c in files.columns if c != "text"]
     # The stored form of a summary is JSON text.
+    scan = {"malware_scan_status": "clean", "malware_scan_source": "cache"}
     stored = with_summary(files, keep).withColumn("detection_summary", F.to_json("summary")).drop("summary")
+    stored = stored.withColumns({c: F.when(F.col("id") % 3 == 1, v).when(F.col("id") % 3 == 2, v).otherwise("" if c.endswith("status") else None) for c, v in scan.items()})
     listed = G.catalog(stored.withColumn("summary", parse_summary(F.col("detection_summary"))))
     pairs = F.transform(F.array_sort(F.map_entries("summary")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return listed.withColumn("entities", F.array_join(pairs, ",")).drop("summary")
 
 
-@query(
-    "g15_search",
+_FOUND = (
     _spliced(CORPUS_TEXTS, masks_sql.mask("entity_type", "value"))
     + f", f as ({DUCK_FILES_SQL}) select f.id, filename, upload_time, substring(sanitized_text, 1, 350) as preview from f join clean c on f.id = c.doc_id "
-    "where contains(lower(sanitized_text), 'market') or contains(lower(sanitized_text), 'port_1') or contains(lower(filename), 'port_1')",
+    "where (contains(lower(sanitized_text), 'market') or contains(lower(sanitized_text), 'port_1') or contains(lower(filename), 'port_1'))"
 )
-def search(spark, sf):
-    files = inputs.files(spark, sf)
-    clean = sanitize_documents(files, ["id", "filename", "upload_time"])
+
+
+def _stored_results(spark, sf):
+    """Searches read stored results; they never sanitize."""
+    keys = ["id", "filename", "uploaded_by", "upload_time"]
     base = _scratch(spark)
-    # Searches read stored results; they never sanitize.
-    writers.write_results(clean.select("id", "filename", "upload_time", "sanitized_text"), base, "upload_time")
-    stored = spark.read.parquet(base)
-    first, second = G.search(stored, "MARKET"), G.search(stored, "port_1")
-    return first.unionByName(second).distinct()
+    writers.write_results(sanitize_documents(inputs.files(spark, sf), keys).select(*keys, "sanitized_text"), base, "upload_time")
+    return spark.read.parquet(base)
+
+
+@query("g15_search", _FOUND)
+def search(spark, sf):
+    return G.search(_stored_results(spark, sf), ["MARKET", "port_1"])
+
+
+@query("g15_user_scope", _FOUND + " and uploaded_by = 5 and strftime(upload_time, '%Y-%m') between '2024-01' and '2024-02'")
+def search_own(spark, sf):
+    """A user finds only their own files; two months of the store are read."""
+    return G.search(_stored_results(spark, sf), ["MARKET", "port_1"], user_id=5, months=("2024-01", "2024-02"))
 
 
 @query("s20_download_names", f"select id, regexp_replace(filename, '\\.[^.]*$', '') || '.sanitized.txt' as text_name, regexp_replace(filename, '\\.[^.]*$', '') || '.sanitized' || lower(regexp_extract(filename, '\\.[^.]*$')) as same_name from ({DUCK_FILES_SQL})")
