@@ -5,7 +5,7 @@ Input tables hold what a file decoder produced; the text work and the re-assembl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.detect import FINDINGS
@@ -131,21 +131,20 @@ def sanitize_pages(pages: DataFrame, payloads: DataFrame | None = None, mode: st
 def segments_to_hide(segments: DataFrame, page_findings: DataFrame, keys: list[str]) -> DataFrame:
     """Text segments touched by any finding of their page.
 
-    ``page_findings``: keys and ``findings``. The spans travel as one small array per page, so there is one
-    equi-join on the page and no range join.
+    ``page_findings``: keys and ``findings``, which are disjoint and in order. So the last finding that starts before a segment's end
+    decides: one pass over the segments and findings of a page in order, nothing is compared pair by pair.
     """
-    spans = page_findings.select(
-        *keys, F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"))).alias("spans")
-    )
-    hit = F.exists(
-        "spans", lambda s: (s["start"] < F.col("segments.end")) & (F.col("segments.start") < s["end"])
-    )
-    return (
-        segments.alias("segments")
-        .join(spans, keys)
-        .filter(hit)
-        .select(*[F.col(f"segments.{c}") if c not in keys else F.col(c) for c in segments.columns])
-    )
+    spans = page_findings.select(*keys, F.explode("findings").alias("f")).select(
+        *keys, F.col("f.start").alias("pos"), F.lit(1).alias("kind"), F.col("f.end").alias("reach"),
+        F.lit(None).cast(segments.select(F.struct(*segments.columns).alias("s")).schema["s"].dataType).alias("segment"),
+    )
+    placed = segments.select(
+        *keys, F.col("end").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast(spans.schema["reach"].dataType).alias("reach"),
+        F.struct(*segments.columns).alias("segment"),
+    )
+    before = Window.partitionBy(*keys).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.unionByName(spans).withColumn("reach", F.last("reach", ignorenulls=True).over(before))
+    return met.filter((F.col("kind") == 0) & (F.col("reach") > F.col("segment.start"))).select("segment.*")
 
 
 def scale_boxes(boxes: DataFrame, x_scale: Column, y_scale: Column) -> DataFrame:

@@ -427,6 +427,16 @@ def text_sink(spark, sf):
     return spark.read.text(base)
 
 
+@query("s20_document_sink", _spliced("select 'p' as src, page_id as doc_id, html || chr(10) || page_id || chr(10) || 'a@b.co' as text from pages", _REDACT) + "select doc_id as id, sanitized_text from clean")
+def document_sink(spark, sf):
+    """Texts of several lines, each back under its own key."""
+    base = _scratch(spark)
+    text = F.concat("html", F.lit("\n"), F.col("page_id").cast("string"), F.lit("\na@b.co"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), text.alias("text"))
+    writers.write_documents(sanitize_documents(pages, ["id"], mode="redact"), base, ["id"])
+    return readers.read_json_records(spark, base, "id bigint, sanitized_text string")
+
+
 _EXPORT = f'select id, user_id, action, details, {_ISO} as "timestamp", prev_hash, log_hash from chain'
 
 
@@ -447,6 +457,18 @@ def export_jsonl(spark, sf):
     )
 
 
+@query("s21_audit_export_json", _CHAINED + " " + _EXPORT)
+def export_json(spark, sf):
+    """The array form: its parts, read in order, open and close it once."""
+    base = _scratch(spark)
+    writers.export_audit_logs(G.append_events(events_as_actions(spark, sf)), base, "json")
+    lines = spark.read.text(base)
+    ends = lines.agg(F.count_if(F.col("value").startswith("[")).alias("opened"), F.count_if(F.col("value").endswith("]")).alias("closed"))
+    record = F.from_json(F.regexp_replace("value", r"^[\[,]|\]$", ""), LOG_SCHEMA.replace("timestamp timestamp", "timestamp string"))
+    whole = ends.filter("opened = 1 and closed = 1").select(F.lit(True).alias("whole"))
+    return lines.withColumn("whole", F.lit(True)).join(F.broadcast(whole), "whole").select(record.alias("r")).select("r.*")
+
+
 @query(
     "s22_backup_counts",
     f"select 'users' as item, count(distinct c_custkey % 20) as value from customer where c_custkey % 20 not in (3, 11) union all select 'files', count(*) from customer "

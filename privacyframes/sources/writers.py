@@ -35,6 +35,11 @@ def write_text(df: DataFrame, path: str, text: str = "sanitized_text") -> None:
     df.select(F.col(text).alias("value")).write.text(path, lineSep="\n")
 
 
+def write_documents(df: DataFrame, path: str, keys: list[str], text: str = "sanitized_text") -> None:
+    """One text per document with its keys, line ends and all: a JSON record per line, so documents never run into each other."""
+    write_json(df.select(*keys, text), path)
+
+
 def write_results(results: DataFrame, path: str, month_of: str | None = None) -> None:
     """Stored sanitized results, partitioned by month when a time column is named (search and dashboards
     then read only the months they need). Rebalancing first gives few files per month and splits big months."""
