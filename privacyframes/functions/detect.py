@@ -137,38 +137,65 @@ def _from_patterns(text: X, recognizers: Sequence[Recognizer], strict: bool) ->
     return let(_probe(text), collect) if recognizers else empty(_CANDIDATES)
 
 
-def _placed(text: X, x: X, order: X, entity: X, score: X, value: X, source: str) -> X:
-    return struct(
-        start=x.start,
-        end=x.end,
-        ord=order,
-        entity_type=entity,
-        score=score,
-        value=value,
-        source=source,
-        b0=fn.octet_length(fn.substring(text, 1, x.start)),
-        b1=fn.octet_length(fn.substring(text, 1, x.end)),
-        rank=_lookup(fixed.ENTITY_RANK, entity, fixed.DEFAULT_RANK),
-    )
+def _placed(text: X, hits: X, order, entity, score, value, source: str) -> X:
+    """Candidates from hits with code point bounds; ``order``, ``entity``, ``score`` and ``value`` are functions of the located hit.
+
+    A located hit has ``x`` (the hit), ``i`` (its place in the input), ``b0`` (byte offset), and ``slice`` (its text). Hits are walked in
+    the order of their starts, and text is cut at four bytes a character, so the cost is that of the text between them.
+    """
+
+    def located(raw: X) -> X:
+        n = (fn.octet_length(raw) / 4).cast("int")
+
+        def clamp(v: X) -> X:
+            return fn.greatest(0, fn.least(v, n))
+
+        def cut(first: X, end: X) -> X:
+            return fn.decode(fn.substring(raw, first * 4 + 1, fn.greatest(0, end - first) * 4), "UTF-32")
+
+        def walk(items: X) -> X:
+            gaps = fn.transform(
+                items, lambda s, j: fn.octet_length(cut(fn.coalesce(fn.get(items, j - 1)["at"], 0), s["at"])).cast("bigint")
+            )
+            offsets = running(gaps, lambda v, g: v + g)
+
+            def one(s: X, b0: X) -> X:
+                # A negative start counts from nothing: such a hit keeps what the text functions give for it.
+                part = when(s.x.start < 0, fn.substring(text, s.x.start + 1, s.x.end - s.x.start)).otherwise(cut(s["at"], clamp(s.x.end)))
+                whole = struct(x=s.x, i=s.i, b0=b0.cast("int"), slice=part, reach=fn.octet_length(cut(s["at"], clamp(s.x.end))))
+                return let(
+                    whole,
+                    lambda h: struct(
+                        start=h.x.start,
+                        end=h.x.end,
+                        ord=order(h),
+                        entity_type=entity(h),
+                        score=score(h),
+                        value=value(h),
+                        source=source,
+                        b0=h.b0,
+                        b1=h.b0 + h.reach,
+                        rank=_lookup(fixed.ENTITY_RANK, entity(h), fixed.DEFAULT_RANK),
+                    ),
+                )
 
+            return let(offsets, lambda at: fn.transform(items, lambda s, j: one(s, fn.get(at, j))))
 
-def _slice_text(text: X, x: X) -> X:
-    return fn.substring(text, x.start + 1, x.end - x.start)
+        return let(fn.array_sort(fn.transform(hits, lambda x, i: struct(at=clamp(x.start), i=i, x=x))), walk)
+
+    return let(fn.encode(text, "UTF-32"), located)
 
 
 def _from_external(text: X, hits: X, strict: bool) -> X:
     """Hits of an outside recogniser: label map, score floor, value cut from the text, validation."""
-    placed = fn.transform(
+    placed = _placed(
+        text,
         hits,
-        lambda x, i: _placed(
-            text,
-            x,
-            i - _LATE_ORD,
-            _lookup(fixed.EXTERNAL_LABEL_ENTITY, x.label, x.label),
-            x.score,
-            _slice_text(text, x),
-            "presidio",
-        ),
+        lambda h: h.i - _LATE_ORD,
+        lambda h: _lookup(fixed.EXTERNAL_LABEL_ENTITY, h.x.label, h.x.label),
+        lambda h: h.x.score,
+        lambda h: h["slice"],
+        "presidio",
     )
     return fn.filter(
         placed, lambda c: (c.score >= fixed.EXTERNAL_MIN_SCORE) & valid_finding(c.entity_type, c.value, strict)
@@ -178,17 +205,14 @@ def _from_external(text: X, hits: X, strict: bool) -> X:
 def _from_late(text: X, hits: X, strict: bool) -> X:
     """Hits of a second-stage recogniser: bounds check, fixed score, label used as it is."""
     inside = fn.filter(hits, lambda x: (x.start >= 0) & (x.end > x.start) & (x.end <= fn.length(text)))
-    placed = fn.transform(
+    placed = _placed(
+        text,
         inside,
-        lambda x, i: _placed(
-            text,
-            x,
-            i + _LATE_ORD,
-            fn.trim(x.entity_type),
-            lit(fixed.LATE_SCORE),
-            fn.coalesce(fn.nullif(x.value, ""), _slice_text(text, x)),
-            "llm",
-        ),
+        lambda h: h.i + _LATE_ORD,
+        lambda h: fn.trim(h.x.entity_type),
+        lambda h: lit(fixed.LATE_SCORE),
+        lambda h: fn.coalesce(fn.nullif(h.x.value, ""), h["slice"]),
+        "llm",
     )
     return fn.filter(placed, lambda c: valid_finding(c.entity_type, c.value, strict))
 
@@ -271,13 +295,10 @@ def resolved_spans(
         return _resolve(found)
 
     def with_late(seen: X) -> X:
-        # A span already proposed in the first pass stays settled, even if it lost there.
-        def is_new(c: X) -> X:
-            return ~fn.exists(
-                seen, lambda s: (s.start == c.start) & (s.end == c.end) & (s.entity_type == c.entity_type)
-            )
-
-        fresh = _first_of_each(fn.filter(_from_late(text, late, strict_aadhaar), is_new))
+        # A span already proposed in the first pass stays settled, even if it lost there: it comes first among its equals.
+        fresh = fn.filter(
+            _first_of_each(fn.concat(seen, _from_late(text, late, strict_aadhaar))), lambda c: c.ord >= _LATE_ORD
+        )
         return let(
             _resolve(seen),
             lambda first: when(fn.size(fresh) == 0, first).otherwise(_resolve(fn.concat(first, fresh))),
