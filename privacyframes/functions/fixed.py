@@ -197,6 +197,16 @@ DEFAULT_WEIGHT = 2.0
 RISK_SCALE = 20.0
 RISK_LEVELS = [(80, "critical"), (60, "high"), (30, "medium"), (0, "low")]
 
+# --- fixed values: whole-value checks (re syntax) ------------------------------------------------------------
+MONTH_DATE = (
+    r"(?:0?[1-9]|[12][0-9]|3[01])\s+"
+    r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|"
+    r"Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+[12][0-9]{3}"
+)
+PAN_VALUE = "^[A-Za-z]{5}[0-9]{4}[A-Za-z]$"
+IFSC_VALUE = "^[A-Z]{4}0[A-Z0-9]{6}$"
+PASSPORT_VALUE = "^[A-PR-WY][1-9][0-9]{6}$"
+
 # --- fixed values: admission -------------------------------------------------------------------------------
 SUPPORTED_EXTENSIONS = [
     ".sql", ".csv", ".json", ".pdf", ".docx", ".txt", ".png", ".jpg", ".jpeg",
@@ -204,7 +214,7 @@ SUPPORTED_EXTENSIONS = [
 ]
 STRUCTURED_MIME_TYPES = ["application/json", "application/xml", "application/x-yaml", "application/yaml"]
 REDACT_ONLY_EXTENSIONS = [".pdf", ".png", ".jpg", ".jpeg"]
-EXECUTABLE_MAGIC_HEX = ["4D5A", "7F454C46", "CFFAEDFE", "FEEDFACF"]
+EXECUTABLE_MAGIC = [b"MZ", b"\x7fELF", b"\xcf\xfa\xed\xfe", b"\xfe\xed\xfa\xcf"]
 EICAR_MARKER = r"X5O!P%@AP[4\PZX54(P^)7CC)7}$EICAR-STANDARD-ANTIVIRUS-TEST-FILE!$H+H*"
 MAX_FILE_BYTES = 25 * 1024 * 1024
 TEXT_SNIFF_BYTES = 4096

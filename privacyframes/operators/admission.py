@@ -48,8 +48,8 @@ def is_supported(filename: Column, content_type: Column, content: Column) -> Col
 
 def is_executable(content: Column) -> Column:
     out = F.lit(False)
-    for magic in fixed.EXECUTABLE_MAGIC_HEX:
-        out = out | (F.substring(content, 1, len(magic) // 2) == F.unhex(F.lit(magic)))
+    for magic in fixed.EXECUTABLE_MAGIC:
+        out = out | (F.substring(content, 1, len(magic)) == F.unhex(F.lit(magic.hex())))
     return out
 
 

@@ -60,7 +60,7 @@ _SUPPORTED = (
     f"({_EXT} in ({', '.join(repr(e) for e in fixed.SUPPORTED_EXTENSIONS)}) or starts_with({_TYPE}, 'text/') "
     f"or {_TYPE} in ({', '.join(repr(t) for t in fixed.STRUCTURED_MIME_TYPES)}) or {_TEXTUAL})"
 )
-_EXE = "(" + " or ".join(f"starts_with({_HEX}, '{m}')" for m in fixed.EXECUTABLE_MAGIC_HEX) + ")"
+_EXE = "(" + " or ".join(f"starts_with({_HEX}, '{m.hex().upper()}')" for m in fixed.EXECUTABLE_MAGIC) + ")"
 _TESTSIG = f"contains({_HEX}, '{_MARK}')"
 
 

@@ -59,10 +59,7 @@ def _variants(label: str, pattern: str, ignore_case: bool):
     return [("text" if label in _ORIGINAL else "shadow", ci + pattern)]
 
 
-_MONTH_RE = (
-    r"(?i)(0?[1-9]|[12][0-9]|3[01])\s+(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|"
-    r"sep(tember)?|oct(ober)?|nov(ember)?|dec(ember)?)\s+[12][0-9]{3}"
-)
+_MONTH_RE = "(?i)" + fixed.MONTH_DATE
 
 
 def digits(v: str) -> str:
