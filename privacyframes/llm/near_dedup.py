@@ -23,7 +23,7 @@ from .substring_dedup import word_hashes, word_places
 
 #: Values of a sketch; values a pair at the threshold shares at least (51 of 64 are expected at 0.8: 32 is six deviations below);
 #: estimate under which a pair is dropped (deviation 0.05); members of a block.
-SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.55, 64
+SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.55, 512
 #: Ids that may go to every task (16 MB); beyond, they are joined.
 BROADCAST = 1 << 20
 
@@ -108,18 +108,38 @@ def _exact(batches):
 
 
 def _across(group):
-    """Pairs of one block of a list with another (or itself) that lie in different components and pass the estimate."""
+    """Pairs of one block of a list with another (or itself) that lie in different components and pass the estimate.
+
+    A pair meets in every list that holds both; it is looked at where it meets first in the common order of values, and nowhere else.
+    """
     n = group.num_rows
-    keys, side, label = group["key"].to_pylist(), group["side"].to_pylist(), group["label"].to_pylist()
-    size = group["n"].to_pylist()
+    keys, side, size = group["key"].to_pylist(), np.array(group["side"].to_pylist()), np.array(group["n"].to_pylist())
+    label = np.unique(np.array([x.hex() for x in group["label"].to_pylist()]), return_inverse=True)[1]
+    wanted = (side[:, None] == 0) & (side == 1) | (side[:, None] == 2) & (side == 2) & (np.arange(n)[:, None] < np.arange(n))
+    wanted &= label[:, None] != label
+    wanted &= 5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size)
+    value, holders = group["value"][0].as_py(), {}
+    for i, own in enumerate(group["own"].to_pylist()):
+        for v in own[: own.index(value)]:
+            holders.setdefault(v, []).append(i)
+    for rows in holders.values():
+        if len(rows) > 1:
+            wanted[np.ix_(rows, rows)] = False
+    # Values in common bound the estimate from above; the union sketch decides on what is left.
     sketches = [np.frombuffer(x, np.uint64) for x in group["sketch"].to_pylist()]
+    lengths = np.array([len(x) for x in sketches])
+    held, at = np.unique(np.concatenate(sketches), return_inverse=True)
+    often = np.bincount(at, minlength=len(held)) > 1
+    place = np.cumsum(often) - 1
+    holds = np.zeros((n, int(often.sum())), np.float32)
+    row = np.repeat(np.arange(n), lengths)
+    holds[row[often[at]], place[at[often[at]]]] = 1
+    wanted &= holds @ holds.T >= ESTIMATE * np.maximum(lengths[:, None], lengths)
     a, b = [], []
-    for i in range(n):
-        for j in range(n):
-            if (side[i] == 0 and side[j] == 1 or side[i] == side[j] == 2 and i < j) and label[i] != label[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]):
-                if estimate(sketches[i], sketches[j]) >= ESTIMATE:
-                    a.append(min(keys[i], keys[j]))
-                    b.append(max(keys[i], keys[j]))
+    for i, j in np.argwhere(wanted).tolist():
+        if estimate(sketches[i], sketches[j]) >= ESTIMATE:
+            a.append(min(keys[i], keys[j]))
+            b.append(max(keys[i], keys[j]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -206,12 +226,12 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # Values that occur once come first in the order and need no list.
     alone = kept_values - F.count("*").over(of_class)
     listed = met.select("*", F.row_number().over(by_rarity).alias("place"), alone.alias("alone")).filter(F.col("place") + F.col("alone") <= kept_values - needed + 1)
-    listed = work.table(listed.select("value", "key", "n"))
+    listed = work.table(listed.select("value", "key", "n", "often"))
     # Lists with the same members are one list.
     same = Window.partitionBy("members", "sum", "low")
     shapes = listed.groupBy("value").agg(F.count("*").alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low"), F.max("key").alias("high"))
     shapes = shapes.filter("members > 1").groupBy("members", "sum", "low", "high").agg(F.min("value").alias("value"), F.min_by("low", "value").alias("hub"))
-    lists = work.table(listed.join(shapes.select("value", "members"), "value").select("value", "members", "key", "n"))
+    lists = work.table(listed.join(shapes.select("value", "members"), "value").select("value", "members", "key", "n", "often"))
 
     # First links: every member with three hubs of its list - a set can differ from one hub and be near another.
     hubs = lists.groupBy("value").agg(F.array(F.min("key"), F.max("key"), F.min_by("key", F.xxhash64("key"))).alias("hubs"))
@@ -226,12 +246,15 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     placed = lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_lists = placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("value")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = placed.join(open_lists, "value").join(sketches.drop("n"), "key").withColumn("blocks", blocks)
+    # Each class with its values in the common order (rarest first), of the lists that are left.
+    own = lists.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "value"))), lambda v: v["value"]).alias("own"))
+    open_keys = placed.join(open_lists, "value").drop("often")
+    members = open_keys.join(sketches.drop("n"), "key").join(own, "key").withColumn("blocks", blocks)
     members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    own = members.select("value", F.col("block").alias("i"), F.col("block").alias("j"), "key", "n", "label", "sketch", F.lit(2).alias("side"))
-    other = members.select("value", "block", "key", "n", "label", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).filter("block != with")
-    other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", (F.col("block") > F.col("with")).cast("int").alias("side"))
-    more = own.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
+    same = members.select("value", F.col("block").alias("i"), F.col("block").alias("j"), "key", "n", "label", "sketch", "own", F.lit(2).alias("side"))
+    other = members.select("value", "block", "key", "n", "label", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).filter("block != with")
+    other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", "own", (F.col("block") > F.col("with")).cast("int").alias("side"))
+    more = same.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
     more = work.table(more)
     links = links.union(work.table(_verified(_sets(work, rows, classes, more, words), more)))
     labels = components(work, links)
