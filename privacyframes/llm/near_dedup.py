@@ -24,6 +24,8 @@ from .substring_dedup import word_hashes, word_places
 #: Values of a sketch; values a pair at the threshold shares at least (51 of 64 are expected at 0.8: 32 is six deviations below);
 #: estimate under which a pair is dropped (deviation 0.05); members of a block.
 SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.55, 512
+#: Full sets of one block.
+SETS = 256
 #: Ids that may go to every task (16 MB); beyond, they are joined.
 BROADCAST = 1 << 20
 
@@ -97,14 +99,28 @@ def _estimated(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _exact(batches):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= 80 * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _exact(pairs, sets):
+    """Verified links of one block of pairs. A pair whose ends are linked already, by other pairs of the block, adds nothing."""
+    held = dict(zip(sets["key"].to_pylist(), sets["set"].to_pylist(), strict=True))
+    root: dict[bytes, bytes] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+        if find(x) == find(y):
+            continue
+        p, q = np.frombuffer(held[x], np.uint64), np.frombuffer(held[y], np.uint64)
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        if 100 * both >= 80 * (len(p) + len(q) - both):
+            root[find(x)] = find(y)
+            a.append(x)
+            b.append(y)
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 def _across(group):
@@ -239,7 +255,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
     first = work.table(_passing(pairs, sketches))
-    links = work.table(_verified(_sets(work, rows, classes, first, words), first))
+    links = work.table(_verified(work, _sets(work, rows, classes, first, words), first))
     labels = components(work, links)
 
     # The rest: lists that still span several components, block against block; only pairs across components are looked at.
@@ -256,7 +272,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", "own", (F.col("block") > F.col("with")).cast("int").alias("side"))
     more = same.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
     more = work.table(more)
-    links = links.union(work.table(_verified(_sets(work, rows, classes, more, words), more)))
+    links = links.union(work.table(_verified(work, _sets(work, rows, classes, more, words), more)))
     labels = components(work, links)
 
     # Component of a class, its smallest document, and back to the documents.
@@ -293,10 +309,21 @@ def _sets(work: Work, rows: DataFrame, classes: DataFrame, pairs: DataFrame, wor
     return work.table(rows.join(few, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary"))
 
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose full sets are similar enough; a pair may come twice where an id does."""
-    a, b = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact, "a binary, b binary")
+def _verified(work: Work, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among pairs whose full sets are similar enough.
+
+    Pairs are verified family by family (components of the pairs themselves), a large family in blocks: a set is sent once per block
+    of its family, not once per pair.
+    """
+    family = components(work, pairs)
+    shares = family.groupBy("label").agg(F.ceil(F.count("*") / SETS).cast("int").alias("shares"))
+    placed = work.table(family.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")))
+    a = placed.select(F.col("key").alias("a"), "label", F.col("share").alias("x"))
+    b = placed.select(F.col("key").alias("b"), F.col("share").alias("y"))
+    asked = pairs.join(a, "a").join(b, "b").select(F.col("label").alias("of"), F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), "a", "b")
+    each = placed.join(sets.dropDuplicates(["key"]), "key").select("label", "share", "key", "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("with"))
+    each = each.select("label", F.least("share", "with").alias("i"), F.greatest("share", "with").alias("j"), "key", "set")
+    return asked.groupBy("of", "low", "high").cogroup(each.groupBy("label", "i", "j")).applyInArrow(_exact, "a binary, b binary")
 
 
 @query("op3_near_dedup")
