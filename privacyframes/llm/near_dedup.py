@@ -272,8 +272,9 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", "own", (F.col("block") > F.col("with")).cast("int").alias("side"))
     more = same.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
     more = work.table(more)
-    links = links.union(work.table(_verified(work, _sets(work, rows, classes, more, words), more)))
-    labels = components(work, links)
+    if more.limit(1).count():
+        links = links.union(work.table(_verified(work, _sets(work, rows, classes, more, words), more)))
+        labels = components(work, links)
 
     # Component of a class, its smallest document, and back to the documents.
     named = classes.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
