@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from .sampling import slices
 
 #: Characters of a q-gram; characters of a passage looked for; its share of edits; bytes of benchmark text in one index.
 Q, PASSAGE, EDITS, INDEX_BYTES = 12, 100, 0.05, 16 << 20
+#: Passages aligned together.
+ALIGNED = 1 << 10
 _ODD = 0x9E3779B97F4A7C15
 #: Its powers for blocks of 1, 2 and 4 characters.
 _POWERS = [np.uint64(pow(_ODD, n, 1 << 64)) for n in (1, 2, 4)]
@@ -43,25 +47,31 @@ def gram_keys(code: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+class Windows(NamedTuple):
+    """Passages of one item in one band: the item's number, their starts in it, and the fewest edits their q-grams leave possible."""
+
+    item: int
+    starts: np.ndarray
+    fewest: int
+
+
 class Passages:
-    """q-grams of all passages: pieces of an item of ``PASSAGE`` characters, each half over the next; shorter items are one passage."""
+    """q-grams of all items. Every ``PASSAGE`` characters of an item are a passage, whatever their start; a shorter item is one passage."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.item, self.text, keys, owner, at = [], [], [], [], []
         for item, text in items:
             code, _ = plain(text)
-            starts = [0] if len(code) <= PASSAGE else [*range(0, len(code) - PASSAGE, PASSAGE // 2), len(code) - PASSAGE]
-            for s in starts:
-                piece = code[s : s + PASSAGE]
-                if len(piece) < 2 * Q:
-                    continue  # no q-gram need survive its edits
-                k = gram_keys(piece)
-                keys.append(k)
-                owner.append(np.full(len(k), len(self.item)))
-                at.append(np.arange(len(k)))
-                self.item.append(item)
-                self.text.append(piece)
-        self.length = np.array([len(t) for t in self.text], np.int64)
+            if len(code) < 2 * Q:
+                continue  # no q-gram need survive its edits
+            k = gram_keys(code)
+            keys.append(k)
+            owner.append(np.full(len(k), len(self.item)))
+            at.append(np.arange(len(k)))
+            self.item.append(item)
+            self.text.append(code)
+        #: Characters of a passage of each item.
+        self.length = np.minimum(np.array([len(t) for t in self.text], np.int64), PASSAGE)
         self.budget = (self.length * EDITS).astype(np.int64)
         #: q-gram lemma: k edits destroy at most k * q of the n - q + 1 grams.
         self.least = self.length - Q + 1 - Q * self.budget
@@ -74,7 +84,7 @@ class Passages:
         self.flags[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
     def hits(self, code: np.ndarray):
-        """Places of shared q-grams: place in the text, passage, place in the passage."""
+        """Places of shared q-grams: place in the text, item, place in the item."""
         keys = gram_keys(code)
         place = np.flatnonzero(self.flags[(keys >> np.uint64(42)).astype(np.int64)]) if len(self.keys) else np.zeros(0, np.int64)
         slot = np.minimum(np.searchsorted(self.keys, keys[place]), len(self.keys) - 1)
@@ -85,73 +95,87 @@ class Passages:
         return np.repeat(place, n), self.owner[posting], self.at[posting]
 
     def regions(self, code: np.ndarray):
-        """(passage, first diagonal) of every band that shares enough q-grams.
+        """(passages, first diagonal) of every band in which passages of an item share enough q-grams, those with the fewest edits first.
 
         k edits move a match over k + 1 neighbouring diagonals at most, so all its grams lie in one of the bands of 2k + 2 diagonals that
-        start every k + 1 and overlap by half. A gram of the passage counts once in a half band.
+        start every k + 1 and overlap by half. A gram of the item counts once in a band.
         """
-        place, passage, at = self.hits(code)
+        place, item, at = self.hits(code)
         if not len(place):
             return []
-        diagonal = place - at
-        half = self.budget[passage] + 1
+        band = np.floor_divide(place - at, self.budget[item] + 1)
+        order = np.lexsort((at, band, item))
+        item, band, at = item[order], band[order], at[order]
+        new = np.append(True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]))
+        distinct = new | np.append(True, at[1:] != at[:-1])
+        item, band, at = item[distinct], band[distinct], at[distinct]
+        begin = np.flatnonzero(new[distinct])
+        item, band, end = item[begin], band[begin], np.append(begin[1:], len(at))
+        # A band is the union of two neighbouring half bands.
+        joined = np.append((item[1:] == item[:-1]) & (band[1:] == band[:-1] + 1), False)
+        end = np.where(joined, np.append(end[1:], 0), end)
         found = []
-        for shift in (0, 1):
-            band = np.floor_divide(diagonal, half) - shift
-            order = np.lexsort((at, band, passage))
-            p, b, a = passage[order], band[order], at[order]
-            new = np.append(True, (p[1:] != p[:-1]) | (b[1:] != b[:-1]))
-            distinct = new | np.append(True, a[1:] != a[:-1])
-            begin = np.flatnonzero(new)
-            counts = np.add.reduceat(distinct.astype(np.int64), begin)
-            # A band is the union of two neighbouring half bands: the lower one comes from this shift, the upper one from the other.
-            found.append((p[begin], b[begin], counts))
-        total: dict[tuple[int, int], int] = {}
-        for x, y, n in zip(*(np.concatenate(c).tolist() for c in zip(*found, strict=True)), strict=True):
-            total[x, y] = total.get((x, y), 0) + n
-        return [(x, y * (int(self.budget[x]) + 1)) for (x, y), n in total.items() if n >= self.least[x]]
-
-    def align(self, code: np.ndarray, passage: int, diagonal: int):
-        """Fewest edits of the passage against any stretch of text in the band, and that stretch; None beyond the budget.
-
-        The band holds the diagonals of two half bands and k more on both sides; the passage is read whole, its start and end in the text are free.
+        for x in np.flatnonzero(end - begin >= self.least[item]).tolist():
+            i = int(item[x])
+            grams, k = int(self.length[i]) - Q + 1, int(self.budget[i])
+            held = at[begin[x] : end[x]]
+            low = max(int(held.min()) - grams + 1, 0)
+            high = min(int(held.max()), len(self.text[i]) - int(self.length[i]))
+            holds = np.zeros(high - low + grams + 1, np.int64)
+            holds[held[held < high + grams] - low + 1] = 1
+            total = np.cumsum(holds)
+            fewest = -(-(grams - (total[grams:] - total[:-grams])) // Q)
+            for edits in range(k + 1):
+                starts = np.flatnonzero(fewest == edits) + low
+                if len(starts):
+                    found.append((Windows(i, starts, edits), int(band[x]) * (k + 1)))
+        return sorted(found, key=lambda r: (r[0].fewest, r[1], r[0].item))
+
+    def align(self, code: np.ndarray, windows: Windows, diagonal: int):
+        """Fewest edits of any of the passages against any stretch of text in the band, and that stretch; None beyond the budget.
+
+        The band holds the diagonals of two half bands and k more on both sides; a passage is read whole, its start and end in the text are free.
         """
-        k = int(self.budget[passage])
-        want = self.text[passage]
-        low, width = diagonal - k - 1, 4 * k + 4
-        padded = np.full(len(want) + width, np.uint32(0xFFFFFFFF))
+        parts = (windows.starts[i : i + ALIGNED] for i in range(0, len(windows.starts), ALIGNED))
+        return min((x for p in parts if (x := self._align(code, windows.item, p, diagonal))), default=None)
+
+    def _align(self, code: np.ndarray, item: int, starts: np.ndarray, diagonal: int):
+        k, n, want = int(self.budget[item]), int(self.length[item]), self.text[item]
+        width = 4 * k + 4
+        first = int(starts[0])
+        low = diagonal - k - 1 + first
+        padded = np.full(int(starts[-1]) - first + n + width, np.uint32(0xFFFFFFFF))
         begin, end = max(low, 0), min(low + len(padded), len(code))
         if begin >= end:
             return None
         padded[begin - low : end - low] = code[begin:end]
-        # cost[j]: edits of the first i characters ending on diagonal low + j; where[j]: the start in the text.
-        cost, start = np.zeros(width, np.int64), np.arange(width) + low
-        far = 1 << 20
-        for i, c in enumerate(want.tolist()):
-            match = cost + (padded[i : i + width] != c)
-            skip = np.append(cost[1:] + 1, far)  # a character of the passage that the text lacks
-            better = skip < match
-            new = np.where(better, skip, match)
-            begin_at = np.where(better, np.append(start[1:], 0), start)
+        # cost[j, s]: edits of the first i characters of passage s ending on diagonal j of the band, and below them the start in ``padded``.
+        one = np.int64(1 << 32)
+        step = np.arange(width)[:, None]
+        ends = step + (starts - first)
+        cost, step = ends.astype(np.int64), step * one
+        for i in range(n):
+            new = cost + (padded[ends + i] != want[starts + i]) * one
+            # A character of the passage that the text lacks.
+            new[:-1] = np.minimum(new[:-1], cost[1:] + one)
             # Characters of the text that the passage lacks: cheapest way from any earlier diagonal.
-            reach = np.minimum.accumulate(new - np.arange(width)) + np.arange(width)
-            source = np.maximum.accumulate(np.where(new == reach, np.arange(width), 0))
-            cost, start = reach, begin_at[source]
-        j = int(cost.argmin())
-        if cost[j] > k:
+            cost = np.minimum.accumulate(new - step, axis=0) + step
+        j, s = np.unravel_index(int(cost.argmin()), cost.shape)
+        edits, start = divmod(int(cost[j, s]), int(one))
+        if edits > k:
             return None
-        return int(cost[j]), max(int(start[j]), 0), min(low + j + len(want), len(code))
+        return edits, max(low + start, 0), min(low + int(ends[j, s]) + n, len(code))
 
 
 def _scan(passages: Passages, text: str | None):
     """Best match of each item: (item, edits, start, end) with places in the whole text, end exclusive."""
     code, place = plain(text)
     best: dict[int, tuple] = {}
-    for passage, diagonal in passages.regions(code):
-        item = passages.item[passage]
-        if best.get(item, (1,))[0] == 0:
+    for windows, diagonal in passages.regions(code):
+        item = passages.item[windows.item]
+        if best.get(item, (1 << 30,))[0] <= windows.fewest:
             continue
-        found = passages.align(code, passage, diagonal)
+        found = passages.align(code, windows, diagonal)
         if found and found[2] > found[1]:
             edits, begin, end = found
             best[item] = min(best.get(item, (1 << 30,)), (edits, int(place[begin]), int(place[end - 1]) + 1))
@@ -164,7 +188,7 @@ MATCHES = "array<struct<item_id: long, edits: int, start: int, end: int>>"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with ``leaks``: for every benchmark item with a passage in the text its best match (item, edits, start, end in code points).
 
-    A passage is 100 characters of an item (a shorter item whole, from 24 characters), found with up to 5 edits in 100 after folding case
+    A passage is any 100 characters of an item (a shorter item whole, from 24 characters), found with up to 5 edits in 100 after folding case
     and white space. Each text is read whole, in one narrow stage. Null, empty and short texts have no leaks; null items are ignored,
     repeated ones reported once per id. All rows and columns come back (a column named ``leaks`` is replaced).
 

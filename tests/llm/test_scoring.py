@@ -215,6 +215,41 @@ def test_alignment_equals_the_full_table():
         assert not found or min(x[0] for x in found) == min(cost)
 
 
+def test_passages_from_every_offset_are_found():
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefgh ijklmno") for _ in range(240)).replace("  ", "xy").strip()
+    index = decontaminate.Passages([(1, item), (2, "q" * 30)])
+    for n in (99, 100, 101, 116, 125, 139, 149):
+        for o in range(len(item) - n + 1):
+            found = decontaminate._scan(index, "z" * 30 + item[o : o + n] + "z" * 30)
+            assert n == 99 or [(f[0], f[1]) for f in found] == [(1, 0)]
+            assert n == 99 or 30 <= found[0][2] < found[0][3] <= 30 + n
+
+
+def test_edited_passages_from_any_offset_equal_brute_force():
+    rng = random.Random(10)
+    both = set()
+    for _ in range(60):
+        item = "".join(rng.choice("abcd") for _ in range(230))
+        n, o = rng.randint(100, 149), rng.randint(0, 80)
+        letters = list(item[o : o + n])
+        for _ in range(rng.randint(0, 12)):
+            letters[rng.randrange(len(letters))] = rng.choice(["", "a", "bc"])
+        text = "dcba" * 10 + "".join(letters) + "abcd" * 10
+        starts = np.arange(len(item) - 100 + 1)
+        want = np.frombuffer(item.encode(), np.uint8)
+        cost = np.zeros((len(text) + 1, len(starts)), int)
+        for i in range(100):
+            new = [cost[0] + 1]
+            for j, d in enumerate(text.encode()):
+                new.append(np.minimum(np.minimum(cost[j] + (want[starts + i] != d), cost[j + 1] + 1), new[j] + 1))
+            cost = np.array(new)
+        found = decontaminate._scan(decontaminate.Passages([(1, item)]), text)
+        assert [f[1] for f in found] == ([cost.min()] if cost.min() <= 5 else [])
+        both.add(bool(found))
+    assert both == {True, False}
+
+
 def test_pages_of_all_shapes(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     body = "".join(f"<p>Paragraph {i} tells of a small thing, and then it goes on for a while. It ends.</p>" for i in range(8))
