@@ -22,11 +22,14 @@ _ODD = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_ODD, n, 1 << 64)) for n in (1, 2, 4)]
 
 
+def fold(text: str) -> str:
+    """Lower case, one character for each: U+0130 alone has a longer lower form and is folded to its first letter."""
+    return text.replace("\u0130", "i").lower()
+
+
 def plain(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Characters compared - lower case, each run of white space as one blank - and the place of each in the text."""
-    text = text or ""
-    low = text.lower()
-    code = np.frombuffer((low if len(low) == len(text) else text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer(fold(text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 0xA0)
     code = np.where(blank, np.uint32(32), code)
     keep = np.ones(len(code), bool)
@@ -230,7 +233,7 @@ def _pass(shared, names, at, text_at):
 
 def _scan_many(passages: Passages, texts):
     """Matches per text. Texts are hashed together; only those that share a q-gram are looked at on their own."""
-    rows = [(t or "").lower() for t in texts]
+    rows = [fold(t or "") for t in texts]
     code = np.frombuffer("\n".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in rows])
     blank = (code == 32) | ((code >= 9) & (code <= 13)) | (code == 0xA0)

@@ -226,6 +226,18 @@ def test_passages_from_every_offset_are_found():
             assert n == 99 or 30 <= found[0][2] < found[0][3] <= 30 + n
 
 
+def test_case_is_folded_beside_a_dotted_capital_i():
+    assert all(len(decontaminate.fold(chr(c))) == 1 for c in range(0x110000))
+    words = "the small green house near the old river bank was sold to a man from the next town who never came to live in it again"
+    for item in (words, "\u0130zmir: " + words):
+        index = decontaminate.Passages([(1, item)])
+        for passage in (item.title(), item.upper()):
+            text = "\u0130stanbul'da. " + passage + " \u0130"
+            for found in (decontaminate._scan(index, text), decontaminate._scan_many(index, ["", text])[1]):
+                item_id, edits, start, end = found[0]
+                assert (item_id, edits) == (1, 0) and decontaminate.fold(text[start:end]) in decontaminate.fold(item)
+
+
 def test_edited_passages_from_any_offset_equal_brute_force():
     rng = random.Random(10)
     both = set()
