@@ -23,6 +23,8 @@ GROWN, INNER = 6_000, 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object noframes textarea title select button".split())
+#: Of these, the ones that hide the rest of the page when they are not closed.
+HIDING = frozenset("script style title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -43,7 +45,8 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))
 _START = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _SPACE = re.compile(r"\s+")
-LOOKAHEAD = 1 << 16
+#: One attribute of a tag, up to the opening quote of its value if that is quoted.
+_NEXT = re.compile(r"""[\s/]*=?[^\s/>=]*(?:\s*=\s*(?:(["'])|[^\s"'>][^\s>]*)?)?""")
 
 
 class Page:
@@ -115,6 +118,7 @@ class Page:
     def _parse(self, source: str) -> None:
         self.names: list[tuple[str, bool]] = []
         at, n = 0, len(source)
+        endless: set[str] = set()
         while at < n:
             found = _START.search(source, at)
             if not found:
@@ -127,22 +131,15 @@ class Page:
                 end = source.find("-->", at + 4)
                 at = n if end < 0 else end + 3
                 continue
-            end = source.find(">", at)
-            if end < 0:
-                return
             if source[at + 1] in "!?":
-                at = end + 1
+                end = source.find(">", at)
+                at = n if end < 0 else end + 1
                 continue
             name = _NAME.match(source, at + 1)[0].lower()
             head = at + 1 + len(name)
-            # A quoted value may hold a ">": then the tag goes on to the quote's end.
-            for _ in range(64):
-                quotes = re.sub(r"\"[^\"]*\"|'[^']*'", "", source[head:end])
-                mark = next((c for c in quotes if c in "\"'"), "")
-                more = source.find(">", source.find(mark, end, end + LOOKAHEAD)) if mark and "=" in quotes and source.find(mark, end, end + LOOKAHEAD) > 0 else -1
-                if more < 0:
-                    break
-                end = more
+            end = _tag_end(source, head)
+            if end < 0:
+                return
             attributes = source[head:end]
             at = end + 1
             if name[0] == "/":
@@ -157,9 +154,12 @@ class Page:
                     self.run.append(" ")
                 continue
             if name in RAW and not attributes.endswith("/"):
-                end = source.lower().find(f"</{name}", at) if name != "script" else _script_end(source, at)
-                if end < 0:
+                end = -1 if name in endless else _raw_end(source, name, at)
+                if end < 0 and name in HIDING:
                     return
+                if end < 0:
+                    endless.add(name)
+                    continue
                 close = source.find(">", end)
                 at = n if close < 0 else close + 1
                 continue
@@ -181,11 +181,22 @@ class Page:
                 self._pop()
 
 
-def _script_end(source: str, at: int) -> int:
-    found = re.compile("</script", re.I).search(source, at)
+def _raw_end(source: str, name: str, at: int) -> int:
+    found = re.compile(f"</{name}", re.I | re.A).search(source, at)
     return found.start() if found else -1
 
 
+def _tag_end(source: str, head: int) -> int:
+    """Place of the ">" that ends a tag. One in a quoted value does not; a quote that is never closed, or after which no tag ends, is none."""
+    at = head
+    while at < len(source) and source[at] != ">":
+        found = _NEXT.match(source, at)
+        at = found.end()
+        if found[1]:
+            at = max(at, source.find(found[1], at) + 1)
+    return at if at < len(source) else source.find(">", head)
+
+
 def _tokens(attributes: str) -> tuple[str, ...]:
     """Words of the class, id, role and label of an element, and what hides it."""
     out = []

@@ -262,6 +262,29 @@ def test_edited_passages_from_any_offset_equal_brute_force():
     assert both == {True, False}
 
 
+def leaves(source):
+    page = html_text.Page(source)
+    return [t for tag, t in zip(page.tag, page.text, strict=True) if tag == "#text"]
+
+
+def test_text_after_raw_elements_stays():
+    for name in ("style", "svg", "select", "button", "script"):
+        for n in (1, 9, 40):
+            assert leaves(f"<p>{'\u0130' * n} a</p><{name}>x</{name.upper()}><p>first</p><p>second</p>") == ["\u0130" * n + " a", "first", "second"]
+    for name in ("button", "select", "object", "svg", "noscript"):
+        assert leaves(f"<p>before</p><{name}><p>first</p><{name} class=a><p>second</p>") == ["before", "first", "second"]
+    assert leaves("<p>before</p><script>var a;<p>first</p>") == ["before"]
+
+
+def test_values_with_an_end_of_tag_have_any_length():
+    for n in (10, 70_000, 300_000):
+        for quote in "\"'":
+            assert leaves(f"<p>a</p><div data-x={quote}1 > 0{' word' * (n // 5)}{quote} id=x><p>b</p></div>") == ["a", "b"]
+    assert leaves("<p>a</p><div " + " ".join(f'd{i}="x > y"' for i in range(100)) + "><p>b</p></div>") == ["a", "b"]
+    assert leaves("<p title=it's>a</p><p>that isn't b</p><p title=\"x>c</p>") == ["a", "that isn't b", "c"]
+    assert leaves("<p class = 'x>y' hidden/>a<p =\">b<p x=>c</p>") == ["a", "b", "c"]
+
+
 def test_pages_of_all_shapes(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     body = "".join(f"<p>Paragraph {i} tells of a small thing, and then it goes on for a while. It ends.</p>" for i in range(8))
