@@ -28,9 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near-duplicates (five-word shingles, 0.8).
 
-    Rows without an id are kept. Of rows with the same id and text one stays: an anti-join on the ids that go would keep copies."""
-    gone = near_dedup(docs, words=5).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    Rows with one id and different texts stay or go on their own. Of rows with the same id and text one stays: an anti-join on what goes
+    would keep copies. Rows without an id are all kept."""
+    docs = docs.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    gone = near_dedup(docs, words=5, row_key="text_key").filter(~F.col("kept")).select("doc_id", "text_key").distinct()
+    named = docs.filter("doc_id is not null").join(gone, ["doc_id", "text_key"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return named.select(COLUMNS).union(docs.filter("doc_id is null").select(COLUMNS))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

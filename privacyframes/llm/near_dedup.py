@@ -193,19 +193,20 @@ def components(work: Work, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, row_key: str | None = None) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.8 or more of their sets of ``words``-word shingles.
 
     Returns per row of ``docs`` the id, ``n_shingles``, ``component_id`` (the smallest id reachable) and ``kept`` (id = component_id).
     Null and empty texts and texts without words have an empty set, are linked with nothing and are kept. Rows without an id are kept
-    too, with a null component, and link nothing. Rows with one id and different texts are judged row by row. Other columns are
-    ignored; an empty table gives no rows.
+    too, with a null component, and link nothing. Rows with one id and different texts are judged row by row; ``row_key``
+    names a binary column that tells them apart and is returned too. Other columns are ignored; an empty table gives no rows.
 
     A group of exact copies is one class whatever its size; a list of near copies is split into hubs and blocks, not into one task.
     """
     spark = docs.sparkSession
     work = Work(spark)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("binary").alias("body"))
+    own_key = [F.col(row_key).alias("row")] if row_key else []
+    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("binary").alias("body"), *own_key)
 
     def sketch(batches):
         for batch in batches:
@@ -214,11 +215,11 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 sets = shingle_sets(texts[a:b], words)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary())],
-                    ["doc", "n", "key", "sketch"],
+                    [part["doc"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()), *part.columns[2:]],
+                    ["doc", "n", "key", "sketch", *part.schema.names[2:]],
                 )
 
-    marks = work.table(rows.mapInArrow(sketch, "doc long, n long, key binary, sketch binary"))
+    marks = work.table(rows.mapInArrow(sketch, "doc long, n long, key binary, sketch binary" + (", row binary" if row_key else "")))
     usable = marks.filter("doc is not null and n > 0")
     classes = work.table(usable.groupBy("key").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
 
@@ -280,9 +281,9 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     named = classes.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = named.join(smallest, "label").select("key", "component_id")
-    found = marks.select("doc", "n", "key").join(by_class, "key", "left")
+    found = marks.drop("sketch").join(by_class, "key", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component_id"))).otherwise(F.col("doc"))
-    return found.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
+    return found.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"), *([F.col("row").alias(row_key)] if row_key else []))
 
 
 def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:

@@ -22,3 +22,14 @@ def test_stages(spark, sf_small, edge):
 
 def test_run(spark, sf_small):
     assert corpus_pipeline.run(spark, sf_small).count() > 0
+
+
+def test_near_duplicates_of_rows_with_one_id_or_none(spark, sf_small):
+    copied = "one copy of a text that more than a single row holds, and it is long enough to have shingles"
+    other = "nothing like it stands in any of the rows around this one, which is why it has to stay here"
+    rows = [(1, copied), (2, copied + " too"), (2, other), (2, other), (2, None), (None, copied), (None, copied), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_small)
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, copied), (2, other), (2, None), (None, copied), (None, copied), (None, None), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
