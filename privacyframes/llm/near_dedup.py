@@ -22,8 +22,8 @@ from .registry import query, table
 from .substring_dedup import word_hashes, word_places
 
 #: Values of a sketch; values a pair at the threshold shares at least (51 of 64 are expected at 0.8: 32 is six deviations below);
-#: estimate under which a pair is dropped (deviation 0.05); members of a block.
-SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.55, 512
+#: estimate under which a pair is dropped (31 of 64 are needed, so this loses no more than the lists do); members of a block.
+SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.47, 512
 #: Full sets of one block.
 SETS = 256
 #: Ids that may go to every task (16 MB); beyond, they are joined.

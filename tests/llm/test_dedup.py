@@ -1,6 +1,7 @@
 """Exact dedups and near-duplicates against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -107,3 +108,15 @@ def test_estimate_is_close():
         a, b = (np.unique(np.concatenate((both, own()))) for _ in range(2))
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(near_dedup.estimate(a[:64], b[:64]) - true) < 0.25
+
+
+def test_near_copies_with_an_unlucky_sketch_reach_the_exact_check():
+    """Jaccard 0.8, but only 33 of the 64 least values of the union are in both sets."""
+    both = np.arange(1_000, 1_400, dtype=np.uint64)
+    a = np.sort(np.concatenate([both, np.arange(0, 32, 2, dtype=np.uint64), np.arange(5_000, 5_034, dtype=np.uint64)]))
+    b = np.sort(np.concatenate([both, np.arange(1, 31, 2, dtype=np.uint64), np.arange(6_000, 6_035, dtype=np.uint64)]))
+    assert 5 * len(np.intersect1d(a, b)) == 4 * len(np.union1d(a, b))
+    sketches = [x[: near_dedup.SKETCH] for x in (a, b)]
+    assert near_dedup.estimate(*sketches) == 33 / 64
+    pair = pa.RecordBatch.from_pydict({"a": [b"a"], "b": [b"b"], "n_a": [len(a)], "n_b": [len(b)], "sketch_a": [sketches[0].tobytes()], "sketch_b": [sketches[1].tobytes()]})
+    assert [x.num_rows for x in near_dedup._estimated([pair])] == [1]
