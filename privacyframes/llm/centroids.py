@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .registry import query, table
 
-#: Rows looked at together, and the share of the coefficients after which centroids are eliminated: 1, 2, 4, ... of them.
-ROWS = 4096
+#: Rows looked at together, coefficients before the first elimination.
+ROWS, FIRST = 4096, 8
 #: Components below this in size keep every sum of squares of 64 coefficients within 64 bits; others are Python's integers.
 EXACT = 1 << 24
 
@@ -37,8 +37,8 @@ def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.
     """Nearest centroid of every integer vector (ties: the smaller number), its squared distance, and how many coefficients were compared.
 
     The transform keeps distances up to the factor of its length, so the squared differences of the first coefficients are a lower
-    bound. They are added from coarse to fine; after each step the centroid that leads is carried to the end, and whatever is
-    strictly above that distance already is out. What is left at the end is compared on all coefficients.
+    bound. They are added from coarse to fine, in steps that double from 8; after each step a centroid that newly leads is carried to the end,
+    and whatever is strictly above the least such distance already is out. What is left at the end is compared on all coefficients.
     """
     size = vectors.shape[1]
     order = sequency(size)
@@ -46,29 +46,34 @@ def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.
     n, k = len(x), len(c)
     row, at = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
     part = np.zeros(n * k, x.dtype)
-    best = None
-    done, step, compared = 0, 1, 0
+    best, leader = None, np.full(n, -1)
+    done, compared = 0, 0
     while done < size:
-        end = min(size, done + step)
+        end = min(size, max(FIRST, 2 * done))
         for first in range(0, len(row), 1 << 16):
             some = slice(first, first + (1 << 16))
             apart = x[row[some], done:end] - c[at[some], done:end]
             part[some] += (apart * apart).sum(1)
         compared += len(row) * (end - done)
-        done, step = end, max(1, end)
-        if done < size:
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-            # The leader of every row: the rows stay in order, so one sort by (row, sum) gives it.
-            lead = np.lexsort((part, row))[first]
-            if done == 1 or best is None:
-                whole = part[lead].copy()
-                for a in range(0, n, 1 << 14):
-                    rest = x[a : a + (1 << 14), done:] - c[at[lead[a : a + (1 << 14)]], done:]
-                    whole[a : a + (1 << 14)] += (rest * rest).sum(1)
-                best = whole
-                compared += n * (size - done)
-            stays = part <= best[row]
-            row, at, part = row[stays], at[stays], part[stays]
+        done = end
+        if done == size or not n:
+            break
+        # The pairs are in the order of the rows, so the sorted ones have every row's leader at its first place.
+        lead = np.lexsort((part, row))[np.flatnonzero(np.append(True, row[1:] != row[:-1]))]
+        new = np.flatnonzero(at[lead] != leader)
+        whole = part[lead[new]]
+        for first in range(0, len(new), 1 << 14):
+            some = new[first : first + (1 << 14)]
+            rest = x[some, done:] - c[at[lead[some]], done:]
+            whole[first : first + (1 << 14)] += (rest * rest).sum(1)
+        compared += len(new) * (size - done)
+        leader = at[lead]
+        if best is None:
+            best = whole
+        else:
+            best[new] = np.minimum(best[new], whole)
+        stays = part <= best[row]
+        row, at, part = row[stays], at[stays], part[stays]
     lead = np.lexsort((at, part, row))
     lead = lead[np.append(True, row[lead][1:] != row[lead][:-1])] if len(lead) else lead
     return at[lead], part[lead] // size, compared

@@ -53,7 +53,7 @@ def hashes_of(terms: list[bytes]) -> np.ndarray:
 
 def places(hashes: np.ndarray, step: np.ndarray | int, width: np.ndarray | int) -> np.ndarray:
     """The bits of every entry (term, step) in signatures of ``width`` bits, a power of two."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15) * (np.asarray(step).astype(np.uint64) + np.uint64(1))
+    x = hashes + np.uint64(0x9E3779B97F4A7C15) * (np.atleast_1d(step).astype(np.uint64) + np.uint64(1))
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(32)

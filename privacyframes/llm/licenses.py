@@ -69,7 +69,7 @@ class Scanner:
         self.notices, self.phrases = notices, phrases
         self.exact = [re.compile(rf"(?<![^ ])(?={re.escape(p)}(?![^ ]))") for _, p in phrases]
         self.edits = [allowed(n) for _, n in notices]
-        self.fuzzy = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?![^ ])") for (_, n), e in zip(notices, self.edits, strict=True)]
+        self.fuzzy = [regex.compile(rf"(?b)(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?![^ ])") for (_, n), e in zip(notices, self.edits, strict=True)]
         self.automaton = ahocorasick.Automaton()
         for i, ((_, n), e) in enumerate(zip(notices, self.edits, strict=True)):
             for place, piece in seeds(n, e):
@@ -82,8 +82,12 @@ class Scanner:
         return [(label, m.start()) for (label, p), exact in zip(self.phrases, self.exact, strict=True) if p in joined for m in exact.finditer(joined)]
 
     def _verify(self, notice: int, window: str) -> tuple[int, int, int] | None:
-        m = self.fuzzy[notice].search(window)
-        return m and (*m.span(), sum(m.fuzzy_counts))
+        """The closest match of whole words. It is tried at every word that can be its first: a search would not insert before it."""
+        last = len(window) - len(self.notices[notice][1]) + self.edits[notice]
+        first = [0, *(i + 1 for i, c in enumerate(window[:last]) if c == " ")]
+        found = [(sum(m.fuzzy_counts), *m.span()) for i in first if (m := self.fuzzy[notice].match(window, i))]
+        edits, a, b = min(found, default=(0, 0, 0))
+        return (a, b, edits) if found else None
 
     def windows(self, joined: str):
         """Where matches can lie, as (notice, begin, end): around every seed, cut to whole words, each once."""
