@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ def _words(text: np.ndarray) -> np.ndarray:
 
 
 def _split(order: np.ndarray, group: np.ndarray, character: np.ndarray):
-    """Sorts each group by a character and splits it where the character changes; numpy's quicksort makes the partitions of one depth."""
+    """Sorts each group by a character and splits it where the character changes: all partitions of one depth at once, by a stable sort."""
     at = np.lexsort((character, group))
     order, group, character = order[at], group[at], character[at]
     new = np.append(True, (group[1:] != group[:-1]) | (character[1:] != character[:-1]))

@@ -6,7 +6,8 @@ neighbouring windows share a minimizer and travel as one segment. Five steps, al
 1. each group of documents names its distinct minimizers (8 bytes each), per bucket;
 2. a bucket answers which of them occur in two documents or more (one bit each);
 3. a group sends the segments under those, each distinct segment once with the smallest document that has it;
-4. a bucket finds the windows of each segment that a smaller document has as well - the solver, which is the operator's method;
+4. a bucket makes equal segments one and finds the windows of each that a smaller document has as well - the solver, which is the
+   operator's method;
 5. the answers return to the group, which marks them in its documents.
 
 A passage that a third of all documents share costs a bucket one entry per group of documents, never one per document. Where its
@@ -57,6 +58,13 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Minima crowd near zero; mixed once more (a bijection) they fill the range of hashes evenly, and so the buckets cut from it."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     n, width, low = len(h) - w + 1, 1, h
     while width * 2 <= w:
@@ -93,7 +101,7 @@ def segments(held: Symbols, window: int, k: int):
         at = at[at + window <= held.row_end[held.row[low : low + len(least)]]]
         if not len(at):
             continue
-        value = least[at - low] >> np.uint64(16)
+        value = mixed(least[at - low]) >> np.uint64(16)
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(at) != 1) | (value[1:] != value[:-1])
         first = np.flatnonzero(new)
@@ -217,27 +225,38 @@ def find(
 
     def settle(key, table):
         whole = [unpack(x) for x in table["blob"].to_pylist()]
-        pieces = [s for x in whole for s in x[0]]
-        least, under = (np.concatenate([x[i] for x in whole]) for i in (1, 2))
+        # A segment that many groups hold is settled once, for the smallest document of all; in the others it is covered whole.
+        number: dict[tuple[int, bytes], int] = {}
+        pieces, under, alike = [], [], []
+        for x in whole:
+            mine = []
+            for piece, v in zip(x[0], x[2].tolist(), strict=True):
+                at = number.setdefault((v, piece), len(pieces))
+                if at == len(pieces):
+                    pieces.append(piece)
+                    under.append(v)
+                mine.append(at)
+            alike.append(np.array(mine, np.int64))
+        number.clear()
+        least, under = np.full(len(pieces), np.iinfo(np.int64).max), np.array(under, np.uint64)
+        for x, mine in zip(whole, alike, strict=True):
+            np.minimum.at(least, mine, x[1])
         order = np.lexsort((least, under))
         covered: list[np.ndarray] = [None] * len(pieces)
         cut = np.flatnonzero(np.append(True, under[order][1:] != under[order][:-1]))
         groups = [order[a:b].tolist() for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True)]
         for at, marks in solve(groups, pieces, least):
             covered[at] = marks
-        rows, done = [], 0
-        for p, x in zip(table["part"].to_pylist(), whole, strict=True):
+        rows = []
+        for p, x, mine in zip(table["part"].to_pylist(), whole, alike, strict=True):
             keys, begin, end = [], [], []
+            elsewhere = x[1] > least[mine]
             for s, row, start, count, later in zip(*(y.tolist() for y in x[3:]), strict=True):
-                if later:
-                    spans = ((0, count),)
-                else:
-                    spans = _runs(covered[done + s])
+                spans = ((0, count),) if later or elsewhere[s] else _runs(covered[mine[s]])
                 for a, b in spans:
                     keys.append(row)
                     begin.append(start + a)
                     end.append(start + b)
-            done += len(x[0])
             if keys:
                 rows.append((p, pack((np.array(keys, np.int32), np.array(begin, np.int32), np.array(end, np.int32)))))
         return _table(rows, ("part", pa.int32()), ("blob", pa.binary()))
