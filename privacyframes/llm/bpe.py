@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from .registry import query, table
+from .sampling import slices
 
-#: Pieces, prefixes and pairs of tokens a task remembers; beyond, it starts to remember anew (results do not depend on it).
-REMEMBERED = 300_000
+#: Bytes of pieces, of prefixes and of pairs of tokens a task remembers, each; beyond, it starts to remember anew (results do not depend on it).
+REMEMBERED = 20 << 20
+#: Bytes of an entry besides its own: the objects and their place in a table.
+ENTRY, PAIR = 220, 110
 #: Bytes of the longest piece whose prefixes are remembered.
 SHORT = 48
 
@@ -29,6 +32,7 @@ class Vocabulary:
             lengths.setdefault(t[-2:], {1}).add(len(t))
         #: Lengths of the tokens that end in these two bytes, longest first.
         self.lengths = {end: tuple(sorted(x, reverse=True)) for end, x in lengths.items()}
+        self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -89,10 +93,13 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         """Exact: what is known of the shorter prefixes stays."""
-        v = self.vocabulary
+        self.text += more
+        self._extend(len(self.text))
+
+    def _extend(self, until: int) -> None:
+        v, text = self.vocabulary, self.text
         ranks, last, lengths, fits = v.ranks, self.last, v.lengths, v.fits
-        text = self.text = self.text + more
-        for end in range(len(last), len(text) + 1):
+        for end in range(len(last), until + 1):
             for length in lengths.get(text[end - 2 : end], (1,)) if end > 1 else (1,):
                 if length > end:
                     continue
@@ -103,11 +110,24 @@ class Prefixes:
             else:
                 raise ValueError("a byte is missing from the vocabulary")
 
-    def edit(self, begin: int, end: int, new: bytes) -> None:
-        """Replaces bytes; prefixes before the edit are kept, later ones are computed anew."""
-        rest = new + self.text[end:]
-        self.text, self.last = self.text[:begin], self.last[: begin + 1]
-        self.append(rest)
+    def edit(self, begin: int, end: int, new: bytes) -> int:
+        """Replaces bytes and returns how many prefixes were computed anew.
+
+        Prefixes before the edit are kept. Behind it the new table is computed until it runs in step with the old one over the length of
+        the longest token: a last token depends on no more than that, so all later ones are the old ones.
+        """
+        old, moved, reach = self.last, len(new) - (end - begin), self.vocabulary.longest
+        self.text = self.text[:begin] + new + self.text[end:]
+        self.last = old[: begin + 1]
+        done = begin
+        # In step counts only where both tables see the same bytes, and no token that begins the piece.
+        first, equal = max(begin + len(new), moved, 0) + reach + 1, 0
+        while done < len(self.text) and equal < reach:
+            done += 1
+            self._extend(done)
+            equal = equal + 1 if done >= first and done - moved > reach and self.last[done] == old[done - moved] else 0
+        self.last += old[done - moved + 1 :]
+        return done - begin
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.text)
@@ -126,6 +146,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, tuple[int, bytes]] = {b"": (-1, b"")}
+        self.size = 0
         self.vocabulary.pairs.clear()
 
     def ids(self, piece: bytes) -> bytes:
@@ -135,8 +156,10 @@ class Encoder:
         if whole is not None:
             return whole.to_bytes(4, "little")
         if len(piece) > SHORT:
+            if len(v.pairs) * PAIR > REMEMBERED:
+                self.forget()
             return np.array(Prefixes(v, piece).tokens(), "<u4").tobytes()
-        if len(known) + len(v.pairs) > 2 * REMEMBERED:
+        if self.size > REMEMBERED or len(v.pairs) * PAIR > REMEMBERED:
             self.forget()
             known = self.known
         ranks, lengths, fits = v.ranks, v.lengths, v.fits
@@ -153,6 +176,7 @@ class Encoder:
                 last, before = known[piece[: end - length]]
                 if v.alone(token) if end == length else fits(last, token):
                     known[piece[:end]] = (token, before + token.to_bytes(4, "little"))
+                    self.size += ENTRY + end + len(before)
                     break
             else:
                 raise ValueError("a byte is missing from the vocabulary")
@@ -163,13 +187,15 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     return np.frombuffer(Encoder(vocabulary).ids(piece), "<u4").tolist()
 
 
-def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", extra: list[str] = ()) -> DataFrame:
-    """Ids of every whole text and the bytes they decode to: the id, ``extra`` columns, ``ids`` (little-endian unsigned 32-bit) and ``decoded``.
+def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", extra: list[str] = (), decoded: bool = True) -> DataFrame:
+    """Ids of every whole text: the id, ``extra`` columns, ``ids`` (little-endian unsigned 32-bit), with ``decoded`` the bytes they decode to, and ``round_trip``.
 
     ``lines`` are a vocabulary's lines (base64 of the token, rank), broadcast: about a megabyte. Each match of ``pattern`` is encoded
-    separately; special tokens are ordinary text. Null and empty texts have no ids. One row per row, in any order; nothing is shuffled.
+    separately; special tokens are ordinary text. Null and empty texts have no ids. ``round_trip`` says whether the ids decode to the text.
+    One row per row, in any order; nothing is shuffled. Columns named ids, decoded or round_trip cannot be extra ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lines)
+    results = ["ids", "decoded", "round_trip"] if decoded else ["ids", "round_trip"]
 
     def encode(batches):
         import regex
@@ -178,27 +204,36 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
         tokens, encoder = vocabulary.tokens, Encoder(vocabulary)
 
         class Known(dict):
+            size = 0
+
             def __missing__(self, piece):
                 ids = encoder.ids(piece.encode())
                 if len(piece) < SHORT:
                     self[piece] = ids
+                    self.size += ENTRY + len(piece) + len(ids)
                 return ids
 
         known = Known()
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                ids, decoded = [], []
-                for text in part.column("__text").to_pylist():
+            for first, last in slices(batch.column(batch.num_columns - 1).to_pylist()):
+                part = batch.slice(first, last - first)
+                ids, back, same = [], [], []
+                for text in part.column(part.num_columns - 1).to_pylist():
                     found = b"".join([known[x] for x in split.findall(text or "")])
+                    whole = b"".join([tokens[i] for i in np.frombuffer(found, "<u4").tolist()])
                     ids.append(found)
-                    decoded.append(b"".join([tokens[i] for i in np.frombuffer(found, "<u4").tolist()]))
-                if len(known) > REMEMBERED:
-                    known.clear()
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*part.schema.names[:-1], "ids", "decoded"])
+                    same.append(whole == (text or "").encode())
+                    if decoded:
+                        back.append(whole)
+                    if known.size > REMEMBERED:
+                        known.clear()
+                        known.size = 0
+                columns = [pa.array(ids, pa.binary()), *([pa.array(back, pa.binary())] if decoded else []), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *results])
 
     rows = docs.select(F.col(id_column), *extra, F.col(text_column).alias("__text"))
-    return rows.mapInArrow(encode, StructType(rows.schema.fields[:-1] + [StructField("ids", BinaryType()), StructField("decoded", BinaryType())]))
+    kinds = [StructField(c, BooleanType() if c == "round_trip" else BinaryType()) for c in results]
+    return rows.mapInArrow(encode, StructType(rows.schema.fields[:-1] + kinds))
 
 
 def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[list[bytes], str]:
