@@ -51,6 +51,11 @@ def _placed(text: X, pattern: str, keep=None) -> X:
     return let(fn.regexp_extract_all(text, pattern, 0), cut)
 
 
+def _piece(raw: X, first: X, n: X) -> X:
+    """Characters of a text encoded in four bytes each: a cut costs its own length, not that of the text before it."""
+    return fn.decode(fn.substring(raw, (first * 4 + 1).cast("int"), (n * 4).cast("int")), "UTF-32")
+
+
 def _named(kind: str, found: X) -> X:
     return fn.transform(found, lambda x: struct(kind=kind, start=x.start, end=x.end))
 
@@ -95,7 +100,7 @@ def train(docs: DataFrame, id_column: str, text_column: str) -> list[float]:
     n = spark.range(RANDOM_STRINGS).withColumn("digest", F.sha2(F.col("id").cast("string"), 512))
     bits = F.unhex("digest")
     random = n.select(F.explode(F.array(F.substring("digest", 1, 40), F.base64(bits), F.regexp_replace(F.base64(bits), "[a-z+/=]", ""))).alias("sample"))
-    words = bounded(docs.filter(F.col(text_column).isNotNull()), id_column, IDENTIFIER_DOCUMENTS).select(F.regexp_extract_all(text_column, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
+    words = bounded(docs.filter(F.col(text_column).isNotNull()).select(id_column, text_column), [id_column, text_column], IDENTIFIER_DOCUMENTS).select(F.regexp_extract_all(text_column, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     ordinary = words.select(F.explode(F.expr("transform(w, (x, i) -> case i % 4 when 0 then x when 1 then concat(lower(x), '_', lower(coalesce(get(w, i + 1), ''))) when 2 then concat(x, initcap(coalesce(get(w, i + 1), ''))) else concat(lower(x), '-', lower(coalesce(get(w, i + 1), '')), '/') end)")).alias("sample"))
     counted = _transitions(random.select(F.lit(1).alias("label"), "sample").unionByName(ordinary.select(F.lit(0).alias("label"), "sample"))).collect()
     size = len(ALPHABET)
@@ -125,14 +130,13 @@ def markov_spans(text: Column, assigned: Column, ratios: list[float], least: flo
             odd = lambda x: ~x.value.rlike(ACCESS) & ~x.value.rlike(HEX) & x.value.rlike("[0-9]") & x.value.rlike("[A-Za-z]") & (_ratio(x.value, table) >= least)
             return _named("markov", fn.filter(_placed(rest, TOKEN), odd))
 
-        blanked = fn.array_join(
-            fn.concat(
-                fn.transform(spans, lambda s, i: fn.concat(fn.substring(t, fn.coalesce(fn.get(spans, i - 1)["end"], X("0")) + 1, s.start - fn.coalesce(fn.get(spans, i - 1)["end"], X("0"))), fn.repeat(" ", s["end"] - s.start))),
-                fn.array(fn.substring(t, fn.get(spans, fn.size(spans) - 1)["end"] + 1, X("2147483647"))),
-            ),
-            "",
-        )
-        return let(when(fn.size(spans) > 0, blanked).otherwise(t), find)
+        def blanked(raw: X) -> X:
+            end = lambda i: fn.coalesce(fn.get(spans, i)["end"], X("0"))
+            pieces = fn.transform(spans, lambda s, i: fn.concat(_piece(raw, end(i - 1), s.start - end(i - 1)), fn.repeat(" ", s["end"] - s.start)))
+            done = end(fn.size(spans) - 1)
+            return fn.concat(fn.array_join(pieces, ""), _piece(raw, done, fn.octet_length(raw) / 4 - done))
+
+        return let(when(fn.size(spans) > 0, let(fn.encode(t, "UTF-32"), blanked)).otherwise(t), find)
 
     return bind(lambda row: build(row.t, row.spans), t=F.coalesce(text, F.lit("")), spans=assigned)
 
@@ -170,13 +174,13 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     def build(t: X, s: X) -> X:
         reach = running(s, lambda far, x: fn.greatest(far, x["end"].cast("bigint")))
 
-        def cut(far: X) -> X:
+        def cut(far: X, raw: X) -> X:
             before = lambda i: fn.coalesce(fn.get(far, i - 1), X("0L"))
-            pieces = fn.transform(s, lambda x, i: when((x.start >= before(i)) , fn.concat(fn.substring(t, (before(i) + 1).cast("int"), (x.start - before(i)).cast("int")), mark)).otherwise(""))
-            rest = fn.substring(t, (fn.get(far, fn.size(far) - 1) + 1).cast("int"), X("2147483647"))
-            return fn.concat(fn.array_join(pieces, ""), rest)
+            pieces = fn.transform(s, lambda x, i: when((x.start >= before(i)), fn.concat(_piece(raw, before(i), x.start - before(i)), mark)).otherwise(""))
+            done = fn.get(far, fn.size(far) - 1)
+            return fn.concat(fn.array_join(pieces, ""), _piece(raw, done, fn.octet_length(raw) / 4 - done))
 
-        return when(fn.size(s) > 0, let(reach, cut)).otherwise(t)
+        return when(fn.size(s) > 0, let(reach, lambda far: let(fn.encode(t, "UTF-32"), lambda raw: cut(far, raw)))).otherwise(t)
 
     return bind(lambda row: build(row.t, row.spans), t=text, spans=spans)
 
