@@ -15,8 +15,8 @@ from .sampling import slices
 
 #: Characters of a q-gram; characters of a passage looked for; its share of edits; bytes of benchmark text in one index.
 Q, PASSAGE, EDITS, INDEX_BYTES = 12, 100, 0.05, 16 << 20
-#: Passages aligned together.
-ALIGNED = 1 << 10
+#: Passages aligned together; shared q-grams looked at together, and by how much the stretches of a text cut for that overlap.
+ALIGNED, SHARED, OVERLAP = 1 << 10, 1 << 20, 2 * PASSAGE
 _ODD = 0x9E3779B97F4A7C15
 #: Its powers for blocks of 1, 2 and 4 characters.
 _POWERS = [np.uint64(pow(_ODD, n, 1 << 64)) for n in (1, 2, 4)]
@@ -59,14 +59,21 @@ class Windows(NamedTuple):
 
 
 class Passages:
-    """q-grams of all items. Every ``PASSAGE`` characters of an item are a passage, whatever their start; a shorter item is one passage."""
+    """q-grams of all items. Every ``PASSAGE`` characters of an item are a passage, whatever their start; a shorter item is one passage.
+
+    An item of under two q-grams, none of which need survive an edit, is looked up as it is, between characters that are no letters or digits.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.item, self.text, keys, owner, at = [], [], [], [], []
+        self.short: dict[str, list[int]] = {}
         for item, text in items:
             code, _ = plain(text)
             if len(code) < 2 * Q:
-                continue  # no q-gram need survive its edits
+                whole = code.tobytes().decode("utf-32-le", "surrogatepass").strip()
+                if any(c.isalnum() for c in whole):
+                    self.short.setdefault(whole, []).append(item)
+                continue
             k = gram_keys(code)
             keys.append(k)
             owner.append(np.full(len(k), len(self.item)))
@@ -85,25 +92,66 @@ class Passages:
         self.owner, self.at = owner[order], at[order]
         self.flags = np.zeros(1 << 22, bool)
         self.flags[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        if self.short:
+            import ahocorasick
 
-    def hits(self, code: np.ndarray):
-        """Places of shared q-grams: place in the text, item, place in the item."""
+            self.automaton = ahocorasick.Automaton()
+            for whole in self.short:
+                self.automaton.add_word(whole, whole)
+            self.automaton.make_automaton()
+
+    def exact(self, code: np.ndarray):
+        """First place of every short item that stands in the text: (item, begin, end)."""
+        if not self.short or not len(code):
+            return []
+        text, found = code.tobytes().decode("utf-32-le", "surrogatepass"), {}
+        inside = lambda i: 0 <= i < len(text) and text[i].isalnum()
+        for last, whole in self.automaton.iter(text):
+            begin = last + 1 - len(whole)
+            if whole not in found and not (inside(begin - 1) and whole[0].isalnum()) and not (inside(last + 1) and whole[-1].isalnum()):
+                found[whole] = begin
+        return [(item, begin, begin + len(whole)) for whole, begin in found.items() for item in self.short[whole]]
+
+    def shared(self, code: np.ndarray):
+        """Places of q-grams that items have, and the numbers of those q-grams."""
         keys = gram_keys(code)
         place = np.flatnonzero(self.flags[(keys >> np.uint64(42)).astype(np.int64)]) if len(self.keys) else np.zeros(0, np.int64)
         slot = np.minimum(np.searchsorted(self.keys, keys[place]), len(self.keys) - 1)
         good = self.keys[slot] == keys[place] if len(place) else np.zeros(0, bool)
-        place, slot = place[good], slot[good]
-        n = self.count[slot] if len(slot) else np.zeros(0, np.int64)
-        posting = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(slot) else np.zeros(0, np.int64)
-        return np.repeat(place, n), self.owner[posting], self.at[posting]
+        return place[good], slot[good]
 
-    def regions(self, code: np.ndarray):
+    def stretches(self, code: np.ndarray):
+        """Stretches of a text, its shared q-grams there and the numbers of those. They overlap by more than a match can be long.
+
+        A repetitive text shares a q-gram with many places of a repetitive item: stretches are cut so that what they share is bounded.
+        """
+        place, slot = self.shared(code)
+        if not len(place):
+            return
+        total = np.append(0, np.cumsum(self.count[slot]))
+        first = 0
+        while True:
+            last = max(int(np.searchsorted(total, total[first] + SHARED, "right")) - 1, int(np.searchsorted(place, place[first] + 4 * OVERLAP)))
+            last = min(last, len(place))
+            yield place[first:last], slot[first:last]
+            if last == len(place):
+                return
+            first = int(np.searchsorted(place, place[last] - OVERLAP))
+
+    def regions(self, place: np.ndarray, slot: np.ndarray, settled: np.ndarray):
         """(passages, first diagonal) of every band in which passages of an item share enough q-grams, those with the fewest edits first.
 
+        Items in ``settled`` are passed over.
+
         k edits move a match over k + 1 neighbouring diagonals at most, so all its grams lie in one of the bands of 2k + 2 diagonals that
         start every k + 1 and overlap by half. A gram of the item counts once in a band.
         """
-        place, item, at = self.hits(code)
+        n = self.count[slot]
+        posting = np.repeat(self.first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place, item, at = np.repeat(place, n), self.owner[posting], self.at[posting]
+        if settled.any():
+            open_items = ~settled[item]
+            place, item, at = place[open_items], item[open_items], at[open_items]
         if not len(place):
             return []
         band = np.floor_divide(place - at, self.budget[item] + 1)
@@ -174,14 +222,20 @@ def _scan(passages: Passages, text: str | None):
     """Best match of each item: (item, edits, start, end) with places in the whole text, end exclusive."""
     code, place = plain(text)
     best: dict[int, tuple] = {}
-    for windows, diagonal in passages.regions(code):
-        item = passages.item[windows.item]
-        if best.get(item, (1 << 30,))[0] <= windows.fewest:
-            continue
-        found = passages.align(code, windows, diagonal)
-        if found and found[2] > found[1]:
-            edits, begin, end = found
-            best[item] = min(best.get(item, (1 << 30,)), (edits, int(place[begin]), int(place[end - 1]) + 1))
+    # An item found without an edit is settled: what comes later in the text is no better.
+    settled = np.zeros(len(passages.item), bool)
+    for at, slot in passages.stretches(code):
+        for windows, diagonal in passages.regions(at, slot, settled):
+            item = passages.item[windows.item]
+            if best.get(item, (1 << 30,))[0] <= windows.fewest:
+                continue
+            found = passages.align(code, windows, diagonal)
+            if found and found[2] > found[1]:
+                edits, begin, end = found
+                best[item] = min(best.get(item, (1 << 30,)), (edits, int(place[begin]), int(place[end - 1]) + 1))
+                settled[windows.item] |= edits == 0
+    for item, begin, end in passages.exact(code):
+        best[item] = min(best.get(item, (1 << 30,)), (0, int(place[begin]), int(place[end - 1]) + 1))
     return [(item, *x) for item, x in sorted(best.items())]
 
 
@@ -191,8 +245,8 @@ MATCHES = "array<struct<item_id: long, edits: int, start: int, end: int>>"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with ``leaks``: for every benchmark item with a passage in the text its best match (item, edits, start, end in code points).
 
-    A passage is any 100 characters of an item (a shorter item whole, from 24 characters), found with up to 5 edits in 100 after folding case
-    and white space. Each text is read whole, in one narrow stage. Null, empty and short texts have no leaks; null items are ignored,
+    A passage is any 100 characters of an item (a shorter item whole), found with up to 5 edits in 100 after folding case and white space;
+    an item of under 24 characters is found unchanged, not within a longer word, and one without a letter or digit not at all. Each text is read whole, in one narrow stage. Null, empty and short texts have no leaks; null items are ignored,
     repeated ones reported once per id. All rows and columns come back (a column named ``leaks`` is replaced).
 
     The index goes to every task and is therefore checked: beyond ``index_bytes`` of benchmark text the items are dealt into that many
@@ -240,8 +294,9 @@ def _scan_many(passages: Passages, texts):
     keep = np.ones(len(code), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
     place = np.flatnonzero(keep)
-    hit = passages.hits(np.where(blank, np.uint32(32), code)[place])[0]
-    return {i: x for i in np.unique(np.searchsorted(ends, place[hit], side="right")).tolist() if (x := _scan(passages, texts[i]))}
+    hit = passages.shared(np.where(blank, np.uint32(32), code)[place])[0]
+    some = range(len(texts)) if passages.short else np.unique(np.searchsorted(ends, place[hit], side="right")).tolist()
+    return {i: x for i in some if (x := _scan(passages, texts[i]))}
 
 
 @query("op7_decontaminate")
