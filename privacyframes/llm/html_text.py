@@ -23,6 +23,9 @@ GROWN, INNER = 6_000, 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object noframes textarea title select button".split())
+#: Of these, the ones with a syntax of their own, and the ones that can lie within each other.
+FOREIGN = frozenset("svg math".split())
+NESTED = FOREIGN | frozenset("template object".split())
 #: Of these, the ones that hide the rest of the page when they are not closed.
 HIDING = frozenset("script style title".split())
 BLOCKS = frozenset(
@@ -153,7 +156,8 @@ class Page:
                 if self.run is not None:
                     self.run.append(" ")
                 continue
-            if name in RAW and not attributes.endswith("/"):
+            # A slash at the end empties only foreign elements; elsewhere it belongs to a value or is ignored.
+            if name in RAW and not (name in FOREIGN and attributes.endswith("/")):
                 end = -1 if name in endless else _raw_end(source, name, at)
                 if end < 0 and name in HIDING:
                     return
@@ -182,8 +186,20 @@ class Page:
 
 
 def _raw_end(source: str, name: str, at: int) -> int:
-    found = re.compile(f"</{name}", re.I | re.A).search(source, at)
-    return found.start() if found else -1
+    """Place of the end tag of a raw element. Those that hold elements (all but texts) may hold others of their own kind, which end first."""
+    if name not in NESTED:
+        found = re.compile(f"</{name}(?![a-z0-9])", re.I | re.A).search(source, at)
+        return found.start() if found else -1
+    open_elements = 1
+    for found in re.compile(f"<(/?){name}(?![a-z0-9-])", re.I | re.A).finditer(source, at):
+        if found[1]:
+            open_elements -= 1
+        else:
+            end = _tag_end(source, found.end())
+            open_elements += not (end > 0 and source[end - 1] == "/" and name in FOREIGN)
+        if not open_elements:
+            return found.start()
+    return -1
 
 
 def _tag_end(source: str, head: int) -> int:
@@ -445,12 +461,30 @@ def main_text(model, sources: list[str | None]) -> list[str]:
     return out
 
 
+def start_pages(n: int = 24) -> list[str]:
+    """Pages made from a rule, to learn from where no given page marks its article: paragraphs between the usual parts of a page."""
+    random = np.random.default_rng(11)
+    word = lambda: "".join(random.choice(["ka", "lo", "mi", "ter", "en", "ast", "ur", "ve", "no", "si"], random.integers(1, 5)))
+    words = lambda low, high: " ".join(word() for _ in range(random.integers(low, high)))
+    links = lambda most: "".join(f'<li><a href="/{word()}">{words(1, 4)}</a></li>' for _ in range(random.integers(2, most)))
+    out = []
+    for _ in range(n):
+        blocks = [f"<h1>{words(2, 9)}</h1>", *(f"<p>{words(12, 70)}.</p>" for _ in range(random.integers(3, 12)))]
+        blocks.insert(random.integers(2, len(blocks)), f"<h2>{words(2, 6)}</h2><ul><li>{words(4, 15)}</li><li>{words(4, 15)}</li></ul>")
+        out.append(
+            f"<html><body><header><a href=/>{words(1, 3)}</a><nav><ul>{links(8)}</ul></nav></header><article>{''.join(blocks)}</article>"
+            f'<aside class="sidebar"><h3>{words(1, 3)}</h3><ul>{links(9)}</ul></aside><footer><p>{words(3, 12)}</p></footer></body></html>'
+        )
+    return out
+
+
 def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", learned: int = LEARNED, longest: int = 20_000) -> DataFrame:
     """``pages`` with ``main_text``: blocks of the main text in page order, joined by line ends; references decoded, white space as one blank.
 
-    Learns from at most ``learned`` pages (by a hash of the id) of at most ``longest`` characters that mark their article by an element;
-    every page is extracted whole, however long. Null and empty pages, and all pages where none marks an article, give an empty text.
-    All rows and columns come back (a column named ``main_text`` is replaced). The trees, some kilobytes, are all that is broadcast.
+    Learns from at most ``learned`` different pages (by a hash of id and page) of at most ``longest`` characters that mark their article by an element;
+    if all such pages are longer, from the shortest of them; if no page marks its article, from pages made from a rule.
+    Every page is extracted whole, however long. Null and empty pages give an empty text. Pages with one id or none are
+    extracted each. All rows and columns come back (a column named ``main_text`` is replaced). The trees, some kilobytes, are all that is broadcast.
     """
     spark = pages.sparkSession
 
@@ -458,8 +492,12 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", html_column: str
         rows = rows.sort_by([("id", "ascending"), ("html", "ascending")])
         return pa.table({"model": pa.array([pack(learn(rows["html"].to_pylist()))], pa.binary())})
 
-    usable = pages.filter(F.col(html_column).rlike("(?i)<(article|main)[\\s>]") & (F.length(html_column) <= longest))
-    sample = bounded(usable, id_column, learned).select(F.col(id_column).cast("string").alias("id"), F.col(html_column).alias("html"))
+    marked = pages.select(F.col(id_column).cast("string").alias("id"), F.col(html_column).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    sample = bounded(marked.filter(F.length("html") <= longest), ["id", "html"], learned)
+    if sample.isEmpty():
+        sample = marked.orderBy(F.length("html"), "html").limit(learned)
+    if sample.isEmpty():
+        sample = spark.createDataFrame([(str(i), page) for i, page in enumerate(start_pages())], "id string, html string")
     found = sample.withColumn("all_rows", F.lit(0)).groupBy("all_rows").applyInArrow(fit, "model binary").collect()
     shared = spark.sparkContext.broadcast(unpack(bytes(found[0]["model"])) if found else None)
     rows = pages.drop("main_text")

@@ -44,7 +44,7 @@ def train(labelled: DataFrame, id_column: str, text_column: str, label_column: s
 
     Every task adds up its own rows; one row of counts per task and label is shuffled. The matrix is all that reaches the driver.
     """
-    sample = bounded(labelled.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()), id_column, most)
+    sample = bounded(labelled.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()), [id_column, text_column], most)
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}

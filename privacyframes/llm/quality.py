@@ -149,7 +149,7 @@ def train(labelled: DataFrame, most: int = LEARNED):
         of = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
         return pa.table({"model": pa.array([pack(fit(at, of, weight.astype(float), np.array(rows["label"].to_pylist(), float)))], pa.binary())})
 
-    sample = bounded(labelled, "doc_id", most).mapInArrow(extract, "doc_id long, label int, blob binary")
+    sample = bounded(labelled, ["doc_id", "body"], most).mapInArrow(extract, "doc_id long, label int, blob binary")
     found = sample.withColumn("all_rows", F.lit(0)).groupBy("all_rows").applyInArrow(learn, "model binary").collect()
     return unpack(bytes(found[0]["model"])) if found else None
 
@@ -164,7 +164,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     stated = F.col(stated_column).cast("long") if stated_column in docs.columns else F.lit(None).cast("long")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("body"), stated.alias("stated"))
     marks = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    wanted = bounded(marks.filter(~held_out("doc_id")), "doc_id", learned)
+    wanted = bounded(marks.filter(~held_out("doc_id")), ["doc_id"], learned)
     model = train(rows.join(wanted, "doc_id"), learned)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -11,13 +11,25 @@ def held_out(id_column: str | Column) -> Column:
     return F.crc32(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column) % 5 == 0
 
 
-def bounded(rows: DataFrame, id_column: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the id: the same rows on every run, however they are partitioned."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    share = int(most / n * (1 << 31))
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_column), F.lit(7)), F.lit(1 << 31)) < share)
+def bounded(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """At most ``most`` different rows: those with the smallest hashes of ``columns``, the same on every run and however they are partitioned.
+
+    Name the id and the text, so that neither rows with one id nor rows without an id stand or fall together; rows that are equal in
+    both are one. Only hashes are compared: first those under a bound that about twice as many rows pass, and all of them where
+    repeated rows leave too few there.
+    """
+    kept = rows.withColumn("__hash", F.xxhash64(*columns, F.lit(7)))
+    n = kept.count()
+
+    def limit(hashes):
+        return hashes.select("__hash").distinct().orderBy("__hash").limit(most).agg(F.count("*"), F.max("__hash")).first()
+
+    found, highest = 0, None
+    if n > 4 * most:
+        found, highest = limit(kept.filter(F.col("__hash") < -(1 << 63) + int(2 * most / n * (1 << 64))))
+    if found < most:
+        found, highest = limit(kept)
+    return kept.filter(F.col("__hash") <= F.lit(highest if found else 0)).dropDuplicates(["__hash"]).drop("__hash")
 
 
 def slices(texts: list[str | None], most: int = 1 << 19):

@@ -107,6 +107,29 @@ def test_appends_and_edits_equal_encoding_anew(vocabulary):
         assert b"".join(vocabulary.tokens[t] for t in held.tokens()) == text
 
 
+def test_edits_recompute_what_is_near(vocabulary):
+    rng = random.Random(15)
+    text = bytes(rng.choice(b"abcdeinorst ") for _ in range(6000))
+    held = bpe.Prefixes(vocabulary, text)
+    for _ in range(12):
+        a = rng.randrange(len(text))
+        new = bytes(rng.choice(b"aeinost") for _ in range(rng.randint(0, 3)))
+        anew = held.edit(a, a + 2, new)
+        text = text[:a] + new + text[a + 2 :]
+        assert held.tokens() == bpe.Prefixes(vocabulary, text).tokens()
+        assert anew <= 4 * vocabulary.longest
+
+
+def test_caches_are_bounded_in_bytes(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
+    rng = random.Random(3)
+    encoder = bpe.Encoder(vocabulary)
+    for _ in range(800):
+        piece = bytes(rng.choice(b"abcdeinorst") for _ in range(rng.randint(3, 40)))
+        assert encoder.ids(piece) == np.array(merged(vocabulary, piece), "<u4").tobytes()
+        assert encoder.size <= 20_000 + 48 * 400 and len(encoder.known) < 300
+
+
 def test_documents_equal_the_library(spark, small, edge):
     import tiktoken
 
@@ -116,7 +139,7 @@ def test_documents_equal_the_library(spark, small, edge):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         for r in bpe.bpe_encode(docs, lines, pattern).collect():
             assert np.frombuffer(bytes(r.ids), "<u4").tolist() == own.encode_ordinary(texts[r.doc_id])
-            assert bytes(r.decoded) == texts[r.doc_id].encode()
+            assert bytes(r.decoded) == texts[r.doc_id].encode() and r.round_trip
     assert bpe.bpe_encode(edge.limit(0), lines, pattern).collect() == []
 
 
@@ -210,7 +233,7 @@ def test_alignment_equals_the_full_table():
             for j, d in enumerate(text):
                 new.append(min(cost[j] + (c != d), cost[j + 1] + 1, new[j] + 1))
             cost = new
-        found = [x for x in (index.align(code, p, d) for p, d in index.regions(code)) if x]
+        found = [x for at, slot in index.stretches(code) for p, d in index.regions(at, slot, np.zeros(1, bool)) if (x := index.align(code, p, d))]
         assert (min(cost) <= 5) == bool(found)
         assert not found or min(x[0] for x in found) == min(cost)
 
