@@ -77,40 +77,6 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str, how: s
     return joined.withColumn(out, both).drop("__local", "__carry")
 
 
-def quiet_segments(df: DataFrame, key: str, order: list[str], t: str, gap: int, out: str = "segment") -> DataFrame:
-    """Number each key's stretches separated by more than ``gap`` units of ``t`` without rows.
-
-    ``df`` needs a bucket column. (key, segment) is then a finer grouping key for machines that forget
-    everything during such a silence. All facts of a bucket are taken in one aggregation: its ends and its own silences.
-    """
-    w = Window.partitionBy(key, BUCKET).orderBy(*order)
-    silent = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("long"), F.lit(0))
-    local = df.withColumn("__new", silent).withColumn("__local", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    facts = local.groupBy(key, BUCKET).agg(F.min(t).alias("first"), F.max(t).alias("last"), F.sum("__new").alias("n"))
-    over = Window.partitionBy(key).orderBy(BUCKET)
-    opened = F.coalesce((F.col("first") - F.lag("last").over(over) > gap).cast("long"), F.lit(0))
-    facts = facts.withColumn("opened", opened)
-    before = F.coalesce(F.sum(F.col("n") + F.col("opened")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = facts.select(F.col(key).alias("__key"), F.col(BUCKET).alias("__at"), (before + F.col("opened")).alias("__carry"))
-    joined = local.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col(BUCKET) == F.col("__at")))
-    return joined.withColumn(out, F.col("__carry") + F.col("__local")).drop("__new", "__local", "__key", "__at", "__carry")
-
-
-def reset_segments(
-    df: DataFrame, key: str, order: list[str], t: str, success: str, lock: int, out: str = "segment"
-) -> DataFrame:
-    """Number each key's stretches so that a login guard starts clean in each of them.
-
-    A success at least ``lock`` after the last failure cannot be blocked, so it clears all state; the row
-    after it starts a new stretch: a row's number is the count of clearing rows before it.
-    """
-    failed = df.withColumn("__fail", F.when(~F.col(success), F.col(t)))
-    known = running(failed, [key], order, "__fail", "max", "__last_fail", own=False)
-    clears = F.col(success) & F.coalesce(F.col(t) - F.col("__last_fail") >= lock, F.lit(True))
-    marked = known.withColumn("__clears", F.coalesce(clears.cast("int"), F.lit(0)))
-    return running(marked, [key], order, "__clears", "sum", out, own=False).drop("__fail", "__last_fail", "__clears")
-
-
 def run_in_order(
     df: DataFrame, keys: list[str], order: list[str], begin: Callable, outputs: str, keep: list[str]
 ) -> DataFrame:

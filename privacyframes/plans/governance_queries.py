@@ -579,7 +579,8 @@ def rate_limit(spark, sf):
 
 
 def _stream(spark, sf, name):
-    source = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table's files as a stream, at most so many bytes in a micro-batch."""
+    source = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").option("maxBytesPerTrigger", 256 << 20)
     return source.parquet(sf)
 
 
@@ -596,6 +597,17 @@ def rate_limit_null_client(spark, sf):
     return B.rate_limit(_requests(events), limit=LIMIT, window_seconds=WINDOW)
 
 
+_HOT_CLIENT = "case when user_id % 3 = 0 then 0 else user_id end"
+_HOT_RATE = _RATE.replace("from events)", f"from (select event_id, ts, {_HOT_CLIENT} as user_id from events))")
+
+
+@query("t1_hot_client", _HOT_RATE.replace(f"< {LIMIT}", "< 26"))
+def rate_limit_hot_client(spark, sf):
+    """One client has a third of all requests and is never silent; its window is full only now and then."""
+    events = table(spark, sf, "events").withColumn("user_id", F.expr(_HOT_CLIENT))
+    return B.rate_limit(_requests(events), limit=26, window_seconds=WINDOW)
+
+
 @query("t1_rate_limit_stream", _RATE)
 def rate_limit_stream(spark, sf):
     limited = S.rate_limit_stream(_requests(_stream(spark, sf, "events")), LIMIT, WINDOW)
@@ -624,6 +636,20 @@ def lockout(spark, sf):
     return B.login_actions(_attempts(table(spark, sf, "events")), lock_minutes=MINUTES)
 
 
+_FAILING = _LOGIN.replace(f"select event_id, ts, user_id, {_OK} as success,", f"select event_id, ts, user_id, {_OK} and user_id is not null and user_id != 0 as success,").replace(
+    "from events)", "from (select event_id, ts, event_type, case when user_id % 3 = 0 then 0 when user_id % 10 = 4 then null else user_id end as user_id from events))"
+).replace("e.user_id = w.user_id", "e.user_id is not distinct from w.user_id")
+
+
+@query("t2_failing_user", _FAILING)
+def lockout_failing_user(spark, sf):
+    """One user has a third of all attempts and only fails, and so do the attempts without a user."""
+    who = F.expr("case when user_id % 3 = 0 then 0 when user_id % 10 = 4 then null else user_id end")
+    rows = _attempts(table(spark, sf, "events").withColumn("user_id", who))
+    fails = F.coalesce(F.col("user_id") == 0, F.lit(True))
+    return B.login_actions(rows.withColumn("success", F.col("success") & ~fails), lock_minutes=MINUTES)
+
+
 @query("t2_login_lockout_stream", _LOGIN)
 def lockout_stream(spark, sf):
     return S.run_available(S.login_stream(_attempts(_stream(spark, sf, "events")), lock_minutes=MINUTES), spark)
@@ -642,20 +668,52 @@ def sanitize_stream(spark, sf):
 _HOURLY = "timestamp '2024-01-01' + doc_id * interval 1 hour"
 
 
-@query(
-    "t4_streaming_counters",
-    oracle.findings_sql(
-        "select 'doc' as src, doc_id, text from documents",
-        f"select strftime(ts, '%Y-%m') as month, entity_type, count(*) as n from (select {_HOURLY} as ts, entity_type from kept) "
-        f"where date_trunc('day', ts) + interval 1 day <= (select max({_HOURLY}) from documents) - interval 1 hour group by all",
-    ),
-)
-def counters(spark, sf):
-    """Closed days only: the last day stays open until the watermark passes it."""
+_AT = "select 'doc' as src, doc_id, text from documents"
+_DAY_END = f"date_trunc('day', {_HOURLY}) + interval 1 day"
+
+
+def _counted(late: str) -> str:
+    """Findings per month, late ones apart; a month is open while one of its days is."""
+    high = f"(select max({_HOURLY}) from documents) - interval 1 hour"
+    return oracle.findings_sql(
+        _AT,
+        f"select strftime({_HOURLY}, '%Y-%m') as month, entity_type, count(*) filter (not {late}) as n, count(*) filter ({late}) as late, bool_or({_DAY_END} > {high}) as \"open\" from kept group by all",
+    )
+
+
+def _timed(docs):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
-    timed = _stream(spark, sf, "documents").select(at.alias("ts"), "text")
-    daily = S.run_available(S.daily_counters(timed), spark)
-    return S.monthly_from_daily(daily)
+    return docs.select(at.alias("ts"), "text")
+
+
+@query("t4_streaming_counters", _counted("false"))
+def counters(spark, sf):
+    """All days, those the watermark has not passed marked as open."""
+    folder = S.stream_folder(spark)
+    S.start_counters(_timed(_stream(spark, sf, "documents")), folder).awaitTermination()
+    return S.monthly_counters(S.daily_counters(spark, folder))
+
+
+_LATE = f"(doc_id % 3 != 0 and {_DAY_END} <= (select max({_HOURLY}) from documents where doc_id % 3 = 0) - interval 1 hour)"
+
+
+def _two_runs(spark, sf):
+    """A stream that is started again: first a third of the documents, then the others, most of which come late."""
+    docs, source, folder = table(spark, sf, "documents").select("doc_id", "text"), _scratch(spark), S.stream_folder(spark)
+    for part in ("doc_id % 3 = 0", "doc_id % 3 != 0"):
+        docs.filter(part).write.mode("append").parquet(source)
+        S.start_counters(_timed(spark.readStream.schema(docs.schema).parquet(source)), folder).awaitTermination()
+    return folder
+
+
+@query("t4_late_counters", _counted(_LATE))
+def late_counters(spark, sf):
+    return S.monthly_counters(S.daily_counters(spark, _two_runs(spark, sf)))
+
+
+@query("t4_late_rows", f"select 0::bigint as batch, count(*) as n_rows, 0::bigint as n_late from documents where doc_id % 3 = 0 union all select 1, count(*), count(*) filter ({_LATE}) from documents where doc_id % 3 != 0")
+def late_rows(spark, sf):
+    return S.late_rows(spark, _two_runs(spark, sf))
 
 
 @query("t5_audit_stream", _CHAINED + ' select id, user_id, action, details, "timestamp", prev_hash, log_hash from chain')

@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +10,9 @@ from privacyframes.functions import fixed
 from privacyframes.operators import admission as A
 from privacyframes.operators import crypto as K
 from privacyframes.operators import governance as G
-from privacyframes.operators import ordered as O
 from privacyframes.sources import readers, writers
 from privacyframes.streaming import batch as B
-from privacyframes.streaming.machines import SECOND, LoginGuard, RateWindow
+from privacyframes.streaming.machines import SECOND, LoginGuard, LoginSpan, RateWindow
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -110,11 +110,63 @@ def test_login_machine():
     assert acts == ["LOGIN_FAIL"] * 4 + ["LOGIN_LOCKOUT", "LOGIN_BLOCKED", "LOGIN_BLOCKED", "LOGIN", "LOGIN_FAIL"]
 
 
-def test_hot_key_is_split(spark):
-    df = spark.createDataFrame(hot_events(), "client long, event_id long, ts timestamp, success boolean")
-    timed = df.withColumn("t", B.micros("ts")).withColumn(O.BUCKET, O.time_bucket(F.col("ts"), 600))
-    parts = O.quiet_segments(timed, "client", ["t", "event_id"], "t", 60 * SECOND)
-    assert parts.filter("client = 1").select("segment").distinct().count() > 100
+def test_busy_client_below_its_limit_stays_out_of_the_machine(spark):
+    """One hit every 30 seconds for a week: never 120 in a minute, so no stretch is saturated, and its rows lie in many buckets."""
+    rows = [(1, i, T0 + dt.timedelta(seconds=30 * i)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "client long, event_id long, ts timestamp")
+    timed = df.withColumn("t", B.micros("ts"))
+    assert B.saturated_stretches(timed, "client", ["t", "event_id"], "t", 120, 60 * SECOND).count() == 0
+    got = B.rate_limit(df)
+    assert got.filter("accepted").count() == 20_000
+    assert re.search(r"Exchange hashpartitioning\(client#\d+L?, __bucket", got._jdf.queryExecution().toString())
+
+
+def test_full_windows_begin_anew_after_free_ones(spark):
+    """Bursts over the limit, days apart: each is a stretch of its own."""
+    rows, n = [], 0
+    for day in range(30):
+        for i in range(200):
+            rows.append((None, n, T0 + dt.timedelta(days=day, seconds=i // 4), True))
+            n += 1
+    df = spark.createDataFrame(rows, "client long, event_id long, ts timestamp, success boolean")
+    timed = df.withColumn("t", B.micros("ts"))
+    cells = B.saturated_stretches(timed, "client", ["t", "event_id"], "t", 120, 60 * SECOND)
+    assert cells.select("segment").distinct().count() == 30
+    got = {r.event_id: r.accepted for r in B.rate_limit(df).collect()}
+    assert got == expected(rows, lambda: RateWindow((), 120, 60)) and not all(got.values())
+
+
+def test_user_who_only_fails_is_split(spark, monkeypatch):
+    monkeypatch.setattr(LoginSpan, "PIECE", 7)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 5, 5, 5]), i, T0 + dt.timedelta(seconds=i * rng.choice([20, 20, 21])), False) for i in range(4000)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp, success boolean")
+    found = B.login_actions(df, bucket_seconds=1800)
+    got = {r.event_id: r.action for r in found.collect()}
+    assert got == expected(rows, LoginGuard) and set(got.values()) == {"LOGIN_FAIL", "LOGIN_LOCKOUT", "LOGIN_BLOCKED"}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan") == 1 and "ReusedExchange" in plan and len(re.findall(r" Exchange ", plan)) <= 4
+
+
+def test_spans_compose_like_the_machine():
+    """Any state through any stretch, cut anywhere: the same as attempt by attempt."""
+    rng = random.Random(1)
+    for _ in range(3000):
+        attempts, minutes = rng.choice((1, 2, 5)), rng.choice((1, 3))
+        t, rows = 0, []
+        for _ in range(rng.randrange(14)):
+            t += rng.choice((0, 10, 30, 61, 200)) * SECOND
+            rows.append(Row(t=t, success=rng.random() < 0.2))
+        a, b = sorted(rng.randrange(len(rows) + 1) for _ in range(2))
+        span = LoginSpan.nothing(attempts)
+        for piece in (rows[:a], rows[a:b], rows[b:]):
+            span = span.then(LoginSpan.of(piece, attempts, minutes))
+        state = (0, rng.choice((0, 5, 30, 61, 100, 200, 10_000)) * SECOND) if rng.random() < 0.5 else (rng.randrange(attempts), None)
+        guard = LoginGuard(*state, attempts, minutes)
+        for r in rows:
+            guard.step(r)
+        left = [s if s[1] is None or not rows or s[1] > rows[-1].t else (s[0], None) for s in (span(state), (guard.fails, guard.until))]
+        assert left[0] == left[1]
 
 
 FILES = [
