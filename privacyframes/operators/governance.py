@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from .admission import effective_mode, extension
 from ..streaming.machines import ChainLink
-from .ordered import BUCKET, previous, range_bucket, run_in_order, running
+from .ordered import neighbours, run_in_order
 from ..functions.mask import known_mode
 from .sanitization import sanitize_documents
 
@@ -40,31 +40,27 @@ def audit_digest(user_id: Column, action: Column, details: Column, ts: Column, p
     return F.sha2(F.concat(audit_head(user_id, action, details, ts), F.coalesce(prev_hash, F.lit(""))), 256)
 
 
-def audit_links(logs: DataFrame, chain: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def audit_links(logs: DataFrame, chain: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
     """Add ``before`` (stored hash of the preceding record, null for the first) and ``seq`` (0-based place).
 
-    A link only needs its neighbour. Records are split by (chain, id range), so one long chain, or the single
-    global one, is checked by many tasks; per range only its size and last hash travel on.
+    A link only needs its neighbour. Records are split by (chain, range of ``width`` ids), so one long chain, or the single
+    global one, is checked by many tasks; ids are unique, so a task's share is bounded. Make ``width`` larger where ids are sparse.
     """
-    keys = list(chain or [])
-    keyed = logs.withColumn(BUCKET, range_bucket(logs, "id", buckets).cast("int")).withColumn("__one", F.lit(1))
-    linked = previous(keyed, keys, ["id"], "log_hash", "before")
-    counted = running(linked, keys, ["id"], "__one", "sum", "seq", own=False)
-    return counted.withColumn("seq", F.col("seq").cast("long")).select(*logs.columns, "before", "seq")
+    return neighbours(logs, list(chain or []), "id", "log_hash", width, CHAIN_COLUMNS)
 
 
-def audit_check(logs: DataFrame, chain: list[str] | None = None) -> DataFrame:
+def audit_check(logs: DataFrame, chain: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
     """Every record with ``ok``: it points to its predecessor's stored hash, and its own hash recomputes."""
-    linked = audit_links(logs, chain)
+    linked = audit_links(logs, chain, width)
     expected = audit_digest(*[F.col(c) for c in ("user_id", "action", "details", "timestamp", "before")])
     ok = F.col("prev_hash").eqNullSafe(F.col("before")) & F.col("log_hash").eqNullSafe(expected)
     return linked.withColumn("ok", ok)
 
 
-def verify_chain(logs: DataFrame, chain: list[str] | None = None) -> DataFrame:
+def verify_chain(logs: DataFrame, chain: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
     """One row per chain: ok, verified_count, last_hash, or the first broken place and id."""
     keys = chain or []
-    checked = audit_check(logs, chain)
+    checked = audit_check(logs, chain, width)
     bad = F.when(~F.col("ok"), F.struct("seq", "id"))
     agg = checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("log_hash", "id").alias("tail"), F.min(bad).alias("broken")

@@ -1,8 +1,7 @@
 """Ordered computations over keyed rows that stay parallel when one key holds most of the data.
 
 Rows are split by (key, bucket), where buckets follow the order. Windows run inside a bucket; one small row per
-bucket carries the rest over. All steps share the (key, bucket) partitioning; each step aggregates its input once for the bucket rows
-and once more for the rows themselves.
+bucket carries the rest over.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from collections import namedtuple
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,62 +18,26 @@ from pyspark.sql.pandas.types import to_arrow_type
 BUCKET = "__bucket"
 
 
-def time_bucket(ts: Column, seconds: int = 3600) -> Column:
-    return F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("long")
+def neighbours(df: DataFrame, keys: list[str], order: str, value: str, width: int, carried: list[str]) -> DataFrame:
+    """Add ``before`` (``value`` of the key's row before, null for its first) and ``seq`` (the row's place among the key's rows, from 0).
 
-
-def range_bucket(df: DataFrame, order: str, buckets: int | None = None) -> Column:
-    """Range bucket of each row by a numeric column: about equal sizes, and a plain expression of the row.
-
-    The bounds come from a quantile sketch (one small row), so they do not change under task retries.
+    Rows are split by key and by ranges of ``width`` numbers of ``order``, a whole number, so one key runs in many tasks; its rows must
+    have different numbers, which bounds a range. A range then passes on its size and its last row, one small row each. ``carried``
+    names the columns that whoever uses the result needs anyway: taken for both uses, the rows are read and shuffled once.
     """
-    n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    if n == 1:
-        return F.lit(0)
-    shares = ", ".join(str(i / n) for i in range(1, n))
-    found = df.selectExpr(f"percentile_approx({order}, array({shares})) as b").first()["b"]
-    cuts = sorted(set(found or []))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(order)))
-
-
-def _carry(df: DataFrame, keys: list[str], edges: DataFrame, combine) -> DataFrame:
-    """Attach ``__carry`` (a value combined over the earlier buckets of the key) to every row."""
-    # One row per bucket and key here; without keys that is at most the number of buckets.
-    order = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(BUCKET)
-    carried = edges.select(*keys, BUCKET, combine(order).alias("__carry"))
-    # Null is a key like others.
-    named = carried.select(*[F.col(k).alias(f"__{k}") for k in [*keys, BUCKET]], "__carry")
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, BUCKET]]
-    return df.join(named, same, "left").drop(*[f"__{k}" for k in [*keys, BUCKET]])
-
-
-def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: ``value`` of the row before, null for a key's first row."""
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    # A boxed value tells "no row before" from "row before holds null".
-    local = df.withColumn("__prev", F.lag(F.struct(F.col(value).alias("v"))).over(w))
-    edges = df.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("tail"))
-    joined = _carry(local, keys, edges, lambda o: F.lag("tail").over(o))
-    return joined.withColumn(out, F.coalesce("__prev", "__carry")["v"]).drop("__prev", "__carry")
-
-
-def running(df: DataFrame, keys: list[str], order: list[str], value: str, how: str, out: str, own: bool) -> DataFrame:
-    """Add ``out``: running ``how`` ('sum' or 'max') of ``value``, with or without the row's ``own`` value."""
-    agg = {"sum": F.sum, "max": F.max}[how]
-    frame = (Window.unboundedPreceding, 0 if own else -1)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(*frame)
-    local = df.withColumn("__local", agg(value).over(w))
-    edges = df.groupBy(*keys, BUCKET).agg(agg(value).alias("total"))
-    joined = _carry(
-        local, keys, edges, lambda o: agg("total").over(o.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    if how == "max":
-        both = F.greatest("__local", "__carry")
-    else:
-        both = F.coalesce("__local", F.lit(0)) + F.coalesce("__carry", F.lit(0))
-    return joined.withColumn(out, both).drop("__local", "__carry")
+    # A struct is never null, so a null key needs no special case.
+    key = F.struct(*keys) if keys else F.lit(0)
+    # A boxed value tells "no row before" from "the row before holds null".
+    placed = df.withColumn("__k", key).withColumn("__v", F.struct(F.col(value).alias("v"))).withColumn(BUCKET, F.expr(f"coalesce(cast(`{order}` as bigint) div {width}, 0)"))
+    w = Window.partitionBy("__k", BUCKET).orderBy(order)
+    local = placed.withColumn("__prev", F.lag("__v").over(w)).withColumn("__place", F.row_number().over(w))
+    # Taken after the window, from the same shuffled rows.
+    ends = local.groupBy("__k", BUCKET).agg(F.max("__place").alias("n"), F.max_by(F.struct(*carried, "__v"), "__place").alias("last"))
+    over = Window.partitionBy("__k").orderBy(BUCKET)
+    done = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = ends.select("__k", BUCKET, F.lag("last.__v").over(over).alias("__tail"), done.alias("__done"))
+    joined = local.join(carry, ["__k", BUCKET])
+    return joined.select(*df.columns, F.coalesce("__prev", "__tail")["v"].alias("before"), (F.col("__done") + F.col("__place") - 1).cast("long").alias("seq"))
 
 
 def run_in_order(

@@ -43,20 +43,29 @@ def test_append_continues_from_tails(spark):
     assert G.verify_chain(both).first().verified_count == 80
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16, None])
-def test_global_chain_over_buckets(spark, buckets):
+@pytest.mark.parametrize("width", [1, 7, 150, 1 << 16])
+def test_global_chain_over_buckets(spark, width):
     logs = G.append_events(logs_frame(spark), chain="ledger").drop("ledger")
-    linked = G.audit_links(logs, buckets=buckets)
+    linked = G.audit_links(logs, width=width)
     assert linked.filter(F.col("prev_hash").eqNullSafe(F.col("before"))).count() == 400
     assert [r.seq for r in linked.orderBy("id").collect()] == list(range(400))
-    ok = G.verify_chain(logs).first()
+    ok = G.verify_chain(logs, width=width).first()
     assert ok.ok and ok.verified_count == 400 and ok.broken_at_index is None
-    bad = G.verify_chain(logs.withColumn("action", F.when(F.col("id") == 123, "X").otherwise(F.col("action")))).first()
+    bad = G.verify_chain(logs.withColumn("action", F.when(F.col("id") == 123, "X").otherwise(F.col("action"))), width=width).first()
     assert (bad.ok, bad.broken_at_index, bad.broken_log_id, bad.verified_count) == (False, 123, 123, None)
-    gone = G.verify_chain(logs.filter("id != 200")).first()
+    gone = G.verify_chain(logs.filter("id != 200"), width=width).first()
     assert (gone.broken_at_index, gone.broken_log_id) == (200, 201)
 
 
+def test_chains_are_checked_in_one_scan(spark, sf_small):
+    events = spark.read.parquet(f"{sf_small}/events.parquet")
+    logs = events.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("action"), F.col("props").alias("details"), F.col("ts").cast("timestamp").alias("timestamp"), F.md5("props").alias("prev_hash"), F.md5("event_type").alias("log_hash"))
+    checked = G.verify_chain(logs, ["user_id"])
+    checked.collect()
+    plan = checked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan and "percentile" not in plan
+
+
 def hot_events(n=6000, seed=1):
     """One client with most of the events, in bursts; a few small ones."""
     rng, t, rows = random.Random(seed), 0, []
