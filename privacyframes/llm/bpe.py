@@ -1,4 +1,7 @@
-"""Byte-level BPE by prefix dynamic programming: each prefix of a piece keeps the last token of its one valid encoding."""
+"""Byte-level BPE by prefix dynamic programming: each prefix of a piece keeps the last token of its one valid encoding.
+
+New pieces are taken in the order of their bytes, so each is an exact append to the prefix it shares with the one before.
+"""
 
 from __future__ import annotations
 
@@ -11,14 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from .registry import query, table
-from .sampling import slices
 
-#: Bytes of pieces, of prefixes and of pairs of tokens a task remembers, each; beyond, it starts to remember anew (results do not depend on it).
-REMEMBERED = 20 << 20
+#: Bytes of pieces and of pairs of tokens a task remembers, each; beyond, it starts to forget (results do not depend on it).
+REMEMBERED = 32 << 20
 #: Bytes of an entry besides its own: the objects and their place in a table.
-ENTRY, PAIR = 220, 110
-#: Bytes of the longest piece whose prefixes are remembered.
-SHORT = 48
+ENTRY, PAIR = 200, 110
+#: Bytes at its end by which a token is looked for.
+ENDING = 3
+#: Characters of the longest piece that is remembered; bytes of the texts whose pieces are encoded together.
+SHORT, TOGETHER = 48, 1 << 21
 
 
 class Vocabulary:
@@ -29,8 +33,9 @@ class Vocabulary:
         self.tokens = {r: t for t, r in ranks.items()}
         lengths: dict[bytes, set[int]] = {}
         for t in ranks:
-            lengths.setdefault(t[-2:], {1}).add(len(t))
-        #: Lengths of the tokens that end in these two bytes, longest first.
+            if len(t) >= ENDING:
+                lengths.setdefault(t[-ENDING:], set(range(1, ENDING))).add(len(t))
+        #: Lengths that a token ending in these bytes can have, longest first.
         self.lengths = {end: tuple(sorted(x, reverse=True)) for end, x in lengths.items()}
         self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -96,15 +101,31 @@ class Prefixes:
         self.text += more
         self._extend(len(self.text))
 
+    def turn(self, text: bytes) -> None:
+        """Goes on to another text; what is known of the prefixes both share stays."""
+        old, n = self.text, min(len(self.text), len(text))
+        same = 0
+        while same < n and old[same] == text[same]:
+            same += 1
+        del self.last[same + 1 :]
+        self.text = text
+        self._extend(len(text))
+
     def _extend(self, until: int) -> None:
         v, text = self.vocabulary, self.text
-        ranks, last, lengths, fits = v.ranks, self.last, v.lengths, v.fits
+        ranks, last, lengths, pairs, fits, shorter = v.ranks, self.last, v.lengths, v.pairs, v.fits, tuple(range(ENDING - 1, 0, -1))
         for end in range(len(last), until + 1):
-            for length in lengths.get(text[end - 2 : end], (1,)) if end > 1 else (1,):
+            for length in lengths.get(text[end - ENDING : end], shorter) if end >= ENDING else shorter:
                 if length > end:
                     continue
                 token = ranks.get(text[end - length : end])
-                if token is not None and (v.alone(token) if end == length else fits(last[end - length], token)):
+                if token is None:
+                    continue
+                if end == length:
+                    good = v.alone(token)
+                elif (good := pairs.get(last[end - length] << 32 | token)) is None:
+                    good = fits(last[end - length], token)
+                if good:
                     last.append(token)
                     break
             else:
@@ -137,54 +158,47 @@ class Prefixes:
         return out[::-1]
 
 
+class Halves(dict):
+    """A table that forgets: when it is full it becomes the older half, and what is asked for again comes back from there. Bounded in bytes."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.size, self.older = most, 0, {}
+
+    def keep(self, key, value, size: int):
+        if self.size + size > self.most // 2:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[key] = value
+        self.size += size
+        return value
+
+
 class Encoder:
-    """Encodes pieces one after the other and keeps the last token, and so the ids, of every prefix it has met in any of them."""
+    """Encodes many pieces, each as an append to what it shares with the piece before it in their order."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, tuple[int, bytes]] = {b"": (-1, b"")}
-        self.size = 0
-        self.vocabulary.pairs.clear()
-
-    def ids(self, piece: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers. A piece that is a token is that token."""
-        v, known = self.vocabulary, self.known
-        whole = v.ranks.get(piece)
-        if whole is not None:
-            return whole.to_bytes(4, "little")
-        if len(piece) > SHORT:
-            if len(v.pairs) * PAIR > REMEMBERED:
-                self.forget()
-            return np.array(Prefixes(v, piece).tokens(), "<u4").tobytes()
-        if self.size > REMEMBERED or len(v.pairs) * PAIR > REMEMBERED:
-            self.forget()
-            known = self.known
-        ranks, lengths, fits = v.ranks, v.lengths, v.fits
-        begin = len(piece)
-        while piece[:begin] not in known:
-            begin -= 1
-        for end in range(begin + 1, len(piece) + 1):
-            for length in lengths.get(piece[end - 2 : end], (1,)) if end > 1 else (1,):
-                if length > end:
-                    continue
-                token = ranks.get(piece[end - length : end])
-                if token is None:
-                    continue
-                last, before = known[piece[: end - length]]
-                if v.alone(token) if end == length else fits(last, token):
-                    known[piece[:end]] = (token, before + token.to_bytes(4, "little"))
-                    self.size += ENTRY + end + len(before)
-                    break
+        self.vocabulary, self.table = vocabulary, Prefixes(vocabulary)
+        self.bytes = {r: r.to_bytes(4, "little") for r in vocabulary.tokens}
+
+    def encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of every piece as little-endian unsigned 32-bit numbers. A piece that is a token is that token."""
+        ranks, table, four = self.vocabulary.ranks, self.table, self.bytes
+        out = {}
+        for piece in sorted(pieces):
+            whole = ranks.get(piece)
+            if whole is None:
+                table.turn(piece)
+                out[piece] = b"".join([four[t] for t in table.tokens()])
             else:
-                raise ValueError("a byte is missing from the vocabulary")
-        return known[piece][1]
+                out[piece] = four[whole]
+        if len(self.vocabulary.pairs) * PAIR > REMEMBERED:
+            self.vocabulary.pairs.clear()
+        return out
 
 
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    return np.frombuffer(Encoder(vocabulary).ids(piece), "<u4").tolist()
+    return np.frombuffer(Encoder(vocabulary).encode([piece])[piece], "<u4").tolist()
 
 
 def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str = "doc_id", text_column: str = "text", extra: list[str] = (), decoded: bool = True) -> DataFrame:
@@ -201,33 +215,43 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
         import regex
 
         vocabulary, split = Vocabulary.read(shared.value), regex.compile(pattern)
-        tokens, encoder = vocabulary.tokens, Encoder(vocabulary)
-
-        class Known(dict):
-            size = 0
+        tokens, encoder, known = vocabulary.tokens, Encoder(vocabulary), Halves(REMEMBERED)
 
-            def __missing__(self, piece):
-                ids = encoder.ids(piece.encode())
-                if len(piece) < SHORT:
-                    self[piece] = ids
-                    self.size += ENTRY + len(piece) + len(ids)
-                return ids
+        def taken(batch):
+            """Rows with some text together, so that the pieces they have in common are encoded once and next to their like."""
+            lengths = np.cumsum(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            first = 0
+            while first < len(lengths):
+                last = max(first + 1, int(np.searchsorted(lengths, (lengths[first - 1] if first else 0) + TOGETHER, "right")))
+                yield batch.slice(first, last - first)
+                first = last
 
-        known = Known()
         for batch in batches:
-            for first, last in slices(batch.column(batch.num_columns - 1).to_pylist()):
-                part = batch.slice(first, last - first)
-                ids, back, same = [], [], []
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    found = b"".join([known[x] for x in split.findall(text or "")])
+            for part in taken(batch):
+                texts = part.column(part.num_columns - 1).to_pylist()
+                pieces = [split.findall(t or "") for t in texts]
+                # Of the pieces of these rows: known ones, ones of the older half, and new ones.
+                here = dict.fromkeys(x for row in pieces for x in row)
+                new = []
+                for x in here:
+                    found = known.get(x)
+                    if found is None and (found := known.older.get(x)) is None:
+                        new.append(x)
+                    here[x] = found
+                made = encoder.encode([x.encode() for x in new])
+                for x in new:
+                    here[x] = made[x.encode()]
+                ids = [b"".join([here[x] for x in row]) for row in pieces]
+                del pieces, made, new
+                for x, found in here.items():
+                    if x not in known and len(x) < SHORT:
+                        known.keep(x, found, ENTRY + len(x) + len(found))
+                same, back = [], []
+                for text, found in zip(texts, ids, strict=True):
                     whole = b"".join([tokens[i] for i in np.frombuffer(found, "<u4").tolist()])
-                    ids.append(found)
                     same.append(whole == (text or "").encode())
                     if decoded:
                         back.append(whole)
-                    if known.size > REMEMBERED:
-                        known.clear()
-                        known.size = 0
                 columns = [pa.array(ids, pa.binary()), *([pa.array(back, pa.binary())] if decoded else []), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *results])
 

@@ -120,14 +120,18 @@ def test_edits_recompute_what_is_near(vocabulary):
         assert anew <= 4 * vocabulary.longest
 
 
-def test_caches_are_bounded_in_bytes(vocabulary, monkeypatch):
+def test_tables_are_bounded_and_keep_what_is_asked_for(vocabulary, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 20_000)
     rng = random.Random(3)
-    encoder = bpe.Encoder(vocabulary)
-    for _ in range(800):
-        piece = bytes(rng.choice(b"abcdeinorst") for _ in range(rng.randint(3, 40)))
-        assert encoder.ids(piece) == np.array(merged(vocabulary, piece), "<u4").tobytes()
-        assert encoder.size <= 20_000 + 48 * 400 and len(encoder.known) < 300
+    encoder, known = bpe.Encoder(vocabulary), bpe.Halves(20_000)
+    pieces = [bytes(rng.choice(b"abcdeinorst") for _ in range(rng.randint(3, 60))) for _ in range(800)]
+    for first in range(0, 800, 100):
+        made = encoder.encode(pieces[first : first + 100])
+        for p, ids in made.items():
+            assert ids == np.array(merged(vocabulary, p), "<u4").tobytes()
+            known.keep(p, ids, bpe.ENTRY + len(p) + len(ids))
+        assert len(vocabulary.pairs) * bpe.PAIR <= 20_000 and len(known) + len(known.older) < 100
+    assert pieces[-1] in known
 
 
 def test_documents_equal_the_library(spark, small, edge):
