@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .recognizers import DEFAULT, SCORED, Probe, Recognizer
+from .recognizers import DEFAULT, FUNCTION_HITS, SCORED, FunctionRecognizer, Probe, Recognizer
 from .sqltext import X, bind, empty, fn, let, lit, struct, when
 from .text import running, scan
 from .validate import valid_finding, valid_value
@@ -128,13 +128,40 @@ def _place(hit: X) -> X:
     return let(ends, build)
 
 
-def _from_patterns(text: X, recognizers: Sequence[Recognizer], strict: bool) -> X:
+def _from_patterns(text: X, recognizers: Sequence[Recognizer | FunctionRecognizer], strict: bool) -> X:
+    patterns = [(i, r) for i, r in enumerate(recognizers) if isinstance(r, Recognizer)]
+
     def collect(p: X) -> X:
         probe = Probe(text, p.digits, p.folded, p.indic)
-        hits = [_matches(r, i, text, probe, strict) for i, r in enumerate(recognizers)]
+        hits = [_matches(r, i, text, probe, strict) for i, r in patterns]
         return fn.flatten(fn.transform(fn.filter(fn.array(*hits), lambda h: h.is_set()), _place))
 
-    return let(_probe(text), collect) if recognizers else empty(_CANDIDATES)
+    return let(_probe(text), collect) if patterns else empty(_CANDIDATES)
+
+
+def _from_function(text: X, hits: X, order: int, r: FunctionRecognizer, strict: bool) -> X:
+    """Hits of a function, as candidates at its place among the recognisers."""
+    inside = fn.filter(hits, lambda x: (x.start >= 0) & (x.end > x.start) & (x.end <= fn.length(text)))
+    placed = _placed(
+        text,
+        inside,
+        lambda h: lit(order),
+        lambda h: fn.coalesce(h.x.entity_type, r.entity),
+        lambda h: fn.coalesce(h.x.score, float(r.score)),
+        lambda h: h["slice"],
+        r.source,
+    )
+    return fn.filter(placed, lambda c: valid_finding(c.entity_type, c.value, strict)) if r.checked else placed
+
+
+def _found(text: X, recognizers: Sequence[Recognizer | FunctionRecognizer], strict: bool, functions: Sequence[X]) -> X:
+    """Candidates of all recognisers; ``functions`` are the hits of the function recognisers among them, in their order."""
+    places = [(i, r) for i, r in enumerate(recognizers) if isinstance(r, FunctionRecognizer)]
+    if len(places) != len(functions):
+        raise ValueError("function recognizers work on whole texts in a column, not within cells or nested values")
+    more = [_from_function(text, hits, i, r, strict) for (i, r), hits in zip(places, functions, strict=True)]
+    found = _from_patterns(text, recognizers, strict)
+    return fn.concat(found, *more) if more else found
 
 
 def _placed(text: X, hits: X, order, entity, score, value, source: str) -> X:
@@ -279,18 +306,25 @@ def resolved_spans(
     text: X,
     external: X | None = None,
     late: X | None = None,
-    recognizers: Sequence[Recognizer] = DEFAULT,
+    recognizers: Sequence[Recognizer | FunctionRecognizer] = DEFAULT,
     strict_aadhaar: bool = False,
     use_scored: bool = False,
+    functions: Sequence[X] = (),
+    with_candidates: bool = False,
 ) -> X:
-    """Kept spans of one text with their byte offsets; ``external`` and ``late`` are hit arrays."""
+    """Kept spans of one text with their byte offsets; ``external``, ``late`` and ``functions`` are hit arrays.
+
+    ``with_candidates`` gives a struct instead: the first of each of the first stage's hits (``unique``), and what is kept of them.
+    """
     scored = SCORED if use_scored else ()
-    found = _from_patterns(text, (*scored, *recognizers), strict_aadhaar)
+    found = _found(text, (*scored, *recognizers), strict_aadhaar, functions)
     if external is not None:
         found = fn.concat(_from_external(text, external, strict_aadhaar), found)
-    if external is not None or late is not None or scored:
+    if external is not None or late is not None or scored or functions or with_candidates:
         # Pattern hits alone share one score, so there a repeated span can never win and needs no removal.
         found = _first_of_each(found)
+    if with_candidates:
+        return let(found, lambda unique: struct(unique=unique, kept=_resolve(unique)))
     if late is None:
         return _resolve(found)
 
@@ -307,18 +341,27 @@ def resolved_spans(
     return let(found, with_late)
 
 
-def bind_text(body, text, external=None, late=None, **more) -> Column:
+def bind_text(body, text, external=None, late=None, recognizers=(), **more) -> Column:
     """Bind text (null read as empty) and optional hit arrays, each evaluated once per row.
 
-    ``body(text, hits, row)`` gets the text, a dict of the given hit arrays, and the bound row.
+    ``body(text, hits, row)`` gets the text, a dict of the given hit arrays, and the bound row. Of ``recognizers`` the functions are
+    called here, on the column: their hits are bound like those from outside.
     """
     columns = {"text": F.coalesce(_col(text), F.lit(""))}
+    made = [r for r in recognizers if isinstance(r, FunctionRecognizer)]
+    for i, r in enumerate(made):
+        columns[f"function_{i}"] = F.coalesce(r.find(columns["text"]).cast(FUNCTION_HITS), F.array().cast(FUNCTION_HITS))
     for name, value, ddl in (("external", external, EXTERNAL_HITS), ("late", late, LATE_HITS)):
         if value is not None:
             columns[name] = F.coalesce(_col(value).cast(ddl), F.array().cast(ddl))
     hits = [n for n in ("external", "late") if n in columns]
     columns.update({k: _col(v) for k, v in more.items()})
-    return bind(lambda r: body(r["text"], {n: r[n] for n in hits}, r), **columns)
+
+    def call(r: X) -> X:
+        given = {n: r[n] for n in hits}
+        return body(r["text"], given | {"functions": [r[f"function_{i}"] for i in range(len(made))]} if made else given, r)
+
+    return bind(call, **columns)
 
 
 def _col(value) -> Column:
@@ -339,14 +382,23 @@ def findings(text, *, external=None, late=None, **options) -> Column:
     """Personal data found in ``text`` (column or name): disjoint spans in text order.
 
     ``external`` holds first-stage hits (``EXTERNAL_HITS``), ``late`` second-stage hits (``LATE_HITS``).
-    Options: ``recognizers`` (tuple of :class:`Recognizer`), ``strict_aadhaar``, ``use_scored``.
+    Options: ``recognizers`` (tuple of :class:`Recognizer` and :class:`FunctionRecognizer`), ``strict_aadhaar``, ``use_scored``.
     """
-    return bind_text(lambda t, hits, _: public(resolved_spans(t, **hits, **options)), text, external, late)
+    return bind_text(lambda t, hits, _: public(resolved_spans(t, **hits, **options)), text, external, late, options.get("recognizers", ()))
 
 
-def candidates(text, recognizers: Sequence[Recognizer] = DEFAULT, strict_aadhaar: bool = False) -> Column:
+def candidates(text, recognizers: Sequence[Recognizer | FunctionRecognizer] = DEFAULT, strict_aadhaar: bool = False) -> Column:
     """Every valid hit before overlap resolution, in insertion order."""
-    return bind_text(lambda t, hits, _: public(_from_patterns(t, recognizers, strict_aadhaar)), text)
+    return bind_text(lambda t, hits, _: public(_found(t, recognizers, strict_aadhaar, hits.get("functions", ()))), text, recognizers=recognizers)
+
+
+def resolution(text, *, external=None, **options) -> Column:
+    """``struct<unique, kept>`` of one detection: the hits without repeated ones (the first inserted of equal spans), and what is kept of them."""
+
+    def both(t: X, hits: dict, _) -> X:
+        return let(resolved_spans(t, **hits, **options, with_candidates=True), lambda r: struct(unique=public(r.unique), kept=public(r.kept)))
+
+    return bind_text(both, text, external, None, options.get("recognizers", ()))
 
 
 def counts_of(names: X) -> X:

@@ -259,13 +259,13 @@ def sanitize_struct(text, mode="mask", *, external=None, late=None, **options) -
 
     ``mode`` is 'mask', 'redact' or 'tokenize', or a column holding one of them per row. Null text stays null.
     """
-    text = _col(text)
+    text, functions = _col(text), options.get("recognizers", ())
     if isinstance(mode, str):
         check_mode(mode)
-        out = bind_text(lambda t, hits, _: _sanitized(t, mode, hits, options), text, external, late)
+        out = bind_text(lambda t, hits, _: _sanitized(t, mode, hits, options), text, external, late, functions)
     else:
         out = bind_text(
-            lambda t, hits, r: _sanitized(t, r["mode"], hits, options), text, external, late, mode=checked_mode(mode)
+            lambda t, hits, r: _sanitized(t, r["mode"], hits, options), text, external, late, functions, mode=checked_mode(mode)
         )
     return F.when(text.isNotNull(), out)
 

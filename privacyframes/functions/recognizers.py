@@ -5,12 +5,15 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
+from pyspark.sql import Column
 
 from . import fixed
 from .sqltext import X, fn, lit
 from .text import SPACE, WORD, WORD_BEHIND
 
 _BOUNDARY = rf"(?:(?<=[{WORD_BEHIND}])(?![{WORD}])|(?<![{WORD_BEHIND}])(?=[{WORD}]))"
+
+
 def jvm_pattern(
     pattern: str, ignore_case: bool = False, starts_in_word: bool = False, ends_in_word: bool = False
 ) -> str:
@@ -77,6 +80,26 @@ class Recognizer:
         return ("(?iu)" if self.ignore_case else "") + f"({match})|{jvm_pattern(self.skip, False, self.starts_in_word)}"
 
 
+#: What a function recogniser returns for a text. A null entity or score stands for the recogniser's own.
+FUNCTION_HITS = "array<struct<start:int,end:int,entity_type:string,score:double>>"
+
+
+@dataclasses.dataclass(frozen=True)
+class FunctionRecognizer:
+    """Any function from a text column to a column of hits (``FUNCTION_HITS``): built-in functions, or a ``pandas_udf``.
+
+    It stands among the patterns in the order they are given: of equal hits the earlier recogniser's is kept. Values are cut from the text;
+    hits out of it, or without a value, are dropped, and ``checked`` ones must pass the rule of their entity.
+    """
+
+    name: str
+    entity: str
+    find: Callable[[Column], Column]
+    score: float = fixed.PATTERN_SCORE
+    source: str = "custom"
+    checked: bool = True
+
+
 def _has(*needles: str) -> Callable[[Probe], X]:
     def guard(p: Probe) -> X:
         tests = [fn.contains(p.folded, lit(n)) for n in needles]

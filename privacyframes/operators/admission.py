@@ -140,10 +140,11 @@ def admit(
 ) -> DataFrame:
     """Decide on each file and drop the content: only hash, size and decision go through the lookups.
 
-    incoming: path (or any key), filename, content_type, content.
+    incoming: path (or any key), filename, content_type, content. A file that is too large is not hashed (its hash stays null).
     """
     # The content-based part is decided before the joins, so file bodies are never shuffled.
-    local = incoming.withColumn("content_sha256", content_hash(F.col("content"))).withColumn(
+    hashed = F.when(F.octet_length("content") <= max_bytes, content_hash(F.col("content")))
+    local = incoming.withColumn("content_sha256", hashed).withColumn(
         "local_status",
         admission_status(
             F.col("filename"), F.col("content_type"), F.col("content"), F.lit("clean"), False, max_bytes
@@ -158,6 +159,28 @@ def admit(
     return looked_up.withColumn("admission_status", status).drop("local_status")
 
 
+def admit_files(
+    files: DataFrame,
+    known_files: DataFrame,
+    provider: DataFrame,
+    block_unknown: bool = False,
+    max_bytes: int = fixed.MAX_FILE_BYTES,
+) -> DataFrame:
+    """The same for files that are not read yet: ``n_bytes`` comes from the listing and decides first, so no body of an empty or too
+    large file is ever read.
+
+    files: as ``read_files`` gives them, with a content_type. The two filters on the size reach the file source, and the plan for what
+    they reject has no content.
+    """
+    size = F.coalesce("n_bytes", F.lit(0))
+    rejected = files.filter((size == 0) | (size > max_bytes)).drop("content")
+    fits = files.filter((F.col("n_bytes") > 0) & (F.col("n_bytes") <= max_bytes))
+    read = admit(fits, known_files, provider, block_unknown, max_bytes)
+    none = {"content_sha256": F.lit(None).cast("string"), "scan_status": F.lit("unknown"), "scan_source": F.lit("none"), "scan_payload": F.lit("{}")}
+    unread = rejected.withColumns(none | {"admission_status": F.when(size == 0, "EMPTY").otherwise("TOO_LARGE")})
+    return read.unionByName(unread.select(read.columns))
+
+
 def block_events(admitted: DataFrame) -> DataFrame:
     """Audit events of blocked malware (other rejections leave no audit record)."""
     status = F.col("admission_status")

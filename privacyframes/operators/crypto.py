@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import os
 
 import pandas as pd
@@ -87,11 +85,11 @@ def unpack(stored: Column) -> Column:
     )
 
 
-def decrypt(files: DataFrame, master_key: Column, legacy_key: str | None = None) -> DataFrame:
+def decrypt(files: DataFrame, master_key: Column, legacy_key: Column | None = None) -> DataFrame:
     """Add ``content`` and ``status``: ok, cipher_mismatch, plain_mismatch or undecryptable. Narrow.
 
     Hashes are compared only where they are recorded. Records that are no envelope (or have no wrapped
-    key) are tried as legacy tokens when ``legacy_key`` (32 bytes, base64url) is given.
+    key) are tried as legacy tokens when ``legacy_key`` (a column of 32 bytes) is given. Keys from a joined table stay out of the plan.
     """
     env = F.col("__env")
     opened = files.withColumn("__env", unpack(F.col("stored")))
@@ -117,48 +115,28 @@ def decrypt(files: DataFrame, master_key: Column, legacy_key: str | None = None)
     return checked.withColumn("content", content).drop("__env", "__dek", "__plain")
 
 
-def legacy_keys(key: str) -> tuple[bytes, bytes]:
-    """(signing key, encryption key) of a legacy token key."""
-    import base64
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """HMAC-SHA256 by built-in functions: the hash of a hash, each behind the padded key. Keys of up to 64 bytes."""
 
-    raw = base64.urlsafe_b64decode(key)
-    if len(raw) != 32:
-        raise ValueError("a legacy key is 32 bytes in base64url")
-    return raw[:16], raw[16:]
+    def padded(byte: int) -> Column:
+        # Each byte of the key, filled up with zeros, against a constant.
+        whole = F.hex(F.rpad(key, F.lit(64), F.unhex(F.lit("00"))))
+        pairs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(whole, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(byte)))
+        return F.unhex(F.array_join(F.transform(pairs, lambda b: F.lpad(F.hex(b.cast("long")), 2, "0")), ""))
 
+    inner = F.unhex(F.sha2(F.concat(padded(0x36), message), 256))
+    return F.unhex(F.sha2(F.concat(padded(0x5C), inner), 256))
 
-def open_legacy(stored: Column, key: str) -> Column:
+
+def open_legacy(stored: Column, key: Column) -> Column:
     """Plain bytes of a legacy token (version, time, iv, AES-CBC cipher, HMAC-SHA256), or null.
 
-    The signature is checked in an Arrow UDF, since Spark has no keyed hash; decryption is built in.
+    ``key``: 32 bytes, the signing key and the encryption key; a column, so that it need not stand in the plan. All of it is built in.
     """
-    signing, secret = legacy_keys(key)
-
-    @F.pandas_udf("boolean")
-    def signed(token: pd.Series) -> pd.Series:
-        def ok(t) -> bool:
-            return t is not None and len(t) >= 73 and t[0] == 0x80 and hmac.compare_digest(
-                hmac.new(signing, t[:-32], hashlib.sha256).digest(), t[-32:]
-            )
-
-        return token.map(lambda t: ok(None if t is None else bytes(t)))
-
+    signing, secret = F.substring(key, 1, 16), F.substring(key, 17, 16)
     token = from_b64url(stored.cast("string"))
-    sealed = F.substring(token, F.lit(10), F.octet_length(token) - 41)
-    plain = F.try_aes_decrypt(sealed, F.lit(secret), F.lit("CBC"), F.lit("PKCS"))
-    return F.when(signed(token), plain)
-
-
-def seal_legacy(files: DataFrame, key: str, at: Column, content: str = "content") -> DataFrame:
-    """Add ``stored``: ``content`` as a legacy token, as old records hold it."""
-    signing, secret = legacy_keys(key)
-
-    @F.pandas_udf("binary")
-    def sign(head: pd.Series) -> pd.Series:
-        return head.map(lambda h: hmac.new(signing, bytes(h), hashlib.sha256).digest())
-
-    drawn = files.withColumn("__iv", random_bytes(16, F.octet_length(content)))
-    sealed = F.aes_encrypt(F.col(content), F.lit(secret), F.lit("CBC"), F.lit("PKCS"), F.col("__iv"))
-    head = F.concat(F.unhex(F.lit("80")), F.unhex(F.lpad(F.hex(at.cast("long")), 16, "0")), sealed)
-    signed = drawn.withColumn("__head", head)
-    return signed.withColumn("stored", b64url(F.concat("__head", sign("__head"))).cast("binary")).drop("__iv", "__head")
+    n = F.octet_length(token)
+    whole = (n >= 73) & (F.substring(token, 1, 1) == F.unhex(F.lit("80")))
+    signed = hmac_sha256(signing, F.substring(token, F.lit(1), n - 32)) == F.substring(token, n - 31, F.lit(32))
+    plain = F.try_aes_decrypt(F.substring(token, F.lit(10), n - 41), secret, F.lit("CBC"), F.lit("PKCS"))
+    return F.when(whole & signed, plain)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import SPACE
-from ..functions.detect import EXTERNAL_HITS, LATE_HITS, candidates, entity_counts, findings
+from ..functions.detect import EXTERNAL_HITS, LATE_HITS, candidates, entity_counts, findings, resolution
 
 
 def _long(df: DataFrame, keys: list[str], found: Column) -> DataFrame:
@@ -27,6 +27,17 @@ def candidates_table(df: DataFrame, keys: list[str], text: str = "text", **optio
     return _long(df, keys, candidates(text, **options))
 
 
+def resolution_table(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
+    """One row per hit that is no repetition of another, and once more if it is kept: keys, ``kept``, and the hit. One detection, narrow."""
+    wide = df.select(*keys, resolution(text, **options).alias("r"))
+    names = ("start", "end", "entity_type", "score", "value", "source")
+
+    def flagged(part: str, kept: bool) -> Column:
+        return F.transform(F.col("r")[part], lambda x: F.struct(F.lit(kept).alias("kept"), *(x[c].alias(c) for c in names)))
+
+    return wide.select(*keys, F.inline_outer(F.concat(flagged("unique", False), flagged("kept", True)))).filter(F.col("entity_type").isNotNull())
+
+
 def with_summary(df: DataFrame, keys: list[str], text: str = "text", **options) -> DataFrame:
     """Keys plus ``summary`` (entity -> count, empty when clean) and ``pii_count``. Narrow: one chunk per row."""
     wide = df.select(*keys, findings(text, **options).alias("found"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import accepted, verhoeff_check
 from ..functions.detect import findings
-from ..functions.recognizers import Recognizer, named
+from ..functions.recognizers import DEFAULT, FUNCTION_HITS, FunctionRecognizer, Recognizer, named
 from ..operators import chunks as C
 from ..operators.detection import (
     attach_hits,
@@ -16,6 +18,7 @@ from ..operators.detection import (
     document_summaries,
     findings_table,
     parse_model_reply,
+    resolution_table,
 )
 from . import inputs, oracle
 from .inputs import DUCK_CORPUS, DUCK_TEXTS, table
@@ -56,24 +59,24 @@ def label_entities(spark, sf):
 
 @query(
     "e1_scored_recognizers",
-    oracle.findings_sql(CORPUS_TEXTS, f"select {SPAN_SQL}, score, source from kept", scored=True),
+    oracle.findings_sql(DUCK_TEXTS, f"select {SPAN_SQL}, score, source from kept", scored=True),
 )
 def scored(spark, sf):
-    return findings_table(corpus_texts(spark, sf), KEYS, use_scored=True).select(*SPAN, "score", "source")
+    return findings_table(inputs.texts(spark, sf), KEYS, use_scored=True).select(*SPAN, "score", "source")
 
 
-# Outside hits derived from the corpus, the same in both dialects.
+# Outside hits derived from the numbers of all texts, the same in both dialects.
 _HITS = """
 select src, doc_id, hit_no, "start", "start" + 8 + hit_no as "end", label, 0.6 + 0.05 * ((doc_id + hit_no) % 6) as score, '' as value, stage from (
- select 'corpus' as src, doc_id, hit_no, cast((doc_id * (hit_no + 3)) % 14 as int) as "start", stage,
+ select src, doc_id, hit_no, cast((doc_id * (hit_no + 3)) % 14 as int) as "start", stage,
   case cast((doc_id + hit_no) % 5 as int) when 0 then 'PERSON' when 1 then 'LOCATION' when 2 then 'DATE_TIME' when 3 then 'CREDIT_CARD' else 'ORG' end as label
- from ({corpus}) as c, (values (0, 1), (1, 1), (2, 2), (3, 2)) as h(hit_no, stage))"""
+ from ({texts}) as c, (values (0, 1), (1, 1), (2, 2), (3, 2)) as h(hit_no, stage))"""
 
 
 def outside_hits(spark, sf):
     # A constant array per row instead of a join with a list of four.
     kinds = F.array(*[F.struct(F.lit(n).alias("hit_no"), F.lit(s).alias("stage")) for n, s in ((0, 1), (1, 1), (2, 2), (3, 2))])
-    base = corpus_texts(spark, sf).select("src", "doc_id", F.inline(kinds))
+    base = inputs.texts(spark, sf).select("src", "doc_id", F.inline(kinds))
     names = F.array(*[F.lit(x) for x in ("PERSON", "LOCATION", "DATE_TIME", "CREDIT_CARD", "ORG")])
     start = ((F.col("doc_id") * (F.col("hit_no") + 3)) % 14).cast("int")
     turn = F.col("doc_id") + F.col("hit_no")
@@ -108,32 +111,32 @@ def _outside_cte(name: str, stage: int, late: bool) -> str:
     source = "llm" if late else "presidio"
     return f"""{name} as (select src, doc_id, {shift} hit_no as ord, entity_type, cast({score} as double) as score, '{source}' as source, "start", cast("end" as int) as "end", value
   from (select * exclude (value), {entity} as entity_type, {value} as value, {oracle.trimmed(value)} as v
-        from ({_HITS.replace("{corpus}", DUCK_CORPUS)}) join shaped using (src, doc_id) where stage = {stage} {floor})
+        from ({_HITS.replace("{texts}", DUCK_TEXTS)}) join shaped using (src, doc_id) where stage = {stage} {floor})
   where case entity_type {rules} else {oracle.valid('OTHER', 'v')} end)"""
 
 
 @query(
     "e2_external_hits",
-    f"with recursive {oracle.candidates_cte(CORPUS_TEXTS)},\n{_outside_cte('outside', 1, False)},\n"
+    f"with recursive {oracle.candidates_cte(DUCK_TEXTS)},\n{_outside_cte('outside', 1, False)},\n"
     f"merged as (select * from outside union all by name select * from hits),\n{oracle.resolve_cte('merged')}\n"
     f"select {SPAN_SQL}, score, source from kept",
 )
 def external_hits(spark, sf):
     hits = outside_hits(spark, sf).filter("stage = 1")
-    joined = attach_hits(corpus_texts(spark, sf), hits, KEYS)
+    joined = attach_hits(inputs.texts(spark, sf), hits, KEYS)
     return findings_table(joined, KEYS, external=F.col("external_hits")).select(*SPAN, "score", "source")
 
 
 @query(
     "e3_late_hits",
-    f"with recursive {oracle.candidates_cte(CORPUS_TEXTS)},\n{_outside_cte('outside', 1, False)},\n{_outside_cte('late', 2, True)},\n"
+    f"with recursive {oracle.candidates_cte(DUCK_TEXTS)},\n{_outside_cte('outside', 1, False)},\n{_outside_cte('late', 2, True)},\n"
     f"merged as (select * from outside union all by name select * from hits),\n{oracle.resolve_cte('merged')},\n"
     "fresh as (select * from late l anti join firsts f on l.src = f.src and l.doc_id = f.doc_id and l.\"start\" = f.\"start\" and l.\"end\" = f.\"end\" and l.entity_type = f.entity_type),\n"
     "again as (select src, doc_id, ord, entity_type, score, source, \"start\", \"end\", value from kept union all by name select * from fresh),\n"
     f"{oracle.resolve_cte('again', 'second_')}\nselect {SPAN_SQL}, score, source from second_kept",
 )
 def late_hits(spark, sf):
-    joined = attach_hits(corpus_texts(spark, sf), outside_hits(spark, sf), KEYS)
+    joined = attach_hits(inputs.texts(spark, sf), outside_hits(spark, sf), KEYS)
     found = findings_table(joined, KEYS, external=F.col("external_hits"), late=F.col("late_hits"))
     return found.select(*SPAN, "score", "source")
 
@@ -189,6 +192,55 @@ def custom_recognizer(spark, sf):
     return findings_table(df, ["c_custkey"], recognizers=(CUSTOMER_CODE,)).drop("score", "source")
 
 
+def _first_places(text):
+    """The first place of "license", and the text's first two characters under another entity: built-in functions only."""
+    at = F.instr(F.lower(text), "license")
+    none = F.lit(None).cast("string")
+    hits = [(at - 1, at + 6, none, F.lit(0.8)), (F.lit(0), F.lit(2), F.lit("HEAD"), F.lit(None).cast("double"))]
+    structs = [F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), e.alias("entity_type"), s.alias("score")) for a, b, e, s in hits]
+    return F.filter(F.array(*structs), lambda h: h["start"] >= 0)
+
+
+def _all_places(text):
+    """Every place of "license" in lower case, found by Python on Arrow batches."""
+
+    @F.pandas_udf(FUNCTION_HITS)
+    def find(texts):
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "entity_type": None, "score": None} for m in re.finditer("license", t.lower() if t.isascii() else t)])
+
+    return find(text)
+
+
+_ORDER = len(fixed.PATTERNS)
+_FIRST_SQL = f"""own as (select src, doc_id, {_ORDER} as ord, 'WORD' as entity_type, 0.8::double as score, 'custom' as source, cast(pos - 1 as int) as "start", cast(pos + 6 as int) as "end",
+  substring(text, pos, 7) as value from (select *, strpos(lower(text), 'license') as pos from shaped) where pos > 0
+ union all select src, doc_id, {_ORDER}, 'HEAD', {fixed.PATTERN_SCORE}::double, 'custom', 0, 2, substring(text, 1, 2) from shaped
+  where length(text) >= 2 and {oracle.valid('HEAD', oracle.trimmed('substring(text, 1, 2)'))}),
+merged as (select * from hits union all by name select * from own)"""
+_ALL_SQL = f"""own as (select src, doc_id, -1 as ord, 'WORD' as entity_type, 0.7::double as score, 'custom' as source, cast(s as int) as "start", cast(s + 7 as int) as "end", 'LICENSE' as value, text from
+ (select src, doc_id, text, list_sum([length(q) + 7 for q in p[1:i]]) - 7 as s from (select src, doc_id, text, p, unnest(range(1, len(p))) as i from
+  (select src, doc_id, text, string_split(case when length(text) = octet_length(encode(text)) then lower(text) else text end, 'license') as p from shaped) where len(p) > 1))),
+merged as (select * from hits union all by name select * exclude (value, text), substring(text, "start" + 1, 7) as value from own)"""
+
+
+def _with_own(own: str) -> str:
+    return f"with recursive {oracle.candidates_cte(DUCK_TEXTS)},\n{own},\n{oracle.resolve_cte('merged')}\nselect {SPAN_SQL}, score, source from kept"
+
+
+@query("e5_function_recognizer", _with_own(_FIRST_SQL))
+def function_recognizer(spark, sf):
+    """A recogniser made of built-in functions, behind the patterns."""
+    own = FunctionRecognizer("first license", "WORD", _first_places)
+    return findings_table(inputs.texts(spark, sf), KEYS, recognizers=(*DEFAULT, own)).select(*SPAN, "score", "source")
+
+
+@query("e5_udf_recognizer", _with_own(_ALL_SQL))
+def udf_recognizer(spark, sf):
+    """A recogniser in Python, before the patterns."""
+    own = FunctionRecognizer("all licenses", "WORD", _all_places, score=0.7)
+    return findings_table(inputs.texts(spark, sf), KEYS, recognizers=(own, *DEFAULT)).select(*SPAN, "score", "source")
+
+
 # --- validators: candidate values of every kind, some good and some bad, one per customer -----------------
 _VALUE = """
 select c_custkey as doc_id, case cast(c_custkey % 12 as int)
@@ -265,20 +317,12 @@ def unicode_digits(spark, sf):
 # --- merge, overlap, summary ------------------------------------------------------------------------------
 @query(
     "r1_dedupe_by_span",
-    f"with {oracle.candidates_cte(CORPUS_TEXTS, scored=True)} select src, doc_id, \"start\", \"end\", entity_type, first(source order by ord) as source, count(*) as n_sources "
-    "from hits group by src, doc_id, \"start\", \"end\", entity_type having count(*) > 1",
+    f"with {oracle.candidates_cte(DUCK_TEXTS, scored=True)} select {SPAN_SQL}, first(score order by ord) as score, first(source order by ord) as source "
+    "from hits group by all",
 )
 def dedupe(spark, sf):
-    from ..functions.recognizers import DEFAULT, SCORED
-
-    hits = candidates_table(corpus_texts(spark, sf), KEYS, recognizers=(*SCORED, *DEFAULT))
-    # Insertion order is scored patterns first.
-    first = F.min_by("source", F.when(F.col("source") == "presidio", 0).otherwise(1))
-    return (
-        hits.groupBy("src", "doc_id", "start", "end", "entity_type")
-        .agg(first.alias("source"), F.count(F.lit(1)).alias("n_sources"))
-        .filter("n_sources > 1")
-    )
+    """Every hit once; of equal spans the first inserted: scored patterns come before the others."""
+    return resolution_table(inputs.texts(spark, sf), KEYS, use_scored=True).filter("not kept").select(*SPAN, "score", "source")
 
 
 @query(
@@ -292,14 +336,8 @@ def dedupe(spark, sf):
 def rank_counts(spark, sf):
     ranks = F.create_map(*[F.lit(x) for kv in fixed.ENTITY_RANK.items() for x in kv])
     rank = F.coalesce(F.try_element_at(ranks, F.col("entity_type")), F.lit(fixed.DEFAULT_RANK))
-    span = ["src", "doc_id", "start", "end", "entity_type"]
-    data = inputs.texts(spark, sf)
-    found = candidates_table(data, KEYS).select(*span, F.lit(0).alias("kept")).distinct()
-    kept = findings_table(data, KEYS).select(*span, F.lit(1).alias("kept"))
-    both = found.unionByName(kept).withColumn("entity_rank", rank.cast("int"))
-    return both.groupBy("entity_rank").agg(
-        F.count_if(F.col("kept") == 0).alias("n_candidates"), F.count_if(F.col("kept") == 1).alias("n_kept")
-    )
+    both = resolution_table(inputs.texts(spark, sf), KEYS).withColumn("entity_rank", rank.cast("int"))
+    return both.groupBy("entity_rank").agg(F.count_if(~F.col("kept")).alias("n_candidates"), F.count_if("kept").alias("n_kept"))
 
 
 @query("r3_overlap_resolution", oracle.findings_sql(DUCK_TEXTS, f"select {SPAN_SQL} from kept"))
@@ -309,10 +347,10 @@ def resolution(spark, sf):
 
 @query(
     "r3_strict_aadhaar",
-    oracle.findings_sql(CORPUS_TEXTS, f"select {SPAN_SQL} from kept", strict=True),
+    oracle.findings_sql(DUCK_TEXTS, f"select {SPAN_SQL} from kept", strict=True),
 )
 def resolution_strict(spark, sf):
-    return findings_table(corpus_texts(spark, sf), KEYS, strict_aadhaar=True).select(*SPAN)
+    return findings_table(inputs.texts(spark, sf), KEYS, strict_aadhaar=True).select(*SPAN)
 
 
 @query(

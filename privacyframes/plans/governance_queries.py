@@ -129,12 +129,43 @@ def admission(spark, sf):
     return done.select("id", "admission_status")
 
 
+_PAGE_BYTES = "octet_length(encode(coalesce(html, ''))) + 1"
+
+
+@query("s10_unread_files", f"select page_id, {_PAGE_BYTES} as n_bytes, case when {_PAGE_BYTES} > 2000 then 'TOO_LARGE' else 'ACCEPT' end as admission_status, case when {_PAGE_BYTES} <= 2000 then sha256(coalesce(html, '') || chr(10)) end as content_sha256 from pages where page_id is not null")
+def unread_files(spark, sf):
+    """Pages as files of a folder, some above the limit: those are turned down by the listing alone."""
+    base = _scratch(spark)
+    table(spark, sf, "pages").filter("page_id is not null").select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("page_id").text(base)
+    files = readers.read_files(spark, base, "*.txt").withColumn("content_type", F.lit("text/plain"))
+    nothing = known_files(spark, sf).limit(0), provider_counts(spark, sf).limit(0)
+    done = A.admit_files(files, *nothing, max_bytes=2000)
+    return done.select(F.regexp_extract("path", r"page_id=(-?\d+)", 1).cast("long").alias("page_id"), "n_bytes", "admission_status", "content_sha256")
+
+
 @query("s13_reputation", f"select id, scan_status, scan_source from {_RESOLVED}")
 def reputation(spark, sf):
     hashed = raw_files(spark, sf).select("id", A.content_hash(F.col("content")).alias("content_sha256"))
     return A.resolve_reputation(hashed, known_files(spark, sf), provider_counts(spark, sf)).select("id", "scan_status", "scan_source")
 
 
+@query(
+    "s13_reputation_payload",
+    f"""select r.id, case when c.cached is not null then c.cached when p.sha256 is not null then p.asked else 'unknown' end as scan_status,
+ case when c.cached is not null then 'cache' when p.sha256 is not null then 'provider' else 'none' end as scan_source,
+ case when c.cached is not null then coalesce(c.payload, '{{}}') when p.sha256 is not null then p.payload else '{{}}' end as scan_payload
+ from (select *, sha256(content) as sha from ({_DUCK_RAW})) r
+ left join (select file_sha256, arg_max(malware_scan_status, id) as cached, '{{"of":' || max(id) || '}}' as payload from ({_KNOWN}) where malware_scan_status is not null group by 1 having arg_max(malware_scan_status, id) in ('clean', 'malicious', 'unknown')) c on c.file_sha256 = r.sha
+ left join (select sha256, {_ASKED} as asked, '{{"malicious":' || (k = 1)::int || ',"suspicious":' || (k = 2)::int || ',"harmless":' || (k >= 2)::int || '}}' as payload from ({_PROVIDER}) where sha256 < '8') p on p.sha256 = r.sha""",
+)
+def reputation_payload(spark, sf):
+    """What the verdict rests on; the provider knows about half of the hashes, so some files have no verdict at all."""
+    hashed = raw_files(spark, sf).select("id", A.content_hash(F.col("content")).alias("content_sha256"))
+    known = known_files(spark, sf).withColumn("malware_scan_payload", F.to_json(F.struct(F.col("id").alias("of"))))
+    found = A.resolve_reputation(hashed, known, provider_counts(spark, sf).filter("sha256 < '8'"))
+    return found.select("id", "scan_status", "scan_source", "scan_payload")
+
+
 @query("s14_verdicts", f"select sha256, {_ASKED} as verdict from ({_PROVIDER})")
 def verdicts(spark, sf):
     v = A.verdict(F.col("malicious"), F.col("suspicious"), F.col("harmless"))
@@ -444,8 +475,10 @@ _EXPORT = f'select id, user_id, action, details, {_ISO} as "timestamp", prev_has
 def export_csv(spark, sf):
     base = _scratch(spark)
     writers.export_audit_logs(G.append_events(events_as_actions(spark, sf)), base, "csv")
-    schema = "id bigint, user_id bigint, action string, details string, timestamp string, prev_hash string, log_hash string"
-    return spark.read.schema(schema).csv(base, header=True, quote='"', escape='"').na.fill("")
+    # One file in parts: the header stands once, in front of the newest record.
+    schema = "id string, user_id bigint, action string, details string, timestamp string, prev_hash string, log_hash string"
+    lines = spark.read.schema(schema).csv(base, header=False, quote='"', escape='"').na.fill("")
+    return lines.filter("id != 'id'").withColumn("id", F.col("id").cast("long"))
 
 
 @query("s21_audit_export_jsonl", _CHAINED + " " + _EXPORT)
@@ -482,6 +515,25 @@ def backup(spark, sf):
     return writers.backup(inputs.users(spark, sf), files, logs, listing, _scratch(spark))["counts"]
 
 
+@query(
+    "s22_backup_manifest",
+    "select 'users' as \"table\", count(distinct c_custkey % 20) as n_rows, true as rows_match, true as bytes_match, true as sums_match, true as bounded from customer where c_custkey % 20 not in (3, 11) "
+    "union all select 'files', count(*), true, true, true, true from customer union all select 'audit_logs', count(*), true, true, true, true from events",
+)
+def backup_manifest(spark, sf):
+    """The manifest against the parts themselves, read once more as lines."""
+    base, most = _scratch(spark), 700
+    files = inputs.files(spark, sf).drop("text").withColumn("original_path", F.concat(F.lit("/store/"), F.col("id").cast("string")))
+    listing = files.select(F.col("original_path").alias("path"), F.col("id").alias("n_bytes"))
+    done = writers.backup(inputs.users(spark, sf), files, G.append_events(events_as_actions(spark, sf)), listing, base, most)
+    lines = spark.read.text([f"{base}/{t}" for t in ("users", "files", "audit_logs")]).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("table"), F.col("_metadata.file_name").alias("part"), "value")
+    of_part = lines.groupBy("table", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    of_table = of_part.groupBy("table").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"))
+    sums = done["parts"].groupBy("table").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("part", "sha256")))["sha256"], ""), 256).alias("again"))
+    checked = done["manifest"].join(of_table, "table").join(sums, "table")
+    return checked.select("table", "n_rows", (F.col("n_rows") == F.col("n")).alias("rows_match"), (F.col("n_bytes") == F.col("bytes")).alias("bytes_match"), (F.col("sha256") == F.col("again")).alias("sums_match"), (F.col("most") <= most).alias("bounded"))
+
+
 @query("s23_missing_originals", "select c_custkey as id from customer where c_custkey % 9 = 0")
 def missing(spark, sf):
     files = inputs.files(spark, sf).select("id", F.concat(F.lit("/store/"), F.col("id").cast("string")).alias("original_path"))
@@ -539,14 +591,23 @@ def tamper(spark, sf):
     return K.decrypt(bad, _master()).select("page_id", "status")
 
 
+def _seal_legacy(files, key, at):
+    """Old records: ``content`` as a legacy token."""
+    drawn = files.withColumn("iv", K.random_bytes(16, F.octet_length("content")))
+    sealed = F.aes_encrypt(F.col("content"), F.substring(key, 17, 16), F.lit("CBC"), F.lit("PKCS"), F.col("iv"))
+    head = F.concat(F.unhex(F.lit("80")), F.unhex(F.lpad(F.hex(at.cast("long")), 16, "0")), sealed)
+    signed = drawn.withColumn("head", head)
+    return signed.withColumn("stored", K.b64url(F.concat("head", K.hmac_sha256(F.substring(key, 1, 16), F.col("head")))).cast("binary"))
+
+
 @query("g12_legacy_tokens", "select page_id, case when page_id % 5 = 0 then 'undecryptable' else 'ok' end as status, case when page_id % 5 = 0 then null else html end as text from pages")
 def legacy(spark, sf):
-    import base64
-
-    key = base64.urlsafe_b64encode(bytes(range(32))).decode()
+    """The key comes from a table of keys by its number."""
+    keys = spark.createDataFrame([(1, bytearray(range(32))), (2, bytearray(32))], "key_no int, legacy_key binary")
+    keyed = lambda df: df.withColumn("key_no", F.lit(1)).join(F.broadcast(keys), "key_no")
     pages = table(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
     base = _scratch(spark)
-    K.seal_legacy(pages, key, F.lit(1_700_000_000)).select("page_id", "stored").write.parquet(base)
+    _seal_legacy(keyed(pages), F.col("legacy_key"), F.lit(1_700_000_000)).select("page_id", "stored").write.parquet(base)
     flipped = F.translate(F.substring("stored", F.lit(1), F.lit(40)).cast("string"), "A", "B").cast("binary")
     rest = F.substring("stored", F.lit(41), F.octet_length("stored"))
     stored = spark.read.parquet(base).select(
@@ -556,7 +617,7 @@ def legacy(spark, sf):
         F.lit(None).cast("string").alias("file_sha256"),
         F.lit(None).cast("string").alias("cipher_sha256"),
     )
-    return K.decrypt(stored, _master(), key).select("page_id", "status", F.col("content").cast("string").alias("text"))
+    return K.decrypt(keyed(stored), _master(), F.col("legacy_key")).select("page_id", "status", F.col("content").cast("string").alias("text"))
 
 
 # --- streams ----------------------------------------------------------------------------------------------

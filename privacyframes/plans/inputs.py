@@ -88,16 +88,19 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """All free text: documents, page sources, and the derived corpus."""
+    """All free text: documents, page sources, turns of conversations, and the derived corpus."""
     docs = spread(table(spark, sf, "documents"), "doc_id").select(F.lit("doc").alias("src"), "doc_id", "text")
     pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("src"), F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    turn = (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")
+    chat = spread(table(spark, sf, "conversations"), "conv_id").select(F.lit("chat").alias("src"), turn, "text")
     made = corpus(spark, sf).select(F.lit("corpus").alias("src"), "doc_id", "text")
-    return docs.unionByName(pages).unionByName(made)
+    return docs.unionByName(pages).unionByName(chat).unionByName(made)
 
 
 DUCK_TEXTS = (
     "select 'doc' as src, doc_id, text from documents union all "
     "select 'page', page_id, html from pages union all "
+    "select 'chat', conv_id * 1000 + turn, text from conversations union all "
     f"select 'corpus', doc_id, text from ({DUCK_CORPUS})"
 )
 

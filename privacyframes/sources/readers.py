@@ -10,7 +10,7 @@ from ..functions.text import utf8_text
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``path, filename, modified, n_bytes, content`` of raw files. Selecting no content reads no content."""
+    """``path, filename, modified, n_bytes, content`` of raw files. Selecting no content reads no content; Spark passes over empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.governance import iso_timestamp, missing_originals
@@ -26,9 +28,9 @@ def write_csv(df: DataFrame, path: str, header: bool = False) -> None:
     )
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One record per line; non-ASCII text as it is."""
-    df.write.json(path, ignoreNullFields=False)
+def write_json(df: DataFrame, path: str, rows_per_part: int = 0) -> None:
+    """One record per line; non-ASCII text as it is. With ``rows_per_part`` no part holds more records."""
+    df.write.option("maxRecordsPerFile", rows_per_part).json(path, ignoreNullFields=False)
 
 
 def write_text(df: DataFrame, path: str, text: str = "sanitized_text") -> None:
@@ -59,56 +61,63 @@ def audit_export_rows(logs: DataFrame) -> DataFrame:
 def export_audit_logs(logs: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write the log as csv, jsonl or json, in parts whose names follow the order.
 
-    json: the parts, read one after the other, form one JSON array; no task ever holds it whole.
+    csv and json: the parts, read one after the other, form one file - with one header, and as one array; no task ever holds it whole.
     """
     rows = audit_export_rows(logs)
-    if fmt == "csv":
-        write_csv(rows.withColumn("prev_hash", F.coalesce("prev_hash", F.lit(""))), path, header=True)
-    elif fmt == "jsonl":
+    if fmt == "jsonl":
         write_json(rows, path)
-    elif fmt == "json":
-        place = F.struct("timestamp", "id")
-        ends = logs.agg(F.max(place).alias("newest"), F.min(place).alias("oldest")).first()
-        item = F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"})
-        newest, oldest = (None, None) if ends.newest is None else (ends.newest["id"], ends.oldest["id"])
-        line = F.concat(
-            F.when(F.col("id") == newest, "[").otherwise(","), item, F.when(F.col("id") == oldest, "]").otherwise("")
-        )
-        rows.select(line.alias("value")).write.text(path)
-    else:
+        return
+    if fmt not in ("csv", "json"):
         raise ValueError("format must be csv, json or jsonl")
+    place = F.struct("timestamp", "id")
+    ends = logs.agg(F.max(place).alias("newest"), F.min(place).alias("oldest")).first()
+    newest, oldest = (None, None) if ends.newest is None else (ends.newest["id"], ends.oldest["id"])
+    first, last = F.col("id") == newest, F.col("id") == oldest
+    if fmt == "csv":
+        shown = [F.coalesce(c, F.lit("")).alias(c) if c == "prev_hash" else F.col(c) for c in AUDIT_COLUMNS]
+        kept = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "", "escape": '"'}
+        line = F.concat(F.when(first, ",".join(AUDIT_COLUMNS) + "\n").otherwise(""), F.to_csv(F.struct(*shown), kept))
+    else:
+        item = F.to_json(F.struct(*AUDIT_COLUMNS), {"ignoreNullFields": "false"})
+        line = F.concat(F.when(first, "[").otherwise(","), item, F.when(last, "]").otherwise(""))
+    rows.select(line.alias("value")).write.text(path)
 
 
 def backup(
-    users: DataFrame, files: DataFrame, audit_logs: DataFrame, originals: DataFrame, path: str
+    users: DataFrame, files: DataFrame, audit_logs: DataFrame, originals: DataFrame, path: str, rows_per_part: int = 100_000
 ) -> dict[str, DataFrame]:
-    """Snapshot of the three tables as JSON lines under ``path`` and a manifest read back from what was written.
+    """Snapshot of the three tables as JSON lines under ``path`` and a manifest of what was written.
 
-    ``originals``: storage listing (path, n_bytes). Password hashes are never exported. Returns ``counts``
-    (item, value), ``parts`` (table, part, n_bytes, sha256) and ``missing`` (paths without an original).
+    ``originals``: storage listing (path, n_bytes). Password hashes are never exported. Every table is computed once: rows are counted as
+    they are written, and what else is needed is read back from the parts, none of which has more than ``rows_per_part`` records.
+    Returns ``counts`` (item, value), ``manifest`` (table, n_rows, n_parts, n_bytes, sha256 of the hashes of its parts in the order of
+    their names), ``parts`` (table, part, n_bytes, sha256) and ``missing`` (paths without an original).
     """
     spark = files.sparkSession
     tables = {"users": users.drop("password_hash"), "files": files, "audit_logs": audit_logs}
+    written = {}
     for name, df in tables.items():
-        write_json(df, f"{path}/{name}")
-    written = read_files(spark, path, "part-*")
-    parts = written.select(
+        seen = Observation(f"backup-{uuid.uuid4().hex}")
+        write_json(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{path}/{name}", rows_per_part)
+        written[name] = seen.get["n"]
+    listed = read_files(spark, path, "part-*")
+    parts = listed.select(
         F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("table"),
         F.col("filename").alias("part"),
         "n_bytes",
         F.sha2("content", 256).alias("sha256"),
     )
-    missing = missing_originals(files, originals).select("original_path")
-    named = files.select(F.col("original_path").alias("path")).distinct()
-    present = originals.join(named, "path", "left_semi")
-    items = [(name, df.agg(F.count(F.lit(1)).alias("value"))) for name, df in tables.items()]
-    items += [
-        ("original_files_included", present.agg(F.count(F.lit(1)).alias("value"))),
-        ("missing_original_files", missing.agg(F.count(F.lit(1)).alias("value"))),
-        ("original_total_bytes", present.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("value"))),
-    ]
-    counts = None
-    for name, one in items:
-        row = one.select(F.lit(name).alias("item"), F.col("value").cast("long").alias("value"))
-        counts = row if counts is None else counts.unionByName(row)
-    return {"counts": counts, "parts": parts, "missing": missing}
+    rows = spark.createDataFrame(list(written.items()), "table string, n_rows long")
+    # A table has as many parts as it has rows_per_part of records and tasks: their hashes are 64 characters each.
+    of_table = parts.groupBy("table").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("part", "sha256"))).alias("p"))
+    sums = of_table.select("table", "n_parts", "n_bytes", F.sha2(F.array_join("p.sha256", ""), 256).alias("sha256"))
+    manifest = rows.join(sums, "table", "left").na.fill(0, ["n_parts", "n_bytes"])
+    snapshot = spark.read.schema(files.schema).json(f"{path}/files").select("original_path")
+    missing = missing_originals(snapshot, originals).select("original_path")
+    present = originals.join(snapshot.select(F.col("original_path").alias("path")).distinct(), "path", "left_semi")
+    counts = rows.select(F.col("table").alias("item"), F.col("n_rows").alias("value"))
+    found = present.agg(F.count(F.lit(1)).alias("original_files_included"), F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("long").alias("original_total_bytes"))
+    more = [found.unpivot([], ["original_files_included", "original_total_bytes"], "item", "value"), missing.agg(F.count(F.lit(1)).alias("value")).select(F.lit("missing_original_files").alias("item"), "value")]
+    for one in more:
+        counts = counts.unionByName(one)
+    return {"counts": counts, "manifest": manifest, "parts": parts, "missing": missing}

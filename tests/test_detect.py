@@ -134,3 +134,42 @@ def test_skipped_runs_hide_nothing(spark):
     plain = [dataclasses.replace(r, skip=None, guard=None) for r in skipping]
     got = df.select(findings("text", recognizers=skipping).alias("a"), findings("text", recognizers=plain).alias("b")).collect()
     assert all(r.a == r.b for r in got) and any(r.a for r in got)
+
+
+def test_function_recognizers_stand_in_the_order_given(spark):
+    """Equal spans go to the earlier recogniser; hits out of the text are dropped; a rule of the entity is checked unless it says not to."""
+    from pyspark.sql import functions as F
+
+    from privacyframes.functions.detect import findings, resolution
+    from privacyframes.functions.mask import sanitize, sanitize_cells
+    from privacyframes.functions.recognizers import DEFAULT, FUNCTION_HITS, FunctionRecognizer, named
+
+    def hit(start, end, entity=None, score=None):
+        return F.struct(F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(entity).cast("string").alias("entity_type"), F.lit(score).cast("double").alias("score"))
+
+    mail = lambda t: F.array(hit(3, 9), hit(-1, 4), hit(4, 400), hit(5, 5))
+    early = FunctionRecognizer("early", "EMAIL_ADDRESS", mail, source="early")
+    df = spark.createDataFrame([("to a@b.co now",), (None,), ("",)], "text string")
+
+    def found(*recognizers, **options):
+        rows = df.select(findings("text", recognizers=recognizers, **options).alias("f")).collect()
+        return [[(x.start, x.end, x.entity_type, x.score, x.value, x.source) for x in r.f] for r in rows]
+
+    patterns = named("EMAIL_ADDRESS")
+    assert found(early, *patterns) == [[(3, 9, "EMAIL_ADDRESS", 0.5, "a@b.co", "early")], [], []]
+    assert found(*patterns, early) == [[(3, 9, "EMAIL_ADDRESS", 0.5, "a@b.co", "regex")], [], []]
+    card = FunctionRecognizer("card", "CREDIT_CARD", lambda t: F.array(hit(3, 9, None, 0.9)))
+    assert found(card) == [[], [], []]
+    loose = FunctionRecognizer("card", "CREDIT_CARD", lambda t: F.array(hit(3, 9, None, 0.9)), checked=False)
+    assert found(loose, *DEFAULT)[0] == [(3, 9, "CREDIT_CARD", 0.9, "a@b.co", "custom")]
+
+    @F.pandas_udf(FUNCTION_HITS)
+    def now(texts):
+        return texts.map(lambda t: [{"start": t.index("now"), "end": t.index("now") + 3, "entity_type": None, "score": None}] if "now" in t else None)
+
+    udf = FunctionRecognizer("now", "TIME", now)
+    assert df.select(sanitize("text", "redact", recognizers=(*DEFAULT, udf)).alias("s")).collect()[0].s == "to [REDACTED_EMAIL_ADDRESS] [REDACTED_TIME]"
+    both = df.select(resolution("text", recognizers=(loose, *DEFAULT)).alias("r")).collect()[0].r
+    assert [x.entity_type for x in both.unique] == ["CREDIT_CARD", "EMAIL_ADDRESS"] and [x.entity_type for x in both.kept] == ["CREDIT_CARD"]
+    with pytest.raises(ValueError):
+        sanitize_cells(F.array("text"), recognizers=(early,))
