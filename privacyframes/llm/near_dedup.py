@@ -1,31 +1,31 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 Steps: documents with one set of shingles become one class; the retained values of the sketches are put into inverted lists, the
-rarest first, as many as any pair of near-duplicates must share one of; members of a list are paired with a few hubs, then, where a
-list still spans several components, with each other in blocks; the union sketch of a pair estimates its similarity, and what passes is
-verified on the full sets. Components are found by spreading the least label along the verified links.
+rarest first, as many as any pair of near-duplicates must share one of; lists are cut by set size, since sets that differ more than
+that are no near-duplicates; members of a list are paired with a few hubs, then, where a list still spans several components, those of
+different components with each other in blocks; the union sketch of a pair estimates its similarity, and what passes is verified on the
+full sets. Components are found by spreading the least label along the verified links.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from .blocks import Shelf
 from .registry import query, table
 from .substring_dedup import word_hashes, word_places
 
 #: Values of a sketch; values a pair at the threshold shares at least (51 of 64 are expected at 0.8: 32 is six deviations below);
 #: estimate under which a pair is dropped (31 of 64 are needed, so this loses no more than the lists do); members of a block.
-SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.47, 512
-#: Full sets of one block.
-SETS = 256
+SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.47, 256
+#: Pairs verified together; partners of one set among them at most.
+PAIRS, SETS = 2048, 256
 #: Ids that may go to every task (16 MB); beyond, they are joined.
 BROADCAST = 1 << 20
 
@@ -126,54 +126,58 @@ def _exact(pairs, sets):
 def _across(group):
     """Pairs of one block of a list with another (or itself) that lie in different components and pass the estimate.
 
-    A pair meets in every list that holds both; it is looked at where it meets first in the common order of values, and nowhere else.
+    A pair meets in every list that holds both; it is looked at where it meets first in the common order of lists, and nowhere else. A
+    list of size band L leaves pairs of two sets of the band below to the list of that band.
     """
     n = group.num_rows
-    keys, side, size = group["key"].to_pylist(), np.array(group["side"].to_pylist()), np.array(group["n"].to_pylist())
+    lid, i, j = (group[c][0].as_py() for c in ("lid", "i", "j"))
+    keys, side, size, top = group["key"].to_pylist(), *(np.array(group[c].to_pylist()) for c in ("side", "n", "top"))
     label = np.unique(np.array([x.hex() for x in group["label"].to_pylist()]), return_inverse=True)[1]
     wanted = (side[:, None] == 0) & (side == 1) | (side[:, None] == 2) & (side == 2) & (np.arange(n)[:, None] < np.arange(n))
-    wanted &= label[:, None] != label
+    wanted &= (label[:, None] != label) & (top[:, None] | top)
     wanted &= 5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size)
-    value, holders = group["value"][0].as_py(), {}
-    for i, own in enumerate(group["own"].to_pylist()):
-        for v in own[: own.index(value)]:
-            holders.setdefault(v, []).append(i)
+    holders: dict[int, list[int]] = {}
+    for x, own in enumerate(group["own"].to_pylist()):
+        for v in own[: own.index(lid)]:
+            if v >> 32 == lid >> 32:
+                holders.setdefault(v, []).append(x)
     for rows in holders.values():
         if len(rows) > 1:
             wanted[np.ix_(rows, rows)] = False
-    # Values in common bound the estimate from above; the union sketch decides on what is left.
     sketches = [np.frombuffer(x, np.uint64) for x in group["sketch"].to_pylist()]
     lengths = np.array([len(x) for x in sketches])
-    held, at = np.unique(np.concatenate(sketches), return_inverse=True)
-    often = np.bincount(at, minlength=len(held)) > 1
-    place = np.cumsum(often) - 1
-    holds = np.zeros((n, int(often.sum())), np.float32)
-    row = np.repeat(np.arange(n), lengths)
-    holds[row[often[at]], place[at[often[at]]]] = 1
-    wanted &= holds @ holds.T >= ESTIMATE * np.maximum(lengths[:, None], lengths)
+    if wanted.sum() > 4 * n:
+        # Values in common bound the estimate from above; the union sketch decides on what is left.
+        held, at = np.unique(np.concatenate(sketches), return_inverse=True)
+        often = np.bincount(at, minlength=len(held)) > 1
+        place = np.cumsum(often) - 1
+        holds = np.zeros((n, int(often.sum())), np.float32)
+        row = np.repeat(np.arange(n), lengths)
+        holds[row[often[at]], place[at[often[at]]]] = 1
+        wanted &= holds @ holds.T >= ESTIMATE * np.maximum(lengths[:, None], lengths)
     a, b = [], []
-    for i, j in np.argwhere(wanted).tolist():
-        if estimate(sketches[i], sketches[j]) >= ESTIMATE:
-            a.append(min(keys[i], keys[j]))
-            b.append(max(keys[i], keys[j]))
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    for x, y in np.argwhere(wanted).tolist():
+        if estimate(sketches[x], sketches[y]) >= ESTIMATE:
+            a.append(min(keys[x], keys[y]))
+            b.append(max(keys[x], keys[y]))
+    place = hash((lid, i, j)) & 0x7FFFFFFFFFFFFFFF
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "near": pa.array([place] * len(a), pa.int64())})
 
 
-class Work:
-    """Tables written under the cluster's checkpoint folder, so that later steps do not depend on the tasks that made them."""
+class Work(Shelf):
+    """The tables of one run."""
 
     def __init__(self, spark):
-        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/near-dedup-{uuid.uuid4().hex}"
-        self.count = 0
+        super().__init__(spark, "near-dedup")
 
     def table(self, rows: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count}"
-        rows.write.parquet(path)
-        # The step's shuffles are garbage now; collecting it lets Spark's cleaner remove their files before the next step adds its own.
+        return self.put(rows)
+
+    def release(self, *tables: DataFrame) -> None:
+        """Deletes tables that are done with. Spark's cleaner removes the shuffles behind them once the driver has forgotten their plans."""
+        self.drop(*tables)
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(rows.schema).parquet(path)
 
 
 def components(work: Work, links: DataFrame) -> DataFrame:
@@ -188,8 +192,10 @@ def components(work: Work, links: DataFrame) -> DataFrame:
         hop = labels.select(F.col("key").alias("next"), F.col("label").alias("hop"))
         new = work.table(new.join(hop, "next").select("key", F.col("label").alias("before"), F.least("next", "hop").alias("label")))
         moved = new.filter("before != label").limit(1).count()
+        work.drop(labels)
         labels = new.select("key", "label")
         if not moved:
+            work.drop(both)
             return labels
 
 
@@ -243,38 +249,56 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # Values that occur once come first in the order and need no list.
     alone = kept_values - F.count("*").over(of_class)
     listed = met.select("*", F.row_number().over(by_rarity).alias("place"), alone.alias("alone")).filter(F.col("place") + F.col("alone") <= kept_values - needed + 1)
-    listed = work.table(listed.select("value", "key", "n", "often"))
+    # A list is cut by size: near-duplicates lie in the same band of sizes (1.25 times each) or in neighbouring ones. A list holds two
+    # bands, its own (``top``) and the one below, and looks at pairs with a set of its own band.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("long")
+    cut = listed.withColumn("band", band).select("key", "n", "often", "value", F.inline(F.array(F.struct(F.col("band").alias("l"), F.lit(True).alias("top")), F.struct((F.col("band") + 1).alias("l"), F.lit(False).alias("top")))))
+    listed = work.table(cut.select((F.shiftleft("l", 32) + F.col("value")).alias("lid"), "key", "n", "often", "top"))
     # Lists with the same members are one list.
-    same = Window.partitionBy("members", "sum", "low")
-    shapes = listed.groupBy("value").agg(F.count("*").alias("members"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low"), F.max("key").alias("high"))
-    shapes = shapes.filter("members > 1").groupBy("members", "sum", "low", "high").agg(F.min("value").alias("value"), F.min_by("low", "value").alias("hub"))
-    lists = work.table(listed.join(shapes.select("value", "members"), "value").select("value", "members", "key", "n", "often"))
+    shapes = listed.groupBy("lid").agg(F.count("*").alias("members"), F.max("top").alias("any_top"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low"), F.max("key").alias("high"))
+    shapes = shapes.filter("members > 1 and any_top").groupBy(F.shiftright("lid", 32).alias("l"), "members", "sum", "low", "high").agg(F.min("lid").alias("lid"))
+    lists = work.table(listed.join(shapes.select("lid"), "lid").select("lid", "key", "n", "often", "top"))
+    work.release(listed)
 
     # First links: every member with three hubs of its list - a set can differ from one hub and be near another.
-    hubs = lists.groupBy("value").agg(F.array(F.min("key"), F.max("key"), F.min_by("key", F.xxhash64("key"))).alias("hubs"))
-    pairs = lists.join(hubs, "value").select("key", F.explode("hubs").alias("hub")).filter("key != hub")
-    pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    sized = F.when(F.col("top"), F.struct("key", "n"))
+    hubs = lists.groupBy("lid").agg(F.array(F.min(sized), F.max(sized), F.min_by(sized, F.when(F.col("top"), F.xxhash64("key")))).alias("hubs"))
+    pairs = lists.join(hubs, "lid").select("key", "n", F.explode("hubs").alias("hub"))
+    alike = (F.col("key") != F.col("hub.key")) & (5 * F.least("n", "hub.n") >= 4 * F.greatest("n", "hub.n"))
+    pairs = pairs.filter(alike).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
     first = work.table(_passing(pairs, sketches))
-    links = work.table(_verified(work, _sets(work, rows, classes, first, words), first))
+    links = work.table(_verified(work, _sets(work, rows, classes, first, words), _spread(first)))
+    work.release(first)
     labels = components(work, links)
 
     # The rest: lists that still span several components, block against block; only pairs across components are looked at.
     placed = lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_lists = placed.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("value")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    # Each class with its values in the common order (rarest first), of the lists that are left.
-    own = lists.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "value"))), lambda v: v["value"]).alias("own"))
-    open_keys = placed.join(open_lists, "value").drop("often")
-    members = open_keys.join(sketches.drop("n"), "key").join(own, "key").withColumn("blocks", blocks)
-    members = members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    same = members.select("value", F.col("block").alias("i"), F.col("block").alias("j"), "key", "n", "label", "sketch", "own", F.lit(2).alias("side"))
-    other = members.select("value", "block", "key", "n", "label", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).filter("block != with")
-    other = other.select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "label", "sketch", "own", (F.col("block") > F.col("with")).cast("int").alias("side"))
-    more = same.union(other).groupBy("value", "i", "j").applyInArrow(_across, "a binary, b binary").distinct()
-    more = work.table(more)
+    of_label = placed.groupBy("lid", "label").agg(F.count("*").alias("c"))
+    spanning = of_label.groupBy("lid").agg(F.count("*").alias("labels")).filter("labels > 1").select("lid")
+    of_label = work.table(of_label.join(spanning, "lid"))
+    # A large component has blocks of its own, which need not meet each other; the small ones share blocks.
+    large = of_label.filter(F.col("c") >= BLOCK).withColumn("own_blocks", F.ceil(F.col("c") / BLOCK).cast("long"))
+    large = large.withColumn("before", F.sum("own_blocks").over(Window.partitionBy("lid").orderBy("label")) - F.col("own_blocks"))
+    small = of_label.groupBy("lid").agg(
+        F.ceil(F.coalesce(F.sum(F.when(F.col("c") < BLOCK, F.col("c"))), F.lit(0)) / BLOCK).cast("long").alias("shared"),
+        F.coalesce(F.sum(F.when(F.col("c") >= BLOCK, F.ceil(F.col("c") / BLOCK))), F.lit(0)).cast("long").alias("others"),
+    )
+    # Each class with its lists in the common order (rarest first).
+    own = lists.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "lid"))), lambda v: v["lid"]).alias("own"))
+    members = placed.join(small, "lid").join(large.select("lid", "label", "own_blocks", "before"), ["lid", "label"], "left")
+    members = members.join(sketches.select("key", "sketch"), "key").join(own, "key")
+    begin = F.col("shared") + F.col("before")
+    block = F.when(F.col("own_blocks").isNull(), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(begin + F.pmod(F.xxhash64("key"), F.col("own_blocks")))
+    partners = F.filter(F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("others") - 1), lambda p: F.col("own_blocks").isNull() | (p < begin) | (p >= begin + F.col("own_blocks")))
+    sent = members.select("lid", block.alias("block"), "key", "n", "top", "label", "sketch", "own", F.explode(partners).alias("with"))
+    side = F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int"))
+    sent = sent.select("lid", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "top", "label", "sketch", "own", side.alias("side"))
+    more = work.table(sent.groupBy("lid", "i", "j").applyInArrow(_across, "a binary, b binary, near long"))
+    work.release(of_label, lists)
     if more.limit(1).count():
         links = links.union(work.table(_verified(work, _sets(work, rows, classes, more, words), more)))
+        work.release(more)
         labels = components(work, links)
 
     # Component of a class, its smallest document, and back to the documents.
@@ -311,21 +335,22 @@ def _sets(work: Work, rows: DataFrame, classes: DataFrame, pairs: DataFrame, wor
     return work.table(rows.join(few, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary"))
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs with a place near each other (``near``) where they share their first set; the partners of one set are split into bounded shares."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SETS).alias("shares"))
+    return pairs.join(shares, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("shares"))).alias("near"))
+
+
 def _verified(work: Work, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links among pairs whose full sets are similar enough.
 
-    Pairs are verified family by family (components of the pairs themselves), a large family in blocks: a set is sent once per block
-    of its family, not once per pair.
+    Pairs that are near each other go to one place, some thousands to each, and a set is sent once to every place that has a pair with it.
     """
-    family = components(work, pairs)
-    shares = family.groupBy("label").agg(F.ceil(F.count("*") / SETS).cast("int").alias("shares"))
-    placed = work.table(family.join(shares, "label").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int")))
-    a = placed.select(F.col("key").alias("a"), "label", F.col("share").alias("x"))
-    b = placed.select(F.col("key").alias("b"), F.col("share").alias("y"))
-    asked = pairs.join(a, "a").join(b, "b").select(F.col("label").alias("of"), F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), "a", "b")
-    each = placed.join(sets.dropDuplicates(["key"]), "key").select("label", "share", "key", "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("with"))
-    each = each.select("label", F.least("share", "with").alias("i"), F.greatest("share", "with").alias("j"), "key", "set")
-    return asked.groupBy("of", "low", "high").cogroup(each.groupBy("label", "i", "j")).applyInArrow(_exact, "a binary, b binary")
+    n = max(1, -(-pairs.count() // PAIRS))
+    asked = pairs.select(F.pmod("near", F.lit(n)).alias("place"), "a", "b")
+    wanted = asked.select(F.col("place").alias("at"), F.col("a").alias("key")).union(asked.select("place", "b")).distinct()
+    each = wanted.join(sets.dropDuplicates(["key"]), "key").select("at", "key", "set")
+    return asked.groupBy("place").cogroup(each.groupBy("at")).applyInArrow(_exact, "a binary, b binary")
 
 
 @query("op3_near_dedup")
