@@ -9,6 +9,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
@@ -219,7 +220,7 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
 
         def taken(batch):
             """Rows with some text together, so that the pieces they have in common are encoded once and next to their like."""
-            lengths = np.cumsum(pa.compute.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            lengths = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             first = 0
             while first < len(lengths):
                 last = max(first + 1, int(np.searchsorted(lengths, (lengths[first - 1] if first else 0) + TOGETHER, "right")))

@@ -23,6 +23,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def find(
     base = base.select("doc", "body", key.alias("row_key"), F.pmod(key, F.lit(n)).cast("int").alias("part"))
 
     def found(table: pa.Table):
-        table = table.filter(pa.compute.is_valid(table["doc"]))
+        table = table.filter(pc.is_valid(table["doc"]))
         held = read(table["body"])
         rank = np.unique(table["row_key"].to_numpy(), return_inverse=True)[1].astype(np.int32)
         return table["doc"].to_numpy(), rank, held, *segments(held, window, k)
