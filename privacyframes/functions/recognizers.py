@@ -61,6 +61,7 @@ class Recognizer:
     starts_in_word: bool = False
     ends_in_word: bool = False
     skip: str | None = None
+    tight: str | None = None
 
     @property
     def jvm(self) -> str:
@@ -70,13 +71,12 @@ class Recognizer:
     def scan(self) -> str:
         """The pattern as group 1, or else what ``skip`` takes: text in which no match can start once one start has failed.
 
-        Without it, every start in a long run is tried up to the end of the run, which is quadratic.
+        Without it, every start in a long run is tried up to the end of the run, which is quadratic. ``tight`` is the same pattern
+        without steps back that can't help.
         """
         if self.skip is None:
             return self.jvm
-        # A blank can't be the first letter of what follows, so giving blanks back never helps.
-        tight = self.pattern.replace(r"\d{1,4}\s+[", r"\d{1,4}+\s++[")
-        match = jvm_pattern(tight, False, self.starts_in_word, self.ends_in_word)
+        match = jvm_pattern(self.tight or self.pattern, False, self.starts_in_word, self.ends_in_word)
         return ("(?iu)" if self.ignore_case else "") + f"({match})|{jvm_pattern(self.skip, False, self.starts_in_word)}"
 
 
@@ -170,6 +170,15 @@ _SKIPS = {
     "IN_ADDRESS": r"\b\d{1,4}+\s++[A-Za-z ,.-]*+(?:[0-9]++(?: *+[A-Za-z,.-][A-Za-z ,.-]*+| ++(?=[0-9])))*+",
 }
 
+# Of an address's number and the blanks after it nothing is given back: a blank can't be the first letter of what follows.
+_TIGHT = {label: (r"\b\d{1,4}\s+", r"\b\d{1,4}+\s++") for label in ("IN_ADDRESS",)}
+
+
+def _tight(label: str, pattern: str) -> str | None:
+    loose, tight = _TIGHT.get(label, ("", ""))
+    return tight + pattern.removeprefix(loose) if loose and pattern.startswith(loose) else None
+
+
 # Patterns whose first match character may not be a word character, and the same for the last one.
 _OPEN_START = {"EMAIL_ADDRESS", "PHONE_NUMBER", "DATE_OF_BIRTH", "DATE_OF_BIRTH_TEXT", "IN_ADDRESS_INDIC", "UPI_ID"}
 _OPEN_END = {"CREDIT_CARD", "IN_ADDRESS_INDIC"}
@@ -184,6 +193,7 @@ DEFAULT: tuple[Recognizer, ...] = tuple(
         starts_in_word=label not in _OPEN_START,
         ends_in_word=label not in _OPEN_END,
         skip=_SKIPS.get(label),
+        tight=_tight(label, pattern),
     )
     for label, pattern, ignore_case in fixed.PATTERNS
 )
