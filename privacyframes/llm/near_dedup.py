@@ -2,7 +2,7 @@
 
 Steps: documents with one set of shingles become one class; the retained values of the sketches are put into inverted lists, the
 rarest first, as many as any pair of near-duplicates must share one of; lists are cut by set size, since sets that differ more than
-that are no near-duplicates; members of a list are paired with a few hubs, then, where a list still spans several components, those of
+that are no near-duplicates; members of a list are paired with a few hubs, its most central member among them, then, where a list still spans several components, those of
 different components with each other in blocks; the union sketch of a pair estimates its similarity, and what passes is verified on the
 full sets. Components are found by spreading the least label along the verified links.
 """
@@ -24,8 +24,8 @@ from .substring_dedup import word_hashes, word_places
 #: Values of a sketch; values a pair at the threshold shares at least (51 of 64 are expected at 0.8: 32 is six deviations below);
 #: estimate under which a pair is dropped (31 of 64 are needed, so this loses no more than the lists do); members of a block.
 SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.47, 256
-#: Pairs verified together; partners of one set among them at most.
-PAIRS, SETS = 2048, 256
+#: Pairs verified together; partners of one set among them at most; blocks verified together.
+PAIRS, SETS, TOGETHER = 2048, 256, 8
 #: Ids that may go to every task (16 MB); beyond, they are joined.
 BROADCAST = 1 << 20
 
@@ -155,13 +155,53 @@ def _across(group):
         row = np.repeat(np.arange(n), lengths)
         holds[row[often[at]], place[at[often[at]]]] = 1
         wanted &= holds @ holds.T >= ESTIMATE * np.maximum(lengths[:, None], lengths)
-    a, b = [], []
     for x, y in np.argwhere(wanted).tolist():
-        if estimate(sketches[x], sketches[y]) >= ESTIMATE:
-            a.append(min(keys[x], keys[y]))
-            b.append(max(keys[x], keys[y]))
-    place = hash((lid, i, j)) & 0x7FFFFFFFFFFFFFFF
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "near": pa.array([place] * len(a), pa.int64())})
+        wanted[x, y] = estimate(sketches[x], sketches[y]) >= ESTIMATE
+    # One row for a block, however many of its pairs pass: who has a pair, and a bit for each pair of these.
+    some = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
+    rows = [(hash((lid, i, j)) & 0x7FFFFFFFFFFFFFFF, [keys[x] for x in some.tolist()], np.packbits(wanted[np.ix_(some, some)]).tobytes())] if len(some) else []
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("near", pa.int64()), ("keys", pa.list_(pa.binary())), ("mask", pa.binary())))})
+
+
+def _exact_blocks(blocks, sets):
+    """Verified links of some blocks: sizes of intersections on the full sets, all pairs of a block at once where many are asked for."""
+    held = {k: np.frombuffer(x, np.uint64) for k, x in zip(sets["key"].to_pylist(), sets["set"].to_pylist(), strict=True)}
+    links: set[tuple[bytes, bytes]] = set()
+    for keys, mask in zip(blocks["keys"].to_pylist(), blocks["mask"].to_pylist(), strict=True):
+        n = len(keys)
+        pairs = np.argwhere(np.unpackbits(np.frombuffer(mask, np.uint8), count=n * n).reshape(n, n))
+        own = [held[k] for k in keys]
+        size = np.array([len(x) for x in own])
+        if len(pairs) > 4 * n:
+            values, at = np.unique(np.concatenate(own), return_inverse=True)
+            often = np.bincount(at, minlength=len(values)) > 1
+            row, both = np.repeat(np.arange(n), size), np.zeros((n, n), np.float32)
+            place = np.where(often, np.cumsum(often) - 1, -1)[at]
+            order = np.argsort(place, kind="stable")
+            row, place = row[order], place[order]
+            for first in range(0, int(often.sum()), 4096):
+                low, high = np.searchsorted(place, (first, first + 4096))
+                part = np.zeros((n, 4096), np.float32)
+                part[row[low:high], place[low:high] - first] = 1
+                both += part @ part.T
+            both = both[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+        else:
+            both = np.array([len(np.intersect1d(own[x], own[y], assume_unique=True)) for x, y in pairs.tolist()], np.int64)
+        good = pairs[100 * both >= 80 * (size[pairs[:, 0]] + size[pairs[:, 1]] - both)]
+        # Links within a block that are linked already add nothing.
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in good.tolist():
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                links.add((min(keys[x], keys[y]), max(keys[x], keys[y])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
 class Work(Shelf):
@@ -260,15 +300,17 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     lists = work.table(listed.join(shapes.select("lid"), "lid").select("lid", "key", "n", "often", "top"))
     work.release(listed)
 
-    # First links: every member with three hubs of its list - a set can differ from one hub and be near another.
+    # First links: every member with four hubs of its list - a set can differ from one hub and be near another. The first hub is the member
+    # of the most lists: among copies with changes of their own, the one that is nearest to what they were made from.
     sized = F.when(F.col("top"), F.struct("key", "n"))
-    hubs = lists.groupBy("lid").agg(F.array(F.min(sized), F.max(sized), F.min_by(sized, F.when(F.col("top"), F.xxhash64("key")))).alias("hubs"))
+    central = lists.join(lists.groupBy("key").agg(F.count("*").alias("degree")), "key")
+    hubs = central.groupBy("lid").agg(F.array(F.max_by(sized, F.when(F.col("top"), F.struct("degree", "key"))), F.min(sized), F.max(sized), F.min_by(sized, F.when(F.col("top"), F.xxhash64("key")))).alias("hubs"))
     pairs = lists.join(hubs, "lid").select("key", "n", F.explode("hubs").alias("hub"))
     alike = (F.col("key") != F.col("hub.key")) & (5 * F.least("n", "hub.n") >= 4 * F.greatest("n", "hub.n"))
     pairs = pairs.filter(alike).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
     first = work.table(_passing(pairs, sketches))
-    links = work.table(_verified(work, _sets(work, rows, classes, first, words), _spread(first)))
+    links = work.table(_verified(work, _sets(work, rows, classes, first.select(F.col("a").alias("key")).union(first.select("b")), words), _spread(first)))
     work.release(first)
     labels = components(work, links)
 
@@ -294,10 +336,15 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     sent = members.select("lid", block.alias("block"), "key", "n", "top", "label", "sketch", "own", F.explode(partners).alias("with"))
     side = F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int"))
     sent = sent.select("lid", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "top", "label", "sketch", "own", side.alias("side"))
-    more = work.table(sent.groupBy("lid", "i", "j").applyInArrow(_across, "a binary, b binary, near long"))
+    more = work.table(sent.groupBy("lid", "i", "j").applyInArrow(_across, "near long, keys array<binary>, mask binary"))
     work.release(of_label, lists)
-    if more.limit(1).count():
-        links = links.union(work.table(_verified(work, _sets(work, rows, classes, more, words), more)))
+    n_blocks = more.count()
+    if n_blocks:
+        at = F.pmod("near", F.lit(-(-n_blocks // TOGETHER)))
+        asked = more.select(at.alias("at"), F.explode("keys").alias("key")).distinct()
+        each = asked.join(_sets(work, rows, classes, asked, words).dropDuplicates(["key"]), "key").select("at", "key", "set")
+        blocks = more.select(at.alias("place"), "keys", "mask")
+        links = links.union(work.table(blocks.groupBy("place").cogroup(each.groupBy("at")).applyInArrow(_exact_blocks, "a binary, b binary")))
         work.release(more)
         labels = components(work, links)
 
@@ -316,12 +363,11 @@ def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a binary, b binary")
 
 
-def _sets(work: Work, rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Full sets of the classes in some pair, from one document of each; no other text is hashed again.
+def _sets(work: Work, rows: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """Full sets of the classes asked for (``key``), from one document of each; no other text is hashed again.
 
     Up to ``BROADCAST`` ids go to every task, so that texts stay where they are; more are joined by a shuffle.
     """
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
     wanted = work.table(classes.join(asked, "key", "left_semi").select(F.col("least").alias("doc")).distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
 
