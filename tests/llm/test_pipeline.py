@@ -33,3 +33,11 @@ def test_near_duplicates_of_rows_with_one_id_or_none(spark, sf_small):
     assert got.columns == corpus_pipeline.COLUMNS
     want = [(1, copied), (2, other), (2, None), (None, copied), (None, copied), (None, None), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_run_on_no_documents(spark, sf_small, tmp_path):
+    for name in ("documents", "benchmark"):
+        rows = spark.read.parquet(f"{sf_small}/{name}.parquet")
+        (rows.limit(0) if name == "documents" else rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "round_trip"] and got.count() == 0
