@@ -37,14 +37,16 @@ def read_csv_rows(spark: SparkSession, path: str, glob: str | None = None) -> Da
     return files.select("path", F.posexplode(csv_rows("text")).alias("row", "cells"))
 
 
-def read_csv_cells(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_csv_cells(spark: SparkSession, path: str, glob: str | None = None, rows_per_task: int = 0) -> DataFrame:
     """CSV cells as columns ``_c0``, ``_c1``, ...: as many as the longest row has, null beyond the end of a shorter one.
 
-    The width takes a pass over the files of its own, so no cell of a long row is lost.
+    The width takes a pass over the files of its own, so no cell of a long row is lost. With ``rows_per_task`` the rows are dealt out to
+    tasks of about that many, whatever the files hold: for costly work on the cells.
     """
     rows = read_csv_rows(spark, path, glob)
-    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
-    return rows.select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)])
+    seen = rows.agg(F.max(F.size("cells")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    cells = rows.select(*[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(seen["width"] or 0)])
+    return cells.repartition(max(spark.sparkContext.defaultParallelism, -(-seen["n"] // rows_per_task))) if rows_per_task else cells
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:

@@ -46,3 +46,13 @@ def test_catalog_sorts_stored_scans(spark, tmp_path):
     rows = [(r.id, r.pii_count, r.entities, r.malware_scan_status, r.malware_scan_source) for r in listed.collect()]
     assert [r[0] for r in rows] == [26, 12, 5, None] and [r[3] for r in rows[:3]] == ["clean", "unknown", "clean"]
     assert rows[0][1] > 0 and "UPI_ID=" in rows[0][2] and rows[3][1:3] == (0, "")
+
+
+def test_csv_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    from privacyframes.sources import readers
+
+    (tmp_path / "one.csv").write_text("".join(f'{i},"a ""{i}"""\n' for i in range(8000)) + "8000,x,long\n")
+    plain = readers.read_csv_cells(spark, str(tmp_path))
+    dealt = readers.read_csv_cells(spark, str(tmp_path), rows_per_task=500)
+    assert most_in_a_task(plain) == 8001 and most_in_a_task(dealt) < 600
+    assert dealt.columns == ["_c0", "_c1", "_c2"] and dealt.exceptAll(plain).count() == 0 and dealt.count() == 8001
