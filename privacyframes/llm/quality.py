@@ -164,8 +164,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     stated = F.col(stated_column).cast("long") if stated_column in docs.columns else F.lit(None).cast("long")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("body"), stated.alias("stated"))
     marks = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
+    # At most ``learned`` ids: broadcast, so that no text is shuffled to find its label.
     wanted = bounded(marks.filter(~held_out("doc_id")), ["doc_id"], learned)
-    model = train(rows.join(wanted, "doc_id"), learned)
+    model = train(rows.join(F.broadcast(wanted), "doc_id"), learned)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -47,6 +48,22 @@ def test_quality_on_edges(spark, edge):
     assert quality.quality(edge.limit(0), labels).collect() == []
 
 
+def test_quality_shuffles_no_text_to_find_its_label(spark, edge, monkeypatch):
+    """Joined by sorting, every text was written to disk twice."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (9, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda labelled, most: seen.append(labelled))
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quality.quality(edge, labels)
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.doc_id, r.label) for r in seen[0].collect()) == [(i, k) for i, k in [(1, 1), (2, 0), (3, 1), (3, 1), (9, 0)] if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_machine_learns_an_interaction():
     """Two words that are good alone and bad together: a linear model can't tell."""
     rng = np.random.default_rng(0)
