@@ -14,6 +14,8 @@ from .sampling import bounded, held_out, slices
 #: n-gram lengths, hash slots, labelled rows learned from at most, and the count added to each slot.
 ORDERS, SLOTS, LEARNED, SMOOTHING = (1, 2, 3), 1 << 15, 20_000, 0.5
 UNKNOWN = "und"
+#: Characters of the texts whose n-grams are made together, about 125 bytes each.
+TOGETHER = 1 << 17
 
 
 def grams(texts: list[str | None]):
@@ -50,7 +52,7 @@ def train(labelled: DataFrame, id_column: str, text_column: str, label_column: s
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, labels = batch["text"].to_pylist(), np.array(batch["label"].to_pylist(), object)
-            for a, b in slices(texts):
+            for a, b in slices(texts, TOGETHER):
                 slot, row = grams(texts[a:b])
                 for label in set(labels[a:b]):
                     mine = totals.setdefault(label, np.zeros(SLOTS + 1))
@@ -88,7 +90,7 @@ def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, text_column: s
         for batch in batches:
             texts, letters = batch.column(text_column).to_pylist(), batch.column("__letters").to_pylist()
             best, sure = [], []
-            for a, b in slices(texts):
+            for a, b in slices(texts, TOGETHER):
                 slot, row = grams(texts[a:b])
                 total = np.tile(matrix[:, -1].astype(float), (b - a, 1)) if names else np.zeros((b - a, 1))
                 for k in range(len(names)):

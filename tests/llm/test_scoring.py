@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -32,6 +33,18 @@ def test_languages_on_edges(edge):
     assert language_id.language_id(edge.limit(0)).collect() == []
 
 
+def test_languages_need_little_memory():
+    """With half a million characters at once, two workers took an executor over its memory."""
+    texts = ["abcd efgh " * 200] * 512
+    first, last = next(sampling.slices(texts, getattr(language_id, "TOGETHER", sampling.slices.__defaults__[0])))
+    tracemalloc.start()
+    try:
+        language_id.grams(texts[first:last])
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality_of_held_out_documents(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(docs, labels).join(labels, "doc_id").filter("held_out").collect()
