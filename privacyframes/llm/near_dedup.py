@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Shelf
+from .blocks import Shelf, pack, unpack
 from .registry import query, table
 from .substring_dedup import word_hashes, word_places
 
@@ -26,6 +28,8 @@ from .substring_dedup import word_hashes, word_places
 SKETCH, SHARED, ESTIMATE, BLOCK = 64, 32, 0.47, 256
 #: Pairs verified together; partners of one set among them at most; blocks verified together.
 PAIRS, SETS, TOGETHER = 2048, 256, 8
+#: What a list knows of its members.
+MEMBER = ("key", "n", "top", "label", "sketch", "own")
 #: Ids that may go to every task (16 MB); beyond, they are joined.
 BROADCAST = 1 << 20
 
@@ -70,15 +74,16 @@ def _mix(h: np.ndarray, words: int) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _pieces(texts, most=1 << 19):
+def _pieces(batch, most=1 << 19):
+    """Rows of a batch whose ``body`` together has about ``most`` bytes, so that no more texts than these are taken out of it at once."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
+    for i, length in enumerate(pc.binary_length(batch["body"]).fill_null(0).to_pylist()):
+        size += length
         if size >= most:
-            yield first, i + 1
+            yield batch.slice(first, i + 1 - first)
             first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    if first < batch.num_rows:
+        yield batch.slice(first)
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -102,7 +107,7 @@ def _estimated(batches):
 def _exact(pairs, sets):
     """Verified links of one block of pairs. A pair whose ends are linked already, by other pairs of the block, adds nothing."""
     held = dict(zip(sets["key"].to_pylist(), sets["set"].to_pylist(), strict=True))
-    root: dict[bytes, bytes] = {}
+    root: dict[int, int] = {}
 
     def find(x):
         while root.setdefault(x, x) != x:
@@ -120,7 +125,7 @@ def _exact(pairs, sets):
             root[find(x)] = find(y)
             a.append(x)
             b.append(y)
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _across(group):
@@ -132,7 +137,7 @@ def _across(group):
     n = group.num_rows
     lid, i, j = (group[c][0].as_py() for c in ("lid", "i", "j"))
     keys, side, size, top = group["key"].to_pylist(), *(np.array(group[c].to_pylist()) for c in ("side", "n", "top"))
-    label = np.unique(np.array([x.hex() for x in group["label"].to_pylist()]), return_inverse=True)[1]
+    label = np.array(group["label"].to_pylist())
     wanted = (side[:, None] == 0) & (side == 1) | (side[:, None] == 2) & (side == 2) & (np.arange(n)[:, None] < np.arange(n))
     wanted &= (label[:, None] != label) & (top[:, None] | top)
     wanted &= 5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size)
@@ -160,13 +165,28 @@ def _across(group):
     # One row for a block, however many of its pairs pass: who has a pair, and a bit for each pair of these.
     some = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
     rows = [(hash((lid, i, j)) & 0x7FFFFFFFFFFFFFFF, [keys[x] for x in some.tolist()], np.packbits(wanted[np.ix_(some, some)]).tobytes())] if len(some) else []
-    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("near", pa.int64()), ("keys", pa.list_(pa.binary())), ("mask", pa.binary())))})
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("near", pa.int64()), ("keys", pa.list_(pa.int64())), ("mask", pa.binary())))})
+
+
+def _packed(group):
+    """One block of a list as one row; near copies share most of their sketches, so it packs well."""
+    row = group.select(["lid", "block", "shared", "others", "own_blocks", "before"]).slice(0, 1)
+    return row.append_column("body", pa.array([pack(group.select(list(MEMBER)))], pa.binary()))
+
+
+def _across_packed(group):
+    """``_across`` for two packed blocks, or for one with itself."""
+    blocks = [unpack(x) for x in group["body"].to_pylist()]
+    members = pa.concat_tables([x.append_column("side", pa.array([s] * x.num_rows, pa.int32())) for x, s in zip(blocks, group["side"].to_pylist(), strict=True)])
+    for c in ("lid", "i", "j"):
+        members = members.append_column(c, pa.array([group[c][0].as_py()] * members.num_rows, pa.int64()))
+    return _across(members)
 
 
 def _exact_blocks(blocks, sets):
     """Verified links of some blocks: sizes of intersections on the full sets, all pairs of a block at once where many are asked for."""
     held = {k: np.frombuffer(x, np.uint64) for k, x in zip(sets["key"].to_pylist(), sets["set"].to_pylist(), strict=True)}
-    links: set[tuple[bytes, bytes]] = set()
+    links: set[tuple[int, int]] = set()
     for keys, mask in zip(blocks["keys"].to_pylist(), blocks["mask"].to_pylist(), strict=True):
         n = len(keys)
         pairs = np.argwhere(np.unpackbits(np.frombuffer(mask, np.uint8), count=n * n).reshape(n, n))
@@ -201,7 +221,7 @@ def _exact_blocks(blocks, sets):
             if find(x) != find(y):
                 root[find(x)] = find(y)
                 links.add((min(keys[x], keys[y]), max(keys[x], keys[y])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 class Work(Shelf):
@@ -256,18 +276,20 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def sketch(batches):
         for batch in batches:
-            texts = batch["body"].to_pylist()
-            for a, b in _pieces(texts):
-                sets = shingle_sets(texts[a:b], words)
-                part = batch.slice(a, b - a)
+            for part in _pieces(batch):
+                sets = shingle_sets(part["body"].to_pylist(), words)
                 yield pa.RecordBatch.from_arrays(
                     [part["doc"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()), *part.columns[2:]],
-                    ["doc", "n", "key", "sketch", *part.schema.names[2:]],
+                    ["doc", "n", "digest", "sketch", *part.schema.names[2:]],
                 )
 
-    marks = work.table(rows.mapInArrow(sketch, "doc long, n long, key binary, sketch binary" + (", row binary" if row_key else "")))
-    usable = marks.filter("doc is not null and n > 0")
-    classes = work.table(usable.groupBy("key").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    sketched = work.table(rows.mapInArrow(sketch, "doc long, n long, digest binary, sketch binary" + (", row binary" if row_key else "")))
+    usable = sketched.filter("doc is not null and n > 0")
+    of_digest = usable.groupBy("digest").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    # A number, written with its class, names it from here on: digests are as long and as random as what they stand for in the lists.
+    classes = work.table(of_digest.withColumn("key", F.monotonically_increasing_id()))
+    marks = work.table(sketched.drop("sketch"))
+    work.release(sketched)
 
     # Inverted lists. Values are cut to 32 bits here: a collision only makes a list longer.
     def spread(batches):
@@ -278,7 +300,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             at = pa.array(np.repeat(np.arange(len(values)), lengths))
             yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["n"].take(at), pa.array(flat)], ["key", "n", "value"])
 
-    values = classes.select("key", "n", "sketch").mapInArrow(spread, "key binary, n long, value long")
+    values = classes.select("key", "n", "sketch").mapInArrow(spread, "key long, n long, value long")
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
     met = values.join(often, "value")
     # Two sets of up to 51 shingles are compared whole and share 4/5 of the larger; larger ones share SHARED of the retained values.
@@ -294,6 +316,7 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("long")
     cut = listed.withColumn("band", band).select("key", "n", "often", "value", F.inline(F.array(F.struct(F.col("band").alias("l"), F.lit(True).alias("top")), F.struct((F.col("band") + 1).alias("l"), F.lit(False).alias("top")))))
     listed = work.table(cut.select((F.shiftleft("l", 32) + F.col("value")).alias("lid"), "key", "n", "often", "top"))
+    work.release()
     # Lists with the same members are one list.
     shapes = listed.groupBy("lid").agg(F.count("*").alias("members"), F.max("top").alias("any_top"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("low"), F.max("key").alias("high"))
     shapes = shapes.filter("members > 1 and any_top").groupBy(F.shiftright("lid", 32).alias("l"), "members", "sum", "low", "high").agg(F.min("lid").alias("lid"))
@@ -310,7 +333,8 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     pairs = pairs.filter(alike).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
     sketches = classes.select("key", "n", "sketch")
     first = work.table(_passing(pairs, sketches))
-    links = work.table(_verified(work, _sets(work, rows, classes, first.select(F.col("a").alias("key")).union(first.select("b")), words), _spread(first)))
+    work.release()
+    links = work.table(_verified(first, lambda asked: _sets(work, rows, classes, asked, words)))
     work.release(first)
     labels = components(work, links)
 
@@ -333,26 +357,31 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     begin = F.col("shared") + F.col("before")
     block = F.when(F.col("own_blocks").isNull(), F.pmod(F.xxhash64("label"), F.col("shared"))).otherwise(begin + F.pmod(F.xxhash64("key"), F.col("own_blocks")))
     partners = F.filter(F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("others") - 1), lambda p: F.col("own_blocks").isNull() | (p < begin) | (p >= begin + F.col("own_blocks")))
-    sent = members.select("lid", block.alias("block"), "key", "n", "top", "label", "sketch", "own", F.explode(partners).alias("with"))
+    found = "near long, keys array<long>, mask binary"
+    # Most lists are one block. Of the others each block is packed, and goes as one row to each block it must meet.
+    single = members.filter("shared + others = 1").select("lid", F.lit(0).alias("i"), F.lit(0).alias("j"), *MEMBER, F.lit(2).alias("side"))
+    packed = members.filter("shared + others > 1").select("lid", block.alias("block"), "shared", "others", "own_blocks", "before", *MEMBER)
+    packed = packed.groupBy("lid", "block").applyInArrow(_packed, "lid long, block long, shared long, others long, own_blocks long, before long, body binary")
+    sent = packed.select("lid", "block", "body", F.explode(partners).alias("with"))
     side = F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int"))
-    sent = sent.select("lid", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "key", "n", "top", "label", "sketch", "own", side.alias("side"))
-    more = work.table(sent.groupBy("lid", "i", "j").applyInArrow(_across, "near long, keys array<binary>, mask binary"))
+    sent = sent.select("lid", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "body", side.alias("side"))
+    more = work.table(single.groupBy("lid").applyInArrow(_across, found).union(sent.groupBy("lid", "i", "j").applyInArrow(_across_packed, found)))
     work.release(of_label, lists)
     n_blocks = more.count()
     if n_blocks:
         at = F.pmod("near", F.lit(-(-n_blocks // TOGETHER)))
         asked = more.select(at.alias("at"), F.explode("keys").alias("key")).distinct()
-        each = asked.join(_sets(work, rows, classes, asked, words).dropDuplicates(["key"]), "key").select("at", "key", "set")
+        each = _sets(work, rows, classes, asked, words)
         blocks = more.select(at.alias("place"), "keys", "mask")
-        links = links.union(work.table(blocks.groupBy("place").cogroup(each.groupBy("at")).applyInArrow(_exact_blocks, "a binary, b binary")))
+        links = links.union(work.table(blocks.groupBy("place").cogroup(each.groupBy("at")).applyInArrow(_exact_blocks, "a long, b long")))
         work.release(more)
         labels = components(work, links)
 
     # Component of a class, its smallest document, and back to the documents.
-    named = classes.select("key", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = classes.select("key", "digest", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = named.join(smallest, "label").select("key", "component_id")
-    found = marks.drop("sketch").join(by_class, "key", "left")
+    by_class = named.join(smallest, "label").select("digest", "component_id")
+    found = marks.join(by_class, "digest", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("component_id"))).otherwise(F.col("doc"))
     return found.select(F.col("doc").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"), *([F.col("row").alias(row_key)] if row_key else []))
 
@@ -360,25 +389,26 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def _passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     a = sketches.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = sketches.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated, "a long, b long")
 
 
 def _sets(work: Work, rows: DataFrame, classes: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """Full sets of the classes asked for (``key``), from one document of each; no other text is hashed again.
+    """Full set of the class of each place and class asked for (``at``, ``key``), from one document of it; no other text is hashed again.
 
     Up to ``BROADCAST`` ids go to every task, so that texts stay where they are; more are joined by a shuffle.
     """
-    wanted = work.table(classes.join(asked, "key", "left_semi").select(F.col("least").alias("doc")).distinct())
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    wanted = work.table(asked.join(classes.select("key", "digest", F.col("least").alias("doc")), "key"))
+    ids = work.table(wanted.select("doc").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
     def whole(batches):
         for batch in batches:
-            texts = batch["body"].to_pylist()
-            for a, b in _pieces(texts):
-                sets = shingle_sets(texts[a:b], words)
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set"])
+            for part in _pieces(batch):
+                sets = shingle_sets(part["body"].to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"])
 
-    return work.table(rows.join(few, "doc", "left_semi").select("body").mapInArrow(whole, "key binary, set binary"))
+    sets = rows.join(few, "doc", "left_semi").select("body").mapInArrow(whole, "digest binary, set binary")
+    return wanted.select("at", "key", "digest").join(sets.dropDuplicates(["digest"]), "digest").select("at", "key", "set")
 
 
 def _spread(pairs: DataFrame) -> DataFrame:
@@ -387,16 +417,15 @@ def _spread(pairs: DataFrame) -> DataFrame:
     return pairs.join(shares, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("shares"))).alias("near"))
 
 
-def _verified(work: Work, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links among pairs whose full sets are similar enough.
 
     Pairs that are near each other go to one place, some thousands to each, and a set is sent once to every place that has a pair with it.
     """
     n = max(1, -(-pairs.count() // PAIRS))
-    asked = pairs.select(F.pmod("near", F.lit(n)).alias("place"), "a", "b")
+    asked = _spread(pairs).select(F.pmod("near", F.lit(n)).alias("place"), "a", "b")
     wanted = asked.select(F.col("place").alias("at"), F.col("a").alias("key")).union(asked.select("place", "b")).distinct()
-    each = wanted.join(sets.dropDuplicates(["key"]), "key").select("at", "key", "set")
-    return asked.groupBy("place").cogroup(each.groupBy("at")).applyInArrow(_exact, "a binary, b binary")
+    return asked.groupBy("place").cogroup(sets(wanted).groupBy("at")).applyInArrow(_exact, "a long, b long")
 
 
 @query("op3_near_dedup")

@@ -100,6 +100,40 @@ def test_near_chains_in_a_large_list(spark, monkeypatch):
     assert len({x[1] for x in want.values()}) < 60
 
 
+def test_near_lists_hold_numbers_and_no_table_of_sketches_stays(spark, small, monkeypatch):
+    """Digests and sketches are long and random: rows of lists, pairs and links hold neither, and only one stored table keeps sketches."""
+    seen, put = [], near_dedup.Work.table
+    monkeypatch.setattr(near_dedup.Work, "table", lambda work, rows: seen.append(put(work, rows)) or seen[-1])
+    near_dedup.near_dedup(small, words=2).collect()
+    lists = [t for t in seen if {"lid", "key"} <= set(t.columns)]
+    assert lists and all(kind != "binary" for t in lists for _, kind in t.dtypes)
+    assert all(dict(t.dtypes)[c] == "bigint" for t in seen for c in ("key", "a", "b", "label") if c in t.columns)
+    there = []
+    for t in seen:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.inputFiles()[0]) if "sketch" in t.columns and t.inputFiles() else None
+        there.append(path is not None and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+    assert sum(there) == 1
+
+
+def test_near_blocks_of_one_list_travel_as_one_row_each(spark, monkeypatch):
+    """A list of texts that are alike but not near: rows sent grow with its blocks, not with its members times its blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    sent, across = spark.sparkContext.accumulator(0), near_dedup._across_packed
+
+    def counted(group):
+        assert group.num_rows <= 2
+        sent.add(group.num_rows)
+        return across(group)
+
+    monkeypatch.setattr(near_dedup, "_across_packed", counted)
+    common = [f"c{i}" for i in range(60)]
+    docs = [(i, " ".join(common + [f"own{i}_{j}" for j in range(20)])) for i in range(80)]
+    docs += [(200 + i, " ".join(common + [f"pair{i // 2}_{j}" for j in range(20)] + [f"last{i}"])) for i in range(6)]
+    got = near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"), words=2).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == brute.near_dedup(docs)
+    assert 0 < sent.value
+
+
 def test_estimate_is_close():
     random = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.8, 0.95):
