@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .registry import query, table
-from .sampling import bounded, held_out, slices
+from .sampling import bounded, held_out, sliced
 
 #: n-gram lengths, hash slots, labelled rows learned from at most, and the count added to each slot.
 ORDERS, SLOTS, LEARNED, SMOOTHING = (1, 2, 3), 1 << 15, 20_000, 0.5
@@ -51,13 +51,13 @@ def train(labelled: DataFrame, id_column: str, text_column: str, label_column: s
     def count(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, labels = batch["text"].to_pylist(), np.array(batch["label"].to_pylist(), object)
-            for a, b in slices(texts, TOGETHER):
-                slot, row = grams(texts[a:b])
-                for label in set(labels[a:b]):
+            for part in sliced(batch, "text", TOGETHER):
+                slot, row = grams(part["text"].to_pylist())
+                labels = np.array(part["label"].to_pylist(), object)
+                for label in set(labels):
                     mine = totals.setdefault(label, np.zeros(SLOTS + 1))
-                    mine[:SLOTS] += np.bincount(slot[(labels[a:b] == label)[row]], minlength=SLOTS)
-                    mine[SLOTS] += (labels[a:b] == label).sum()
+                    mine[:SLOTS] += np.bincount(slot[(labels == label)[row]], minlength=SLOTS)
+                    mine[SLOTS] += (labels == label).sum()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["label", "counts"])
 
     def add(key, rows):
@@ -88,20 +88,19 @@ def predict(docs: DataFrame, labels: list[str], logs: np.ndarray, text_column: s
         names, matrix = shared.value
         table = np.ascontiguousarray(matrix[:, :-1].T)
         for batch in batches:
-            texts, letters = batch.column(text_column).to_pylist(), batch.column("__letters").to_pylist()
-            best, sure = [], []
-            for a, b in slices(texts, TOGETHER):
-                slot, row = grams(texts[a:b])
-                total = np.tile(matrix[:, -1].astype(float), (b - a, 1)) if names else np.zeros((b - a, 1))
+            # Rows go back as they are done, so that neither side holds the texts of a batch a second time.
+            for part in sliced(batch, text_column, TOGETHER):
+                n = part.num_rows
+                slot, row = grams(part.column(text_column).to_pylist())
+                total = np.tile(matrix[:, -1].astype(float), (n, 1)) if names else np.zeros((n, 1))
                 for k in range(len(names)):
-                    total[:, k] += np.bincount(row, weights=table[slot, k], minlength=b - a)
+                    total[:, k] += np.bincount(row, weights=table[slot, k], minlength=n)
                 top = total.argmax(axis=1)
-                best += top.tolist()
-                sure += (1 / np.exp(total - total[np.arange(b - a), top][:, None]).sum(axis=1)).tolist()
-            known = [bool(names) and x for x in letters]
-            lang = [names[k] if x else UNKNOWN for k, x in zip(best, known, strict=True)]
-            kept = [batch.column(c) for c in names_kept]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array([s if x else 0.0 for s, x in zip(sure, known, strict=True)], pa.float64())], [*names_kept, "lang_pred", "score"])
+                sure = (1 / np.exp(total - total[np.arange(n), top][:, None]).sum(axis=1)).tolist()
+                known = [bool(names) and x for x in part.column("__letters").to_pylist()]
+                lang = [names[k] if x else UNKNOWN for k, x in zip(top.tolist(), known, strict=True)]
+                kept = [part.column(c) for c in names_kept]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array([s if x else 0.0 for s, x in zip(sure, known, strict=True)], pa.float64())], [*names_kept, "lang_pred", "score"])
 
     schema = StructType(docs.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return body.mapInArrow(score, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,15 @@ def slices(texts: list[str | None], most: int = 1 << 19):
             first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
+
+
+def sliced(batch: pa.RecordBatch, text_column: str, most: int):
+    """Parts of a batch with about ``most`` characters of text together; a longer text is alone."""
+    first, size = 0, 0
+    for i, length in enumerate(pc.utf8_length(batch.column(text_column)).fill_null(0).to_pylist()):
+        size += length + 1
+        if size >= most:
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)

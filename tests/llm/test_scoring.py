@@ -45,6 +45,23 @@ def test_languages_need_little_memory():
         tracemalloc.stop()
 
 
+def test_languages_go_back_as_they_are_done(spark, monkeypatch):
+    """A batch is worked off in parts: its texts are neither taken out of it all at once nor held until the last is done."""
+    schema = "doc_id long, text string"
+    rows = [(i, "abc défg " * (1 + i % 7) if i % 5 else None) for i in range(400)]
+    docs, made = spark.createDataFrame(rows, schema), []
+    monkeypatch.setattr(language_id, "TOGETHER", 1000)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, kind: made.append((df, f)) or df)
+    language_id.predict(docs, ["en", "xx"], np.zeros((2, language_id.SLOTS + 1), np.float32))
+    (body, score), = made
+    batches = body.toArrow().combine_chunks().to_batches()
+    parts = list(score(iter(batches)))
+    assert [(r["doc_id"], r["text"]) for p in parts for r in p.to_pylist()] == rows
+    assert [r["lang_pred"] for p in parts for r in p.to_pylist()] == ["en" if t else "und" for _, t in rows]
+    assert max(sum(len(t or "") for t in p["text"].to_pylist()) for p in parts) < 1000 + 63
+    assert len(parts) > 5 * len(batches)
+
+
 def test_quality_of_held_out_documents(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(docs, labels).join(labels, "doc_id").filter("held_out").collect()
