@@ -230,9 +230,11 @@ def bpe_encode(docs: DataFrame, lines: list[bytes], pattern: str, id_column: str
         for batch in batches:
             for part in taken(batch):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                pieces = [split.findall(t or "") for t in texts]
+                # A piece that occurs again is kept once.
+                here, pieces = {}, []
+                for t in texts:
+                    pieces.append([here.setdefault(x, x) for x in split.findall(t or "")])
                 # Of the pieces of these rows: known ones, ones of the older half, and new ones.
-                here = dict.fromkeys(x for row in pieces for x in row)
                 new = []
                 for x in here:
                     found = known.get(x)

@@ -1,5 +1,6 @@
 """Trained operators: held-out accuracy, edges, and the search and tokens against plain versions."""
 
+import base64
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,23 @@ def test_languages_go_back_as_they_are_done(spark, monkeypatch):
     assert len(parts) > 5 * len(batches)
 
 
+def test_repeated_pieces_need_little_memory(spark, monkeypatch):
+    """Every occurrence of a piece was held as a string of its own."""
+    made = []
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, kind: made.append(f) or df)
+    lines = [base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)]
+    bpe.bpe_encode(docs, lines, r"\S+|\s", decoded=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "__text": ["abcd efgh " * 200] * 1000})
+    tracemalloc.start()
+    try:
+        (got,) = made[0](iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 28 << 20
+    finally:
+        tracemalloc.stop()
+    assert all(got["round_trip"].to_pylist())
+
+
 def test_quality_of_held_out_documents(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(docs, labels).join(labels, "doc_id").filter("held_out").collect()
