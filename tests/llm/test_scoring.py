@@ -203,6 +203,40 @@ def test_tables_are_bounded_and_keep_what_is_asked_for(vocabulary, monkeypatch):
     assert max(pieces[-100:]) in known
 
 
+def test_short_pieces_are_encoded_abreast(vocabulary, monkeypatch):
+    """Every new piece was worked through byte by byte in Python."""
+    rng = random.Random(21)
+    turned = []
+    monkeypatch.setattr(bpe, "ABREAST", 300)
+    monkeypatch.setattr(bpe, "PAIRS", 100)
+    monkeypatch.setattr(bpe.Prefixes, "turn", lambda held, text, turn=bpe.Prefixes.turn: turned.append(text) or turn(held, text))
+    pieces = ["".join(rng.choice(["", " ", "    "]) + rng.choice(["ing", "the", "e\0", "ß", "的", "\0", "q", "7", "😀"]) for _ in range(rng.randint(0, 7))) for _ in range(1200)]
+    pieces = [x.encode() for x in dict.fromkeys([*pieces, " the", "the\0", "the", " " * 64, " " * 65, "international" * 6, "internationalization" * 5, "a"])]
+    rng.shuffle(pieces)
+    encoder = bpe.Encoder(vocabulary)
+    for _ in range(2):
+        assert encoder.encode(pieces) == {x: np.array(merged(vocabulary, x), "<u4").tobytes() for x in pieces}
+        assert 0 < encoder.pairs.size <= 100
+    assert sorted(turned) == sorted(x for x in pieces if len(x) > bpe.SHORT and x not in vocabulary.ranks)
+    with pytest.raises(ValueError, match="missing"):
+        bpe.Encoder(bpe.Vocabulary({b"a": 0})).encode([b"ab"])
+
+
+def test_ranks_with_gaps_and_texts_without_pieces(spark):
+    lines = [base64.b64encode(t) + b" %d" % r for t, r in [(b"a", 7), (b"b", 3), (b"ab", 900), (b"aba", 70_000), (b"bb", 12)]]
+    texts = {1: "abab b", 2: None, 3: "", 4: "aba", 5: "   ", 6: "abba"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (np.frombuffer(bytes(r.ids), "<u4").tolist(), bytes(r.decoded), r.round_trip) for r in bpe.bpe_encode(docs, lines, "[ab]+").collect()}
+    assert got == {
+        1: ([900, 900, 3], b"ababb", False),
+        2: ([], b"", True),
+        3: ([], b"", True),
+        4: ([70_000], b"aba", True),
+        5: ([], b"", False),
+        6: ([7, 12, 7], b"abba", True),
+    }
+
+
 def test_documents_equal_the_library(spark, small, edge):
     import tiktoken
 
