@@ -56,3 +56,24 @@ def test_csv_rows_of_one_file_are_dealt_out(spark, tmp_path):
     dealt = readers.read_csv_cells(spark, str(tmp_path), rows_per_task=500)
     assert most_in_a_task(plain) == 8001 and most_in_a_task(dealt) < 600
     assert dealt.columns == ["_c0", "_c1", "_c2"] and dealt.exceptAll(plain).count() == 0 and dealt.count() == 8001
+
+
+def test_pages_as_files_need_no_folder_each(spark, tmp_path):
+    """A folder for each page is made, and listed, by processes and tasks of its own; 30 files a task are as many tasks again."""
+    import hashlib
+    import os
+
+    from privacyframes.plans.governance_queries import unread_files
+
+    n = 1200
+    html = [None if i % 50 == 0 else f"<p>{i}</p>\n é" + "x" * (1990 if i % 3 == 0 else 0) for i in range(n)]
+    ids = [i - 600 for i in range(n)] + [None, 7]
+    pq.write_table(pa.table({"page_id": pa.array(ids, pa.int64()), "html": html + ["lost", html[607]]}), tmp_path / "pages.parquet", row_group_size=2 * n)
+    pq.write_table(pa.table({"c_custkey": pa.array([1, 2], pa.int64()), "c_name": ["a", "b"]}), tmp_path / "customer.parquet")
+    done = unread_files(spark, str(tmp_path))
+    assert len({os.path.dirname(f) for f in done.inputFiles()}) <= 8 and done.rdd.getNumPartitions() <= 8
+    bodies = {i - 600: (x or "").encode() + b"\n" for i, x in enumerate(html)}
+    bodies[7] *= 2
+    want = {k: (len(b), "TOO_LARGE", None) if len(b) > 2000 else (len(b), "ACCEPT", hashlib.sha256(b).hexdigest()) for k, b in bodies.items()}
+    got = [(r.page_id, (r.n_bytes, r.admission_status, r.content_sha256)) for r in done.collect()]
+    assert len(got) == n and dict(got) == want
