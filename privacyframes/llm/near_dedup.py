@@ -50,7 +50,8 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if b - a >= words:
-            out.append(np.unique(whole[a : b - words + 1]))
+            own = np.sort(whole[a : b - words + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif b > a:
             out.append(_mix(_combine(h[a:b], b - a), b - a))
         else:
@@ -96,12 +97,38 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
 
 
+def _padded(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of one width, filled up with the largest number, and their lengths."""
+    lengths = np.array([len(x) >> 3 for x in sketches], np.int64)
+    rows = np.full((len(sketches), SKETCH), np.iinfo(np.uint64).max, np.uint64)
+    rows[np.arange(SKETCH) < lengths[:, None]] = np.frombuffer(b"".join(sketches), np.uint64)
+    return rows, lengths
+
+
+def estimates(a: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_lengths: np.ndarray, x: np.ndarray, y: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """``estimate`` of row ``x[i]`` of the padded sketches ``a`` and row ``y[i]`` of ``b``, for many pairs."""
+    out = np.empty(len(x))
+    for first in range(0, len(x), at_once):
+        i, j = x[first : first + at_once], y[first : first + at_once]
+        n, m = a_lengths[i], b_lengths[j]
+        both = np.concatenate((a[i], b[j]), axis=1)
+        both.sort(axis=1)
+        # A value of both sketches comes twice in a row, as no sketch holds one twice; its place among the different ones is its place in the union.
+        twice = (both[:, 1:] == both[:, :-1]) & (np.arange(1, 2 * SKETCH) < (n + m)[:, None])
+        place = np.arange(1, 2 * SKETCH) + 1 - np.cumsum(twice, axis=1)
+        size = np.maximum(np.minimum(n, m), np.minimum(SKETCH, np.maximum(n, m)))
+        shared = (twice & (place <= size[:, None])).sum(axis=1)
+        out[first : first + at_once] = shared / np.maximum(1, np.minimum(size, n + m - twice.sum(axis=1)))
+    return out
+
+
 def _estimated(batches):
     for batch in batches:
-        keep = []
-        for n, m, x, y in zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist(), batch["sketch_a"].to_pylist(), batch["sketch_b"].to_pylist(), strict=True):
-            keep.append(5 * min(n, m) >= 4 * max(n, m) and estimate(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= ESTIMATE)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        n, m = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+        batch = batch.filter(pa.array(5 * np.minimum(n, m) >= 4 * np.maximum(n, m)))
+        row = np.arange(batch.num_rows)
+        keep = estimates(*_padded(batch["sketch_a"].to_pylist()), *_padded(batch["sketch_b"].to_pylist()), row, row) >= ESTIMATE
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def _exact(pairs, sets):
@@ -160,14 +187,71 @@ def _across(group):
         row = np.repeat(np.arange(n), lengths)
         holds[row[often[at]], place[at[often[at]]]] = 1
         wanted &= holds @ holds.T >= ESTIMATE * np.maximum(lengths[:, None], lengths)
-    for x, y in np.argwhere(wanted).tolist():
-        wanted[x, y] = estimate(sketches[x], sketches[y]) >= ESTIMATE
+    x, y = np.nonzero(wanted)
+    padded = _padded(group["sketch"].to_pylist())
+    wanted[x, y] = estimates(*padded, *padded, x, y) >= ESTIMATE
     # One row for a block, however many of its pairs pass: who has a pair, and a bit for each pair of these.
     some = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
-    rows = [(hash((lid, i, j)) & 0x7FFFFFFFFFFFFFFF, [keys[x] for x in some.tolist()], np.packbits(wanted[np.ix_(some, some)]).tobytes())] if len(some) else []
+    return _blocks([((lid, i, j), [keys[x] for x in some.tolist()], wanted[np.ix_(some, some)])] if len(some) else [])
+
+
+def _blocks(found) -> pa.Table:
+    rows = [(hash(place) & 0x7FFFFFFFFFFFFFFF, keys, np.packbits(pairs).tobytes()) for place, keys, pairs in found]
     return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("near", pa.int64()), ("keys", pa.list_(pa.int64())), ("mask", pa.binary())))})
 
 
+def _across_lists(batches):
+    """``_across`` for lists of one block, which come one after the other: most have two or three members, so many are looked at together."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if rows.num_rows:
+            # The last list may go on.
+            last = int(np.searchsorted(rows["lid"].to_numpy(), rows["lid"][-1].as_py()))
+            rest = rows.slice(last)
+            yield from _across_whole(rows.slice(0, last)).to_batches()
+    if rest is not None:
+        yield from _across_whole(rest).to_batches()
+
+
+def _across_whole(lists: pa.Table) -> pa.Table:
+    lid, size, top, label = (lists[c].to_numpy() for c in ("lid", "n", "top", "label"))
+    x, y, row = [], [], np.arange(lists.num_rows)
+    for step in range(1, lists.num_rows):
+        row = row[: np.searchsorted(row, lists.num_rows - step)]
+        row = row[lid[row] == lid[row + step]]
+        if not len(row):
+            break
+        with_ = row + step
+        wanted = (label[row] != label[with_]) & (top[row] | top[with_])
+        wanted &= 5 * np.minimum(size[row], size[with_]) >= 4 * np.maximum(size[row], size[with_])
+        x.append(row[wanted])
+        y.append(with_[wanted])
+    if not x:
+        return _blocks([])
+    x, y = np.concatenate(x), np.concatenate(y)
+    padded = _padded(lists["sketch"].to_pylist())
+    near = estimates(*padded, *padded, x, y) >= ESTIMATE
+    x, y = x[near], y[near]
+    keys, own = lists["key"].to_numpy(), lists["own"]
+    earlier: dict[int, set[int]] = {}
+    for r in np.unique(np.concatenate((x, y))).tolist():
+        held, here = own[r].as_py(), int(lid[r])
+        earlier[r] = {v for v in held[: held.index(here)] if v >> 32 == here >> 32}
+    of_list: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        if earlier[a].isdisjoint(earlier[b]):
+            of_list.setdefault(int(lid[a]), []).append((a, b))
+    found = []
+    for place, pairs in of_list.items():
+        some, at = np.unique(np.array(pairs), return_inverse=True)
+        at = at.reshape(-1, 2)
+        wanted = np.zeros((len(some), len(some)), bool)
+        wanted[at[:, 0], at[:, 1]] = True
+        found.append(((place, 0, 0), keys[some].tolist(), wanted))
+    return _blocks(found)
+
+
 def _packed(group):
     """One block of a list as one row; near copies share most of their sketches, so it packs well."""
     row = group.select(["lid", "block", "shared", "others", "own_blocks", "before"]).slice(0, 1)
@@ -294,11 +378,14 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # Inverted lists. Values are cut to 32 bits here: a collision only makes a list longer.
     def spread(batches):
         for batch in batches:
-            values = [np.unique(np.frombuffer(x, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) for x in batch["sketch"].to_pylist()]
-            lengths = [len(v) for v in values]
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            at = pa.array(np.repeat(np.arange(len(values)), lengths))
-            yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["n"].take(at), pa.array(flat)], ["key", "n", "value"])
+            sketches, lengths = _padded(batch["sketch"].to_pylist())
+            values = (sketches & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            values[np.arange(SKETCH) >= lengths[:, None]] = 1 << 32
+            values.sort(axis=1)
+            there = values < 1 << 32
+            there[:, 1:] &= values[:, 1:] != values[:, :-1]
+            at = pa.array(np.nonzero(there)[0])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(at), batch["n"].take(at), pa.array(values[there])], ["key", "n", "value"])
 
     values = classes.select("key", "n", "sketch").mapInArrow(spread, "key long, n long, value long")
     often = values.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
@@ -359,13 +446,15 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     partners = F.filter(F.sequence(F.lit(0).cast("long"), F.col("shared") + F.col("others") - 1), lambda p: F.col("own_blocks").isNull() | (p < begin) | (p >= begin + F.col("own_blocks")))
     found = "near long, keys array<long>, mask binary"
     # Most lists are one block. Of the others each block is packed, and goes as one row to each block it must meet.
-    single = members.filter("shared + others = 1").select("lid", F.lit(0).alias("i"), F.lit(0).alias("j"), *MEMBER, F.lit(2).alias("side"))
+    single = members.filter("shared + others = 1").select("lid", *MEMBER).repartition("lid").sortWithinPartitions("lid")
     packed = members.filter("shared + others > 1").select("lid", block.alias("block"), "shared", "others", "own_blocks", "before", *MEMBER)
     packed = packed.groupBy("lid", "block").applyInArrow(_packed, "lid long, block long, shared long, others long, own_blocks long, before long, body binary")
     sent = packed.select("lid", "block", "body", F.explode(partners).alias("with"))
     side = F.when(F.col("block") == F.col("with"), 2).otherwise((F.col("block") > F.col("with")).cast("int"))
     sent = sent.select("lid", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "body", side.alias("side"))
-    more = work.table(single.groupBy("lid").applyInArrow(_across, found).union(sent.groupBy("lid", "i", "j").applyInArrow(_across_packed, found)))
+    # Packed blocks are small and their pairs many: their tasks are not to be put together by size.
+    met = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lid", "i", "j").groupBy("lid", "i", "j").applyInArrow(_across_packed, found)
+    more = work.table(single.mapInArrow(_across_lists, found).union(met))
     work.release(of_label, lists)
     n_blocks = more.count()
     if n_blocks:

@@ -134,6 +134,41 @@ def test_near_blocks_of_one_list_travel_as_one_row_each(spark, monkeypatch):
     assert 0 < sent.value
 
 
+def test_many_small_lists_are_looked_at_together():
+    """Most lists have two or three members: a call for each costs more than its pairs. The pairs are those of ``_across`` on each list."""
+    random = np.random.default_rng(2)
+    rows, last = [], 0
+    for lid in range(300):
+        base = random.integers(0, 1 << 62, 90).astype(np.uint64)
+        for _ in range(int(random.integers(1, 9)) if lid % 50 else 60):
+            n = int(random.integers(3, 90))
+            own = np.unique(np.concatenate((random.choice(base, n, replace=False), random.integers(0, 1 << 62, n // 8).astype(np.uint64))))
+            lists = sorted({lid, *random.integers(0, 300, 3).tolist(), *((1 << 32) + random.integers(0, 300, 2)).tolist()})
+            rows.append((lid, last, len(own), bool(random.integers(0, 2)), int(random.integers(0, 4)), own[: near_dedup.SKETCH].tobytes(), lists))
+            last += 1
+    lists = pa.Table.from_pylist([dict(zip(("lid", *near_dedup.MEMBER), r, strict=True)) for r in rows])
+    near = np.array([near_dedup.estimate(np.frombuffer(a[5], np.uint64), np.frombuffer(b[5], np.uint64)) for a, b in zip(rows, rows[1:])])
+    padded, row = near_dedup._padded([r[5] for r in rows]), np.arange(len(rows) - 1)
+    assert (near_dedup.estimates(*padded, *padded, row, row + 1, at_once=64) == near).all()
+
+    def pairs(tables):
+        out = {}
+        for t in tables:
+            for place, keys, mask in zip(*(t[c].to_pylist() for c in ("near", "keys", "mask")), strict=True):
+                held = np.argwhere(np.unpackbits(np.frombuffer(mask, np.uint8), count=len(keys) ** 2).reshape(len(keys), -1))
+                assert out.setdefault(place, {frozenset((keys[a], keys[b])) for a, b in held})
+        return out
+
+    alone = []
+    for lid in range(300):
+        one = lists.filter(pa.compute.equal(lists["lid"], lid))
+        for c, v in (("side", 2), ("i", 0), ("j", 0)):
+            one = one.append_column(c, pa.array([v] * one.num_rows, pa.int64()))
+        alone.append(near_dedup._across(one))
+    together = list(near_dedup._across_lists(lists.to_batches(max_chunksize=37)))
+    assert pairs(together) == pairs(alone) and len(pairs(alone)) > 50 > len(list(near_dedup._across_lists(lists.to_batches())))
+
+
 def test_estimate_is_close():
     random = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.8, 0.95):
